@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from modalens.llm import mixing, packing, pii, token_counts
+from modalens.llm import lang_id, mixing, near_dup, packing, pii, token_counts
 from modalens.llm.common import documents
 
 
@@ -16,6 +16,14 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(documents(spark, sf_dir), w=2)
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lang_id.language(documents(spark, sf_dir))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(documents(spark, sf_dir))
 
@@ -29,7 +37,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op7_pii, op8_packing, op10_mixing)}
+    return {f.__name__: f for f in (op1_token_counts, op2_near_duplicates, op5_language, op7_pii, op8_packing, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
