@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from modalens.llm import lang_id, mixing, near_dup, packing, pii, token_counts
+from modalens.llm import lang_id, media, mixing, near_dup, packing, pii, token_counts
 from modalens.llm.common import documents
 
 
@@ -24,6 +24,10 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.language(documents(spark, sf_dir))
 
 
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_digest(documents(spark, sf_dir))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(documents(spark, sf_dir))
 
@@ -37,7 +41,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_near_duplicates, op5_language, op7_pii, op8_packing, op10_mixing)}
+    return {f.__name__: f for f in (op1_token_counts, op2_near_duplicates, op5_language, op6_media, op7_pii, op8_packing, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
