@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from modalens.llm import lang_id, media, mixing, near_dup, packing, pii, token_counts
+from modalens.llm import fingerprints, lang_id, licences, media, mixing, near_dup, packing, pii, token_counts
 from modalens.llm.common import documents
 
 
@@ -20,6 +21,27 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(documents(spark, sf_dir), w=2)
 
 
+def with_paths(docs: DataFrame) -> DataFrame:
+    """Documents as files of a tree: three levels by id under their source; the first file of a directory is its LICENSE."""
+    i = F.col("doc_id")
+    top, mid, low = (F.floor(i / d).cast("string") for d in (10_000, 1_000, 100))
+    path = (
+        F.when(i % 10_000 == 0, F.concat_ws("/", F.lit(""), top, F.lit("LICENSE")))
+        .when(i % 1_000 == 0, F.concat_ws("/", F.lit(""), top, mid, F.lit("LICENSE")))
+        .when(i % 100 == 0, F.concat_ws("/", F.lit(""), top, mid, low, F.lit("LICENSE")))
+        .otherwise(F.concat_ws("/", F.lit(""), top, mid, low, F.concat(i.cast("string"), F.lit(".txt"))))
+    )
+    return docs.select("doc_id", path.alias("path"), "text")
+
+
+def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.licences(with_paths(documents(spark, sf_dir)))
+
+
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(documents(spark, sf_dir))
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.language(documents(spark, sf_dir))
 
@@ -41,7 +63,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_near_duplicates, op5_language, op6_media, op7_pii, op8_packing, op10_mixing)}
+    return {f.__name__: f for f in (op1_token_counts, op2_near_duplicates, op3_licences, op4_fingerprints, op5_language, op6_media, op7_pii, op8_packing, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
