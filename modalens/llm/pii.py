@@ -193,6 +193,17 @@ def pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     return docs.select(F.col(id_col), scan(whole_text(text_col)).alias("p")).select(id_col, "p.*")
 
 
+def redacted_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs with the clean text in place of the text; a null text stays null."""
+
+    @F.pandas_udf("string")
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([t if t is None else redacted(t, find(t)[1]) for t in texts], dtype=object)
+
+    return docs.withColumn(text_col, clean(F.col(text_col)))
+
+
 def pii_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """What the query returns: the counts, the digest of the plain spans and all spans; no text leaves the tasks."""
     counts = [f"n_{k}" for k in KINDS]
