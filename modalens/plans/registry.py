@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from modalens.plans import missing_batch
+from modalens.plans import align_profile, missing_batch
 from modalens.plans.missing_batch import flagship
 
 __all__ = ["flagship", "oracle_sql", "queries"]
-_ALL = {**missing_batch.QUERIES}
+_ALL = {**missing_batch.QUERIES, **align_profile.QUERIES}
 
 
 def queries() -> dict:
