@@ -99,22 +99,15 @@ def nine_words() -> np.ndarray:
 
 def joined(words: np.ndarray) -> bytes:
     """Nine-bit words one after another, the last byte filled with ones."""
-    n = len(words)
-    w = np.concatenate([words, np.full(-n % 8, 511, words.dtype)]).reshape(-1, 8)
-    out = np.empty((len(w), 9), np.uint8)
-    for j in range(9):
-        out[:, j] = ((w[:, j - 1] << (8 - j) if j else 0) | (w[:, j] >> (j + 1) if j < 8 else 0)) & 255
-    return out.tobytes()[: -(-n * 9 // 8)]
+    bits = np.unpackbits(words.astype(">u2").view(np.uint8).reshape(-1, 2), axis=1)[:, 7:]
+    return padded(bits.ravel())
 
 
 def separated(data: bytes, n: int) -> np.ndarray:
     """The first n nine-bit words."""
-    d = np.frombuffer(data, np.uint8)[: -(-n * 9 // 8)]
-    d = np.concatenate([d, np.zeros(-len(d) % 9, np.uint8)]).reshape(-1, 9).astype(np.int32)
-    out = np.empty((len(d), 8), np.int32)
-    for j in range(8):
-        out[:, j] = ((d[:, j] << 8 | d[:, j + 1]) >> (7 - j)) & 511
-    return out.ravel()[:n]
+    wide = np.zeros((n, 16), np.uint8)
+    wide[:, 7:] = np.unpackbits(np.frombuffer(data, np.uint8), count=9 * n).reshape(n, 9)
+    return np.packbits(wide, axis=1).view(">u2").ravel()
 
 
 class Bits:
@@ -161,8 +154,9 @@ def put_value(out: Bits, v: int, size: int) -> None:
 
 
 def write_dc(blocks: np.ndarray, low: int) -> bytes:
-    diff = np.diff(blocks[:, 0] >> low, prepend=0)
-    if np.abs(diff).max() <= 255:
+    diff = blocks[:, 0] >> low
+    diff[1:] -= diff[:-1].copy()
+    if diff.min() >= -255 and diff.max() <= 255:
         return joined(nine_words()[diff + 255])
     raise ValueError("a DC coefficient out of range")
 
@@ -179,8 +173,8 @@ def read_dc(data: bytes, blocks: np.ndarray, low: int, table: Huffman) -> None:
 
 def write_ac(blocks: np.ndarray, start: int, end: int, low: int) -> bytes:
     band = blocks[:, start : end + 1]
-    v = np.sign(band) * (np.abs(band) >> low)
-    if v.all() and np.abs(v).max() <= 255:
+    v = (band + (band < 0) * ((1 << low) - 1)) >> low  # towards zero
+    if v.min() >= -255 and v.max() <= 255 and v.all():
         return joined(nine_words()[v.ravel() + 255])
     table, out, run = writer_table(False), Bits(), 0
     for row in v:
@@ -415,8 +409,10 @@ class Image:
         c, t = parts[0]
         h, v, _, across, down = self.components[c]
         w, d = -(-self.width * h // (8 * self.hmax)), -(-self.height * v // (8 * self.vmax))
-        at = (np.arange(d)[:, None] * across + np.arange(w)).ravel()
-        blocks = self.blocks[c] if len(at) == across * down else self.blocks[c][at]
+        blocks = self.blocks[c]
+        if (w, d) != (across, down):  # the last blocks of a component that the image doesn't reach
+            at = (np.arange(d)[:, None] * across + np.arange(w)).ravel()
+            blocks = blocks[at]
         if start == 0:
             read_dc_bit(data, blocks, low) if high else read_dc(data, blocks, low, tables[t >> 4])
         else:
@@ -488,8 +484,9 @@ def load(image: Image) -> bytes:
 
 def feature(rgb: np.ndarray) -> str:
     """Size, then mean and standard deviation of each colour."""
-    flat = rgb.reshape(-1, 3).astype(np.float64)
-    stats = [*flat.mean(0), *np.sqrt(np.maximum(0, (flat * flat).mean(0) - flat.mean(0) ** 2))]
+    flat = rgb.reshape(-1, 3).astype(np.float32)
+    n, total, squares = len(flat), flat.sum(0, dtype=np.float64), np.einsum("ij,ij->j", flat, flat, dtype=np.float64)
+    stats = [*total / n, *np.sqrt(np.maximum(0, squares / n - (total / n) ** 2))]
     return f"{rgb.shape[1]}x{rgb.shape[0]}:" + ",".join(f"{x:.3f}" for x in stats)
 
 
