@@ -37,3 +37,12 @@ def window_ranks(value: str, *keys: str) -> Column:
     """The same as a column, for many keys of moderate size."""
     ties = Window.partitionBy(*keys, value)
     return F.when(F.col(value).isNotNull(), F.rank().over(Window.partitionBy(*keys).orderBy(value)) + (F.count(F.lit(1)).over(ties) - 1) / 2)
+
+
+def numbered(ids: DataFrame, column: str, out: str = "ix", shards: int = 64) -> DataFrame:
+    """ids (distinct values of a column) with a number from 0 on, in order of their hash, ranked shard by shard."""
+    rows = ids.select(column, F.xxhash64(column).alias("_o")).withColumn("_s", F.pmod("_o", F.lit(shards)))
+    counts = rows.groupBy("_s").agg(F.count(F.lit(1)).alias("_m"))
+    before = F.coalesce(F.sum("_m").over(Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # over the shards
+    own = F.row_number().over(Window.partitionBy("_s").orderBy("_o", column))
+    return rows.withColumn("_r", own).join(F.broadcast(counts.select("_s", before.alias("_b"))), "_s").select(column, (F.col("_b") + F.col("_r") - 1).cast("int").alias(out))
