@@ -44,6 +44,9 @@ HOMOGLYPHS = {
 #: Spelled digits.
 SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9", "plus": "+"}
 
+#: Endings of host names. A spelled-out address must have one, as "at the dot on the map" has not.
+ENDINGS = "com org net edu gov mil info biz io dev app co ai de fr es it nl be ch eu uk us ca au jp cn ru in br pl se no".split()
+
 _TO_ASCII = {ord(a): b for one, other in HOMOGLYPHS.values() for a, b in zip(one, other, strict=True)}
 _TO_ASCII |= {0xFF01 + i: chr(0x21 + i) for i in range(94)}  # full-width forms
 _ODD = re.compile("[" + "".join(map(chr, _TO_ASCII)) + "]")
@@ -51,7 +54,7 @@ _INVISIBLE = re.compile("[​-‍⁠﻿­]+")
 _SPELLED = re.compile(r"(?<![A-Za-z0-9])(?:" + "|".join(SPELLED) + r")(?![A-Za-z0-9])", re.I)
 _SPELLED_RUN = re.compile(rf"{_SPELLED.pattern}(?:[ -]{{1,2}}{_SPELLED.pattern})+", re.I)
 _BRACKETED = re.compile(r" {0,2}[\[({<] {0,2}(at|dot|@|\.) {0,2}[\])}>] {0,2}", re.I)
-_WORDS = re.compile(r"(?<=[A-Za-z0-9]) at (?=[A-Za-z0-9-]{1,63}(?: dot [A-Za-z0-9-]{1,63}){1,6}(?![A-Za-z0-9]))", re.I)
+_WORDS = re.compile(rf"(?<=[A-Za-z0-9]) at (?=(?:[A-Za-z0-9-]{{1,63}} dot ){{1,6}}(?:{'|'.join(ENDINGS)})(?![A-Za-z0-9-]))", re.I)
 _DOT = re.compile(r"(?<=[A-Za-z0-9]) dot (?=[A-Za-z0-9])", re.I)
 _HINT = re.compile(r"[\[({<] {0,2}(?:at|dot|@|\.) {0,2}[\])}>]| dot ", re.I)
 
