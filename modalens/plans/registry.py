@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from modalens.plans import align_profile, missing_batch, scores
+from modalens.plans import align_profile, missing_batch, modelling, scores
 from modalens.plans.missing_batch import flagship
 
 __all__ = ["flagship", "oracle_sql", "queries"]
-_ALL = {**missing_batch.QUERIES, **align_profile.QUERIES, **scores.QUERIES}
+_ALL = {**missing_batch.QUERIES, **align_profile.QUERIES, **scores.QUERIES, **modelling.QUERIES}
 
 
 def queries() -> dict:
