@@ -98,19 +98,14 @@ def histogram(missing: DataFrame) -> DataFrame:
 
 def adjusted(tests: DataFrame, family: list[str], p: str = "p", order: str = "test") -> DataFrame:
     """tests with Benjamini-Hochberg, Benjamini-Yekutieli and Holm adjusted p by family; null p stays null."""
-    known = tests.filter(F.col(p).isNotNull())
     fam = Window.partitionBy(*family)
-    asc = fam.orderBy(p, order)
-    m, i = F.count(F.lit(1)).over(fam), F.row_number().over(asc)
-    rows = known.withColumn("_m", m).withColumn("_i", i)
+    rows = tests.withColumn("_m", F.count(p).over(fam)).withColumn("_i", F.row_number().over(fam.orderBy(F.asc_nulls_last(p), order)))
     up = fam.orderBy(F.desc("_i")).rowsBetween(Window.unboundedPreceding, 0)
     down = fam.orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
-    series = F.aggregate(F.sequence(F.lit(1), F.col("_m").cast("int")), F.lit(0.0), lambda s, j: s + 1 / j.cast("double"))
+    series = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("_m").cast("int"))), F.lit(0.0), lambda s, j: s + 1 / j.cast("double"))
     bh = F.col(p) * F.col("_m") / F.col("_i")
-    rows = rows.withColumn("_c", series).select(
-        "*", F.least(F.lit(1.0), F.min(bh).over(up)).alias("p_bh"), F.least(F.lit(1.0), F.min(bh * F.col("_c")).over(up)).alias("p_by"),
-        F.least(F.lit(1.0), F.max(F.col(p) * (F.col("_m") - F.col("_i") + 1)).over(down)).alias("p_holm"),
-    )
-    null = F.lit(None).cast("double")
-    rest = tests.filter(F.col(p).isNull()).select("*", null.alias("p_bh"), null.alias("p_by"), null.alias("p_holm"))
-    return rows.drop("_m", "_i", "_c").unionByName(rest)
+    capped = lambda x: F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), x))
+    return rows.withColumn("_c", series).select(
+        "*", capped(F.min(bh).over(up)).alias("p_bh"), capped(F.min(bh * F.col("_c")).over(up)).alias("p_by"),
+        capped(F.max(F.col(p) * (F.col("_m") - F.col("_i") + 1)).over(down)).alias("p_holm"),
+    ).drop("_m", "_i", "_c")

@@ -203,7 +203,7 @@ def b3_silhouette(spark, sf_dir):
 def flagship(spark, sf_dir):
     """Does missingness track the outcome or the batch? Statistic, p and adjusted p of each test."""
     s, missing = _day_missing(spark, sf_dir)
-    rows = missing.join(s.samples, "sample_id")
+    rows = missing.join(s.samples, "sample_id").persist()  # read by every test
     tests = None
     for name in ("y", "batch"):
         t = missingness.kruskal(rows, ["modality"], "missing_fraction", name).withColumn("test", F.concat_ws(":", "modality", F.lit(name)))
