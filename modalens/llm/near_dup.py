@@ -9,10 +9,12 @@ with probability about 1e-7 at the defaults.
 
 Work is kept linear in the rows:
 1. equal sets are one class under their smallest id, so copies cost one row each;
-2. in every band bucket with two classes or more, each class is checked against the bucket's smallest one, and the
-   confirmed links are joined to components;
-3. only pairs of one bucket that are still in different components, and whose sketches agree well enough for the
-   threshold, are checked next, all of them. Pairs inside a component can add nothing, so no link is lost.
+2. in every band bucket with two classes or more, a hub is checked against all others, and the confirmed links are
+   joined to components. The hub is the class with the most neighbours over all its buckets, which among copies with
+   different edits is the text that they were made from;
+3. pairs of one bucket that are still in different components are compared next, all of them: first by one bit of each
+   coordinate, then by a longer sketch that only these classes get. Pairs inside a component can add nothing, and a
+   sketch turns a pair at the threshold away with a probability below 1e-9, so no link is lost.
 Every check counts the intersection of the two full sets.
 
 Defined cases: a text without words (a null one too) has an empty set and is linked with nothing; rows that repeat a
@@ -33,6 +35,8 @@ from modalens.llm.common import words, written
 from modalens.llm.components import components
 
 SIZE, BANDS = 200, 40
+#: Coordinates of the longer sketch that pairs across components must agree in; one bit of each is kept.
+FINE = 4096
 _LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -66,6 +70,34 @@ def least_bits(t: int, percent: int) -> float:
     return t * p - 6.5 * (t * p * (1 - p)) ** 0.5
 
 
+def fine(sets: DataFrame) -> DataFrame:
+    """(id, fine): one bit of each coordinate of a longer sketch, 64 to a number."""
+
+    @F.pandas_udf("array<long>")
+    def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in batches:
+            rows = []
+            for i in range(0, len(part), 256):
+                own = part.iloc[i : i + 256]
+                flat = np.concatenate(own.tolist()).astype(np.int64).view(np.uint64)
+                s = mixed(sketches(flat, np.array([len(x) for x in own], np.int64), FINE), 4000) & np.uint64(1)
+                rows += list(np.packbits(s.astype(np.uint8), axis=1).view(np.int64))
+            yield pd.Series(rows, dtype=object)
+
+    return sets.select("id", sketch("sh").alias("fine"))
+
+
+def unlike(a: str, b: str):
+    """In how many bits two longer sketches differ."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, n: total + n)
+
+
+def most_unlike(percent: int) -> float:
+    """Differing bits above which a pair is not checked: 6.5 standard deviations over the mean at the threshold."""
+    p = (1 - percent / 100) / 2
+    return FINE * p + 6.5 * (FINE * p * (1 - p)) ** 0.5
+
+
 def with_shingles(rows: DataFrame, w: int, name: str) -> DataFrame:
     """rows (id, text) as (id, name): hashes of the distinct w-word shingles; of fewer words the whole sequence.
 
@@ -130,27 +162,33 @@ def near_duplicates(docs: DataFrame, w: int = 5, percent: int = 80, t: int = SIZ
     classes = written(real.groupBy("n", "k1", "k2").agg(F.min("id").alias("node")), "classes")
     by_set = real.join(classes, ["n", "k1", "k2"])  # copies of one set are split by Spark's skew join
     members = by_set.filter("id <> node").select("id", "node").distinct()
-    heads = by_set.filter("id = node").select("node", "n", "bits")
+    heads = by_set.filter("id = node").select("node", "n", "bands", "bits")
 
     bucket = written(by_set.filter("id = node").select("node", F.explode("bands").alias("band")), "bands")
-    leaders = bucket.groupBy("band").agg(F.min("node").alias("leader"), F.max("node").alias("top")).filter("leader < top").select("band", "leader")
-    crowded = written(bucket.join(leaders, "band"), "buckets")
-    needed = crowded.select(F.col("node").alias("id")).distinct()
-    sets = written(with_shingles(rows.join(needed, "id"), w, "sh"), "sets")
-
-    stars = confirmed(crowded.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), sets, percent)
-    stars = written(stars.unionAll(members.select(F.col("node").alias("a"), F.col("id").alias("b"))), "links")
-    first = written(components(stars), "components")
-
-    placed = crowded.join(first, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
+    crowd = bucket.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi")
+    crowded = bucket.join(crowd.select("band", "size"), "band")
+    weight = crowded.groupBy("node").agg(F.sum("size").alias("weight"))
+    crowded = written(crowded.select("band", "node").join(weight, "node"), "buckets")
+    sets = written(with_shingles(rows.join(weight.select(F.col("node").alias("id")), "id"), w, "sh"), "sets")
+
+    hub = crowded.groupBy("band").agg(F.max(F.struct("weight", (-F.col("node")).alias("node"))).alias("x")).select("band", (-F.col("x.node")).alias("hub"))
+    tried = crowded.join(hub, "band").filter("node <> hub").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
+    links = written(members.select(F.col("node").alias("a"), F.col("id").alias("b")).unionAll(confirmed(tried, sets, percent)), "links")
+    label = written(components(links), "components")
+
+    placed = crowded.join(label, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
     several = placed.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("band")
-    open_ = written(placed.join(several, "band").join(heads, "node"), "open-buckets")
-    one, two = (open_.select("band", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "bits", "label")]) for s in "ab")
-    differ = sum((F.bit_count(F.get("bits_a", F.lit(i)).bitwiseXOR(F.get("bits_b", F.lit(i)))) for i in range(-(-t // 64))), F.lit(0))
+    open_ = placed.join(several, "band")
+    close = open_.select(F.col("node").alias("id")).distinct().join(sets, "id")
+    close = fine(close).join(heads.withColumnRenamed("node", "id"), "id").withColumnRenamed("id", "node").dropDuplicates(["node"])
+    open_ = written(open_.join(close, "node"), "open-buckets")
+    one, two = (open_.select("band", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "bands", "bits", "fine", "label")]) for s in "ab")
+    apart = sum((F.bit_count(F.get("bits_a", F.lit(i)).bitwiseXOR(F.get("bits_b", F.lit(i)))) for i in range(-(-t // 64))), F.lit(0))
     sized = (100 * F.col("n_a") >= percent * F.col("n_b")) & (100 * F.col("n_b") >= percent * F.col("n_a"))
-    likely = one.join(two, "band").filter((F.col("label_a") < F.col("label_b")) & sized & (t - differ >= least_bits(t, percent)))
+    earlier = F.arrays_overlap(*[F.slice(f"bands_{s}", F.lit(1), F.array_position("bands_a", F.col("band")).cast("int") - 1) for s in "ab"])  # met in a bucket before
+    likely = one.join(two, "band").filter((F.col("label_a") < F.col("label_b")) & sized & (t - apart >= least_bits(t, percent)) & ~earlier & (unlike("fine_a", "fine_b") <= most_unlike(percent)))
     more = confirmed(likely.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct(), sets, percent)
-    label = components(stars.unionAll(more)).withColumnRenamed("node", "id")
+    label = components(links.unionAll(more)).withColumnRenamed("node", "id")
 
     out = sk.select("id", F.col("n").alias("n_shingles")).join(label, "id", "left").withColumn("component_id", F.coalesce("label", "id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
