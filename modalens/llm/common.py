@@ -50,7 +50,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/modalens-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    schema = df.schema
     del df
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return spark.read.parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables that `written` made and that nothing reads any more."""
+    for table in tables:
+        for path in {f.rpartition("/")[0] for f in table.inputFiles()}:
+            at = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
