@@ -1,12 +1,12 @@
 """Document fingerprints by consistent weighted sampling, in DataFrame functions only.
 
-A document is a weighted set: its words with their counts. For sample j and a word of weight w, keyed hashes of the
-word and j give r and c from Gamma(2, 1) and b uniform; t = floor(ln w / r + b), ln a = ln c - r (t - b) - r. The word
+A document is a weighted set: its words with their counts. For sample j and a word of weight w, a keyed hash of the
+word and j gives r and c from Gamma(2, 1) and b uniform; t = floor(ln w / r + b), a = c exp(-r (t - b + 1)). The word
 with the smallest a is the sample and (word, t) its value. Two documents agree in a sample with the probability of
 their generalised Jaccard similarity, sum of minima over sum of maxima; a fingerprint is the values of all samples.
 
 Data flow: a word's counts come from its run in the sorted words of its own text, so counting shuffles nothing. Each
-sample is one min() over a packed number (ln a above, the value's hash below), kept in the hash aggregation's buffer;
+sample is one min() over a packed number (a above, the value's hash below), kept in the hash aggregation's buffer;
 documents are bucketed by id once, which the aggregation reuses. The next document comes from a window inside the
 bucket, and for a bucket's last one from the first row of the next bucket that has rows, found over bucket numbers.
 
@@ -30,16 +30,21 @@ _HEX = 6
 
 
 def sample_columns(term: Column, ln_w: Column, samples: int) -> list[Column]:
-    """For each sample the packed number of a word: the smaller, the better; its low 24 bits stand for (word, t)."""
+    """For each sample the packed number of a word: the smaller, the better; its low 24 bits stand for (word, t).
+
+    One 64-bit hash gives four uniforms. With e = -ln u0 and f = -ln u1, r = e + f is Gamma(2, 1) and b = f / r is
+    uniform and independent of it, so r (1 - b) = e and a = c exp(-r (t - b + 1)) = c u0 exp(-r t). A word that occurs
+    once has t = 0, and needs one logarithm only.
+    """
     out = []
     for j in range(samples):
-        one, two = F.xxhash64(term, F.lit(2 * j)), F.xxhash64(term, F.lit(2 * j + 1))
-        u = [(F.shiftrightunsigned(h, k).bitwiseAND(F.lit((1 << 21) - 1)) + F.lit(0.5)) * F.lit(2.0**-21) for h in (one, two) for k in (0, 21, 42)]
-        r, ln_c, b = -F.ln(u[0] * u[1]), F.ln(-F.ln(u[3] * u[4])), u[2]
-        t = F.floor(ln_w / r + b)
-        ln_a = ln_c - r * (t - b) - r
-        value = F.xxhash64(term, t).bitwiseAND(F.lit((1 << 24) - 1))
-        out.append(F.shiftleft(((ln_a + 1024) * F.lit(float(1 << 28))).cast("long"), 24).bitwiseOR(value))
+        h = F.xxhash64(term, F.lit(j))
+        u = [(F.shiftrightunsigned(h, k).bitwiseAND(F.lit(65535)) + F.lit(0.5)) * F.lit(2.0**-16) for k in (0, 16, 32, 48)]
+        r, f = -F.ln(u[0] * u[1]), -F.ln(u[1])
+        t = F.when(ln_w > 0, F.floor((ln_w + f) / r)).otherwise(F.lit(0).cast("long"))
+        a = -F.ln(u[2] * u[3]) * u[0] * F.when(t > 0, F.exp(-r * t)).otherwise(F.lit(1.0))
+        value = F.shiftrightunsigned(term.bitwiseXOR(t * F.lit(0x9E3779B1)), 8).bitwiseAND(F.lit((1 << 24) - 1))
+        out.append(F.shiftleft((a * F.lit(float(1 << 33))).cast("long"), 24).bitwiseOR(value))
     return out
 
 
@@ -49,14 +54,38 @@ def runs(text: Column) -> Column:
     return F.regexp_extract_all(line, F.lit(r"(\S+ )\1*"), 0)
 
 
-def with_fingerprint(texts: DataFrame, keys: list[str], samples: int = SAMPLES) -> DataFrame:
-    """(keys, fingerprint) of a table (keys, text); rows of equal keys are one weighted set."""
-    each = texts.select(*keys, F.explode_outer(runs(F.col("text"))).alias("run"))
+def minima(each: DataFrame, keys: list[str], samples: int) -> DataFrame:
+    """(keys, m): the samples' smallest packed numbers over the runs of a table (keys, run), null without a word."""
     word = each.select(*keys, F.octet_length("run").alias("n"), F.substring_index("run", " ", 1).alias("word"))
     term = word.select(*keys, F.when(F.col("word") != "", F.xxhash64("word")).alias("term"), F.ln(F.col("n") / (F.octet_length("word") + 1)).alias("ln_w"))
     mins = [F.min(c).alias(f"s{j}") for j, c in enumerate(sample_columns(F.col("term"), F.col("ln_w"), samples))]
-    parts = [F.lpad(F.hex(F.col(f"s{j}").bitwiseAND(F.lit((1 << 24) - 1))), _HEX, "0") for j in range(samples)]
-    return term.groupBy(*keys).agg(*mins).select(*keys, F.coalesce(F.concat(*parts), F.lit("")).alias("fingerprint"))
+    return term.groupBy(*keys).agg(*mins).select(*keys, F.array(*[F.col(f"s{j}") for j in range(samples)]).alias("m"))
+
+
+def fingerprint(m: Column) -> Column:
+    """The values of all samples in hexadecimal digits; empty without a word."""
+    digits = F.transform(m, lambda x: F.lpad(F.hex(x.bitwiseAND(F.lit((1 << 24) - 1))), _HEX, "0"))
+    return F.when(m[0].isNotNull(), F.array_join(digits, "")).otherwise("")
+
+
+def with_fingerprint(texts: DataFrame, keys: list[str], samples: int = SAMPLES) -> DataFrame:
+    """(keys, fingerprint) of a table (keys, text); rows of equal keys are one weighted set."""
+    each = texts.select(*keys, F.explode_outer(runs(F.col("text"))).alias("run"))
+    return minima(each, keys, samples).select(*keys, fingerprint(F.col("m")).alias("fingerprint"))
+
+
+def with_two_fingerprints(texts: DataFrame, keys: list[str], samples: int = SAMPLES) -> DataFrame:
+    """(keys, fingerprint, edited_fingerprint) of a table (keys, text, edited), one row for each of the keys.
+
+    A word that both texts have equally often has the same samples in both: it is worked out once, in a part of its own,
+    and each text's minima are those of its own part and of the common one.
+    """
+    both = texts.select(*keys, runs(F.col("text")).alias("a"), runs(F.col("edited")).alias("b"))
+    parts = F.array(F.array_except("a", "b"), F.array_except("b", "a"), F.array_intersect("a", "b"))
+    each = both.select(*keys, F.posexplode(parts).alias("part", "runs")).select(*keys, "part", F.explode_outer("runs").alias("run"))
+    per = minima(each, [*keys, "part"], samples).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("part", "m"))).alias("p"))  # three entries
+    one, two = (F.zip_with(F.col("p")[i], F.col("p")[2], lambda x, y: F.least(x, y)) for i in (0, 1))
+    return per.select(*keys, one.alias("a"), two.alias("b")).select(*keys, fingerprint(F.col("a")).alias("fingerprint"), fingerprint(F.col("b")).alias("edited_fingerprint"))
 
 
 def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
@@ -102,12 +131,9 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES, id_col: str = "doc_id"
         F.when(F.col("next_text").isNull(), F.lit(1)).otherwise(F.col("rn") + 1).alias("r2"),
     )
     both = both.select("bucket", "rn", "id", "b2", "r2", F.length("text").cast("long").alias("n_chars"), F.sha2(F.encode("edited", "utf-8"), 256).alias("sha"), "text", "edited")
-    texts = both.select("bucket", "rn", "id", "b2", "r2", "n_chars", "sha", F.posexplode(F.array("text", "edited")).alias("which", "text"))
-    signed = written(with_fingerprint(texts, ["bucket", "rn", "id", "b2", "r2", "n_chars", "sha", "which"], samples), "fingerprints")
-    own = signed.filter("which = 0").drop("which")
-    changed = signed.filter("which = 1").select("bucket", "rn", F.col("fingerprint").alias("edited_fingerprint"))
+    own = written(with_two_fingerprints(both, ["bucket", "rn", "id", "b2", "r2", "n_chars", "sha"], samples), "fingerprints")
     after = own.select(F.col("bucket").alias("b2"), F.col("rn").alias("r2"), F.col("fingerprint").alias("next_fingerprint"))
-    out = own.join(changed, ["bucket", "rn"]).join(after, ["b2", "r2"])
+    out = own.join(after, ["b2", "r2"])
     return out.select(
         F.col("id").alias(id_col), "n_chars", F.col("sha").alias("edited_sha256"), "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint"), samples).alias("near_edited"),
