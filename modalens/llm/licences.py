@@ -1,14 +1,20 @@
 """Licence scans in DataFrame functions only.
 
-A file's header is every line of its whole text that mentions a licence, a copyright or an SPDX tag; of a licence file
-(LICENSE, LICENCE, COPYING, NOTICE) it is the whole text. Headers and templates are sparse TF-IDF vectors over their
-lower-cased words, with idf = ln((1 + N) / (1 + df)) + 1 over all headers; a file has the licence of the template with
-the largest cosine, if that is `least` or more. A file without a licence of its own takes that of the licence file in
-the nearest directory above it: each file's ancestor directories are joined to the licensed ones and the deepest is kept.
+A file's header is every line of its whole text that mentions a licence, a copyright or an SPDX tag; a licence file
+(LICENSE, LICENCE, COPYING, NOTICE) has its whole text as a second one. Headers and templates are sparse TF-IDF vectors
+over their lower-cased words, with idf = ln((1 + N) / (1 + df)) + 1 over all headers. Templates are the short notices
+and, for licence files, the full texts in `licence_texts`; a full text is only compared where the phrase that tells it
+from its siblings occurs (prose shares the common words of any long text). A file has the licence of the template with
+the largest cosine over its headers, if that is `least` or more. A file without a licence of its own takes that of the
+licence file in the nearest directory above it: each file's ancestor directories are joined to the licensed ones and the
+deepest is kept.
 
 Only files with a header reach the term tables, terms are aggregated before they are shuffled, and the templates are a
 table of fixed size. Each file meets at most as many licensed directories as its path is deep.
 
+Full texts are there for the licences in BODIES only. The CC BY and CC BY-NC texts differ from CC BY-SA in a few clauses
+and are compared with that one, under their own titles. "Proprietary" has no full text.
+
 Defined cases: null or empty texts have no header; a null path has no directory and inherits nothing; equal cosines go
 to the licence first in order; of several licence files in one directory the licence first in order counts; rows that
 repeat a path are files of their own; an empty table gives no rows; other columns are ignored.
@@ -16,6 +22,8 @@ repeat a path are files of their own; an empty table gives no rows; other column
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +43,24 @@ TEMPLATES = {
     "Proprietary": "Copyright. All rights reserved.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
+#: The file of each licence's full text and the phrase (white space free) that a text must have to be compared.
+BODIES = {
+    "Apache-2.0": ("Apache-2.0", r"apache license,? version 2\.0"),
+    "BSD-2-Clause": ("BSD-2-Clause", r"redistributions in binary form must reproduce"),
+    "BSD-3-Clause": ("BSD-3-Clause", r"neither the names? of|may not be used to endorse or promote"),
+    "CC-BY-4.0": ("CC-BY-SA-4.0", r"(?<!-)\battribution 4\.0 international"),
+    "CC-BY-NC-4.0": ("CC-BY-SA-4.0", r"\battribution-noncommercial 4\.0 international"),
+    "CC-BY-SA-4.0": ("CC-BY-SA-4.0", r"\battribution-sharealike 4\.0 international"),
+    "CC0-1.0": ("CC0-1.0", r"cc0 1\.0 universal"),
+    "GPL-2.0": ("GPL-2.0", r"gnu general public license version 2, june 1991"),
+    "GPL-3.0": ("GPL-3.0", r"gnu general public license version 3, 29 june 2007"),
+    "ISC": ("ISC", r"permission to use, copy, modify,? and/?(or)? distribute this software for any purpose"),
+    "LGPL-2.1": ("LGPL-2.1", r"gnu lesser general public license version 2\.1, february 1999"),
+    "LGPL-3.0": ("LGPL-3.0", r"gnu lesser general public license version 3, 29 june 2007"),
+    "MIT": ("MIT", r"permission is hereby granted, free of charge"),
+    "MPL-2.0": ("MPL-2.0", r"mozilla public license,? (version|v\.) 2\.0"),
+    "Unlicense": ("Unlicense", r"free and unencumbered software released into the public domain"),
+}
 MARK = r"(?i)licen[sc]e|copyright|all rights reserved|spdx-|public domain"
 LICENCE_FILE = r"(?i)^(LICEN[SC]E|COPYING|NOTICE)(\.[a-z]+)?$"
 TERM = r"[a-z0-9.-]*[a-z0-9]"
@@ -55,27 +81,45 @@ def licences(files: DataFrame, least: float = 0.5, id_col: str = "doc_id", path_
     base = F.regexp_extract(F.coalesce("path", F.lit("")), "([^/]*)$", 1)
     rows = files.select(F.col(id_col).alias("id"), F.col(path_col).alias("path"), F.col(text_col).alias("text")).withColumn("whole", base.rlike(LICENCE_FILE))
     lines = F.array_join(F.filter(F.split("text", "\n"), lambda x: x.rlike(MARK)), "\n")
-    words = F.array_sort(terms(F.when(F.col("whole"), F.col("text")).otherwise(lines)))
+    flat = F.regexp_replace("text", r"\s+", " ")
+    phrases = F.array_compact(F.array(*[F.when(flat.rlike(f"(?i){phrase}"), F.lit(k)) for k, (_, phrase) in BODIES.items()]))
+    titles = F.when(F.col("whole"), phrases).otherwise(F.array().cast("array<string>"))
+
+    def header(text: Column) -> Column:
+        words = F.array_sort(terms(text))
+        return F.struct(F.sha2(F.concat_ws("\n", F.array_join("titles", " "), F.array_join(words, " ")), 256).alias("v"), "titles", words.alias("terms"))
+
+    parts = F.when(F.col("whole"), F.array_distinct(F.array(header(lines), header(F.col("text"))))).otherwise(F.array(header(lines)))
     # files whose headers have the same words share one vector: a hot notice costs a row, whatever the number of its files
-    judged = rows.withColumn("terms", F.when(F.col("text").rlike(MARK), words)).select("id", "path", "whole", "terms", F.sha2(F.array_join("terms", " "), 256).alias("v"))
-    judged = written(judged, "headers")
-    named = judged.filter("v IS NOT NULL")
-    counted = named.groupBy("v").agg(F.count(F.lit(1)).alias("files"), F.min("terms").alias("terms"))
-    tf = counted.select("v", "files", F.explode("terms").alias("term")).groupBy("v", "files", "term").agg(F.count(F.lit(1)).alias("tf"))
+    marked = rows.withColumn("titles", titles).select("id", "path", "whole", F.when(F.col("text").rlike(MARK), parts).alias("parts"))
+    judged = written(marked.withColumn("u", F.array_join("parts.v", " ")), "headers")
+    named = judged.filter("u IS NOT NULL")
+    pairs = named.groupBy("u").agg(F.count(F.lit(1)).alias("files"), F.min("parts").alias("parts")).select("u", "files", F.explode("parts").alias("p")).select("u", "files", "p.*")
+    counted = pairs.groupBy("v").agg(F.sum("files").alias("files"), F.min("titles").alias("titles"), F.min("terms").alias("terms"))
+    tf = counted.select("v", "files", "titles", F.explode("terms").alias("term")).groupBy("v", "files", "titles", "term").agg(F.count(F.lit(1)).alias("tf"))
     n = counted.agg(F.coalesce(F.sum("files"), F.lit(0)).alias("n"))
     idf = tf.groupBy("term").agg(F.sum("files").alias("df"))
     weigh = lambda x: x.withColumn("w", F.col("tf") * (F.ln((1 + F.col("n")) / (1 + F.coalesce("df", F.lit(0)))) + 1))
-    known = spark.createDataFrame([(k, v) for k, v in TEMPLATES.items()], "license string, text string")
-    known = known.select("license", F.explode(terms(F.col("text"))).alias("term")).groupBy("license", "term").agg(F.count(F.lit(1)).alias("tf"))
-    known = weigh(known.join(idf, "term", "left").join(F.broadcast(n))).select("license", "term", F.col("w").alias("wt"))
-    lengths = known.groupBy("license").agg(F.sqrt(F.sum(F.col("wt") * F.col("wt"))).alias("len_t"))
     weighted = weigh(tf.join(idf, "term").join(F.broadcast(n)))
     own = weighted.groupBy("v").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len_v"))
-    dots = weighted.join(F.broadcast(known), "term").groupBy("v", "license").agg(F.sum(F.col("w") * F.col("wt")).alias("dot"))
-    scored = dots.join(own, "v").join(F.broadcast(lengths), "license").select("v", "license", F.round(F.col("dot") / (F.col("len_v") * F.col("len_t")), 6).alias("score"))
-    best = scored.groupBy("v").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b")).select("v", (-F.col("b.s")).alias("score"), F.col("b.license").alias("found"))
 
-    judged = judged.join(best, "v", "left").select("id", "path", "whole", "score", F.when(F.col("score") >= least, F.col("found")).alias("own_license"))
+    def scored(templates: list[tuple[str, str]], vectors: DataFrame, keys: list[str]) -> DataFrame:
+        """Cosines of vectors with the templates that they share a term with."""
+        known = spark.createDataFrame(templates, "license string, text string")
+        known = known.select("license", F.explode(terms(F.col("text"))).alias("term")).groupBy("license", "term").agg(F.count(F.lit(1)).alias("tf"))
+        known = weigh(known.join(idf, "term", "left").join(F.broadcast(n))).select("license", "term", F.col("w").alias("wt"))
+        lengths = known.groupBy("license").agg(F.sqrt(F.sum(F.col("wt") * F.col("wt"))).alias("len_t"))
+        dots = vectors.join(F.broadcast(known), keys).groupBy("v", "license").agg(F.sum(F.col("w") * F.col("wt")).alias("dot"))
+        return dots.join(own, "v").join(F.broadcast(lengths), "license").select("v", "license", F.round(F.col("dot") / (F.col("len_v") * F.col("len_t")), 6).alias("score"))
+
+    folder = Path(__file__).with_name("licence_texts")
+    bodies = [(k, (folder / f"{name}.txt").read_text("utf-8")) for k, (name, _) in BODIES.items()]
+    titled = weighted.filter("size(titles) > 0").withColumn("license", F.explode("titles"))
+    cosines = scored(list(TEMPLATES.items()), weighted, ["term"]).unionByName(scored(bodies, titled, ["license", "term"]))
+    best = pairs.select("u", "v").join(cosines, "v").groupBy("u").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b"))
+    best = best.select("u", (-F.col("b.s")).alias("score"), F.col("b.license").alias("found"))
+
+    judged = judged.join(best, "u", "left").select("id", "path", "whole", "score", F.when(F.col("score") >= least, F.col("found")).alias("own_license"))
     dirs = judged.filter(F.col("whole") & F.col("own_license").isNotNull()).select(directory(F.col("path")).alias("dir"), "own_license").filter("dir IS NOT NULL")
     dirs = dirs.groupBy("dir").agg(F.min("own_license").alias("dir_license"))
     above = judged.filter("own_license IS NULL AND path LIKE '%/%'").select("path").distinct()

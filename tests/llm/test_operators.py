@@ -5,6 +5,7 @@ import math
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -138,6 +139,26 @@ def test_licences_and_inheritance(spark, empty):
     assert licences.licences(empty.withColumn("path", F.lit("/x/y"))).count() == 0
 
 
+def test_licence_files_with_a_notice_in_prose_and_with_full_texts(spark):
+    folder = Path(licences.__file__).with_name("licence_texts")
+    body = lambda name: (folder / f"{name}.txt").read_text()
+    prose = "\n".join(f"w{i} the of and to in that for it was x{i % 97} y{i % 89}" for i in range(300))
+    mit = body("MIT").replace("<year> <copyright holders>", "2024 A. Person and many other people").replace("\n", "\n\n")
+    by = body("CC-BY-SA-4.0").replace("ShareAlike", "").replace("Attribution- ", "Attribution ").replace("Attribution-4", "Attribution 4")
+    rows = [
+        (1, "/a/LICENSE", f"{prose}\nThis work is licensed under the GNU General Public License, version 3.\n{prose}"), (2, "/a/x.py", "none"),
+        (3, "/b/COPYING", body("GPL-3.0")), (4, "/c/LICENSE.txt", body("Apache-2.0").upper()), (5, "/d/LICENSE", mit), (6, "/d/e/x", None),
+        (7, "/f/LICENSE", body("CC-BY-SA-4.0")), (8, "/g/LICENSE", by.replace("Attribution-", "Attribution")), (9, "/h/LICENSE", body("BSD-2-Clause")),
+        (10, "/i/LICENSE", body("BSD-3-Clause")), (11, "/j/LICENSE", f"{prose}\nA word on a permit or a license is all that this has.\n{prose}"), (12, "/k/LICENSE", body("LGPL-3.0")),
+    ]
+    out = {r.doc_id: r for r in licences.licences(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert len(out) == len(rows)
+    assert [out[i].license for i in range(1, 13)] == [
+        "GPL-3.0", "GPL-3.0", "GPL-3.0", "Apache-2.0", "MIT", "MIT", "CC-BY-SA-4.0", "CC-BY-4.0", "BSD-2-Clause", "BSD-3-Clause", None, "LGPL-3.0",
+    ]
+    assert (out[2].license_dir, out[6].license_dir, out[1].own_license) == ("/a", "/d", "GPL-3.0")
+
+
 def jaccard(a, b):
     a, b = (Counter(re.findall(r"[^\x20\x09-\x0D]+", x)) for x in (a, b))
     every = set(a) | set(b)
