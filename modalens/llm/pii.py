@@ -2,9 +2,11 @@
 
 Two passes over every whole text. The plain pass finds e-mail, IP, card and phone spans in the text as it stands. The
 second pass runs a chain of transducers that write a normalised copy: homoglyphs and full-width forms to ASCII, spelled
-digits to digits, "plus" and at/dot disguises to their signs. Each transducer is a list of edits (start, end,
+digits next to each other or to literal ones to digits, "plus" and at/dot disguises to their signs ("at" before any host
+whose ending is a top-level domain, so "us at example.com" counts as an address too). Each transducer is a list of edits (start, end,
 replacement) over its input, so an offset in its output maps back to the source characters it came from. The same
-detectors then run over the normalised copy, and a span that is not already known is mapped back and added.
+detectors then run over the normalised copy, and a span that does not lie inside a known one of its kind is mapped back
+and added; redaction takes the union of all spans.
 
 Offsets count code points, ends are exclusive. Defined cases: a null text is empty and has no span; repeated rows give
 repeated rows; a null doc_id stays null; an empty table gives no rows; other columns are ignored. Every pass is linear
@@ -23,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from modalens.llm.common import whole_text
+from modalens.llm.endings import ENDINGS
 
 KINDS = ("email", "ip", "card", "phone")
 #: Characters of an e-mail's local part, and the four patterns.
@@ -44,19 +47,24 @@ HOMOGLYPHS = {
 #: Spelled digits.
 SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9", "plus": "+"}
 
-#: Endings of host names. A spelled-out address must have one, as "at the dot on the map" has not.
-ENDINGS = "com org net edu gov mil info biz io dev app co ai de fr es it nl be ch eu uk us ca au jp cn ru in br pl se no".split()
+#: Words that stand before "dot" in plain prose; after them only the usual endings make a host, as "at the dot is" does not.
+DETERMINERS = frozenset(("a", "an", "each", "every", "that", "the", "this"))
+USUAL = frozenset("com org net edu gov mil info biz io dev app co ai de fr es it nl be ch eu uk us ca au jp cn ru in br pl se no".split())
 
 _TO_ASCII = {ord(a): b for one, other in HOMOGLYPHS.values() for a, b in zip(one, other, strict=True)}
 _TO_ASCII |= {0xFF01 + i: chr(0x21 + i) for i in range(94)}  # full-width forms
 _ODD = re.compile("[" + "".join(map(chr, _TO_ASCII)) + "]")
 _INVISIBLE = re.compile("[​-‍⁠﻿­]+")
 _SPELLED = re.compile(r"(?<![A-Za-z0-9])(?:" + "|".join(SPELLED) + r")(?![A-Za-z0-9])", re.I)
-_SPELLED_RUN = re.compile(rf"{_SPELLED.pattern}(?:[ -]{{1,2}}{_SPELLED.pattern})+", re.I)
+_GAP = r"(?:[ ().-]|[ -]{2}| \(|\) )"
+_AFTER_DIGIT = re.compile(rf"[0-9+]{_GAP}$")
+_BEFORE_DIGIT = re.compile(rf"{_GAP}(?=[0-9])")
+_BETWEEN = re.compile(rf"{_GAP}$")
 _BRACKETED = re.compile(r" {0,2}[\[({<] {0,2}(at|dot|@|\.) {0,2}[\])}>] {0,2}", re.I)
-_WORDS = re.compile(rf"(?<=[A-Za-z0-9]) at (?=(?:[A-Za-z0-9-]{{1,63}} dot ){{1,6}}(?:{'|'.join(ENDINGS)})(?![A-Za-z0-9-]))", re.I)
+_WORDS = re.compile(r"(?<=[A-Za-z0-9]) at (?=((?:[A-Za-z0-9-]{1,63}(?: dot |\.)){1,6}[A-Za-z0-9-]{1,63}))", re.I)
+_LABEL = re.compile(r" dot |\.", re.I)
 _DOT = re.compile(r"(?<=[A-Za-z0-9]) dot (?=[A-Za-z0-9])", re.I)
-_HINT = re.compile(r"[\[({<] {0,2}(?:at|dot|@|\.) {0,2}[\])}>]| dot ", re.I)
+_HINT = re.compile(r"[\[({<] {0,2}(?:at|dot|@|\.) {0,2}[\])}>]| dot | at ", re.I)
 
 
 def luhn(digits: str) -> bool:
@@ -132,6 +140,26 @@ class Normalised:
         return start, last + 1
 
 
+def is_host(said: str) -> bool:
+    """Whether labels with dots or spelled dots between them have a top-level domain after the first one."""
+    labels = _LABEL.split(said.lower())
+    return any(x in USUAL or x in ENDINGS and before not in DETERMINERS for before, x in zip(labels, labels[1:], strict=False))
+
+
+def spelled(text: str) -> list[tuple[int, int, str]]:
+    """Edits of the spelled digits and signs that stand next to another one or to a literal digit or sign."""
+    words, edits = list(_SPELLED.finditer(text)), []
+    for i, m in enumerate(words):
+        a, b, sign = m.start(), m.end(), SPELLED[m[0].lower()]
+        ahead = words[i + 1].start() if i + 1 < len(words) and _BETWEEN.match(text[b : min(words[i + 1].start(), b + 3)]) else 0
+        if not ahead and (digit := _BEFORE_DIGIT.match(text, b)):
+            ahead = digit.end()
+        behind = i and _BETWEEN.match(text[words[i - 1].end() : a][:3]) or _AFTER_DIGIT.search(text[max(0, a - 3) : a])
+        if ahead or behind:
+            edits.append((a, ahead if ahead and sign == "+" else b, sign))
+    return edits
+
+
 def normalise(text: str) -> Normalised | None:
     """The deobfuscated copy, or None where no transducer has anything to do."""
     n = Normalised(text)
@@ -141,13 +169,9 @@ def normalise(text: str) -> Normalised | None:
             n.text = n.text.translate(_TO_ASCII)  # one character for one: offsets stay
     if _HINT.search(n.text):
         n.rewrite([(m.start(), m.end(), "@" if m[1].lower() in ("at", "@") else ".") for m in _BRACKETED.finditer(n.text)])
-        n.rewrite([(m.start(), m.end(), "@") for m in _WORDS.finditer(n.text)])
+        n.rewrite([(m.start(), m.end(), "@") for m in _WORDS.finditer(n.text) if is_host(m[1])])
         n.rewrite([(m.start(), m.end(), ".") for m in _DOT.finditer(n.text)])
-    edits = []
-    for run in _SPELLED_RUN.finditer(n.text):
-        words = list(_SPELLED.finditer(run[0]))
-        edits += [(run.start() + a.start(), run.start() + (b.start() if b and SPELLED[a[0].lower()] == "+" else a.end()), SPELLED[a[0].lower()]) for a, b in zip(words, [*words[1:], None], strict=True)]
-    n.rewrite(edits)
+    n.rewrite(spelled(n.text))
     return n if n.back or n.text != text else None
 
 
@@ -158,7 +182,7 @@ def find(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, in
     if n := normalise(text):
         for start, kind, end in sorted(detect(n.text)):
             a, b = n.source(start, end)
-            if not any(k == kind and a < e and s < b for s, k, e in found):
+            if not any(k == kind and s <= a and b <= e for s, k, e in found):
                 found.add((a, kind, b))
     return sorted(base), sorted(found)
 

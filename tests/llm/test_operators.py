@@ -299,6 +299,27 @@ def test_disguised_spans_map_back(text, found):
     assert base == [] and [text[a:b] for a, _, b in every] == found
 
 
+@pytest.mark.parametrize(
+    ("text", "clean"),
+    [
+        ("ask john at example.com today", "ask <EMAIL> today"),
+        ("ask john at mail.example dot com.", "ask <EMAIL>."),
+        ("ask john at example dot xyz today", "ask <EMAIL> today"),
+        ("call plus 49 151 1234567 now", "call <PHONE> now"),
+        ("call +49 151 one 2 three 4 five 6 seven now", "call <PHONE> now"),
+        ("card 4111 1111 one111 1111, 4111 1111 1111 111-one end", "card 4111 1111 one111 1111, <CARD> end"),
+        ("card 4111 1111 111 one 1111 end", "card <CARD> end"),
+        ("mail john dot smith@example.com now", "mail <EMAIL> now"),
+        ("call +49 30 123456 seven eight nine now", "call <PHONE> now"),
+        ("call +49 30 1234567. One day at 3.30 we met at noon", "call <PHONE>. One day at 3.30 we met at noon"),
+        ("look at the dot is all I ask, at a dot so small", "look at the dot is all I ask, at a dot so small"),
+    ],
+)
+def test_mixed_disguises_are_redacted_whole(text, clean):
+    base, every = pii.find(text)
+    assert set(base) <= set(every) and pii.redacted(text, every) == clean
+
+
 def test_pii_rows(docs, empty):
     assert pii.pii_digest(empty).count() == 0
     for r in pii.pii_digest(docs).collect():
