@@ -109,11 +109,16 @@ def mix(
     weights: tuple[float, ...] = WEIGHTS,
     id_col: str = "doc_id",
     size: Column | None = None,
+    key: Column | None = None,
 ) -> DataFrame:
-    """One row per document: id, source, size, source_size, target (its source's), taken (words, repeats counted)."""
+    """One row per document: id, source, size, source_size, target (its source's), taken (words, repeats counted).
+
+    The choice follows a seeded hash of `key`, which is the id where none is given.
+    """
     size = word_count() if size is None else size
-    order = F.xxhash64(F.lit(seed), F.col(id_col), F.col("source"))
-    sized = written(docs.select(F.col(id_col).alias("id"), "source", size.alias("size"), order.alias("o")), "sizes")
+    key = F.col(id_col) if key is None else key
+    order = F.xxhash64(F.lit(seed), key, F.col("source"))
+    sized = written(docs.select(F.col(id_col).alias("id"), "source", size.alias("size"), key.alias("key"), order.alias("o")), "sizes")
     hist = written(sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "size-counts")
     per_source = written(source_targets(hist.select("source", (F.col("size") * F.col("n")).alias("size")), budget_share, max_repeats, weights), "targets")
 
@@ -147,15 +152,20 @@ def _select(sized: DataFrame, hist: DataFrame, per_source: DataFrame, taken: Dat
     starts = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("m"))
     before = F.sum("m").over(Window.partitionBy("source", "size").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
     starts = starts.select(*key, F.coalesce(before, F.lit(0)).alias("start"))
-    ranked = rows.withColumn("rn", F.row_number().over(Window.partitionBy(*key).orderBy("o", "id")))
+    ranked = rows.withColumn("rn", F.row_number().over(Window.partitionBy(*key).orderBy("o", "key", "id")))
     on = F.col("r.source").eqNullSafe(F.col("s.source")) & (F.col("r.size") == F.col("s.size")) & (F.col("r.shard") == F.col("s.shard"))
     placed = ranked.alias("r").join(starts.alias("s"), on).select("r.*", (F.col("r.rn") + F.col("s.start") <= F.col("r.extra")).cast("long").alias("more"))
     return placed.alias("p").join(per_source.alias("t"), F.col("p.source").eqNullSafe(F.col("t.source"))).select("p.*", "t.source_size", "t.target")
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents of the mix with their own columns, one row for each time that a document is taken."""
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """The documents of the mix with their own columns, one row for each time that a document is taken.
+
+    The choice follows the id and a hash of the whole row; the number of a row only joins it to its choice. Rows that
+    agree in both are the same in every column, so it doesn't matter which of them is taken.
+    """
     columns = docs.columns
+    key = F.struct(F.col(id_col).alias("id"), F.xxhash64(*columns).alias("content"))
     numbered = written(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-input")
-    chosen = mix(numbered, id_col="_row", **options).filter("taken > 0").select("_row", (F.col("taken") / F.col("size")).cast("int").alias("_times"))
+    chosen = mix(numbered, id_col="_row", key=key, **options).filter("taken > 0").select("_row", (F.col("taken") / F.col("size")).cast("int").alias("_times"))
     return numbered.join(chosen, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(*columns)

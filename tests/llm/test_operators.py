@@ -443,6 +443,13 @@ def test_mix_rows(docs, real, empty, monkeypatch):
     assert again.columns == real.columns and again.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 2
 
 
+def test_mixed_documents_do_not_depend_on_partitions(spark):
+    rows = [(i // 2, f"one two three w{i}", "abc"[i % 3]) for i in range(120)] + [(7, "the same five words here", "a")] * 3
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = [sorted(map(tuple, mixing.mixed_documents(t).collect())) for t in (table.coalesce(1), table.repartition(7), table.orderBy(F.desc("text")))]
+    assert taken[0] == taken[1] == taken[2] and 0 < len(set(taken[0])) < len(set(rows))
+
+
 def test_pipeline_stages(spark, docs, real):
     import corpus_pipeline
 
