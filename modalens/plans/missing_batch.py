@@ -153,6 +153,20 @@ def b5_batch_kruskal(spark, sf_dir):
     return missingness.kruskal(rows, ["all"], "value", "batch", drop_single=False).select("n", "k", F.round("h", 5).alias("h"))
 
 
+@query()
+def b4_batch_anova_features(spark, sf_dir):
+    s = A.events_day(spark, sf_dir)
+    out = batch.anova(s.cells.join(s.samples, "sample_id"), ["modality", "feature"], "value", "batch")
+    return out.select("modality", "feature", "n", "k", F.round("f", 4).alias("f"), F.round("eta2", 6).alias("eta2"))
+
+
+@query()
+def b5_batch_kruskal_features(spark, sf_dir):
+    s = A.events_day(spark, sf_dir)
+    out = missingness.kruskal(s.cells.join(s.samples, "sample_id"), ["modality", "feature"], "value", "batch", drop_single=False)
+    return out.select("modality", "feature", "n", "k", F.round("h", 5).alias("h"))
+
+
 @query(f"WITH {A.EVENTS_DAY_SQL}, {chi2_sql('samples', 'batch', 'y')}")
 def b7_batch_confounding(spark, sf_dir):
     return _chi2(A.events_day(spark, sf_dir).samples, "batch", "y")
@@ -179,6 +193,13 @@ def b9_batch_centring(spark, sf_dir):
     return rounded(batch.centred(s.cells.filter("feature < 'd04'"), s.samples, folds), "value")
 
 
+@query()
+def b9_batch_centring_features(spark, sf_dir):
+    s = A.embeddings(spark, sf_dir)
+    folds = s.samples.select("sample_id", F.expr("int(bigint(sample_id) div 7 % 5)").alias("outer_fold"))
+    return rounded(batch.centred(s.cells, s.samples, folds), "value")
+
+
 @query(f"""WITH {A.EVENTS_DAY_SQL}, f AS (SELECT batch, group_id::BIGINT % 5 AS outer_fold FROM samples),
 v AS (SELECT batch, outer_fold, count(*) AS n_val FROM f GROUP BY ALL), t AS (SELECT batch, sum(n_val) AS n FROM v GROUP BY 1)
 SELECT outer_fold::INT AS outer_fold, batch, (n - n_val)::BIGINT AS n_train FROM v JOIN t USING (batch) WHERE n - n_val < 500""")
@@ -200,6 +221,13 @@ def b3_silhouette(spark, sf_dir):
     return batch.silhouette(points, "label", ["all"]).select("n", F.round("silhouette", 5).alias("silhouette"))
 
 
+@query()
+def b3_silhouette_dimensions(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    points = e.select(F.col("vec_id").cast("string").alias("sample_id"), F.col("embedding").cast("array<double>").alias("coordinates"), "label").withColumn("all", F.lit(0))
+    return batch.silhouette(points, "label", ["all"]).select("n", F.round("silhouette", 5).alias("silhouette"))
+
+
 def flagship(spark, sf_dir):
     """Does missingness track the outcome or the batch? Statistic, p and adjusted p of each test."""
     s, missing = _day_missing(spark, sf_dir)
