@@ -71,10 +71,16 @@ def _users(spark, sf_dir):
 n AS (SELECT count(*)::DOUBLE AS n, least(count(DISTINCT l), count(DISTINCT b)) AS k FROM u), c AS (SELECT l, b, count(*) AS o FROM u GROUP BY ALL), x AS (SELECT sum(o * o * n / (a * nb)) - max(n) AS chi2, max(n) AS n, max(k) AS k FROM c JOIN a USING (l) JOIN k kk USING (b), n)
 SELECT n::BIGINT AS n, round(chi2, 5) AS chi2, round(sqrt(chi2 / (n * (k - 1))), 5) AS cramers_v FROM x""")
 def g7_class_by_batch(spark, sf_dir):
-    out = groups.class_by_batch(_users(spark, sf_dir), "label", "batch", reps=49)
+    out = groups.class_by_batch(_users(spark, sf_dir), "label", "batch", reps=199)
     return out.select("n", F.round("chi2", 5).alias("chi2"), F.round("cramers_v", 5).alias("cramers_v"))
 
 
+@query()
+def g7_class_by_batch_permuted(spark, sf_dir):
+    out = groups.class_by_batch(_users(spark, sf_dir), "label", "batch", reps=199)
+    return out.select("n", F.round("chi2", 5).alias("chi2"), F.round("cramers_v", 5).alias("cramers_v"), "p")
+
+
 @query(f"""WITH {A.SURVIVAL_SQL}, t AS (SELECT time, sum(event) AS d FROM surv GROUP BY 1 HAVING sum(event) > 0),
 r AS (SELECT t.time, t.d, s.batch, count(*) AS nb FROM t JOIN surv s ON s.time >= t.time GROUP BY ALL), n AS (SELECT time, sum(nb) AS n FROM r GROUP BY 1), x AS (SELECT batch, sum(nb * d / n) AS expected FROM r JOIN n USING (time) GROUP BY 1)
 SELECT batch, sum(event)::BIGINT AS observed, round(coalesce(any_value(expected), 0), 5) AS expected FROM surv LEFT JOIN x USING (batch) GROUP BY 1""")
@@ -87,7 +93,7 @@ def g11_feature_association(spark, sf_dir):
     s = A.events_day(spark, sf_dir)
     profile = groups.missing_profile(s.cells, s.samples, s.features)
     target = s.samples.groupBy("group_id").agg(F.avg("y").alias("rate"))
-    return groups.feature_association(profile, target, "rate", reps=19)
+    return groups.feature_association(profile, target, "rate", reps=99)
 
 
 def _folds(s):

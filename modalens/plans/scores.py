@@ -97,14 +97,14 @@ def e6_reliability(spark, sf_dir):
 
 @query()
 def e7_auroc_interval(spark, sf_dir):
-    return bootstrap.auroc_interval(predictions(spark, sf_dir), ["model"], reps=50)
+    return bootstrap.auroc_interval(predictions(spark, sf_dir), ["model"], reps=1000)
 
 
 @query()
 def e8_paired_gain(spark, sf_dir):
     p = predictions(spark, sf_dir)
     two = p.withColumn("model", F.lit("coarse")).withColumn("score", F.floor(F.col("score") * 10) / 10)
-    return bootstrap.paired_gain(p.withColumn("model", F.lit("fine")).unionByName(two), "fine", "coarse", reps=50)
+    return bootstrap.paired_gain(p.withColumn("model", F.lit("fine")).unionByName(two), "fine", "coarse", reps=1000)
 
 
 def _fold_scores(spark, sf_dir):
@@ -141,7 +141,7 @@ def e11_wilson(spark, sf_dir):
 
 @query()
 def e12_mean_interval(spark, sf_dir):
-    return bootstrap.mean_interval(A.result_rows(spark, sf_dir), "group_id", "primary_value", reps=50)
+    return bootstrap.mean_interval(A.result_rows(spark, sf_dir), "group_id", "primary_value", reps=2000)
 
 
 @query()
@@ -149,7 +149,7 @@ def e13_sign_flip(spark, sf_dir):
     from modalens.operators import align
 
     pairs = align.paired_arms(A.result_rows(spark, sf_dir), ["group_id"], "arm", "primary_value", "O", "F")
-    return bootstrap.sign_flip(pairs, "group_id", "gap", reps=199)
+    return bootstrap.sign_flip(pairs, "group_id", "gap", reps=999)
 
 
 @query(f"WITH {PRED_SQL} SELECT model, round(avg(y), 6) AS prevalence FROM pred GROUP BY 1")
