@@ -375,17 +375,40 @@ def brute_repeats(table):
     return {k: sorted(v) for k, v in out.items()}
 
 
-@pytest.mark.parametrize("hot", [False, True])
-def test_repeats_equal_brute_force(docs, real, monkeypatch, hot):
-    if hot:  # every anchor is split, and tasks are many
+def repeated_texts(spark):
+    """Random texts of few letters that share passages, with repeated rows, equal ids, a null one and the largest one."""
+    rng = np.random.default_rng(8)
+    letters = np.array(list("ab é"))
+    passage = ["".join(letters[rng.integers(0, 4, n)]) for n in (49, 50, 51, 60, 90, 200, 700)]
+    rows = []
+    for i in range(120):
+        parts = ["".join(letters[rng.integers(0, 4, rng.integers(0, 80))]) + passage[rng.integers(0, len(passage))] for _ in range(rng.integers(0, 4))]
+        rows.append((int(i), "".join(parts)))
+    rows += [(rows[k][0], rows[k][1]) for k in (3, 4)] + [(500 + k, rows[k][1]) for k in range(20)] + [(7, rows[90][1]), (None, passage[5] + "x"), (None, rows[2][1])]
+    rows += [((1 << 63) - 1, passage[5] + "x"), (-(1 << 63), passage[6]), (900, None), (901, "ab" * 3000), (902, "b" + "ab" * 3000)]
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+@pytest.mark.parametrize("way", ["plain", "many tasks", "hot"])
+def test_repeats_equal_brute_force(spark, docs, real, monkeypatch, way):
+    if way != "plain":
         monkeypatch.setattr(suffix_dedup, "TASK_CONTEXTS", 1)
-    for table in (docs, real.filter("length(text) < 3000")):
+        monkeypatch.setattr(suffix_dedup, "GROUP_BYTES", 5000)
+    if way == "hot":  # every anchor goes by the aggregation of its windows
+        monkeypatch.setattr(suffix_dedup, "HOT", 0)
+    for table in (docs, real.filter("length(text) < 3000"), repeated_texts(spark)):
         got: dict = {}
         for r in suffix_dedup.remove_repeats(table, digest=True).collect():
             got.setdefault(r.doc_id, []).append((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256))
         assert {k: sorted(v) for k, v in got.items()} == brute_repeats(table)
 
 
+def test_bytes_left_by_removal(spark):
+    table = repeated_texts(spark)
+    digests = sorted((r.doc_id or 0, r.kept_sha256) for r in suffix_dedup.remove_repeats(table, digest=True).collect())
+    assert sorted((r.doc_id or 0, hashlib.sha256(r.kept).hexdigest()) for r in suffix_dedup.remove_repeats(table).collect()) == digests
+
+
 def test_repeats_of_an_empty_table(empty):
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
