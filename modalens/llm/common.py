@@ -37,6 +37,14 @@ def words(col: Column) -> Column:
     return F.filter(F.split(col, SPACE), lambda w: w != "")
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """`name`, lengthened until no column of docs has it (names are alike whatever their case)."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 _FALLBACK: dict[str, str] = {}
 
 
@@ -91,6 +99,7 @@ def written(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
     schema = df.schema
     del df
     gc.collect()
+    spark.range(1).count()  # until another job runs, Spark's scheduler keeps hold of the last one and of its shuffles
     spark.sparkContext._jvm.System.gc()
     table = spark.read.schema(schema).parquet(path)
     table._written_at = path

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from modalens.llm.common import word_count, written
+from modalens.llm.common import free_name, word_count, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARD_ROWS = 50_000
@@ -164,8 +164,9 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataF
     The choice follows the id and a hash of the whole row; the number of a row only joins it to its choice. Rows that
     agree in both are the same in every column, so it doesn't matter which of them is taken.
     """
-    columns = docs.columns
+    columns, row = docs.columns, free_name(docs, "mix_row")
     key = F.struct(F.col(id_col).alias("id"), F.xxhash64(*columns).alias("content"))
-    numbered = written(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-input")
-    chosen = mix(numbered, id_col="_row", key=key, **options).filter("taken > 0").select("_row", (F.col("taken") / F.col("size")).cast("int").alias("_times"))
-    return numbered.join(chosen, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(*columns)
+    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "mix-input")
+    times = F.expr("transform(sequence(1, int(taken div size)), i -> i)").alias(free_name(docs, "mix_times"))
+    chosen = mix(numbered, id_col=row, key=key, **options).filter("taken > 0").select(row, times)
+    return numbered.join(chosen, row).select(*columns, F.explode(free_name(docs, "mix_times")).alias(free_name(docs, "mix_copy"))).select(*columns)
