@@ -10,12 +10,13 @@ and added; redaction takes the union of all spans.
 
 Offsets count code points, ends are exclusive. Defined cases: a null text is empty and has no span; repeated rows give
 repeated rows; a null doc_id stays null; an empty table gives no rows; other columns are ignored. Every pass is linear
-in the text, however long its runs of digits or letters are.
+in the text (but for sorting its spans), however long its runs of digits or letters are.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator
 from hashlib import sha256
@@ -41,7 +42,10 @@ NOT_DIGIT = re.compile(r"[^0-9]+")
 HOMOGLYPHS = {
     "Cyrillic": ("АВЕЅІЈКМНОРСТУХаеіјорсухѕԁԛԝһ", "ABESIJKMHOPCTYXaeijopcyxsdqwh"),
     "Greek": ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοανικρυ", "ABEZHIKMNOPTYXoavikpu"),
-    "Arabic-Indic digits": ("٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹", "01234567890123456789"),
+    "Armenian": ("ՍՏՕԼհոսցօյքզ", "USOLhnugojpq"),
+    "Cherokee": ("ᎪᏴᏟᎠᎬᏀᎻᎥᎫᏦᏞᎷᏢᎡᏚᎢᏙᎳᏃ", "AbCDEGHiJKLMPRSTVWZ"),
+    "Coptic": ("ⲀⲂⲈⲎⲒⲔⲘⲚⲞⲢⲤⲦⲬⲟⲣⲥ", "ABEHIKMNOPCTXopc"),
+    "Latin": ("ıɑɡᴀʙᴄᴅᴇɢʜɪᴊᴋʟᴍɴᴏᴘʀꜱᴛᴜᴠᴡʏᴢ", "iagabcdeghijklmnoprstuvwyz"),
     "signs": ("․。．﹒＠﹫＋‐‑‒–—−", "....@@+------"),
 }
 #: Spelled digits.
@@ -52,8 +56,15 @@ DETERMINERS = frozenset(("a", "an", "each", "every", "that", "the", "this"))
 USUAL = frozenset("com org net edu gov mil info biz io dev app co ai de fr es it nl be ch eu uk us ca au jp cn ru in br pl se no".split())
 
 _TO_ASCII = {ord(a): b for one, other in HOMOGLYPHS.values() for a, b in zip(one, other, strict=True)}
-_TO_ASCII |= {0xFF01 + i: chr(0x21 + i) for i in range(94)}  # full-width forms
-_ODD = re.compile("[" + "".join(map(chr, _TO_ASCII)) + "]")
+#: Blocks of enclosed capital letters that no normal form maps to plain ones.
+_TO_ASCII |= {first + i: chr(65 + i) for first in (0x1F150, 0x1F170, 0x1F1E6) for i in range(26)}
+#: By rule: decimal digits of every script, and what compatibility normalisation makes one ASCII character
+#: (full-width, mathematical, circled, super- and subscript forms).
+for _c in map(chr, (*range(0x80, 0xD800), *range(0xE000, 0x1E000), *range(0x1F100, 0x1F200), *range(0x1FBF0, 0x1FBFA))):
+    _plain = str(unicodedata.decimal(_c)) if unicodedata.decimal(_c, None) is not None else unicodedata.normalize("NFKC", _c)
+    if len(_plain) == 1 and _plain.isascii():
+        _TO_ASCII.setdefault(ord(_c), _plain)
+_ODD = re.compile("[" + re.escape("".join(map(chr, sorted(_TO_ASCII)))) + "]")
 _INVISIBLE = re.compile("[​-‍⁠﻿­]+")
 _SPELLED = re.compile(r"(?<![A-Za-z0-9])(?:" + "|".join(SPELLED) + r")(?![A-Za-z0-9])", re.I)
 _GAP = r"(?:[ ().-]|[ -]{2}| \(|\) )"
@@ -61,7 +72,7 @@ _AFTER_DIGIT = re.compile(rf"[0-9+]{_GAP}$")
 _BEFORE_DIGIT = re.compile(rf"{_GAP}(?=[0-9])")
 _BETWEEN = re.compile(rf"{_GAP}$")
 _BRACKETED = re.compile(r" {0,2}[\[({<] {0,2}(at|dot|@|\.) {0,2}[\])}>] {0,2}", re.I)
-_WORDS = re.compile(r"(?<=[A-Za-z0-9]) at (?=((?:[A-Za-z0-9-]{1,63}(?: dot |\.)){1,6}[A-Za-z0-9-]{1,63}))", re.I)
+_WORDS = re.compile(r"(?<=[A-Za-z0-9]) at (?=((?:[A-Za-z0-9-]{1,63}(?: dot |\.)){1,24}[A-Za-z0-9-]{1,63}))", re.I)
 _LABEL = re.compile(r" dot |\.", re.I)
 _DOT = re.compile(r"(?<=[A-Za-z0-9]) dot (?=[A-Za-z0-9])", re.I)
 _HINT = re.compile(r"[\[({<] {0,2}(?:at|dot|@|\.) {0,2}[\])}>]| dot | at ", re.I)
@@ -93,7 +104,7 @@ def detect(text: str) -> set[tuple[int, int, int]]:
     """(start, kind's number, end) of all spans; per kind leftmost and non-overlapping, failing ones dropped."""
     spans = {(a, 0, b) for a, b in emails(text)} if "@" in text else set()
     for m in IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(p) <= 3 and int(p or 0) <= 255 for p in (x.lstrip("0") for x in m[0].split("."))):
             spans.add((m.start(), 1, m.end()))
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 12 and 12 <= len(d := NOT_DIGIT.sub("", m[0])) <= 19 and luhn(d):
@@ -180,10 +191,14 @@ def find(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, in
     base = detect(text)
     found = set(base)
     if n := normalise(text):
-        for start, kind, end in sorted(detect(n.text)):
-            a, b = n.source(start, end)
-            if not any(k == kind and s <= a and b <= e for s, k, e in found):
+        ends, plain, at = [-1] * len(KINDS), sorted(base), 0  # furthest end of each kind's spans that begin no later
+        for a, kind, b in sorted((a, kind, b) for start, kind, end in detect(n.text) for a, b in (n.source(start, end),)):
+            while at < len(plain) and plain[at][0] <= a:
+                ends[plain[at][1]] = max(ends[plain[at][1]], plain[at][2])
+                at += 1
+            if b > ends[kind]:
                 found.add((a, kind, b))
+                ends[kind] = b
     return sorted(base), sorted(found)
 
 
