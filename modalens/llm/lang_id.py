@@ -187,19 +187,20 @@ def sample(docs: DataFrame, per_language: int, max_bytes: int, id_col: str = "do
     The choice is made on ids alone, in shards first, so no task holds a language; then the chosen texts are fetched.
     """
     fit = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col) & (F.octet_length(text_col) <= max_bytes))
-    ids = fit.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col)).alias("o"))
+    fit = fit.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("t"))
+    ids = fit.select("id", "lang", "t", F.xxhash64("id").alias("o"))
     ids = ids.withColumn("shard", F.pmod("o", F.lit(32)))
     for keys in (["lang", "shard"], ["lang"]):
-        ids = ids.withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy("o", "id"))).filter(F.col("rn") <= per_language)
-    chosen = F.broadcast(ids.select(F.col("id").alias(id_col), F.col("lang").alias(lang_col)).distinct())  # per_language rows a language at most
+        ids = ids.withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy("o", "id", "t"))).filter(F.col("rn") <= per_language)
+    chosen = F.broadcast(ids.select("id", "lang", "t").distinct())  # per_language rows a language at most
     out: dict[str, list[str]] = {}
-    for r in fit.join(chosen, [id_col, lang_col]).select(lang_col, text_col).collect():
-        out.setdefault(r[0], []).append(r[1])
+    for r in fit.join(chosen, ["id", "lang", "t"]).select("lang", "id", "text").distinct().collect():
+        out.setdefault(r.lang, []).append(r.text)
     return {k: sorted(v) for k, v in out.items()}
 
 
-def predicted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with `lang_pred` and `score`."""
+def predicted(docs: DataFrame, model: Model, text_col: str = "text", name: str = "prediction") -> DataFrame:
+    """docs with a column `name` of `lang_pred` and `score`."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
@@ -208,12 +209,11 @@ def predicted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFram
             rows = [r for i in range(0, len(texts), 512) for r in shared.value.predict(texts.iloc[i : i + 512].tolist())]
             yield pd.DataFrame(rows, columns=["lang_pred", "score"])
 
-    columns = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    return docs.withColumn("_p", predict(F.col(text_col))).select(*columns, "_p.lang_pred", "_p.score")
+    return docs.withColumn(name, predict(F.col(text_col)))
 
 
 def language(docs: DataFrame, per_language: int = 200, max_bytes: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per document: id, held_out, lang_pred, score (the share of the prediction among all languages)."""
     model = Model(sample(docs, per_language, max_bytes, id_col, text_col, lang_col))
     rows = docs.select(F.col(id_col), F.coalesce(held_out(id_col), F.lit(False)).alias("held_out"), F.col(text_col).alias("_text"))
-    return predicted(rows, model, "_text").drop("_text")
+    return predicted(rows, model, "_text").select(id_col, "held_out", "prediction.lang_pred", "prediction.score")
