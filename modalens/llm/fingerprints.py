@@ -7,11 +7,11 @@ their generalised Jaccard similarity, sum of minima over sum of maxima; a finger
 
 Data flow: a word's counts come from its run in the sorted words of its own text, so counting shuffles nothing. Each
 sample is one min() over a packed number (a above, the value's hash below), kept in the hash aggregation's buffer;
-documents are bucketed by id once, which the aggregation reuses. The next document comes from a window inside the
+documents are bucketed by id once (at quantiles, so that outlying or hot ids fill no bucket), which the aggregation reuses. The next document comes from a window inside the
 bucket, and for a bucket's last one from the first row of the next bucket that has rows, found over bucket numbers.
 
 Defined cases: a null text is empty; a text without words has the empty fingerprint, alike to itself only; null ids
-come first in the order; rows that repeat an id follow each other by text; the only document is its own next one; an
+come first in the order; rows that repeat an id follow each other by a hash of their texts; the only document is its own next one; an
 empty table gives no rows; other columns are ignored.
 """
 
@@ -24,6 +24,8 @@ from modalens.llm.common import SPACE, written
 
 SAMPLES = 64
 BUCKET_BYTES = 1 << 19
+#: Quantiles of the ids that buckets are cut by, and how many of them are compared at a time.
+CUTS, BLOCK = 256, 16
 #: Buckets whose order one task may settle; beyond it, their order is found in groups of so many.
 TOGETHER = 1000
 _HEX = 6
@@ -108,21 +110,50 @@ def following(buckets: DataFrame, n: int) -> DataFrame:
     return inside.join(jump, "g", "left").select("bucket", F.coalesce("after", "first").alias("after"))
 
 
+def bucketed(rows: DataFrame) -> tuple[DataFrame, int]:
+    """rows (id, text) with `o`, a hash of the text, and `bucket`, and the largest bucket's number.
+
+    Buckets follow the order of (id, o) and hold about BUCKET_BYTES. Cuts at quantiles of the ids make ranges, an id that
+    is itself a cut (every hot one is) makes a range of its own; inside a range, buckets are equal widths of ids, or of
+    `o` where it has one id. Ids are scaled before they are subtracted, so ids far apart don't overflow.
+    """
+    steps = [j / CUTS for j in range(CUTS + 1)]
+    cuts = rows.agg(F.array_sort(F.array_distinct(F.percentile_approx("id", steps, F.lit(20 * CUTS)))).alias("cuts")).first().cuts or [0]
+    blocks = [cuts[j : j + BLOCK] for j in range(0, len(cuts), BLOCK)]
+    below = lambda xs: F.size(F.filter(xs, lambda x: x < F.col("id")))
+    block = F.greatest(below(F.array(*[F.lit(b[0]) for b in blocks])) - 1, F.lit(0))
+    inside = F.element_at(F.array(*[F.array(*map(F.lit, b)) for b in blocks]), F.col("block") + 1)
+    cut = F.col("block") * BLOCK + below(inside)
+    ranged = rows.withColumn("o", F.xxhash64("text")).withColumn("block", block).withColumn("cut", cut)
+    is_cut = F.coalesce(F.array_contains(F.array(*map(F.lit, cuts)), F.col("id")), F.lit(False))
+    ranged = ranged.withColumn("r", F.when(F.col("id").isNull(), -1).otherwise(2 * F.col("cut") + is_cut.cast("int")))
+    scale = 2.0**-20
+    x = F.when((F.col("r") < 0) | (F.col("r") % 2 == 1), F.col("o") * F.lit(scale)).otherwise(F.col("id") * F.lit(scale))
+    ranged = ranged.withColumn("x", x)
+    found = ranged.groupBy("r").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum(F.octet_length("text")).alias("bytes")).collect()  # 2 CUTS + 2 rows at most
+    table, first = [], 0
+    for r in sorted(found):
+        many = max(1, r.bytes // BUCKET_BYTES)
+        table.append((r.r, r.lo, (r.hi - r.lo) / many * (1 + 1e-12) + 1e-300, many, first))
+        first += many
+    ranges = rows.sparkSession.createDataFrame(table, "r int, lo double, width double, many long, first long")
+    within = F.least(F.floor((F.col("x") - F.col("lo")) / F.col("width")), F.col("many") - 1)
+    return ranged.join(F.broadcast(ranges), "r").select("id", "text", "o", (F.col("first") + within).cast("long").alias("bucket")), max(first, 1)
+
+
 def fingerprints(docs: DataFrame, samples: int = SAMPLES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text ends in the start of the next document's text instead of its own second half.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    lo, hi, size = rows.agg(F.min("id"), F.max("id"), F.sum(F.octet_length("text"))).first()
-    n = max(1, (size or 0) // BUCKET_BYTES)
-    place = F.lit(0) if lo is None else F.coalesce(F.floor((F.col("id") - lo) / ((hi - lo + 1) / n)) + 1, F.lit(0))
-    order = Window.partitionBy("bucket").orderBy("id", "text")
-    placed = rows.withColumn("bucket", place.cast("long")).select(
+    buckets, n = bucketed(rows)
+    order = Window.partitionBy("bucket").orderBy("id", "o", "text")
+    placed = buckets.select(
         "bucket", "id", "text", F.row_number().over(order).alias("rn"), F.lead("text").over(order).alias("next_text")
     )
     heads = placed.filter("rn = 1").select(F.col("bucket").alias("after"), F.col("text").alias("head"))
-    jump = following(heads.select(F.col("after").alias("bucket")), n + 1).join(heads, "after")
+    jump = following(heads.select(F.col("after").alias("bucket")), n).join(heads, "after")
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring(F.coalesce("next_text", "head"), F.lit(1), half))
     both = placed.join(jump, "bucket").select(
