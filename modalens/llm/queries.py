@@ -22,16 +22,16 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def with_paths(docs: DataFrame) -> DataFrame:
-    """Documents as files of a tree: three levels by id under their source; the first file of a directory is its LICENSE."""
+    """Documents as files of a tree, three levels by id. Those with a line on a licence are their directory's LICENSE.
+
+    Two fifths of these stand in the directory above, and one fifth at the top, so that files inherit from every level.
+    """
     i = F.col("doc_id")
-    top, mid, low = (F.floor(i / d).cast("string") for d in (10_000, 1_000, 100))
-    path = (
-        F.when(i % 10_000 == 0, F.concat_ws("/", F.lit(""), top, F.lit("LICENSE")))
-        .when(i % 1_000 == 0, F.concat_ws("/", F.lit(""), top, mid, F.lit("LICENSE")))
-        .when(i % 100 == 0, F.concat_ws("/", F.lit(""), top, mid, low, F.lit("LICENSE")))
-        .otherwise(F.concat_ws("/", F.lit(""), top, mid, low, F.concat(i.cast("string"), F.lit(".txt"))))
-    )
-    return docs.select("doc_id", path.alias("path"), "text")
+    top, mid, low = (F.concat(F.lit(name), F.floor(i / d).cast("string")) for name, d in (("t", 100_000), ("m", 1_000), ("l", 50)))
+    name = F.when(F.col("text").rlike(licences.MARK), F.lit("LICENSE")).otherwise(F.concat(i.cast("string"), F.lit(".txt")))
+    up = F.when(name == "LICENSE", F.pmod(i, F.lit(5))).otherwise(F.lit(4))
+    folder = F.when(up == 0, F.concat_ws("/", F.lit(""), top)).when(up <= 2, F.concat_ws("/", F.lit(""), top, mid)).otherwise(F.concat_ws("/", F.lit(""), top, mid, low))
+    return docs.select("doc_id", F.concat(folder, F.lit("/"), name).alias("path"), "text")
 
 
 def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
