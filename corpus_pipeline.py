@@ -1,7 +1,13 @@
 """The corpus pipeline: language ID, near-duplicates, personal data, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on every document that its predecessor kept. All but the last return
-the columns of `documents`; what stands between stages is a Parquet table, so a lost executor costs one stage's work.
+the columns of `documents`; what stands between stages is a Parquet table, so a lost executor costs one stage's work,
+and it goes once the next stage's rows are written.
+
+Defined cases: a null or empty text has no language, so it goes first; null ids are kept by every other stage and linked
+with nothing; rows that repeat an id stay or go together as near-duplicates and are documents of their own elsewhere; a
+null source is a source, last in order; further columns, whatever their names, pass through every stage but the last;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -10,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from modalens.llm import lang_id, mixing, near_dup, packing, pii
-from modalens.llm.common import documents, written
+from modalens.llm.common import documents, dropped_since, free_name, made, written
 
 #: SQL has no trained context trees, sketches or knapsack programmes; tests hold the stages against brute force.
 ORACLE_SQL = None
@@ -19,8 +25,8 @@ ORACLE_SQL = None
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told: a text with a letter, and one language ahead of all others together."""
     model = lang_id.Model(lang_id.sample(docs, per_language=200, max_bytes=1 << 16))
-    told = lang_id.predicted(docs, model)
-    return told.filter((F.col("lang_pred") != lang_id.UNKNOWN) & (F.col("score") > 0.5)).select(*docs.columns)
+    p = free_name(docs, "prediction")
+    return lang_id.predicted(docs, model, name=p).filter((F.col(f"{p}.lang_pred") != lang_id.UNKNOWN) & (F.col(f"{p}.score") > 0.5)).select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,5 +64,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents; each one's rows are written and read again as the next one's documents."""
     docs = documents(spark, sf_dir)
     for name, stage in STAGES:
+        mark = made() - (name != STAGES[0][0])  # the stage's own tables and its predecessor's rows
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        dropped_since(mark, docs)
     return docs
