@@ -84,7 +84,7 @@ def _clear() -> None:
             print(f"modalens: {path} is left: {e}", file=sys.stderr)
 
 
-def written(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
+def written(df: DataFrame, name: str) -> DataFrame:
     """`df` as a table in the shared folder: later stages read it, so a lost executor costs no recomputation.
 
     What the jobs before it shuffled is no longer referenced then; a collection lets Spark remove those files. All tables
@@ -94,7 +94,7 @@ def written(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
     folder = f"{shared_dir(spark)}/modalens-{spark.sparkContext.applicationId}"
     _FOLDERS.add(folder)
     path = f"{folder}/{name}-{uuid.uuid4().hex}"
-    df.write.partitionBy(*(by or [])).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     _MADE.append(path)
     schema = df.schema
     del df
