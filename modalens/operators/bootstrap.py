@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from modalens.functions.rank import numbered
-from modalens.operators.metrics import weighted_auroc
 
 
 def uniform(*keys: Column) -> Column:
@@ -34,22 +35,71 @@ def percentile_interval(values: DataFrame, keys: list[str], value: str, level: f
     return out.select(*keys, "usable", F.when(ok, F.col("_lo")).alias("ci_low"), F.when(ok, F.col("_hi")).alias("ci_high"))
 
 
-def auroc_replicates(pred: DataFrame, weights: DataFrame, keys: list[str], group: str = "group_id") -> DataFrame:
-    """(rep, keys, auroc): rows are summed to (group, score, truth) before the replicates multiply them."""
+def group_vectors(groups: DataFrame, reps: int, seed: int, group: str) -> DataFrame:
+    """(group, w): how often each replicate draws the group, one byte per replicate."""
+
+    @F.pandas_udf("binary")
+    def packed(pairs: pd.Series) -> pd.Series:
+        out = []
+        for x in pairs:
+            w = np.zeros(reps, np.uint8)
+            for r in x:
+                w[r["rep"]] = r["w"]
+            out.append(w.tobytes())
+        return pd.Series(out, dtype=object)
+
+    return group_weights(groups, reps, seed, group).groupBy(group).agg(F.collect_list(F.struct("rep", "w")).alias("x")).select(group, packed("x").alias("w"))
+
+
+def auroc_replicates(pred: DataFrame, weights: DataFrame, keys: list[str], reps: int, group: str = "group_id", ranges: int = 32) -> DataFrame:
+    """(keys, rep, auroc): rows are summed to (group, score, truth) and carry their group's weights in all replicates.
+
+    Scores are cut into ranges once. A task goes through its range in order of score with running sums of all replicates;
+    what lies in lower ranges is added afterwards, from one vector per range.
+    """
     summed = pred.groupBy(*keys, group, "y", "score").agg(F.count(F.lit(1)).alias("m"))
-    rows = summed.join(weights, group).select("rep", *keys, "y", "score", (F.col("m") * F.col("w")).alias("w"))
-    return weighted_auroc(rows, ["rep", *keys])
+    edges = sorted(set(pred.approxQuantile("score", [i / ranges for i in range(1, ranges)], 0.001)))
+    at = sum(((F.col("score") > F.lit(e)).cast("int") for e in edges), F.lit(0))
+    rows = summed.join(weights, group).select(*keys, "y", "score", "m", "w", at.alias("_range"))
+    kinds = ", ".join(f"`{c}` {t}" for c, t in pred.select(*keys).dtypes)
+
+    def inside(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("score")
+        w = np.frombuffer(b"".join(pdf["w"]), np.uint8).reshape(len(pdf), reps)
+        score, y, m = pdf["score"].to_numpy(), pdf["y"].to_numpy(), pdf["m"].to_numpy()
+        u, p, q = np.zeros(reps), np.zeros(reps), np.zeros(reps)
+        starts = np.flatnonzero(np.append(True, score[1:] != score[:-1]))
+        for lo in range(0, len(starts), 512):
+            own = np.append(starts[lo : lo + 512], starts[lo + 512] if lo + 512 < len(starts) else len(score))
+            rows_ = slice(own[0], own[-1])
+            x = w[rows_].astype(np.float64) * m[rows_, None]
+            one, two = (np.add.reduceat(x * (y[rows_] == c)[:, None], own[:-1] - own[0], axis=0) for c in (1, 0))
+            below = np.cumsum(two, axis=0) - two + q
+            u += (one * (below + two / 2)).sum(0)
+            p, q = p + one.sum(0), q + two.sum(0)
+        return pdf[[*keys, "_range"]].iloc[:1].assign(u=[u], p=[p], q=[q])
+
+    def over(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_range")
+        u, p, q = (np.stack(pdf[c].tolist()) for c in "upq")
+        u = (u + p * (np.cumsum(q, axis=0) - q)).sum(0)
+        p, q = p.sum(0), q.sum(0)
+        out = np.where((p > 0) & (q > 0), u / np.where(p * q > 0, p * q, 1), np.nan)
+        return pd.concat([pdf[keys].iloc[:1]] * reps, ignore_index=True).assign(rep=np.arange(reps), auroc=out)
+
+    parts = rows.groupBy(*keys, "_range").applyInPandas(inside, f"{kinds}, _range int, u array<double>, p array<double>, q array<double>")
+    return parts.groupBy(*keys).applyInPandas(over, f"{kinds}, rep int, auroc double").withColumn("auroc", F.nanvl("auroc", F.lit(None)))  # at most `ranges` rows each
 
 
 def auroc_interval(pred: DataFrame, keys: list[str], reps: int = 200, seed: int = 17, group: str = "group_id") -> DataFrame:
     """Interval of AUROC by resampling whole groups; replicates without both classes are left out."""
-    return percentile_interval(auroc_replicates(pred, group_weights(pred, reps, seed, group), keys, group), keys, "auroc")
+    return percentile_interval(auroc_replicates(pred, group_vectors(pred, reps, seed, group), keys, reps, group), keys, "auroc")
 
 
 def paired_gain(pred: DataFrame, one: str, two: str, reps: int = 200, seed: int = 17, group: str = "group_id") -> DataFrame:
     """Interval of AUROC(one) - AUROC(two) with the same draws for both models."""
     both = pred.filter(F.col("model").isin(one, two))
-    values = auroc_replicates(both, group_weights(both, reps, seed, group), ["model"], group)
+    values = auroc_replicates(both, group_vectors(both, reps, seed, group), ["model"], reps, group)
     gap = values.groupBy("rep").agg((F.max(F.when(F.col("model") == one, F.col("auroc"))) - F.max(F.when(F.col("model") == two, F.col("auroc")))).alias("gain"))
     return percentile_interval(gap, [], "gain")
 

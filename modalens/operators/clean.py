@@ -2,14 +2,32 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Tokens that mean a missing value, lower-cased and stripped.
 NA_TOKENS = ("", "na", "n/a", "nan", "null", "none", ".", "-", "?", "#n/a", "#na", "missing", "nd", "n.d.", "inf", "-inf", "+inf", "infinity")
-#: Words that mean an event, or none.
-EVENT_WORDS = ("1", "true", "yes", "y", "event", "dead", "deceased", "died", "death", "relapse", "relapsed", "progressed", "recurred", "recurrence")
-CENSOR_WORDS = ("0", "false", "no", "n", "censored", "alive", "living", "none", "disease free", "diseasefree", "progression free")
+#: Words that mean an event, and words that mean none.
+EVENT_WORDS = ("dead", "deceased", "death", "event", "progressed", "progression", "relapse", "relapsed", "recurred", "recurrence", "yes", "true", "positive", "1")
+CENSOR_WORDS = ("alive", "living", "censored", "no event", "no_event", "none", "no", "false", "negative", "0")
+#: Keywords of a file name by the role that they mean, in the order in which they are tried.
+ROLE_KEYWORDS = {
+    "clinical": ("clinical", "pheno", "phenotype", "metadata", "sample_info", "samples", "label", "outcome", "target", "survival", "design", "meta"),
+    "rna": ("rnaseq", "rna_seq", "rna", "mrna", "express", "expr", "gene", "tpm", "fpkm", "counts", "transcript"),
+    "protein": ("proteom", "protein", "rppa", "prot"),
+    "methylation": ("methylation", "methyl", "cpg", "dnam", "450k", "27k", "beta"),
+    "mirna": ("mirna", "microrna", "mir"),
+    "cnv": ("cnv", "copynumber", "copy_number", "gistic", "segment", "seg", "cna"),
+    "metabolomics": ("metabolom", "metabolite", "metab"),
+    "mutation": ("mutation", "somatic", "maf", "snv", "variant", "mut"),
+}
+#: Beginnings of verdicts and the role that each stands for.
+VERDICT_ROLES = (
+    ("batch-confounded", "batch_confounded"), ("predictive (adds marginal signal)", "predictive"), ("predictive (standalone)", "predictive"),
+    ("informative alone (fusion gain not significant)", "not_additive"), ("informative but non-additive", "not_additive"), ("redundant", "not_additive"), ("no detectable signal", "control_like"),
+)
 NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
@@ -33,25 +51,31 @@ def rescued(c: Column) -> Column:
 
 
 def captured(c: Column, pattern: str) -> Column:
-    """The first group of the first match of the pattern, else the id as it is."""
+    """The first group of the first match of the pattern, else the id as it is; so too for a pattern without a group."""
+    if not re.compile(pattern).groups:
+        return c
     return F.when(c.rlike(pattern), F.regexp_extract(c, pattern, 1)).otherwise(c)
 
 
+def stripped(c: Column) -> Column:
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
 def once(c: Column, pattern: str) -> Column:
     """The string without the first match of the pattern."""
-    found = F.regexp_extract(c, f"({pattern})", 1)
-    at = F.position(found, c)
-    return F.when(found != "", F.concat(F.substring(c, F.lit(1), at - 1), F.substring(c, at + F.length(found), F.length(c)))).otherwise(c)
+    at, found = F.regexp_instr(c, F.lit(pattern)), F.regexp_substr(c, F.lit(pattern))
+    return F.when(at > 0, F.concat(F.substring(c, F.lit(1), at - 1), F.substring(c, at + F.length(found), F.length(c)))).otherwise(c)
+
 
+def normalized(c: Column, prefixes: tuple[str, ...] = (), suffixes: tuple[str, ...] = (), upper: bool = False) -> Column:
+    """Ids without surrounding blanks and without the first match of each pattern, in upper case if asked for.
 
-def normalized(c: Column, prefix: str = "", suffix: str = "", upper: bool = False) -> Column:
-    """Ids without surrounding blanks, one leading prefix and one trailing suffix pattern, in upper case if asked for."""
-    out = F.trim(c)
-    if prefix:
-        out = F.regexp_replace(out, f"^(?:{prefix})", "")
-    if suffix:
-        out = F.regexp_replace(out, f"(?:{suffix})$", "")
-    return F.upper(out) if upper else out
+    Patterns match where they say so themselves: one that should only match at an end has an anchor.
+    """
+    out = stripped(c)
+    for pattern in (*prefixes, *suffixes):
+        out = once(out, pattern)
+    return stripped(F.upper(out) if upper else out)
 
 
 def gene_symbol(c: Column) -> Column:
@@ -60,11 +84,9 @@ def gene_symbol(c: Column) -> Column:
 
 
 def role(path: Column) -> Column:
-    """A table's role by the first keyword that its file name has."""
-    name = F.lower(F.element_at(F.split(path, "/"), -1))
-    words = [("clinical", "clinical"), ("pheno", "clinical"), ("sample", "clinical"), ("rna", "expression"), ("expr", "expression"), ("meth", "methylation"),
-             ("cnv", "copy_number"), ("copy", "copy_number"), ("prot", "proteome"), ("metab", "metabolome"), ("mut", "mutation")]
-    return F.coalesce(*[F.when(name.contains(k), F.lit(v)) for k, v in words], F.lit("modality"))
+    """A table's role by the first keyword that its file name (without its last ending) has, else other."""
+    name = F.lower(F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"(?<=.)\.[^.]*$", ""))
+    return F.coalesce(*[F.when(name.contains(k), F.lit(v)) for v, words in ROLE_KEYWORDS.items() for k in words], F.lit("other"))
 
 
 def targets_dropped(samples: DataFrame, target: str) -> DataFrame:
@@ -84,15 +106,16 @@ def encoded(samples: DataFrame, label: str, positive: str | None = None) -> Data
 
 
 def event(df: DataFrame, c: str) -> DataFrame:
-    """df with `event_code` 1 or 0: numbers if nine tenths of the column are, a leading 0: or 1:, words, else numbers."""
-    s = F.lower(F.trim(F.col(c).cast("string")))
-    v = number(s)
-    share = df.agg((F.sum(v.isin(0.0, 1.0).cast("int")) / F.sum(s.isNotNull().cast("int")) >= 0.9).alias("_numeric"))
-    numeric = F.when(v.isin(0.0, 1.0), v.cast("int"))
-    parsed = F.coalesce(
-        F.when(F.col("_numeric"), numeric), F.when(s.rlike("^[01]:"), F.substring(s, 1, 1).cast("int")), F.when(s.isin(*EVENT_WORDS), 1), F.when(s.isin(*CENSOR_WORDS), 0), numeric
-    )
-    return df.join(F.broadcast(share)).withColumn("event_code", parsed).drop("_numeric")
+    """df with `event_code`: numbers, where nine tenths of all rows are numbers and these are 0 and 1 only; else a leading
+    0: or 1:, else words, else the number as it is. What none of these reads is null.
+    """
+    raw = F.col(c).cast("string")
+    s, v = F.lower(stripped(raw)), number(raw)
+    share = F.sum(F.when(v.isNotNull(), 1).otherwise(0)) >= 0.9 * F.count(F.lit(1))
+    numeric = df.agg((share & F.coalesce(F.min(v.isin(0.0, 1.0)), F.lit(False))).alias("_numeric"))
+    lead = F.when(s.rlike(r"^[01]\s*:"), F.substring(s, 1, 1).cast("double"))
+    parsed = F.coalesce(lead, F.when(s.isin(*EVENT_WORDS), 1.0), F.when(s.isin(*CENSOR_WORDS), 0.0), v)
+    return df.join(F.broadcast(numeric)).withColumn("event_code", F.when(F.col("_numeric"), v).otherwise(parsed)).drop("_numeric")
 
 
 def group_key(*columns: str) -> Column:
@@ -121,15 +144,14 @@ def log_cpm(cells: DataFrame) -> DataFrame:
 
 
 def verdict_role(verdict: Column) -> Column:
-    """A verdict's role by its beginning; what fits none is a class of its own."""
-    starts = [("adds", "signal"), ("redundant", "redundant"), ("batch", "confounded"), ("noise", "noise"), ("no ", "noise")]
-    v = F.lower(F.trim(verdict))
-    return F.coalesce(*[F.when(v.startswith(k), F.lit(r)) for k, r in starts], F.lit("__unmapped__"))
+    """A verdict's role by its beginning; what fits none is a class of its own, no verdict has no role."""
+    return F.when(verdict != "", F.coalesce(*[F.when(verdict.startswith(k), F.lit(r)) for k, r in VERDICT_ROLES], F.lit("__unmapped__")))
 
 
 def model_kind(name: Column) -> Column:
-    """control, stress, sensitivity, fusion, leave_one_out or single, by the model's name."""
+    """What a model is for, by its name."""
     return (
-        F.when(name.startswith("control::"), "control").when(name.startswith("stress::"), "stress").when(name.startswith("sensitivity::"), "sensitivity")
-        .when(name.contains("::without::"), "leave_one_out").when(name.contains("fusion"), "fusion").otherwise("single")
+        F.when(name.startswith("control::"), "control").when(name.startswith("stress::"), "stress test").when(name.startswith("sensitivity::"), "sensitivity probe")
+        .when(name.startswith("stacking::") | name.endswith("::FUSION"), "fusion").when(name.contains("FUSION-minus-"), "leave-one-out")
+        .when(name.startswith("neural::"), "neural single").otherwise("single modality")
     )

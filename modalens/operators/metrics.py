@@ -40,7 +40,10 @@ def average_precision(pred: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def confusion_scores(pred: DataFrame, keys: list[str]) -> DataFrame:
-    """Per key: accuracy, balanced accuracy, macro F1 and the multiclass Matthews coefficient, from confusion counts."""
+    """Per key: accuracy, balanced accuracy, F1, macro F1 and the multiclass Matthews coefficient, from confusion counts.
+
+    `f1` is that of the larger class where the truth has two, else the macro one.
+    """
     c = pred.groupBy(*keys, "y", "pred").agg(F.count(F.lit(1)).alias("c"))
     t = c.groupBy(*keys, F.col("y").alias("k")).agg(F.sum("c").alias("t"), F.sum(F.when(F.col("y") == F.col("pred"), F.col("c")).otherwise(0)).alias("hit"))
     p = c.groupBy(*keys, F.col("pred").alias("k")).agg(F.sum("c").alias("p"))
@@ -48,29 +51,36 @@ def confusion_scores(pred: DataFrame, keys: list[str]) -> DataFrame:
     f1 = F.when(F.col("t") + F.col("p") > 0, 2 * F.col("hit") / (F.col("t") + F.col("p"))).otherwise(0.0)
     out = each.groupBy(*keys).agg(
         F.sum("hit").alias("s"), F.sum("t").alias("n"), F.avg(F.when(F.col("t") > 0, F.col("hit") / F.col("t"))).alias("balanced_accuracy"), F.avg(f1).alias("macro_f1"),
+        F.max_by(f1, F.when(F.col("t") > 0, F.col("k"))).alias("_f1"), F.sum((F.col("t") > 0).cast("int")).alias("_classes"),
         F.sum(F.col("t") * F.col("p")).cast("double").alias("tp"), F.sum(F.col("t") * F.col("t")).cast("double").alias("tt"), F.sum(F.col("p") * F.col("p")).cast("double").alias("pp"),
     )
     n = F.col("n").cast("double")
     down = F.sqrt((n * n - F.col("tt")) * (n * n - F.col("pp")))
-    return out.select(*keys, "n", (F.col("s") / n).alias("accuracy"), "balanced_accuracy", "macro_f1", F.coalesce((F.col("s") * n - F.col("tp")) / F.when(down > 0, down), F.lit(0.0)).alias("mcc"))
+    f1 = F.when(F.col("_classes") == 2, F.col("_f1")).otherwise(F.col("macro_f1"))
+    return out.select(*keys, "n", (F.col("s") / n).alias("accuracy"), "balanced_accuracy", f1.alias("f1"), "macro_f1", F.coalesce((F.col("s") * n - F.col("tp")) / F.when(down > 0, down), F.lit(0.0)).alias("mcc"))
 
 
 def regression_scores(pred: DataFrame, keys: list[str]) -> DataFrame:
-    """Per key: R squared (null for a constant truth), RMSE, MAE, Pearson."""
+    """Per key: R squared (null for a constant truth), RMSE, MAE, Pearson, Spearman (average ranks)."""
+    pred = average_ranks(average_ranks(pred.select(*keys, "y", "score"), keys, "y", "_ry"), keys, "score", "_rs")
     gap = F.col("y") - F.col("score")
     out = pred.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(gap * gap).alias("_e"), F.var_pop("y").alias("_v"), F.avg(F.abs(gap)).alias("mae"), F.corr("y", "score").alias("pearson")
+        F.count(F.lit(1)).alias("n"), F.sum(gap * gap).alias("_e"), F.var_pop("y").alias("_v"), F.avg(F.abs(gap)).alias("mae"), F.corr("y", "score").alias("pearson"), F.corr("_ry", "_rs").alias("spearman")
     )
-    return out.select(*keys, "n", (1 - F.col("_e") / F.when(F.col("_v") > 0, F.col("_v") * F.col("n"))).alias("r2"), F.sqrt(F.col("_e") / F.col("n")).alias("rmse"), "mae", "pearson")
+    return out.select(*keys, "n", (1 - F.col("_e") / F.when(F.col("_v") > 0, F.col("_v") * F.col("n"))).alias("r2"), F.sqrt(F.col("_e") / F.col("n")).alias("rmse"), "mae", "pearson", "spearman")
 
 
 def calibration(pred: DataFrame, keys: list[str], bins: int = 10) -> DataFrame:
-    """Per key: Brier score and expected calibration error; null with fewer than ten rows or one class."""
+    """Per key: Brier score and expected calibration error of the finite scores.
+
+    Null with fewer than ten of them, with other than two classes, or where all scores are the same.
+    """
+    pred = pred.filter(~F.isnan("score") & (F.abs("score") < float("inf")))
     per = reliability(pred, keys, bins).groupBy(*keys).agg(F.sum(F.col("m") * F.abs(F.col("mean_y") - F.col("mean_score"))).alias("_g"))
     gap = F.col("score") - F.col("y")
-    out = pred.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(gap * gap).alias("_brier"), F.min("y").alias("_lo"), F.max("y").alias("_hi"))
+    out = pred.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(gap * gap).alias("_brier"), F.min("score").alias("_lo"), F.max("score").alias("_hi"), F.min("y").alias("_y0"), F.max("y").alias("_y1"))
     out = out.join(per, keys) if keys else out.join(F.broadcast(per))
-    ok = (F.col("n") >= 10) & (F.col("_lo") < F.col("_hi"))
+    ok = (F.col("n") >= 10) & (F.col("_lo") < F.col("_hi")) & (F.col("_y0") < F.col("_y1"))
     return out.select(*keys, "n", F.when(ok, F.col("_brier")).alias("brier"), F.when(ok, F.col("_g") / F.col("n")).alias("ece"))
 
 

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import functools
+import math
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.ml.classification import LogisticRegression
+import numpy as np
+import pandas as pd
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from modalens.functions.rank import average_ranks, numbered
 from modalens.operators.batch import fold_moments
 from modalens.operators.bootstrap import uniform
+from modalens.storage import written
 
 
 def fold_medians(cells: DataFrame, folds: DataFrame) -> DataFrame:
@@ -33,18 +39,49 @@ def masked_standardized(cells: DataFrame, folds: DataFrame) -> DataFrame:
     return rows.select("outer_fold", "sample_id", "modality", "feature", ((F.col("value") - F.col("mean")) / sd).alias("z"), side.alias("side"))
 
 
+def imputed_moments(cells: DataFrame, samples: DataFrame, folds: DataFrame) -> DataFrame:
+    """(outer_fold, modality, feature, n, median, mean, sd) of the training columns after median imputation.
+
+    The imputed cells enter in closed form, so none is made. Columns without spread are left out.
+    """
+    own = samples.select("sample_id").join(folds, "sample_id").groupBy("outer_fold").agg(F.count(F.lit(1)).alias("m"))
+    rows = own.agg(F.sum("m").alias("t")).join(own).select("outer_fold", (F.col("t") - F.col("m")).alias("rows"))  # one row per fold
+    seen = fold_moments(cells, folds, ["modality", "feature"]).withColumnRenamed("mean", "_mean")
+    x = seen.join(F.broadcast(rows), "outer_fold").join(fold_medians(cells, folds), ["outer_fold", "modality", "feature"])
+    miss = F.col("rows") - F.col("n")
+    mean = (F.col("n") * F.col("_mean") + miss * F.col("median")) / F.col("rows")
+    x = x.withColumn("mean", mean).withColumn("_miss", miss)
+    m2 = F.col("m2") + F.col("n") * (F.col("_mean") - F.col("mean")) ** 2 + F.col("_miss") * (F.col("median") - F.col("mean")) ** 2
+    x = x.withColumn("sd", F.sqrt(m2 / F.col("rows")))
+    return x.filter(F.col("sd") > 1e-12 * F.greatest(F.lit(1.0), F.abs("mean"))).select("outer_fold", "modality", "feature", "n", "median", "mean", "sd")
+
+
+def imputed_standardized(cells: DataFrame, folds: DataFrame, moments: DataFrame) -> DataFrame:
+    """(outer_fold, sample_id, side, modality, feature, z) of the observed cells; a missing one is (median - mean) / sd."""
+    rows = cells.join(folds.withColumnRenamed("outer_fold", "_own"), "sample_id").join(moments, ["modality", "feature"])
+    side = F.when(F.col("_own") == F.col("outer_fold"), "assessment").otherwise("train")
+    return rows.select("outer_fold", "sample_id", side.alias("side"), "modality", "feature", ((F.col("value") - F.col("mean")) / F.col("sd")).alias("z"))
+
+
 def selected(cells: DataFrame, samples: DataFrame, folds: DataFrame, top: int = 2000) -> DataFrame:
     """(outer_fold, modality, feature, f, place): the features with the largest training ANOVA F in every fold.
 
-    Class-wise sums are taken once per fold and class; training sums are totals less the fold's own.
+    Class-wise sums are taken once per fold and class; training sums are totals less the fold's own. Missing cells count
+    as the fold's training median, in closed form.
     """
-    rows = cells.join(samples.select("sample_id", "y"), "sample_id").join(folds, "sample_id")
+    labelled = samples.select("sample_id", "y").join(folds, "sample_id")
+    rows = cells.join(labelled, "sample_id")
     mu = rows.groupBy("modality", "feature").agg(F.avg("value").alias("_mu"))
     x = rows.join(mu, ["modality", "feature"]).withColumn("_x", F.col("value") - F.col("_mu"))
     own = x.groupBy("modality", "feature", "y", "outer_fold").agg(F.count(F.lit(1)).alias("n"), F.sum("_x").alias("s"), F.sum(F.col("_x") * F.col("_x")).alias("q"))
     every = own.groupBy("modality", "feature", "y").agg(*[F.sum(c).alias(f"t{c}") for c in "nsq"])
-    grid = every.join(F.broadcast(folds.select("outer_fold").distinct())).join(own, ["modality", "feature", "y", "outer_fold"], "left").na.fill(0, ["n", "s", "q"])
-    train = grid.select("modality", "feature", "y", "outer_fold", *[(F.col(f"t{c}") - F.col(c)).alias(c) for c in "nsq"]).filter(F.col("n") > 0)
+    per = labelled.groupBy("y", "outer_fold").agg(F.count(F.lit(1)).alias("own"))
+    per = per.join(per.groupBy("y").agg(F.sum("own").alias("all")), "y").groupBy("y").agg(F.map_from_entries(F.collect_list(F.struct("outer_fold", "own"))).alias("own"), F.max("all").alias("all"))
+    grid = mu.join(per).join(folds.select("outer_fold").distinct()).withColumn("rows", F.col("all") - F.coalesce(F.col("own")[F.col("outer_fold")], F.lit(0)))  # classes x folds rows a feature
+    grid = grid.drop("own", "all").join(every, ["modality", "feature", "y"], "left").join(own, ["modality", "feature", "y", "outer_fold"], "left").join(fold_medians(cells, folds), ["outer_fold", "modality", "feature"])
+    gap, miss = F.col("median") - F.col("_mu"), F.col("rows") - F.col("seen")
+    grid = grid.na.fill(0, ["n", "s", "q", "tn", "ts", "tq"]).withColumn("seen", F.col("tn") - F.col("n")).filter("rows > 0")
+    train = grid.select("modality", "feature", "y", "outer_fold", F.col("rows").alias("n"), (F.col("ts") - F.col("s") + miss * gap).alias("s"), (F.col("tq") - F.col("q") + miss * gap * gap).alias("q"))
     t = train.groupBy("outer_fold", "modality", "feature").agg(
         F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("b"), F.sum("s").alias("s"), F.sum("q").alias("q")
     )
@@ -54,12 +91,29 @@ def selected(cells: DataFrame, samples: DataFrame, folds: DataFrame, top: int =
     return t.withColumn("f", f).withColumn("place", rn).filter(F.col("place") <= top).select("outer_fold", "modality", "feature", "f", "place")
 
 
-def vectors(z: DataFrame, features: DataFrame) -> DataFrame:
-    """(outer_fold, sample_id, side, x): standardised cells as vectors over the numbered features; absent cells are zero."""
-    names = [r[0] for r in features.select(F.concat_ws("::", "modality", "feature").alias("f")).distinct().orderBy("f").collect()]  # bounded by the selection
-    entries = z.groupBy("outer_fold", "sample_id", "side").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("::", "modality", "feature"), "z"))).alias("m"))
-    known = F.array(*[F.lit(n) for n in names])
-    return entries.select("outer_fold", "sample_id", "side", array_to_vector(F.transform(known, lambda n: F.coalesce(F.col("m")[n], F.lit(0.0)))).alias("x"))
+def vectors(z: DataFrame, features: DataFrame, keys: list[str], by: list[str] = ()) -> DataFrame:
+    """(keys, x): rows (keys, modality, feature, z) as dense vectors over features (by, modality, feature, blank).
+
+    Features are numbered by a join, in order of name inside `by`; a feature without a row has the value `blank`. The
+    table of features is as large as the selection that made it.
+    """
+    by = list(by)
+    at = F.row_number().over(Window.partitionBy(*by, F.lit(0)).orderBy("modality", "feature")) - 1
+    numbered_ = features.withColumn("ix", at)
+    blanks = numbered_.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("ix", "blank"))), lambda e: e["blank"]).alias("blanks"))
+    rows = z.join(numbered_.select(*by, "modality", "feature", "ix"), [*by, "modality", "feature"]).groupBy(*keys).agg(F.collect_list("ix").alias("ix"), F.collect_list("z").alias("z"))
+
+    @F.pandas_udf("array<double>")
+    def filled(ix: pd.Series, z_: pd.Series, blank: pd.Series) -> pd.Series:
+        out = []
+        for i, v, b in zip(ix, z_, blank, strict=True):
+            x = np.array(b, float)
+            x[np.asarray(i, int)] = v
+            out.append(x)
+        return pd.Series(out, dtype=object)
+
+    joined = rows.join(F.broadcast(blanks), by) if by else rows.join(F.broadcast(blanks))  # a row per fold
+    return joined.select(*keys, array_to_vector(filled("ix", "z", "blanks")).alias("x"))
 
 
 def logistic(n: int) -> LogisticRegression:
@@ -76,46 +130,140 @@ def ridge(n: int, sd: float, alpha: float = 1.0) -> LinearRegression:
     return LinearRegression(featuresCol="x", labelCol="y", solver="normal", regParam=alpha * sd / max(1, n), elasticNetParam=0.0, standardization=False)
 
 
-def out_of_fold(cells: DataFrame, samples: DataFrame, folds: DataFrame, make=logistic, model: str = "linear", threads: int = 4) -> DataFrame:
-    """(model, sample_id, outer_fold, y, pred, probs): every sample predicted once, by the model of the fold that left it out.
+def forest(n: int, trees: int = 300, depth: int = 12):
+    return RandomForestClassifier(featuresCol="x", labelCol="y", weightCol="w", numTrees=trees, maxDepth=depth, seed=1)
+
+
+def boosting(n: int, rounds: int = 50, depth: int = 3):
+    """Two classes; more of them by one model against the rest each."""
+    return GBTClassifier(featuresCol="x", labelCol="y", weightCol="w", maxIter=rounds, maxDepth=depth, seed=1)
+
+
+def prepared(cells: DataFrame, samples: DataFrame, folds: DataFrame, top: int | None = None) -> DataFrame:
+    """(outer_fold, sample_id, side, x, y): imputed, standardised and selected columns of every fold, fitted on its training rows."""
+    cells, samples, folds = (written(t, name) for t, name in ((cells, "cells"), (samples, "samples"), (folds, "folds")))  # each is read many times
+    moments = imputed_moments(cells, samples, folds)
+    if top is not None:
+        moments = moments.join(selected(cells, samples, folds, top).select("outer_fold", "modality", "feature"), ["outer_fold", "modality", "feature"])
+    moments = written(moments, "moments")
+    columns = moments.select("outer_fold", "modality", "feature", ((F.col("median") - F.col("mean")) / F.col("sd")).alias("blank"))
+    x = vectors(imputed_standardized(cells, folds, moments), columns, ["outer_fold", "sample_id", "side"], ["outer_fold"])
+    return x.join(samples.select("sample_id", F.col("y").cast("double").alias("y")), "sample_id")
+
+
+def out_of_fold(cells: DataFrame, samples: DataFrame, folds: DataFrame, make=logistic, model: str = "linear", threads: int = 4, top: int | None = None) -> DataFrame:
+    """(model, sample_id, outer_fold, y, pred, probs): every sample with a cell predicted once, by the fold that left it out.
 
     Classes are weighted n / (classes x rows of the class). Folds are jobs from a small pool of threads.
     """
-    z = masked_standardized(cells, folds)
-    data = vectors(z, cells.select("modality", "feature")).join(samples.select("sample_id", F.col("y").cast("double").alias("y")), "sample_id").persist()
+    data = written(prepared(cells, samples, folds, top), "prepared")  # read by every fold
     names = [r[0] for r in folds.select("outer_fold").distinct().collect()]
 
     def one(fold: int) -> DataFrame:
         train = data.filter((F.col("outer_fold") == fold) & (F.col("side") == "train"))
         counts = train.groupBy("y").agg(F.count(F.lit(1)).alias("m"))
         total = counts.agg(F.sum("m").alias("n"), F.count(F.lit(1)).alias("c")).first()
-        weighted = train.join(F.broadcast(counts), "y").withColumn("w", F.lit(total.n) / (F.lit(total.c) * F.col("m")))
+        weighted = train.join(F.broadcast(counts), "y").withColumn("w", F.lit(total.n) / (F.lit(total.c) * F.col("m")))  # a row per class
         fitted = make(total.n).fit(weighted)
         return fitted.transform(data.filter((F.col("outer_fold") == fold) & (F.col("side") == "assessment"))).select(
             F.lit(model).alias("model"), "sample_id", "outer_fold", "y", F.col("prediction").alias("pred"), vector_to_array("probability").alias("probs")
         )
 
+    return _together(one, names, threads)
+
+
+def out_of_fold_regression(cells: DataFrame, samples: DataFrame, folds: DataFrame, alpha: float = 1.0, model: str = "ridge", threads: int = 4) -> DataFrame:
+    """(model, sample_id, outer_fold, y, score): ridge regression of the target y, every sample predicted once."""
+    data = written(prepared(cells, samples, folds), "prepared")
+    names = [r[0] for r in folds.select("outer_fold").distinct().collect()]
+
+    def one(fold: int) -> DataFrame:
+        train = data.filter((F.col("outer_fold") == fold) & (F.col("side") == "train"))
+        n, sd = train.agg(F.count(F.lit(1)), F.stddev_pop("y")).first()
+        fitted = ridge(n, sd or 1.0, alpha).fit(train)
+        return fitted.transform(data.filter((F.col("outer_fold") == fold) & (F.col("side") == "assessment"))).select(F.lit(model).alias("model"), "sample_id", "outer_fold", "y", F.col("prediction").alias("score"))
+
+    return _together(one, names, threads)
+
+
+def _together(one, names: list, threads: int) -> DataFrame:
     with ThreadPoolExecutor(threads) as pool:
         parts = list(pool.map(one, names))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def grid(modalities: list[str], estimator: str = "linear") -> dict[str, list[str]]:
+    """Models by name with the modalities that they see: each alone, the fusion and, of several, the fusion without each."""
+    out = {f"{estimator}::{m}": [m] for m in modalities} | {f"{estimator}::FUSION": list(modalities)}
+    return out | ({f"{estimator}::FUSION-minus-{m}": [x for x in modalities if x != m] for m in modalities} if len(modalities) > 1 else {})
+
+
+def model_grid(cells: DataFrame, samples: DataFrame, folds: DataFrame, estimators: dict, top: int | None = None) -> DataFrame:
+    """Out-of-fold predictions of the whole grid, under the same folds, for every estimator (name to its maker)."""
+    cells, folds = written(cells, "grid-cells"), written(folds, "grid-folds")
+    names = sorted(r[0] for r in cells.select("modality").distinct().collect())
+    runs = [(name, seen, make) for estimator, make in estimators.items() for name, seen in grid(names, estimator).items()]
+    return functools.reduce(DataFrame.unionByName, [out_of_fold(cells.filter(F.col("modality").isin(seen)), samples, folds, make, name, top=top) for name, seen, make in runs])
+
+
+def stacked(predictions: DataFrame, samples: DataFrame, folds: DataFrame, model: str = "stacking::FUSION") -> DataFrame:
+    """Late fusion: a linear model over the out-of-fold class probabilities of the single-modality models."""
+    p = predictions.filter(~F.col("model").contains("FUSION")).select("sample_id", F.col("model").alias("modality"), F.posexplode("probs").alias("c", "value"))
+    cells = p.select("sample_id", "modality", F.concat(F.lit("p"), F.col("c").cast("string")).alias("feature"), "value")
+    return out_of_fold(cells, samples, folds, model=model)
 
 
 def shuffled_target(samples: DataFrame, seed: int = 41) -> DataFrame:
     """samples with the targets of other samples: a control in which nothing can be learned. Ranks come from hash shards."""
-    from modalens.functions.rank import numbered
-
     a = numbered(samples.select("sample_id"), "sample_id", "_i")
     moved = samples.select(F.concat_ws("|", F.lit(seed), "sample_id").alias("_k"), "y")
     b = numbered(moved.select("_k"), "_k", "_i").join(moved, "_k").select("_i", "y")
     return samples.drop("y").join(a, "sample_id").join(b, "_i").drop("_i")
 
 
-def masked(cells: DataFrame, rate: float, seed: int = 43) -> DataFrame:
-    """cells without those whose hash falls below the rate: values missing completely at random."""
-    return cells.filter(uniform(F.lit(seed), "sample_id", "modality", "feature") >= rate)
+def shuffled_features(cells: DataFrame, samples: DataFrame, seed: int = 47) -> DataFrame:
+    """cells with every feature's column permuted on its own, missing cells too: nothing is left of the samples.
+
+    Samples are numbered in order of a hash; a feature moves place i to (a i + b) mod n, with a from numbers that have no
+    divisor in common with n, and b, by the feature's hash. No window holds a feature.
+    """
+    places = numbered(samples.select("sample_id").distinct(), "sample_id", "_i")
+    n = places.count()
+    steps = [a for a in range(n // 3 + 1, 2 * n + 2) if math.gcd(a, n) == 1][:256] or [1]
+    key = F.xxhash64(F.lit(seed), "modality", "feature")
+    a, b = F.get(F.array(*map(F.lit, steps)), F.pmod(key, F.lit(len(steps))).cast("int")), F.pmod(F.shiftright(key, 9), F.lit(n))
+    moved = cells.join(places, "sample_id").drop("sample_id").withColumn("_i", ((F.col("_i").cast("long") * a + b) % n).cast("int"))
+    return moved.join(places, "_i").select("sample_id", "modality", "feature", "value")
+
+
+def noise(samples: DataFrame, features: DataFrame, seed: int = 53) -> DataFrame:
+    """Gaussian cells of the same shape, each from the hash of (seed, sample, feature)."""
+    rows = samples.select("sample_id").distinct().join(features.select("modality", "feature").distinct())
+    u = [uniform(F.lit(seed + i), "sample_id", "modality", "feature") for i in (0, 1)]
+    return rows.withColumn("value", F.sqrt(-2 * F.ln(1 - u[0])) * F.cos(2 * math.pi * u[1]))
+
+
+def masked(cells: DataFrame, rate: float, seed: int = 43, mechanism: str = "mcar", samples: DataFrame | None = None) -> DataFrame:
+    """cells without those that a mechanism of missing values takes away; `rate` is the mean share.
+
+    mcar: by a hash alone. mar: by batch, from 0 in the first to twice the rate in the last. mnar: by the value's rank in
+    its feature, from 0 to twice the rate. batch: all of it in half of the batches. sample: whole samples of a modality.
+    """
+    u = uniform(F.lit(seed), "sample_id", "modality", "feature")
+    if mechanism == "mcar":
+        return cells.filter(u >= rate)
+    if mechanism == "sample":
+        return cells.filter(uniform(F.lit(seed), "sample_id", "modality") >= rate)
+    if mechanism == "mnar":
+        n = cells.groupBy("modality", "feature").agg(F.count(F.lit(1)).alias("_n"))
+        ranked = average_ranks(cells, ["modality", "feature"], "value", "_r").join(n, ["modality", "feature"])
+        return ranked.filter(u >= 2 * rate * (F.col("_r") - 0.5) / F.col("_n")).select(*cells.columns)
+    batches = samples.select("batch").distinct().filter("batch IS NOT NULL")
+    k = F.count(F.lit(1)).over(Window.partitionBy())
+    share = (F.row_number().over(Window.orderBy("batch")) - 1) / F.greatest(k - 1, F.lit(1))  # one row per batch
+    batches = batches.withColumn("_p", 2 * rate * (share if mechanism == "mar" else F.round(share).cast("double")))
+    rows = cells.join(samples.select("sample_id", "batch"), "sample_id").join(batches, "batch", "left")
+    return rows.filter(u >= F.coalesce("_p", F.lit(0.0))).select(*cells.columns)
 
 
 def target_copies(cells: DataFrame, samples: DataFrame, target: str = "y") -> DataFrame:

@@ -28,7 +28,7 @@ def stratified(samples: DataFrame, k: int, label: str, seed: int = 5, shards: in
     before = F.coalesce(F.sum("_m").over(Window.partitionBy(label).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy(label, "_s").orderBy("_o", "sample_id")))
     on = F.col("r._s").eqNullSafe(F.col("c._s")) & F.col(f"r.{label}").eqNullSafe(F.col(f"c.{label}"))
-    placed = ranked.alias("r").join(F.broadcast(counts.withColumn("_b", before)).alias("c"), on)  # labels x shards rows
+    placed = ranked.alias("r").join(counts.withColumn("_b", before).alias("c"), on)
     return placed.select("r.sample_id", ((F.col("_b") + F.col("_r") - 1) % k).cast("int").alias("outer_fold"))
 
 
@@ -37,26 +37,58 @@ def k_fold(samples: DataFrame, k: int, seed: int = 5) -> DataFrame:
     return stratified(samples.select("sample_id", F.lit(0).alias("_all")), k, "_all", seed)
 
 
-def grouped(samples: DataFrame, k: int, label: str | None = None, group: str = "group_id", seed: int = 5) -> DataFrame:
-    """Folds that never divide a group. Groups of one class signature are dealt in turn, largest first, there and back."""
-    keys = [label] if label else []
-    per = samples.groupBy(group, *keys).agg(F.count(F.lit(1)).alias("m"))
-    sign = F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", *[F.col(x).cast("string") for x in keys], F.lit("")))), ",") if keys else F.lit("")
-    sig = per.groupBy(group).agg(F.sum("m").alias("size"), sign.alias("sig"))  # one list entry per class
-    at = F.row_number().over(Window.partitionBy("sig").orderBy(F.desc("size"), F.xxhash64(F.lit(seed), group), group)) - 1
+def grouped(samples: DataFrame, k: int, label: str | None = None, group: str = "group_id", seed: int = 5, shards: int = 64) -> DataFrame:
+    """Folds that never divide a group.
+
+    Groups are dealt in turn, there and back: by the set of their classes, then largest first, then by their class
+    counts. Their places come from the counts of each such kind and from hash shards inside it, so no task ranks all.
+    """
+    per = samples.groupBy(group, *([label] if label else [])).agg(F.count(F.lit(1)).alias("m"))
+    names = F.sort_array(F.collect_list(F.struct(*([F.col(label).cast("string").alias("c")] if label else [F.lit("").alias("c")]), "m")))  # an entry per class
+    kind = per.groupBy(group).agg(F.sum("m").alias("size"), names.alias("x"))
+    sign = lambda f: F.array_join(F.transform("x", lambda e: F.coalesce(e[f].cast("string"), F.lit(""))), ",")
+    kind = kind.select(group, "size", sign("c").alias("classes"), sign("m").alias("counts"), F.xxhash64(F.lit(seed), group).alias("_o")).withColumn("_s", F.pmod("_o", F.lit(shards)))
+    cell = ["classes", "size", "counts"]
+    counts = kind.groupBy(*cell, "_s").agg(F.count(F.lit(1)).alias("n"))
+    kinds = counts.groupBy(*cell).agg(F.sum("n").alias("n"))
+    later = Window.partitionBy("classes").orderBy(F.desc("size"), "counts").rowsBetween(Window.unboundedPreceding, -1)  # over kinds of groups
+    sets = kinds.groupBy("classes").agg(F.sum("n").alias("n"))
+    first = F.coalesce(F.sum("n").over(Window.orderBy("classes").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # over sets of classes
+    starts = kinds.select(*cell, F.coalesce(F.sum("n").over(later), F.lit(0)).alias("_k")).join(sets.select("classes", first.alias("_f")), "classes")
+    own = F.coalesce(F.sum("n").over(Window.partitionBy(*cell).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(*cell, "_s", own.alias("_b")).join(starts, cell)
+    at = F.row_number().over(Window.partitionBy(*cell, "_s").orderBy("_o", group)) - 1
+    placed = kind.withColumn("_r", at).join(starts, [*cell, "_s"]).withColumn("_at", F.col("_f") + F.col("_k") + F.col("_b") + F.col("_r"))
     lap, place = F.floor(F.col("_at") / k), F.col("_at") % k
-    fold = F.when(lap % 2 == 0, place).otherwise(k - 1 - place).cast("int")
-    folds = sig.withColumn("_at", at).select(group, fold.alias("outer_fold"))
+    folds = placed.select(group, F.when(lap % 2 == 0, place).otherwise(k - 1 - place).cast("int").alias("outer_fold"))
     return samples.select("sample_id", group).join(folds, group).select("sample_id", "outer_fold")
 
 
+def blocked(samples: DataFrame, k: int, batch: str = "batch") -> DataFrame:
+    """Folds that never divide a batch; at least three batches are needed."""
+    n = samples.filter(F.col(batch).isNotNull()).agg(F.countDistinct(batch)).first()[0]
+    if n < 3:
+        raise ValueError(f"a split by batches needs three of them, here are {n}")
+    return grouped(samples, min(k, n), group=batch)
+
+
+def naive(samples: DataFrame, k: int, label: str, seed: int = 5) -> DataFrame:
+    """(sample_id, outer_fold, arm): the unsafe arm, stratified by rows whatever their groups."""
+    return stratified(samples, k, label, seed).withColumn("arm", F.lit("naive"))
+
+
 def inner(samples: DataFrame, folds: DataFrame, k: int, label: str, seed: int = 6) -> DataFrame:
     """(sample_id, outer_fold, inner_fold): folds inside every outer training set."""
     outer = folds.select("outer_fold").distinct()
     train = samples.select("sample_id", label).join(folds, "sample_id").withColumnRenamed("outer_fold", "own").join(F.broadcast(outer)).filter("own <> outer_fold")
     o = F.xxhash64(F.lit(seed), "outer_fold", "sample_id")
-    at = F.row_number().over(Window.partitionBy("outer_fold", label).orderBy(o, "sample_id")) - 1
-    return train.select("sample_id", "outer_fold", (at % k).cast("int").alias("inner_fold"))
+    rows = train.select("sample_id", "outer_fold", F.col(label).alias("_l"), o.alias("_o")).withColumn("_s", F.pmod("_o", F.lit(64)))
+    own = F.row_number().over(Window.partitionBy("outer_fold", "_l", "_s").orderBy("_o", "sample_id")) - 1
+    counts = rows.groupBy("outer_fold", "_l", "_s").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("outer_fold", "_l").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(F.col("outer_fold").alias("_f"), F.col("_l").alias("_m"), F.col("_s").alias("_t"), before.alias("_b"))
+    on = (F.col("outer_fold") == F.col("_f")) & F.col("_l").eqNullSafe(F.col("_m")) & (F.col("_s") == F.col("_t"))
+    return rows.withColumn("_r", own).join(counts, on).select("sample_id", "outer_fold", ((F.col("_r") + F.col("_b")) % k).cast("int").alias("inner_fold"))
 
 
 def violations(samples: DataFrame, folds: DataFrame, group: str = "group_id") -> DataFrame:

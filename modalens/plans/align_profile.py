@@ -58,10 +58,39 @@ def f4_captured(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", clean.captured(F.col("p_brand"), "#([0-9]+)").alias("id"))
 
 
-@query("SELECT c_custkey, upper(regexp_replace(regexp_replace(trim(c_name), '^(?:Customer#0*)', ''), '(?:[05])$', '')) || upper(c_mktsegment) AS id FROM customer")
+@query("""WITH s AS (SELECT c_custkey, '  ' || c_name || ' ' || c_mktsegment || '-0' || ' ' AS id FROM customer)
+SELECT c_custkey, trim(upper(regexp_replace(regexp_replace(regexp_replace(trim(id), '#0+', ''), '[AEIOU]+', ''), '-0$', ''))) AS id FROM s""")
 def f5_normalized(spark, sf_dir):
-    c = table(spark, sf_dir, "customer")
-    return c.select("c_custkey", F.concat(clean.normalized(F.col("c_name"), "Customer#0*", "[05]", upper=True), F.upper("c_mktsegment")).alias("id"))
+    raw = F.concat(F.lit("  "), "c_name", F.lit(" "), "c_mktsegment", F.lit("-0 "))
+    return table(spark, sf_dir, "customer").select("c_custkey", clean.normalized(raw, ("#0+", "[AEIOU]+"), ("-0$",), upper=True).alias("id"))
+
+
+_FILES_SQL = """SELECT c_custkey, '/data/' || lower(c_mktsegment) || '/' || CASE c_custkey % 9 WHEN 0 THEN 'Clinical_v2.csv' WHEN 1 THEN 'rnaseq.tsv' WHEN 2 THEN 'proteome.meta.txt' WHEN 3 THEN 'HM450k.csv' WHEN 4 THEN 'mirna_x.csv'
+ WHEN 5 THEN 'gistic.tsv' WHEN 6 THEN 'metabolites.csv' WHEN 7 THEN 'somatic.maf' ELSE 'plate.csv' END AS path FROM customer"""
+
+
+@query(f"""WITH f AS ({_FILES_SQL}) SELECT c_custkey, CASE c_custkey % 9 WHEN 0 THEN 'clinical' WHEN 1 THEN 'rna' WHEN 2 THEN 'clinical' WHEN 3 THEN 'methylation' WHEN 4 THEN 'rna' WHEN 5 THEN 'cnv' WHEN 6 THEN 'clinical'
+ WHEN 7 THEN 'mutation' ELSE 'other' END AS role FROM f""")
+def f7_role(spark, sf_dir):
+    names = F.array(*map(F.lit, ("Clinical_v2.csv", "rnaseq.tsv", "proteome.meta.txt", "HM450k.csv", "mirna_x.csv", "gistic.tsv", "metabolites.csv", "somatic.maf", "plate.csv")))
+    path = F.concat(F.lit("/data/"), F.lower("c_mktsegment"), F.lit("/"), F.get(names, (F.col("c_custkey") % 9).cast("int")))
+    return table(spark, sf_dir, "customer").select("c_custkey", clean.role(path).alias("role"))
+
+
+_VERDICTS = ("batch-confounded (no marginal gain)", "predictive (adds marginal signal)", "informative alone (fusion gain not significant)", "redundant (subsumed by rna)", "informative but non-additive", "no detectable signal (control-like)", "predictive, perhaps", "predictive (standalone)")
+
+
+@query("""SELECT CASE l_linenumber % 8 WHEN 0 THEN 'batch_confounded' WHEN 1 THEN 'predictive' WHEN 5 THEN 'control_like' WHEN 6 THEN '__unmapped__' WHEN 7 THEN 'predictive' ELSE 'not_additive' END AS role, count(*) AS n FROM lineitem GROUP BY 1""")
+def f17_verdict_roles(spark, sf_dir):
+    verdict = F.get(F.array(*map(F.lit, _VERDICTS)), (F.col("l_linenumber") % 8).cast("int"))
+    return table(spark, sf_dir, "lineitem").groupBy(clean.verdict_role(verdict).alias("role")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT CASE l_suppkey % 7 WHEN 0 THEN 'control' WHEN 1 THEN 'stress test' WHEN 2 THEN 'sensitivity probe' WHEN 3 THEN 'fusion' WHEN 4 THEN 'leave-one-out' WHEN 5 THEN 'neural single' ELSE 'single modality' END AS kind, count(*) AS n FROM lineitem GROUP BY 1""")
+def f18_model_kinds(spark, sf_dir):
+    names = ("control::linear::FUSION", "stress::batch-blocked-FUSION", "sensitivity::batch-adjusted-FUSION", "linear::FUSION", "linear::FUSION-minus-rna", "neural::rna", "linear::rna")
+    name = F.get(F.array(*map(F.lit, names)), (F.col("l_suppkey") % 7).cast("int"))
+    return table(spark, sf_dir, "lineitem").groupBy(clean.model_kind(name).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT count(*) FILTER (o_orderstatus <> 'P') AS n_kept, count(*) FILTER (o_orderstatus = 'P') AS n_dropped FROM orders")
@@ -76,10 +105,17 @@ def f12_encoded(spark, sf_dir):
     return clean.encoded(A.orders(spark, sf_dir).samples, "label", positive="F").select("sample_id", "label", "code")
 
 
-@query("""WITH v AS (SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN '1:DECEASED' WHEN 1 THEN '0:LIVING' WHEN 2 THEN ' Alive ' WHEN 3 THEN 'Relapsed' ELSE 'unknown' END AS s FROM orders)
-SELECT o_orderkey, CASE WHEN regexp_matches(s, '^[01]:') THEN s[1]::INT WHEN s = 'Relapsed' THEN 1 WHEN s = ' Alive ' THEN 0 END AS event_code FROM v""")
+_EVENT_SQL = """CASE o_orderkey % 10 WHEN 0 THEN '1:DECEASED' WHEN 1 THEN '0 :LIVING' WHEN 2 THEN ' Alive ' WHEN 3 THEN 'Relapsed' WHEN 4 THEN 'positive' WHEN 5 THEN 'no_event' WHEN 6 THEN '2' WHEN 7 THEN 'y' WHEN 8 THEN '1.0' ELSE 'Progression' END"""
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 10 WHEN 0 THEN 1.0 WHEN 1 THEN 0 WHEN 2 THEN 0 WHEN 3 THEN 1 WHEN 4 THEN 1 WHEN 5 THEN 0 WHEN 6 THEN 2 WHEN 8 THEN 1 WHEN 9 THEN 1 END::DOUBLE AS event_code FROM orders")
 def f13_event(spark, sf_dir):
-    s = F.expr("CASE o_orderkey % 5 WHEN 0 THEN '1:DECEASED' WHEN 1 THEN '0:LIVING' WHEN 2 THEN ' Alive ' WHEN 3 THEN 'Relapsed' ELSE 'unknown' END")
+    return clean.event(table(spark, sf_dir, "orders").select("o_orderkey", F.expr(_EVENT_SQL).alias("s")), "s").select("o_orderkey", "event_code")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 20 > 0 THEN (o_orderkey % 2)::DOUBLE END AS event_code FROM orders")
+def f13_numeric_event(spark, sf_dir):
+    s = F.when(F.col("o_orderkey") % 20 == 0, "dead").otherwise((F.col("o_orderkey") % 2).cast("string"))
     return clean.event(table(spark, sf_dir, "orders").select("o_orderkey", s.alias("s")), "s").select("o_orderkey", "event_code")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from modalens.operators import batch, missingness
+from modalens.operators import batch, missingness, projection
 from modalens.sources import adapters as A
 
 QUERIES: dict = {}
@@ -57,19 +57,27 @@ def d3_missing_totals(spark, sf_dir):
     return rounded(missingness.totals(_day_missing(spark, sf_dir)[1]), "max_fraction", "mean_fraction")
 
 
+def chi2_tail_sql(x: str, df: str) -> str:
+    """The upper tail of chi-square: a finite sum for even degrees of freedom, for one degree the normal tail by Simpson's rule."""
+    even = f"exp(-({x}) / 2) * list_sum([(({x}) / 2) ** i / gamma(i + 1) FOR i IN range(0, (({df}) // 2)::BIGINT)])"
+    step = f"(sqrt(least({x}, 200)) / 2000)"
+    one = f"1 - sqrt(2 / pi()) * {step} / 3 * list_sum([exp(-0.5 * ((i * {step}) ** 2)) * CASE WHEN i = 0 OR i = 2000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END FOR i IN range(0, 2001)])"
+    return f"CASE WHEN ({df}) = 1 THEN {one} WHEN ({df}) % 2 = 0 THEN {even} END"
+
+
 def kruskal_sql(source: str, value: str, group: str) -> str:
     """Tie-corrected H over a relation, as SQL that ends in (n, k, h)."""
     return f"""kr AS (SELECT {value} AS v, {group} AS g, rank() OVER (ORDER BY {value}) + (count(*) OVER (PARTITION BY {value}) - 1) / 2 AS r FROM {source}),
 kp AS (SELECT g, sum(r) AS s, count(*) AS m FROM kr GROUP BY g),
 kt AS (SELECT sum(t::DOUBLE * t * t - t) AS ties FROM (SELECT count(*) AS t FROM kr GROUP BY v)),
 kh AS (SELECT sum(m)::BIGINT AS n, count(*) AS k, sum(s * s / m) AS q FROM kp)
-SELECT n, k, round((12 / (n::DOUBLE * (n + 1)) * q - 3 * (n + 1)) / (1 - ties / (n::DOUBLE * n * n - n)), 5) AS h FROM kh, kt"""
+, kk AS (SELECT n, k, (12 / (n::DOUBLE * (n + 1)) * q - 3 * (n + 1)) / (1 - ties / (n::DOUBLE * n * n - n)) AS h FROM kh, kt) SELECT n, k, round(h, 5) AS h, round({chi2_tail_sql('h', 'k - 1')}, 6) AS p FROM kk"""
 
 
 def _kruskal(spark, sf_dir, group):
     s, missing = _day_missing(spark, sf_dir)
     rows = missing.join(s.samples, "sample_id").withColumn("all", F.lit(0))
-    return missingness.kruskal(rows, ["all"], "missing_fraction", group).select("n", "k", F.round("h", 5).alias("h"))
+    return missingness.kruskal(rows, ["all"], "missing_fraction", group).select("n", "k", F.round("h", 5).alias("h"), F.round("p", 6).alias("p"))
 
 
 @query(f"WITH {A.EVENTS_DAY_SQL}, {MISSING_SQL}, ms AS (SELECT * FROM missing JOIN samples USING (sample_id)), {kruskal_sql('ms', 'missing_fraction', 'y')}")
@@ -89,11 +97,11 @@ meta AS (SELECT (SELECT sum(o) FROM o)::DOUBLE AS n, (SELECT count(*) FROM ra) A
 grid AS (SELECT coalesce(o.o, 0) AS o, na * nb / n AS e, n, ka, kb FROM ra CROSS JOIN rb CROSS JOIN meta LEFT JOIN o ON o.a = ra.a AND o.b = rb.b),
 gap AS (SELECT e, n, ka, kb, abs(o - e) - CASE WHEN ka = 2 AND kb = 2 THEN least(0.5, abs(o - e)) ELSE 0 END AS g FROM grid),
 chi AS (SELECT n, ka, kb, sum(g * g / e) AS chi2 FROM gap GROUP BY ALL)
-SELECT n::BIGINT AS n, round(chi2, 5) AS chi2, ((ka - 1) * (kb - 1))::DOUBLE AS df, round(sqrt(chi2 / (n * (least(ka, kb) - 1))), 6) AS cramers_v FROM chi"""
+SELECT n::BIGINT AS n, round(chi2, 5) AS chi2, ((ka - 1) * (kb - 1))::DOUBLE AS df, round(sqrt(chi2 / (n * (least(ka, kb) - 1))), 6) AS cramers_v, round({chi2_tail_sql("chi2", "(ka - 1) * (kb - 1)")}, 6) AS p FROM chi"""
 
 
 def _chi2(rows, a, b):
-    return missingness.contingency_chi2(rows, [], a, b).select("n", F.round("chi2", 5).alias("chi2"), "df", F.round("cramers_v", 6).alias("cramers_v"))
+    return missingness.contingency_chi2(rows, [], a, b).select("n", F.round("chi2", 5).alias("chi2"), "df", F.round("cramers_v", 6).alias("cramers_v"), F.round("p", 6).alias("p"))
 
 
 @query(f"WITH {A.EVENTS_DAY_SQL}, {MISSING_SQL}, ms AS (SELECT (n_missing > 2)::INT AS any_missing, y FROM missing JOIN samples USING (sample_id)), {chi2_sql('ms', 'any_missing', 'y')}")
@@ -150,7 +158,7 @@ def b4_batch_anova(spark, sf_dir):
 def b5_batch_kruskal(spark, sf_dir):
     s = A.events_day(spark, sf_dir)
     rows = s.cells.filter("feature = 'view'").join(s.samples, "sample_id").withColumn("all", F.lit(0))
-    return missingness.kruskal(rows, ["all"], "value", "batch", drop_single=False).select("n", "k", F.round("h", 5).alias("h"))
+    return missingness.kruskal(rows, ["all"], "value", "batch", drop_single=False).select("n", "k", F.round("h", 5).alias("h"), F.round("p", 6).alias("p"))
 
 
 @query()
@@ -164,7 +172,7 @@ def b4_batch_anova_features(spark, sf_dir):
 def b5_batch_kruskal_features(spark, sf_dir):
     s = A.events_day(spark, sf_dir)
     out = missingness.kruskal(s.cells.join(s.samples, "sample_id"), ["modality", "feature"], "value", "batch", drop_single=False)
-    return out.select("modality", "feature", "n", "k", F.round("h", 5).alias("h"))
+    return out.select("modality", "feature", "n", "k", F.round("h", 5).alias("h"), F.round("p", 6).alias("p"))
 
 
 @query(f"WITH {A.EVENTS_DAY_SQL}, {chi2_sql('samples', 'batch', 'y')}")
@@ -228,6 +236,37 @@ def b3_silhouette_dimensions(spark, sf_dir):
     return batch.silhouette(points, "label", ["all"]).select("n", F.round("silhouette", 5).alias("silhouette"))
 
 
+def _projected(spark, sf_dir):
+    """Coordinates of each modality's samples on ten components."""
+    s = A.embeddings(spark, sf_dir)
+    parts = [projection.components(s.cells.filter(F.col("modality") == m))[0].withColumn("modality", F.lit(m)) for m in ("emb_hi", "emb_lo")]
+    return s, parts[0].unionByName(parts[1]).join(s.samples.select("sample_id", "y", "batch"), "sample_id")
+
+
+@query()
+def b2_explained(spark, sf_dir):
+    cells = A.embeddings(spark, sf_dir).cells
+    parts = [projection.components(cells.filter(F.col("modality") == m))[1].withColumn("modality", F.lit(m)) for m in ("emb_hi", "emb_lo")]
+    return rounded(parts[0].unionByName(parts[1]), "explained")
+
+
+@query()
+def b6_structured(spark, sf_dir):
+    """Each modality's batch structure on its components: silhouette, F and H of the first one, and the flag of both."""
+    _, p = _projected(spark, sf_dir)
+    first = p.withColumn("pc1", F.col("coordinates")[0])
+    s = batch.silhouette(p, "batch", ["modality"]).select("modality", "silhouette")
+    h = missingness.kruskal(first, ["modality"], "pc1", "batch", drop_single=False).select("modality", "h", F.col("p").alias("p_kruskal"))
+    a = batch.anova(first, ["modality"], "pc1", "batch").select("modality", "f", "eta2", "p")
+    return rounded(batch.structured(s, a, ["modality"]).join(h, "modality"), "silhouette", "f", "eta2", "p", "h", "p_kruskal")
+
+
+@query(f"WITH {A.EVENTS_DAY_SQL}, {chi2_sql('samples', 'batch', 'y')}".replace("AS p FROM chi", "AS p, false AS confounded FROM chi"))
+def b7_confounded_flag(spark, sf_dir):
+    test = missingness.contingency_chi2(A.events_day(spark, sf_dir).samples, [], "batch", "y")
+    return batch.confounded(test).select("n", F.round("chi2", 5).alias("chi2"), "df", F.round("cramers_v", 6).alias("cramers_v"), F.round("p", 6).alias("p"), "confounded")
+
+
 def flagship(spark, sf_dir):
     """Does missingness track the outcome or the batch? Statistic, p and adjusted p of each test."""
     s, missing = _day_missing(spark, sf_dir)

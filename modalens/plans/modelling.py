@@ -127,21 +127,113 @@ def m4_selected(spark, sf_dir):
     return models.selected(s.cells, s.samples, _folds(s), top=10).withColumn("f", F.round("f", 4)).withColumn("place", F.col("place").cast("long"))
 
 
+_DAY_FOLDS_SQL = f"""{A.EVENTS_DAY_SQL}, f AS (SELECT sample_id, y, (group_id::BIGINT % 5)::INT AS own FROM samples), k AS (SELECT DISTINCT own AS outer_fold FROM f),
+tr AS (SELECT k.outer_fold, f.sample_id, f.y, modality, feature, c.value FROM f CROSS JOIN features JOIN k ON own <> outer_fold LEFT JOIN cells c USING (sample_id, modality, feature)),
+im AS (SELECT *, coalesce(value, median(value) OVER (PARTITION BY outer_fold, modality, feature)) AS v FROM tr)"""
+
+
+def _day(spark, sf_dir):
+    s = A.events_day(spark, sf_dir)
+    return s, s.samples.select("sample_id", (F.col("group_id").cast("long") % 5).cast("int").alias("outer_fold"))
+
+
+@query(f"WITH {_DAY_FOLDS_SQL} SELECT outer_fold, modality, feature, count(value) AS n, round(any_value(v) FILTER (value IS NULL), 6) AS median, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS sd FROM im GROUP BY ALL HAVING stddev_pop(v) > 0")
+def m3_imputed_moments(spark, sf_dir):
+    s, folds = _day(spark, sf_dir)
+    return rounded(models.imputed_moments(s.cells, s.samples, folds), "median", "mean", "sd")
+
+
+@query(f"""WITH {_DAY_FOLDS_SQL}, x AS (SELECT 'given' AS modality, feature, sample_id, value FROM cells UNION ALL SELECT 'given', 'flat', sample_id, 3 FROM samples)
+SELECT outer_fold, modality, feature FROM (SELECT k.outer_fold, x.modality, x.feature, min(value) AS lo, max(value) AS hi FROM x JOIN f USING (sample_id) JOIN k ON own <> outer_fold GROUP BY ALL) WHERE lo < hi""")
+def m2_varying_features(spark, sf_dir):
+    s, folds = _day(spark, sf_dir)
+    flat = s.samples.select("sample_id", F.lit("given").alias("modality"), F.lit("flat").alias("feature"), F.lit(3.0).alias("value"))
+    cells = s.cells.withColumn("modality", F.lit("given")).unionByName(flat)
+    return models.imputed_moments(cells, s.samples, folds).select("outer_fold", "modality", "feature")
+
+
+@query(f"""WITH {_DAY_FOLDS_SQL}, c AS (SELECT outer_fold, modality, feature, y, count(*) AS n, avg(v) AS m, var_pop(v) * count(*) AS w FROM im GROUP BY ALL), g AS (SELECT outer_fold, modality, feature, sum(n) AS n, count(*) AS k, sum(n * m) / sum(n) AS mu, sum(w) AS w FROM c GROUP BY ALL),
+s AS (SELECT g.outer_fold, g.modality, g.feature, (sum(c.n * (c.m - mu) ** 2) / (any_value(k) - 1)) / (any_value(g.w) / (any_value(g.n) - any_value(k))) AS f FROM g JOIN c USING (outer_fold, modality, feature) GROUP BY ALL)
+SELECT outer_fold, modality, feature, round(f, 4) AS f, row_number() OVER (PARTITION BY outer_fold ORDER BY f DESC, modality, feature) AS place FROM s""")
+def m4_selected_imputed(spark, sf_dir):
+    s, folds = _day(spark, sf_dir)
+    return models.selected(s.cells, s.samples, folds).withColumn("f", F.round("f", 4)).withColumn("place", F.col("place").cast("long"))
+
+
+def _vectors(spark, sf_dir, classes: int = 10):
+    s = A.embeddings(spark, sf_dir)
+    samples = s.samples.withColumn("y", F.col("y") % classes)
+    return s, samples, splits.grouped(samples, 3, "y")
+
+
 @query()
 def m13_out_of_fold(spark, sf_dir):
-    s = A.embeddings(spark, sf_dir)
-    pred = models.out_of_fold(s.cells, s.samples, splits.grouped(s.samples, 3, "y"))
-    return metrics.confusion_scores(pred, ["model"])
+    s, samples, folds = _vectors(spark, sf_dir)
+    return metrics.confusion_scores(models.out_of_fold(s.cells, samples, folds, top=40), ["model"])
+
+
+@query()
+def m8_ridge(spark, sf_dir):
+    s = A.orders(spark, sf_dir)
+    samples = s.samples.withColumnRenamed("target", "y")
+    return metrics.regression_scores(models.out_of_fold_regression(s.cells, samples, splits.grouped(samples, 3)), ["model"])
+
+
+@query()
+def m9_elastic_net(spark, sf_dir):
+    s, samples, folds = _vectors(spark, sf_dir, 2)
+    return metrics.confusion_scores(models.out_of_fold(s.cells, samples, folds, models.elastic, "elastic"), ["model"])
+
+
+@query()
+def m10_random_forest(spark, sf_dir):
+    s, samples, folds = _vectors(spark, sf_dir)
+    return metrics.confusion_scores(models.out_of_fold(s.cells, samples, folds, models.forest, "forest"), ["model"])
+
+
+@query()
+def m11_boosting(spark, sf_dir):
+    s, samples, folds = _vectors(spark, sf_dir, 2)
+    return metrics.confusion_scores(models.out_of_fold(s.cells, samples, folds, models.boosting, "boosting"), ["model"])
+
+
+@query()
+def m14_model_grid(spark, sf_dir):
+    s, samples, folds = _vectors(spark, sf_dir, 2)
+    return metrics.confusion_scores(models.model_grid(s.cells, samples, folds, {"linear": models.logistic}), ["model"])
+
+
+@query()
+def m15_late_fusion(spark, sf_dir):
+    s, samples, folds = _vectors(spark, sf_dir, 2)
+    alone = [models.out_of_fold(s.cells.filter(F.col("modality") == m), samples, folds, model=f"linear::{m}") for m in ("emb_lo", "emb_hi")]
+    return metrics.confusion_scores(models.stacked(alone[0].unionByName(alone[1]), samples, folds), ["model"])
 
 
 @query()
 def m20_shuffled_target_control(spark, sf_dir):
-    s = A.embeddings(spark, sf_dir)
-    control = models.shuffled_target(s.samples)
-    pred = models.out_of_fold(s.cells, control, splits.grouped(s.samples, 3), model="control::shuffled")
+    s, samples, folds = _vectors(spark, sf_dir)
+    pred = models.out_of_fold(s.cells, models.shuffled_target(samples), folds, model="control::shuffled-target")
     return metrics.confusion_scores(pred, ["model"])
 
 
+@query(f"""WITH {A.EVENTS_DAY_SQL} SELECT modality, feature, count(*) AS n, round(sum(value), 4) AS total, round(min(value), 6) AS least, round(max(value), 6) AS most FROM cells GROUP BY ALL""")
+def m21_shuffled_features(spark, sf_dir):
+    """A permutation keeps each column's values; what moves is held by a test."""
+    s = A.events_day(spark, sf_dir)
+    out = models.shuffled_features(s.cells, s.samples).groupBy("modality", "feature")
+    return out.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"), F.round(F.min("value"), 6).alias("least"), F.round(F.max("value"), 6).alias("most"))
+
+
+@query(f"WITH {A.EVENTS_DAY_SQL} SELECT modality, feature, (SELECT count(*) FROM samples) AS n, true AS standard FROM features")
+def m22_noise_control(spark, sf_dir):
+    """Cells of a standard normal in the study's full shape; `standard`: mean and spread within five standard errors."""
+    s = A.events_day(spark, sf_dir)
+    out = models.noise(s.samples, s.features).groupBy("modality", "feature").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("m"), F.stddev_pop("value").alias("d"))
+    near = (F.abs("m") < 5 / F.sqrt("n")) & (F.abs(F.col("d") - 1) < 5 / F.sqrt(2 * F.col("n")))
+    return out.select("modality", "feature", "n", near.alias("standard"))
+
+
 @query(f"""WITH {A.ORDERS_SQL}, x AS (SELECT sample_id, 'given' AS modality, unnest(['same', 'line', 'other']) AS feature, unnest([target, target * 2 + 1, length(label)::DOUBLE]) AS value FROM samples),
 p AS (SELECT x.*, target AS y FROM x JOIN samples USING (sample_id)) SELECT modality, feature, bool_and(value = y) AS equal, count(DISTINCT (value, y)) = count(DISTINCT value) AND count(DISTINCT (value, y)) = count(DISTINCT y) AS bijection, feature <> 'other' AS affine FROM p GROUP BY ALL""")
 def m25_target_copies(spark, sf_dir):
@@ -153,4 +245,8 @@ def m25_target_copies(spark, sf_dir):
 @query()
 def m28_masked(spark, sf_dir):
     s = A.embeddings(spark, sf_dir)
-    return models.masked(s.cells, 0.2).groupBy("modality").agg(F.count(F.lit(1)).alias("n"))
+    parts = [models.masked(s.cells, 0.2, mechanism=m, samples=s.samples).withColumn("mechanism", F.lit(m)) for m in ("mcar", "mar", "mnar", "batch", "sample")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.groupBy("mechanism", "modality").agg(F.count(F.lit(1)).alias("n"))

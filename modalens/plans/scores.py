@@ -65,17 +65,18 @@ def e2_average_precision(spark, sf_dir):
 
 @query(f"""WITH {PRED_SQL}, c AS (SELECT model, sum((y = 1 AND pred = 1)::INT)::DOUBLE AS tp, sum((y = 0 AND pred = 0)::INT)::DOUBLE AS tn, sum((y = 0 AND pred = 1)::INT)::DOUBLE AS fp, sum((y = 1 AND pred = 0)::INT)::DOUBLE AS fn FROM pred GROUP BY 1)
 SELECT model, (tp + tn + fp + fn)::BIGINT AS n, round((tp + tn) / (tp + tn + fp + fn), 6) AS accuracy, round((tp / (tp + fn) + tn / (tn + fp)) / 2, 6) AS balanced_accuracy,
- round((2 * tp / (2 * tp + fp + fn) + 2 * tn / (2 * tn + fp + fn)) / 2, 6) AS macro_f1, round((tp * tn - fp * fn) / sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)), 6) AS mcc FROM c""")
+ round(2 * tp / (2 * tp + fp + fn), 6) AS f1, round((2 * tp / (2 * tp + fp + fn) + 2 * tn / (2 * tn + fp + fn)) / 2, 6) AS macro_f1, round((tp * tn - fp * fn) / sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)), 6) AS mcc FROM c""")
 def e3_confusion_scores(spark, sf_dir):
-    return rounded(metrics.confusion_scores(predictions(spark, sf_dir), ["model"]), "accuracy", "balanced_accuracy", "macro_f1", "mcc")
+    return rounded(metrics.confusion_scores(predictions(spark, sf_dir), ["model"]), "accuracy", "balanced_accuracy", "f1", "macro_f1", "mcc")
 
 
-@query("""SELECT l_returnflag AS model, count(*) AS n, round(1 - sum((y - s) ** 2) / (var_pop(y) * count(*)), 5) AS r2, round(sqrt(avg((y - s) ** 2)), 4) AS rmse, round(avg(abs(y - s)), 4) AS mae, round(corr(y, s), 6) AS pearson
-FROM (SELECT l_returnflag, l_extendedprice AS y, l_quantity * 1500 AS s FROM lineitem) GROUP BY 1""")
+@query("""SELECT l_returnflag AS model, count(*) AS n, round(1 - sum((y - s) ** 2) / (var_pop(y) * count(*)), 5) AS r2, round(sqrt(avg((y - s) ** 2)), 4) AS rmse, round(avg(abs(y - s)), 4) AS mae, round(corr(y, s), 6) AS pearson, round(corr(ry, rs), 6) AS spearman
+FROM (SELECT *, rank() OVER (PARTITION BY l_returnflag ORDER BY y) + (count(*) OVER (PARTITION BY l_returnflag, y) - 1) / 2 AS ry, rank() OVER (PARTITION BY l_returnflag ORDER BY s) + (count(*) OVER (PARTITION BY l_returnflag, s) - 1) / 2 AS rs
+ FROM (SELECT l_returnflag, l_extendedprice AS y, l_quantity * 1500 AS s FROM lineitem)) GROUP BY 1""")
 def e4_regression_scores(spark, sf_dir):
     p = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("model"), F.col("l_extendedprice").alias("y"), (F.col("l_quantity") * 1500).alias("score"))
     out = metrics.regression_scores(p, ["model"])
-    return out.withColumns({"r2": F.round("r2", 5), "rmse": F.round("rmse", 4), "mae": F.round("mae", 4), "pearson": F.round("pearson", 6)})
+    return out.withColumns({"r2": F.round("r2", 5), "rmse": F.round("rmse", 4), "mae": F.round("mae", 4), "pearson": F.round("pearson", 6), "spearman": F.round("spearman", 6)})
 
 
 @query(f"""WITH {A.SURVIVAL_SQL}, p AS (SELECT i.x AS ri, j.x AS rj FROM surv i JOIN surv j ON j.time > i.time WHERE i.event = 1)
@@ -84,10 +85,12 @@ def e5_concordance(spark, sf_dir):
     return rounded(metrics.concordance(A.survival(spark, sf_dir).withColumnRenamed("x", "risk")), "c_index")
 
 
-@query(f"""WITH {PRED_SQL}, b AS (SELECT model, least(floor(score * 10), 9)::INT AS bin, count(*) AS m, avg(score) AS ms, avg(y) AS my FROM pred GROUP BY ALL),
-g AS (SELECT model, sum(m * abs(my - ms)) AS g FROM b GROUP BY 1) SELECT model, count(*) AS n, round(avg((score - y) ** 2), 6) AS brier, round(any_value(g) / count(*), 6) AS ece FROM pred JOIN g USING (model) GROUP BY 1""")
+@query(f"""WITH {PRED_SQL}, pq AS (FROM pred UNION ALL BY NAME SELECT * REPLACE ('flat' AS model, 0.5 AS score) FROM pred WHERE model = 'F'), b AS (SELECT model, least(floor(score * 10), 9)::INT AS bin, count(*) AS m, avg(score) AS ms, avg(y) AS my FROM pq GROUP BY ALL),
+g AS (SELECT model, sum(m * abs(my - ms)) AS g FROM b GROUP BY 1) SELECT model, count(*) AS n, CASE WHEN model <> 'flat' THEN round(avg((score - y) ** 2), 6) END AS brier, CASE WHEN model <> 'flat' THEN round(any_value(g) / count(*), 6) END AS ece FROM pq JOIN g USING (model) GROUP BY 1""")
 def e6_calibration(spark, sf_dir):
-    return rounded(metrics.calibration(predictions(spark, sf_dir), ["model"]), "brier", "ece")
+    p = predictions(spark, sf_dir)
+    flat = p.filter("model = 'F'").withColumn("model", F.lit("flat")).withColumn("score", F.lit(0.5))  # a constant score has none
+    return rounded(metrics.calibration(p.unionByName(flat), ["model"]), "brier", "ece")
 
 
 @query(f"WITH {PRED_SQL} SELECT model, least(floor(score * 10), 9)::INT AS bin, count(*) AS m, round(avg(score), 6) AS mean_score, round(avg(y), 6) AS mean_y FROM pred GROUP BY ALL")
@@ -116,9 +119,10 @@ def _fold_scores(spark, sf_dir):
 
 @query(f"""WITH {PRED_SQL}, a AS ({auroc_sql('model, outer_fold').replace('round(', '(').replace(', 6)', ')')}),
 g AS (SELECT max(auroc) FILTER (model = 'F') - max(auroc) FILTER (model = 'O') AS g FROM a GROUP BY outer_fold)
-SELECT count(*) AS k, round(avg(g), 6) AS gain, round(avg(g) / sqrt(var_samp(g) * (1 / count(*) + 1 / (count(*) - 1))), 4) AS t FROM g""")
+SELECT count(*) AS k, round(avg(g), 6) AS gain, round(avg(g) / sqrt(var_samp(g) * (1 / count(*) + 1 / (count(*) - 1))), 4) AS t,
+ round(1 - abs(avg(g) / sqrt(var_samp(g) * (1 / count(*) + 1 / (count(*) - 1)))) / sqrt(4 + (avg(g) / sqrt(var_samp(g) * (1 / count(*) + 1 / (count(*) - 1)))) ** 2) * (1 + 2 / (4 + (avg(g) / sqrt(var_samp(g) * (1 / count(*) + 1 / (count(*) - 1)))) ** 2)), 5) AS p FROM g""")
 def e9_corrected_t(spark, sf_dir):
-    return bootstrap.corrected_t(_fold_scores(spark, sf_dir), []).select("k", F.round("gain", 6).alias("gain"), F.round("t", 4).alias("t"))
+    return bootstrap.corrected_t(_fold_scores(spark, sf_dir), []).select("k", F.round("gain", 6).alias("gain"), F.round("t", 4).alias("t"), F.round("p", 5).alias("p"))
 
 
 @query(f"WITH {PRED_SQL}, a AS ({auroc_sql('model, stratum')}) SELECT model, stratum, n, n_pos, auroc, round(max(auroc) OVER (PARTITION BY model) - min(auroc) OVER (PARTITION BY model), 5) AS gap FROM a")
@@ -183,38 +187,57 @@ def x3_stratified(spark, sf_dir):
     return _even(splits.stratified(s, 5, "label"), s, "label")
 
 
-_NONE = "SELECT unnest(['divided group', 'not covered', 'covered twice', 'unknown sample']) AS rule, 0::BIGINT AS n"
+def _dealt_sql(ctes: str, table: str, k: int, group: str, label: str) -> str:
+    """Rows, classes and divided groups of each fold when groups are dealt in turn; which of equal groups comes first doesn't matter."""
+    return f"""WITH {ctes}, per AS (SELECT {group} AS g, {label} AS c, count(*) AS m FROM {table} GROUP BY ALL),
+kind AS (SELECT g, sum(m) AS size, string_agg(c, ',' ORDER BY c) AS classes, string_agg(m::VARCHAR, ',' ORDER BY c) AS counts FROM per GROUP BY g),
+place AS (SELECT g, row_number() OVER (ORDER BY classes, size DESC, counts) - 1 AS pl FROM kind), fold AS (SELECT g, CASE WHEN pl // {k} % 2 = 0 THEN pl % {k} ELSE {k} - 1 - pl % {k} END::INT AS outer_fold FROM place)
+SELECT outer_fold, c AS label, sum(m)::BIGINT AS n, count(DISTINCT g) AS groups, 0::BIGINT AS violations FROM per JOIN fold USING (g) GROUP BY ALL"""
+
 
+def _dealt(samples, folds, label=None, group="group_id"):
+    name = F.col(label).cast("string") if label else F.lit("")
+    rows = samples.select("sample_id", F.col(group).alias("g"), name.alias("label")).join(folds, "sample_id")
+    bad = splits.violations(samples, folds, group).agg(F.sum("n").alias("violations"))
+    return rows.groupBy("outer_fold", "label").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("g").alias("groups")).join(F.broadcast(bad))
 
-@query(_NONE)
+
+@query(_dealt_sql(A.ORDERS_SQL, "samples", 5, "group_id", "''"))
 def x4_group_folds(spark, sf_dir):
     s = A.orders(spark, sf_dir).samples
-    return splits.violations(s, splits.grouped(s, 5))
+    return _dealt(s, splits.grouped(s, 5))
 
 
-@query(_NONE)
+@query(_dealt_sql(A.EVENTS_DAY_SQL, "samples", 5, "group_id", "y::VARCHAR"))
 def x5_stratified_group_folds(spark, sf_dir):
     s = A.events_day(spark, sf_dir).samples
-    return splits.violations(s, splits.grouped(s, 5, "y"))
+    return _dealt(s, splits.grouped(s, 5, "y"), "y")
 
 
-@query(_NONE)
+@query(_dealt_sql(A.SURVIVAL_SQL, "surv", 5, "(sample_id::BIGINT % 40)", "event::VARCHAR"))
 def x6_survival_folds(spark, sf_dir):
-    s = A.survival(spark, sf_dir).withColumn("group_id", F.col("sample_id"))
-    return splits.violations(s, splits.grouped(s, 5, "event"))
+    s = A.survival(spark, sf_dir).withColumn("group_id", F.col("sample_id").cast("long") % 40)
+    return _dealt(s, splits.grouped(s, 5, "event"), "event")
 
 
-@query(_NONE)
+@query(_dealt_sql(A.EVENTS_DAY_SQL, "samples", 3, "batch", "''"))
 def x7_batch_folds(spark, sf_dir):
     s = A.events_day(spark, sf_dir).samples
-    return splits.violations(s, splits.grouped(s, 3, group="batch"), "batch")
+    return _dealt(s, splits.blocked(s, 3), group="batch")
 
 
-@query(f"WITH {A.EMBEDDINGS_SQL} SELECT f AS outer_fold, count(*) * 4 // 5 AS n_train FROM samples, range(5) r(f) GROUP BY 1")
+@query(f"WITH {A.EVENTS_DAY_SQL} SELECT 'naive' AS arm, y::VARCHAR AS label, 5::BIGINT AS folds, {_EVEN} FROM samples GROUP BY y")
+def x8_naive_arm(spark, sf_dir):
+    s = A.events_day(spark, sf_dir).samples
+    return _even(splits.naive(s, 5, "y").drop("arm"), s.withColumn("label", F.col("y").cast("string")).select("sample_id", "label"), "label").withColumn("arm", F.lit("naive"))
+
+
+@query(f"""WITH {A.EMBEDDINGS_SQL}, f AS (SELECT *, (sample_id::BIGINT // 7 % 5)::INT AS own FROM samples), k AS (SELECT DISTINCT own AS outer_fold FROM f), c AS (SELECT outer_fold, y, count(*) AS m FROM f, k WHERE own <> outer_fold GROUP BY ALL)
+SELECT outer_fold, i::INT AS inner_fold, sum(m // 4 + (i < m % 4)::INT)::BIGINT AS n FROM c, range(4) r(i) GROUP BY ALL""")
 def x9_inner_folds(spark, sf_dir):
     s = A.embeddings(spark, sf_dir).samples
-    inner = splits.inner(s, splits.k_fold(s, 5), 4, "y")
-    return inner.groupBy(F.col("outer_fold").cast("long").alias("outer_fold")).agg(F.count(F.lit(1)).alias("n_train"))
+    inner = splits.inner(s, s.select("sample_id", F.expr("int(bigint(sample_id) div 7 % 5)").alias("outer_fold")), 4, "y")
+    return inner.groupBy("outer_fold", "inner_fold").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""WITH {A.ORDERS_SQL}, f AS (SELECT *, sample_id::BIGINT % 5 AS fold FROM samples), k AS (SELECT DISTINCT fold AS outer_fold FROM f)
@@ -331,12 +354,78 @@ def u1_cka(spark, sf_dir):
     return rounded(ledger.cka(A.embeddings(spark, sf_dir).cells), "cka")
 
 
-@query("""WITH v(modality, structured, confounded, gain, gain_p, alone, partner) AS (SELECT n_name, n_nationkey % 3 = 0, n_nationkey % 2 = 0, (n_nationkey - 12) / 100, n_nationkey / 25, 0.5 + n_nationkey / 60, CASE WHEN n_nationkey % 4 = 1 THEN 'other' END FROM nation)
-SELECT modality, CASE WHEN structured AND confounded THEN 'batch-confounded' WHEN gain > 0.01 AND gain_p < 0.05 THEN 'adds signal' WHEN partner IS NOT NULL THEN 'redundant' WHEN alone > 0.6 THEN 'informative alone' ELSE 'noise' END AS verdict FROM v""")
+#: Models over three modalities, by return flag: each alone, all together, all but one. The score of R is noise.
+FOLD_SQL = f"""{PRED_SQL}, lm AS (SELECT l_returnflag AS m, (l_orderkey % 5)::INT AS outer_fold, (l_quantity > 25)::INT AS y, CASE l_returnflag WHEN 'R' THEN l_tax WHEN 'N' THEN l_extendedprice / 100000 ELSE l_extendedprice / 100000 + l_tax * 4 END AS score FROM lineitem),
+ms AS (SELECT 'linear::' || m AS model, * FROM lm UNION ALL SELECT 'linear::FUSION', * FROM lm UNION ALL SELECT 'linear::FUSION-minus-' || x, lm.* FROM lm, (VALUES ('A'), ('N'), ('R')) v(x) WHERE m <> x),
+fr AS (SELECT *, rank() OVER (PARTITION BY model, outer_fold ORDER BY score) + (count(*) OVER (PARTITION BY model, outer_fold, score) - 1) / 2 AS r, rank() OVER (PARTITION BY model ORDER BY score) + (count(*) OVER (PARTITION BY model, score) - 1) / 2 AS rp FROM ms),
+fs AS (SELECT model, outer_fold, (sum(r) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * (count(*) - sum(y))) AS score FROM fr GROUP BY ALL),
+ps AS (SELECT model, (sum(rp) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * (count(*) - sum(y))) AS score FROM fr GROUP BY ALL),
+gg AS (SELECT right(w.model, 1) AS modality, f.score - w.score AS g FROM fs f JOIN fs w USING (outer_fold) WHERE f.model = 'linear::FUSION' AND w.model LIKE '%-minus-%'),
+gt AS (SELECT modality, count(*) AS k, avg(g) AS gain, avg(g) / sqrt(var_samp(g) * (1 / count(*) + 1 / (count(*) - 1))) AS t FROM gg GROUP BY 1),
+gp AS (SELECT *, 1 - abs(t) / sqrt(4 + t * t) * (1 + 2 / (4 + t * t)) AS gain_p FROM gt),
+al AS (SELECT right(model, 1) AS modality, score AS alone FROM ps WHERE model NOT LIKE '%FUSION%'),
+sp AS (SELECT l_suppkey, avg(l_extendedprice) FILTER (l_returnflag = 'A') AS a, avg(l_extendedprice) FILTER (l_returnflag = 'N') AS n, avg(l_extendedprice) FILTER (l_returnflag = 'R') AS r FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_returnflag) = 3),
+ck(modality_a, modality_b, cka) AS (SELECT 'A', 'N', corr(a, n) ** 2 FROM sp UNION ALL SELECT 'A', 'R', corr(a, r) ** 2 FROM sp UNION ALL SELECT 'N', 'R', corr(n, r) ** 2 FROM sp),
+pa AS (SELECT x.modality, y.modality AS partner, cka FROM al x JOIN al y ON x.modality <> y.modality AND y.alone >= x.alone JOIN ck ON modality_a = least(x.modality, y.modality) AND modality_b = greatest(x.modality, y.modality)
+ QUALIFY row_number() OVER (PARTITION BY x.modality ORDER BY cka DESC, partner) = 1)"""
+
+
+def _models(spark, sf_dir):
+    m, price = F.col("l_returnflag"), F.col("l_extendedprice") / 100000
+    score = F.when(m == "R", F.col("l_tax")).when(m == "N", price).otherwise(price + F.col("l_tax") * 4)
+    minus = F.transform(F.filter(F.array(*map(F.lit, "ANR")), lambda x: x != m), lambda x: F.concat(F.lit("linear::FUSION-minus-"), x))
+    names = F.concat(F.array(F.concat(F.lit("linear::"), m), F.lit("linear::FUSION")), minus)
+    return table(spark, sf_dir, "lineitem").select(F.explode(names).alias("model"), (F.col("l_orderkey") % 5).cast("int").alias("outer_fold"), (F.col("l_quantity") > 25).cast("int").alias("y"), score.alias("score"))
+
+
+def _ledger(spark, sf_dir):
+    rows = _models(spark, sf_dir)
+    folds = metrics.auroc(rows, ["model", "outer_fold"]).select("model", "outer_fold", F.col("auroc").alias("score"))
+    pooled = metrics.auroc(rows, ["model"]).select("model", F.col("auroc").alias("score"))
+    price = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").cast("string").alias("sample_id"), F.col("l_returnflag").alias("modality"), F.lit("price").alias("feature")).agg(F.avg("l_extendedprice").alias("value"))
+    complete = price.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n")).filter("n = 3")
+    return ledger.gains(folds), ledger.standalone(pooled), ledger.cka(price.join(complete, "sample_id", "left_semi"))
+
+
+@query(f"WITH {FOLD_SQL} SELECT modality, k, round(gain, 6) AS gain, round(t, 3) AS t, round(gain_p, 5) AS gain_p, round(alone, 6) AS alone FROM gp JOIN al USING (modality)")
+def u2_gains(spark, sf_dir):
+    gains, alone, _ = _ledger(spark, sf_dir)
+    out = gains.join(alone, "modality")
+    return out.select("modality", "k", F.round("gain", 6).alias("gain"), F.round("t", 3).alias("t"), F.round("gain_p", 5).alias("gain_p"), F.round("alone", 6).alias("alone"))
+
+
+@query(f"WITH {FOLD_SQL} SELECT modality, partner, round(cka, 5) AS cka FROM pa".replace("FROM lineitem GROUP BY 1),\npa", "FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_returnflag) = 3),\npa"))
+def u3_partners(spark, sf_dir):
+    _, alone, aligned = _ledger(spark, sf_dir)
+    return ledger.partner(aligned, alone).select("modality", "partner", F.round("cka", 5).alias("cka"))
+
+
+@query("""WITH c AS (SELECT 'control::' || l_linenumber AS name, avg((l_quantity > 20)::INT) AS score, CASE WHEN l_linenumber < 5 THEN avg((l_quantity > 20)::INT) - 0.05 * l_linenumber END AS ci_low FROM lineitem GROUP BY l_linenumber)
+SELECT name, round(score, 6) AS score, (ci_low IS NULL OR ci_low > 0.45) AND score > 0.45 + 0.12 AS leak FROM c""")
+def u4_leaks(spark, sf_dir):
+    score = F.avg((F.col("l_quantity") > 20).cast("int"))
+    c = table(spark, sf_dir, "lineitem").groupBy("l_linenumber").agg(score.alias("score"))
+    c = c.select(F.concat(F.lit("control::"), F.col("l_linenumber").cast("string")).alias("name"), "score", F.when(F.col("l_linenumber") < 5, F.col("score") - 0.05 * F.col("l_linenumber")).alias("ci_low"))
+    return ledger.leaks(c, chance=0.45).select("name", F.round("score", 6).alias("score"), "leak")
+
+
+@query(f"""WITH {FOLD_SQL}, b AS (SELECT l_returnflag AS modality, avg((l_linestatus = 'F')::INT) > 0.9 AS structured FROM lineitem GROUP BY 1),
+v AS (SELECT modality, structured, gain, gain_p, alone > 0.55 AS useful, partner, cka, gain > 0.01 AS pos, gain > 0.01 AND gain_p < 0.05 AS sig FROM gp JOIN al USING (modality) JOIN b USING (modality) LEFT JOIN pa USING (modality))
+SELECT o.confounded, modality, CASE WHEN sig THEN 'adds_sig' WHEN pos THEN 'adds_ns' ELSE 'none' END AS gain_state, partner IS NOT NULL AND coalesce(cka > 0.5, false) AND NOT sig AS redundant,
+ CASE WHEN structured AND o.confounded AND NOT sig THEN 'batch-confounded (no marginal gain)' WHEN useful AND sig THEN 'predictive (adds marginal signal)' WHEN useful AND pos THEN 'informative alone (fusion gain not significant)'
+ WHEN useful AND partner IS NOT NULL AND cka > 0.5 THEN 'redundant (subsumed by ' || partner || ')' WHEN useful THEN 'informative but non-additive' ELSE 'no detectable signal (control-like)' END AS verdict
+FROM v, (VALUES (true), (false)) o(confounded)""".replace("FROM lineitem GROUP BY 1),\npa", "FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_returnflag) = 3),\npa"))
 def u6_verdicts(spark, sf_dir):
-    k = F.col("n_nationkey")
-    t = table(spark, sf_dir, "nation").select(
-        F.col("n_name").alias("modality"), (k % 3 == 0).alias("structured"), (k % 2 == 0).alias("confounded"), ((k - 12) / 100).alias("gain"), (k / 25).alias("gain_p"),
-        (0.5 + k / 60).alias("alone"), F.when(k % 4 == 1, "other").alias("partner"),
-    )
-    return ledger.verdicts(t)
+    gains, alone, aligned = _ledger(spark, sf_dir)
+    batch = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("modality")).agg((F.avg((F.col("l_linestatus") == "F").cast("int")) > 0.9).alias("structured"))
+    t = gains.join(alone, "modality").join(batch, "modality").join(ledger.partner(aligned, alone), "modality", "left")
+    one = lambda c: ledger.verdicts(t.withColumn("confounded", F.lit(c))).withColumn("confounded", F.lit(c))
+    return one(True).unionByName(one(False))
+
+
+@query(f"""WITH {FOLD_SQL}, b AS (SELECT avg(score) AS blocked FROM fs WHERE model = 'linear::FUSION-minus-A') SELECT round(score, 6) AS standard, round(blocked, 6) AS blocked, round(score - blocked, 6) AS optimism_gap FROM ps, b WHERE model = 'linear::FUSION'""")
+def u8_optimism(spark, sf_dir):
+    rows = _models(spark, sf_dir)
+    pooled = metrics.auroc(rows, ["model"]).select("model", F.col("auroc").alias("score"))
+    blocked = metrics.auroc(rows.filter("model = 'linear::FUSION-minus-A'"), ["outer_fold"]).agg(F.avg("auroc").alias("score")).select(F.lit("stress::batch-blocked-FUSION").alias("model"), "score")
+    return rounded(ledger.optimism(pooled.unionByName(blocked)), "standard", "blocked", "optimism_gap")

@@ -60,8 +60,10 @@ def test_event_labels(spark):
     words = ["1:DECEASED", "0:LIVING", "yes", "alive", "maybe", None]
     out = clean.event(spark.createDataFrame([(i, x) for i, x in enumerate(words)], "i int, e string"), "e")
     assert [r.event_code for r in out.orderBy("i").collect()] == [1, 0, 1, 0, None, None]
-    numeric = spark.createDataFrame([(str(i % 2),) for i in range(9)] + [("7",)], "e string")
-    assert sorted(str(r.event_code) for r in clean.event(numeric, "e").collect()) == ["0"] * 5 + ["1"] * 4 + ["None"]
+    numeric = spark.createDataFrame([(str(i % 2),) for i in range(9)] + [("dead",)], "e string")
+    assert sorted(str(r.event_code) for r in clean.event(numeric, "e").collect()) == ["0.0"] * 5 + ["1.0"] * 4 + ["None"]
+    other = spark.createDataFrame([(str(i % 2),) for i in range(9)] + [("7",)], "e string")  # not 0 and 1 alone
+    assert sorted(r.event_code for r in clean.event(other, "e").collect()) == [0.0] * 5 + [1.0] * 4 + [7.0]
 
 
 def test_numbers_that_a_cast_would_take(spark):

@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from modalens.operators import bootstrap, ledger, models, projection
 from modalens.plans import registry
 from modalens.sources import adapters as A
 
@@ -40,3 +41,67 @@ def test_silhouette_of_all_dimensions(spark, run):
         s.append(0 if a is None else (b - a) / max(a, b))
     got = run("b3_silhouette_dimensions").first()
     assert got.n == len(x) and abs(got.silhouette - np.mean(s)) < 2e-5
+
+
+def test_components_equal_the_eigenvectors_of_the_correlations(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(60, 6)) @ rng.normal(size=(6, 6))
+    x[rng.random(x.shape) < 0.1] = np.nan
+    rows = [(f"s{i}", "m", f"f{j}", float(x[i, j])) for i in range(60) for j in range(6) if not np.isnan(x[i, j])]
+    points, explained = projection.components(spark.createDataFrame(rows, "sample_id string, modality string, feature string, value double"), k=3)
+    full = np.where(np.isnan(x), np.nanmean(x, axis=0), x)
+    z = (full - full.mean(0)) / full.std(0)
+    values, axes = np.linalg.eigh(z.T @ z)
+    axes, values = axes[:, ::-1][:, :3], values[::-1]
+    axes = axes * np.sign(axes[np.abs(axes).argmax(0), range(3)])
+    got = {r.sample_id: r.coordinates for r in points.collect()}
+    assert np.allclose([got[f"s{i}"] for i in range(60)], z @ axes, atol=1e-6)
+    assert np.allclose([r.explained for r in explained.orderBy("component").collect()], (values / values.sum())[:3])
+
+
+def test_auroc_replicates_equal_weighted_scores(spark):
+    rng = np.random.default_rng(6)
+    rows = [("a" if i % 2 else "b", f"g{rng.integers(0, 12)}", int(rng.integers(0, 2)), float(rng.integers(0, 15)) / 15) for i in range(400)]
+    pred = spark.createDataFrame(rows, "model string, group_id string, y int, score double")
+    drawn = {(r.rep, r.group_id): r.w for r in bootstrap.group_weights(pred, 30, 3).collect()}
+    got = {(r.model, r.rep): r.auroc for r in bootstrap.auroc_replicates(pred, bootstrap.group_vectors(pred, 30, 3, "group_id"), ["model"], 30, ranges=4).collect()}
+    for model in "ab":
+        for rep in range(30):
+            own = [(s, y, drawn.get((rep, g), 0)) for m, g, y, s in rows if m == model]
+            p, q = [(s, w) for s, y, w in own if y], [(s, w) for s, y, w in own if not y]
+            u = sum(w * v * ((s > t) + (s == t) / 2) for s, w in p for t, v in q)
+            assert abs(got[model, rep] - u / (sum(w for _, w in p) * sum(w for _, w in q))) < 1e-9
+
+
+def test_ridge_equals_its_closed_form(spark):
+    rng = np.random.default_rng(9)
+    x, n = rng.normal(size=(90, 3)), 90
+    y = x @ [1.0, -2.0, 0.5] + rng.normal(size=n)
+    rows = [(f"s{i}", "m", f"f{j}", float(x[i, j])) for i in range(n) for j in range(3)]
+    cells = spark.createDataFrame(rows, "sample_id string, modality string, feature string, value double")
+    samples = spark.createDataFrame([(f"s{i}", float(y[i])) for i in range(n)], "sample_id string, y double")
+    folds = spark.createDataFrame([(f"s{i}", i % 3) for i in range(n)], "sample_id string, outer_fold int")
+    got = {r.sample_id: r.score for r in models.out_of_fold_regression(cells, samples, folds).collect()}
+    for k in range(3):
+        t, v = np.arange(n) % 3 != k, np.arange(n) % 3 == k
+        z = (x - x[t].mean(0)) / x[t].std(0)
+        w = np.linalg.solve(z[t].T @ z[t] + np.eye(3), z[t].T @ (y[t] - y[t].mean()))
+        assert np.allclose([got[f"s{i}"] for i in np.flatnonzero(v)], z[v] @ w + y[t].mean(), atol=1e-6)
+
+
+def test_shuffled_features_move_and_masks_take_their_share(spark):
+    cells = spark.createDataFrame([(f"s{i}", "m", f"f{j}", float(i)) for i in range(200) for j in range(4)], "sample_id string, modality string, feature string, value double")
+    samples = spark.createDataFrame([(f"s{i}", f"b{i % 4}") for i in range(200)], "sample_id string, batch string")
+    moved = {(r.feature, r.sample_id): r.value for r in models.shuffled_features(cells, samples).collect()}
+    assert len(moved) == 800 and sum(int(s[1:]) == v for (_, s), v in moved.items()) < 80
+    assert len({tuple(moved[f"f{j}", f"s{i}"] for i in range(200)) for j in range(4)}) > 1
+    for mechanism in ("mcar", "mar", "mnar", "batch", "sample"):
+        left = models.masked(cells, 0.2, mechanism=mechanism, samples=samples)
+        assert 0.6 < left.count() / 800 < 0.98
+    assert models.masked(cells, 0.3, mechanism="mnar").agg({"value": "avg"}).first()[0] < 90
+
+
+def test_verdicts_of_one_modality(spark):
+    t = spark.createDataFrame([("a", True, True, 0.9), ("b", False, True, 0.9), ("c", False, True, 0.52)], "modality string, structured boolean, confounded boolean, alone double")
+    got = {r.modality: r.verdict for r in ledger.verdicts(t, single=True).collect()}
+    assert got == {"a": "batch-confounded", "b": "predictive (standalone)", "c": "no detectable signal (near chance)"}
