@@ -96,18 +96,20 @@ def licences(files: DataFrame, least: float = 0.5, id_col: str = "doc_id", path_
     named = judged.filter("u IS NOT NULL")
     pairs = named.groupBy("u").agg(F.count(F.lit(1)).alias("files"), F.min("parts").alias("parts")).select("u", "files", F.explode("parts").alias("p")).select("u", "files", "p.*")
     counted = pairs.groupBy("v").agg(F.sum("files").alias("files"), F.min("titles").alias("titles"), F.min("terms").alias("terms"))
+    counted = written(counted, "header-vectors")
+    n = spark.createDataFrame([(counted.agg(F.coalesce(F.sum("files"), F.lit(0))).first()[0],)], "n long")
     tf = counted.select("v", "files", "titles", F.explode("terms").alias("term")).groupBy("v", "files", "titles", "term").agg(F.count(F.lit(1)).alias("tf"))
-    n = counted.agg(F.coalesce(F.sum("files"), F.lit(0)).alias("n"))
     idf = tf.groupBy("term").agg(F.sum("files").alias("df"))
+    idf = written(idf.join(F.broadcast(n)), "idf")  # terms of headers, few beside the texts
     weigh = lambda x: x.withColumn("w", F.col("tf") * (F.ln((1 + F.col("n")) / (1 + F.coalesce("df", F.lit(0)))) + 1))
-    weighted = weigh(tf.join(idf, "term").join(F.broadcast(n)))
+    weighted = written(weigh(tf.join(idf, "term")), "weights")
     own = weighted.groupBy("v").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len_v"))
 
     def scored(templates: list[tuple[str, str]], vectors: DataFrame, keys: list[str]) -> DataFrame:
         """Cosines of vectors with the templates that they share a term with."""
         known = spark.createDataFrame(templates, "license string, text string")
         known = known.select("license", F.explode(terms(F.col("text"))).alias("term")).groupBy("license", "term").agg(F.count(F.lit(1)).alias("tf"))
-        known = weigh(known.join(idf, "term", "left").join(F.broadcast(n))).select("license", "term", F.col("w").alias("wt"))
+        known = weigh(known.join(idf.select("term", "df"), "term", "left").join(F.broadcast(n))).select("license", "term", F.col("w").alias("wt"))
         lengths = known.groupBy("license").agg(F.sqrt(F.sum(F.col("wt") * F.col("wt"))).alias("len_t"))
         dots = vectors.join(F.broadcast(known), keys).groupBy("v", "license").agg(F.sum(F.col("w") * F.col("wt")).alias("dot"))
         return dots.join(own, "v").join(F.broadcast(lengths), "license").select("v", "license", F.round(F.col("dot") / (F.col("len_v") * F.col("len_t")), 6).alias("score"))
@@ -117,9 +119,9 @@ def licences(files: DataFrame, least: float = 0.5, id_col: str = "doc_id", path_
     titled = weighted.filter("size(titles) > 0").withColumn("license", F.explode("titles"))
     cosines = scored(list(TEMPLATES.items()), weighted, ["term"]).unionByName(scored(bodies, titled, ["license", "term"]))
     best = pairs.select("u", "v").join(cosines, "v").groupBy("u").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b"))
-    best = best.select("u", (-F.col("b.s")).alias("score"), F.col("b.license").alias("found"))
+    best = written(best.select("u", (-F.col("b.s")).alias("score"), F.col("b.license").alias("found")), "best")
 
-    judged = judged.join(best, "u", "left").select("id", "path", "whole", "score", F.when(F.col("score") >= least, F.col("found")).alias("own_license"))
+    judged = written(judged.join(best, "u", "left").select("id", "path", "whole", "score", F.when(F.col("score") >= least, F.col("found")).alias("own_license")), "own-licences")
     dirs = judged.filter(F.col("whole") & F.col("own_license").isNotNull()).select(directory(F.col("path")).alias("dir"), "own_license").filter("dir IS NOT NULL")
     dirs = dirs.groupBy("dir").agg(F.min("own_license").alias("dir_license"))
     above = judged.filter("own_license IS NULL AND path LIKE '%/%'").select("path").distinct()
