@@ -94,15 +94,15 @@ def licences(files: DataFrame, least: float = 0.5, id_col: str = "doc_id", path_
     marked = rows.withColumn("titles", titles).select("id", "path", "whole", F.when(F.col("text").rlike(MARK), parts).alias("parts"))
     judged = written(marked.withColumn("u", F.array_join("parts.v", " ")), "headers")
     named = judged.filter("u IS NOT NULL")
-    pairs = named.groupBy("u").agg(F.count(F.lit(1)).alias("files"), F.min("parts").alias("parts")).select("u", "files", F.explode("parts").alias("p")).select("u", "files", "p.*")
+    pairs = named.groupBy("u").agg(F.count(F.lit(1)).alias("files"), F.min("parts").alias("parts")).select("u", "files", F.explode("parts").alias("p")).select("u", "files", F.unhex("p.v").alias("v"), "p.titles", "p.terms")
     counted = pairs.groupBy("v").agg(F.sum("files").alias("files"), F.min("titles").alias("titles"), F.min("terms").alias("terms"))
     counted = written(counted, "header-vectors")
     n = spark.createDataFrame([(counted.agg(F.coalesce(F.sum("files"), F.lit(0))).first()[0],)], "n long")
-    tf = counted.select("v", "files", "titles", F.explode("terms").alias("term")).groupBy("v", "files", "titles", "term").agg(F.count(F.lit(1)).alias("tf"))
+    tf = counted.select("v", "files", F.explode("terms").alias("term")).groupBy("v", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("files").alias("files"))
     idf = tf.groupBy("term").agg(F.sum("files").alias("df"))
     idf = written(idf.join(F.broadcast(n)), "idf")  # terms of headers, few beside the texts
     weigh = lambda x: x.withColumn("w", F.col("tf") * (F.ln((1 + F.col("n")) / (1 + F.coalesce("df", F.lit(0)))) + 1))
-    weighted = written(weigh(tf.join(idf, "term")), "weights")
+    weighted = written(weigh(tf.select("v", "term", "tf").join(idf, "term")).select("v", "term", "w"), "weights")
     own = weighted.groupBy("v").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len_v"))
 
     def scored(templates: list[tuple[str, str]], vectors: DataFrame, keys: list[str]) -> DataFrame:
@@ -116,7 +116,7 @@ def licences(files: DataFrame, least: float = 0.5, id_col: str = "doc_id", path_
 
     folder = Path(__file__).with_name("licence_texts")
     bodies = [(k, (folder / f"{name}.txt").read_text("utf-8")) for k, (name, _) in BODIES.items()]
-    titled = weighted.filter("size(titles) > 0").withColumn("license", F.explode("titles"))
+    titled = weighted.join(counted.select("v", F.explode("titles").alias("license")), "v")
     cosines = scored(list(TEMPLATES.items()), weighted, ["term"]).unionByName(scored(bodies, titled, ["license", "term"]))
     best = pairs.select("u", "v").join(cosines, "v").groupBy("u").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b"))
     best = written(best.select("u", (-F.col("b.s")).alias("score"), F.col("b.license").alias("found")), "best")
