@@ -58,6 +58,32 @@ def outstanding(expected: DataFrame, observed: DataFrame, failed: DataFrame, key
     )
 
 
+def reindexed(cells: DataFrame, samples: DataFrame) -> DataFrame:
+    """Cells of the listed samples only; a listed sample without a cell stays absent."""
+    return cells.join(samples.select("sample_id").distinct(), "sample_id", "left_semi")
+
+
+def attempts(rows: DataFrame, failures: DataFrame, index: DataFrame, keys: list[str], condition: list[str]) -> DataFrame:
+    """(keys, condition, scored, failed, attempted): a failure names its dataset only, the task index its condition.
+
+    Datasets that the index doesn't list are left out on either side.
+    """
+    at = index.select("dataset_id", *condition).dropDuplicates(["dataset_id"])
+    both = rows.select("dataset_id", *keys, F.lit(1).alias("_s")).unionByName(failures.select("dataset_id", *keys, F.lit(0).alias("_s")))
+    per = both.groupBy("dataset_id", *keys).agg(F.sum("_s").alias("_s"), F.count(F.lit(1)).alias("_n"))
+    out = per.join(at, "dataset_id").groupBy(*keys, *condition).agg(F.sum("_s").alias("scored"), F.sum("_n").alias("attempted"))
+    return out.select(*keys, *condition, "scored", (F.col("attempted") - F.col("scored")).alias("failed"), "attempted")
+
+
+def result_sets(**tables: DataFrame) -> DataFrame:
+    """Results of several families of models in one table, a column that one of them lacks being null there."""
+    parts = [t.select(F.lit(name).alias("family"), "*") for name, t in tables.items()]
+    out = parts[0]
+    for t in parts[1:]:
+        out = out.unionByName(t, allowMissingColumns=True)
+    return out
+
+
 def paired_arms(rows: DataFrame, keys: list[str], arm: str, value: str, unsafe: str, safe: str) -> DataFrame:
     """(keys, unsafe, safe, gap) where both arms have a value: one aggregation instead of a self-join."""
     mean = lambda a: F.avg(F.when(F.col(arm) == a, F.col(value)))

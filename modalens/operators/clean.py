@@ -28,6 +28,8 @@ VERDICT_ROLES = (
     ("batch-confounded", "batch_confounded"), ("predictive (adds marginal signal)", "predictive"), ("predictive (standalone)", "predictive"),
     ("informative alone (fusion gain not significant)", "not_additive"), ("informative but non-additive", "not_additive"), ("redundant", "not_additive"), ("no detectable signal", "control_like"),
 )
+#: Ways to normalise ids of known kinds. The suffix is the sample and aliquot part of a barcode.
+PRESETS = {"none": {}, "tcga": {"upper": True, "suffixes": (r"(-\d{2}[A-Z])?(-\d{2}[A-Z]-\d{4}-\d{2})?$",)}}
 NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
@@ -63,7 +65,7 @@ def stripped(c: Column) -> Column:
 
 def once(c: Column, pattern: str) -> Column:
     """The string without the first match of the pattern."""
-    at, found = F.regexp_instr(c, F.lit(pattern)), F.regexp_substr(c, F.lit(pattern))
+    at, found = F.regexp_instr(c, F.lit(pattern)), F.coalesce(F.regexp_substr(c, F.lit(pattern)), F.lit(""))  # an empty match takes nothing away
     return F.when(at > 0, F.concat(F.substring(c, F.lit(1), at - 1), F.substring(c, at + F.length(found), F.length(c)))).otherwise(c)
 
 
@@ -95,6 +97,24 @@ def targets_dropped(samples: DataFrame, target: str) -> DataFrame:
     return samples.agg(F.sum(has.cast("long")).alias("n_kept"), F.sum((~has).cast("long")).alias("n_dropped"))
 
 
+def coded_only(cells: DataFrame, samples: DataFrame, target: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Cells and samples of those with a coded target, and (dropped), how many have none."""
+    y = F.col(target).cast("double")
+    has = y.isNotNull() & ~F.isnan(y)
+    kept = samples.filter(has)
+    dropped = samples.agg(F.coalesce(F.sum((~has).cast("long")), F.lit(0)).alias("dropped"))
+    return cells.join(kept.select("sample_id"), "sample_id", "left_semi"), kept, dropped
+
+
+def observed(cells: DataFrame, features: DataFrame) -> DataFrame:
+    """(modality, feature, note): which features stay, and which go with their modality or alone for want of a value."""
+    seen = cells.filter("value IS NOT NULL").select("modality", "feature").distinct().withColumn("_f", F.lit(True))
+    rows = features.select("modality", "feature").distinct().join(seen, ["modality", "feature"], "left")
+    rows = rows.join(seen.select("modality", F.lit(True).alias("_m")).distinct(), "modality", "left")
+    note = F.when(F.col("_m").isNull(), "modality dropped: no numeric data").when(F.col("_f").isNull(), "feature dropped: no observed value").otherwise("kept")
+    return rows.select("modality", "feature", note.alias("note"))
+
+
 def encoded(samples: DataFrame, label: str, positive: str | None = None) -> DataFrame:
     """samples with `code`: labels in order, the positive one last. The table of labels is one row per class."""
     from pyspark.sql import Window

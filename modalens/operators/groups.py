@@ -129,6 +129,18 @@ def log_rank(rows: DataFrame, time: str = "time", event: str = "event", batch: s
     return rows.groupBy(*keys, batch).agg(F.sum(F.col(event).cast("long")).alias("observed")).join(expected, [*keys, batch], "left").withColumn("expected", F.coalesce("expected", F.lit(0.0)))
 
 
+def families(tests: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """(family, n_tests, min_p, min_p_holm, warning) of (family, test, p): a family warns if any Holm-adjusted p is below alpha.
+
+    A test without p doesn't count; a family of those alone has null p and no warning. The smallest adjusted p is that of
+    the smallest p, so no window is needed.
+    """
+    low = F.least(F.lit(1.0), F.min("p") * F.count("p"))
+    return tests.groupBy("family").agg(F.count("p").alias("n_tests"), F.min("p").alias("min_p"), low.alias("min_p_holm"), F.coalesce(low < alpha, F.lit(False)).alias("warning")).withColumn(
+        "min_p_holm", F.when(F.col("n_tests") > 0, F.col("min_p_holm"))
+    )
+
+
 def feature_association(profile: DataFrame, groups: DataFrame, target: str, reps: int = 99, group: str = "group_id") -> DataFrame:
     """Per feature |Spearman| with a target and its permutation p; ranks are taken once, labels are shared by all features."""
     ranked = profile.withColumn("_x", window_ranks("missing", "modality", "feature"))

@@ -90,6 +90,49 @@ def reliability(pred: DataFrame, keys: list[str], bins: int = 10) -> DataFrame:
     return pred.groupBy(*keys, b).agg(F.count(F.lit(1)).alias("m"), F.avg("score").alias("mean_score"), F.avg("y").alias("mean_y"))
 
 
+def calibration_line(pred: DataFrame, keys: list[str], least: int = 20, steps: int = 40) -> DataFrame:
+    """(keys, events, nonevents, intercept, slope) of logistic recalibration on the score's logit.
+
+    The slope comes with an intercept of its own; the given intercept takes the logit as offset. Both are null with fewer
+    than `least` events or non-events, and where they don't converge (separable scores). Scores are held within 1e-9 of 0
+    and 1. Equal scores are counted first; a Newton step is one aggregation to a row per key.
+    """
+    from modalens.storage import dropped, written
+
+    p = F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), F.col("score")))
+    rows = pred.filter("score IS NOT NULL AND y IS NOT NULL AND NOT isnan(score)").groupBy(*keys, F.ln(p / (1 - p)).alias("x")).agg(F.sum(F.col("y").cast("long")).alias("k"), F.count(F.lit(1)).alias("n"))
+    rows = written(rows, "logits")
+    spark = rows.sparkSession
+    size = rows.groupBy(*keys).agg(F.sum("k").alias("events"), F.sum(F.col("n") - F.col("k")).alias("nonevents")).collect()  # a row per key
+    now = {tuple(r[c] for c in keys): [0.0, 1.0, 0.0, False] for r in size if min(r.events, r.nonevents) >= least}
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keys)])
+    w = lambda q: F.col("n") * q * (1 - q)
+    for _ in range(steps):
+        if all(v[3] for v in now.values()):
+            break
+        at = spark.createDataFrame([(*k, *v[:3]) for k, v in now.items()], f"{shape}, a double, b double, c double")
+        q, o = (1 / (1 + F.exp(-e)) for e in (F.col("a") + F.col("b") * F.col("x"), F.col("c") + F.col("x")))
+        x = F.col("x")
+        sums = rows.join(F.broadcast(at), keys).groupBy(*keys).agg(
+            F.sum(F.col("k") - F.col("n") * q).alias("g0"), F.sum((F.col("k") - F.col("n") * q) * x).alias("g1"), F.sum(w(q)).alias("h00"), F.sum(w(q) * x).alias("h01"),
+            F.sum(w(q) * x * x).alias("h11"), F.sum(F.col("k") - F.col("n") * o).alias("g"), F.sum(w(o)).alias("h"),
+        )
+        for r in sums.collect():
+            v, det = now[tuple(r[c] for c in keys)], r.h00 * r.h11 - r.h01 * r.h01
+            if v[3]:
+                continue
+            if not det > 1e-12 * max(1.0, r.h00 * r.h11) or not r.h > 1e-12:
+                v[:] = [None, None, None, True]
+                continue
+            step = ((r.h11 * r.g0 - r.h01 * r.g1) / det, (r.h00 * r.g1 - r.h01 * r.g0) / det, r.g / r.h)
+            short = min(1.0, 2 / max(1e-300, *map(abs, step)))
+            v[:3] = [u + short * s for u, s in zip(v[:3], step, strict=True)]
+            v[3] = max(map(abs, step)) < 1e-10
+    out = [(*(r[c] for c in keys), r.events, r.nonevents, *(now[k][2:0:-1] if (k := tuple(r[c] for c in keys)) in now and now[k][3] else (None, None))) for r in size]
+    dropped(rows)
+    return spark.createDataFrame(out, f"{shape}, events long, nonevents long, intercept double, slope double")
+
+
 def prevalence(pred: DataFrame, keys: list[str]) -> DataFrame:
     """The average precision of a score that knows nothing."""
     return pred.groupBy(*keys).agg(F.avg(F.col("y").cast("double")).alias("prevalence"))

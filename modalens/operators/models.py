@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from modalens.functions.rank import average_ranks, numbered
-from modalens.operators.batch import fold_moments
+from modalens.operators.batch import centred, fold_moments
 from modalens.operators.bootstrap import uniform
 from modalens.storage import written
 
@@ -151,13 +151,14 @@ def prepared(cells: DataFrame, samples: DataFrame, folds: DataFrame, top: int |
     return x.join(samples.select("sample_id", F.col("y").cast("double").alias("y")), "sample_id")
 
 
-def out_of_fold(cells: DataFrame, samples: DataFrame, folds: DataFrame, make=logistic, model: str = "linear", threads: int = 4, top: int | None = None) -> DataFrame:
+def out_of_fold(cells: DataFrame, samples: DataFrame, folds: DataFrame, make=logistic, model: str = "linear", threads: int = 4, top: int | None = None, only: list | None = None) -> DataFrame:
     """(model, sample_id, outer_fold, y, pred, probs): every sample with a cell predicted once, by the fold that left it out.
 
-    Classes are weighted n / (classes x rows of the class). Folds are jobs from a small pool of threads.
+    Classes are weighted n / (classes x rows of the class). Folds are jobs from a small pool of threads; `only`
+    names those to run.
     """
     data = written(prepared(cells, samples, folds, top), "prepared")  # read by every fold
-    names = [r[0] for r in folds.select("outer_fold").distinct().collect()]
+    names = only or [r[0] for r in folds.select("outer_fold").distinct().collect()]
 
     def one(fold: int) -> DataFrame:
         train = data.filter((F.col("outer_fold") == fold) & (F.col("side") == "train"))
@@ -206,6 +207,24 @@ def model_grid(cells: DataFrame, samples: DataFrame, folds: DataFrame, estimator
     return functools.reduce(DataFrame.unionByName, [out_of_fold(cells.filter(F.col("modality").isin(seen)), samples, folds, make, name, top=top) for name, seen, make in runs])
 
 
+def batch_adjusted(cells: DataFrame, samples: DataFrame, folds: DataFrame, make=logistic, name: str = "sensitivity::batch-adjusted-FUSION", confounded: bool = False, blocked: bool = False) -> DataFrame:
+    """Out-of-fold predictions of the fusion on cells centred by batch, the offsets from each fold's training side alone.
+
+    Not for a study whose batches go with the outcome, where centring takes the signal too, nor for batch-blocked folds,
+    whose batches have no training rows: both raise.
+    """
+    if confounded or blocked:
+        raise ValueError("batches go with the outcome" if confounded else "folds are blocked by batch")
+    moved = written(centred(cells, samples, folds), "centred")
+    names = [r[0] for r in folds.select("outer_fold").distinct().collect()]
+
+    def one(fold: int) -> DataFrame:
+        own = F.when(F.col("outer_fold") == fold, F.lit(fold)).otherwise(F.lit(-1))  # this fold against all others
+        return out_of_fold(moved.filter(F.col("outer_fold") == fold).drop("outer_fold"), samples, folds.withColumn("outer_fold", own), make, name, 1, only=[fold])
+
+    return _together(one, names, 2)
+
+
 def stacked(predictions: DataFrame, samples: DataFrame, folds: DataFrame, model: str = "stacking::FUSION") -> DataFrame:
     """Late fusion: a linear model over the out-of-fold class probabilities of the single-modality models."""
     p = predictions.filter(~F.col("model").contains("FUSION")).select("sample_id", F.col("model").alias("modality"), F.posexplode("probs").alias("c", "value"))

@@ -72,6 +72,30 @@ def flag_quality(rows: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def audit_summary(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Per key: data sets, mean role F1, alarms with Wilson's interval and their Monte-Carlo error, false certifications
+    (their base is all data sets where one leaks) and false alarms (where none does), and the mean over all controls.
+
+    Keys without any control score have no row.
+    """
+    from modalens.operators.metrics import wilson
+
+    count = lambda c: F.sum(F.coalesce(F.col(c), F.lit(False)).cast("long"))
+    scores = F.filter("controls", lambda v: v.isNotNull() & ~F.isnan(v))
+    per = rows.withColumns({"_c": F.aggregate(scores, F.lit(0.0), lambda a, v: a + v), "_m": F.size(scores)})
+    g = per.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("datasets"), F.avg("role_f1").alias("mean_role_f1"), count("alarm").alias("alarms"), count("false_certification").alias("false_certifications"),
+        count("false_alarm").alias("false_alarms"), F.coalesce(F.bool_or("leak"), F.lit(False)).alias("_leak"), (F.sum("_c") / F.when(F.sum("_m") > 0, F.sum("_m"))).alias("mean_control"),
+    ).filter("mean_control IS NOT NULL")
+    n, p = F.col("datasets"), F.col("alarms") / F.col("datasets")
+    low, high = wilson(F.col("alarms"), n)
+    base = lambda leak: F.when(F.col("_leak") == leak, n).otherwise(0)
+    return g.select(
+        *keys, "datasets", "mean_role_f1", "alarms", low.alias("alarm_low"), high.alias("alarm_high"), F.sqrt(p * (1 - p) / n).alias("alarm_mcse"), "false_certifications",
+        base(True).alias("certification_base"), "false_alarms", base(False).alias("alarm_base"), "mean_control",
+    )
+
+
 def not_worse(rows: DataFrame, keys: list[str], size: str, value: str, slack: float) -> DataFrame:
     """Per key and size: the mean, and whether it falls below the next smaller size's by more than the slack."""
     per = rows.groupBy(*keys, size).agg(F.avg(value).alias("mean"))

@@ -102,8 +102,65 @@ def cleaned_symbols(cells: DataFrame, position: str) -> DataFrame:
     return named.groupBy("sample_id", "modality", "feature").agg(F.min_by("value", position).alias("value"))
 
 
+def raw_counts(spark: SparkSession, path: str, modality: str, names: str = "Gene Name") -> tuple[DataFrame, DataFrame]:
+    """Cells of a feature-by-sample matrix and (feature, symbol) of its column of gene names; without one, no symbols."""
+    cells = read_matrix(spark, path, modality, transposed=True).filter(F.col("sample_id") != names)
+    sep = detect_delimiter(spark, path)
+    text = spark.read.text(path)
+    header = [h.strip().strip('"') for h in re.split(sep if sep == r"\s+" else re.escape(sep), text.first()[0].lstrip("\ufeff"))]
+    if names not in header:
+        return cells, spark.createDataFrame([], "feature string, symbol string")
+    part = lambda i: F.trim(F.translate(F.get(_parts(F.col("value"), sep), F.lit(i)), '"\ufeff', ""))
+    rows = text.select(part(0).alias("feature"), part(header.index(names)).alias("symbol"))
+    return cells, rows.filter(F.col("symbol").isNotNull() & (F.col("symbol") != names) & ~F.lower("feature").isin("", "nan", "none"))
+
+
+def target_of(cells: DataFrame, feature: str) -> DataFrame:
+    """(sample_id, target): an outcome that is a column of another matrix; samples without a value have no row."""
+    return cells.filter((F.col("feature") == feature) & F.col("value").isNotNull()).select("sample_id", F.col("value").alias("target"))
+
+
+def suffix_label(ident: Column, suffix: str = ".N", with_it: str = "Normal", without: str = "Tumor") -> Column:
+    """A label from the end of the id, for studies whose outcome table has none."""
+    return F.when(ident.endswith(suffix), with_it).otherwise(F.when(ident.isNotNull(), without))
+
+
+def scan_records(spark: SparkSession, paths: dict[str, str], columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(source, columns) as strings from parquet, csv, json and jsonl paths, and (source, line, problem) of unreadable lines.
+
+    Lines of jsonl are judged one by one: what isn't JSON, or isn't an object, is a problem, and blank lines don't count.
+    """
+    schema = ", ".join(f"`{c}` string" for c in columns)
+    problems = spark.createDataFrame([], "source string, line string, problem string")
+    records = spark.createDataFrame([], f"source string, {schema}")
+    for source, path in paths.items():
+        if source == "jsonl":
+            lines = spark.read.text(path).filter(F.trim("value") != "")
+            row = F.from_json("value", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+            read = lines.withColumn("_r", row).withColumn("_object", F.ltrim("value").startswith("{"))
+            known = F.expr("try_parse_json(value)").isNotNull()
+            problem = F.when(~known, "invalid JSON").when(~F.col("_object"), "row is not an object")
+            read = read.withColumn("problem", problem)
+            problems = problems.unionByName(read.filter("problem IS NOT NULL").select(F.lit(source).alias("source"), F.col("value").alias("line"), "problem"))
+            table = read.filter("problem IS NULL").select(*[F.col("_r")[c].alias(c) for c in columns])
+        elif source == "parquet":
+            table = spark.read.parquet(path)
+        else:
+            table = spark.read.csv(path, header=True) if source == "csv" else spark.read.schema(schema).json(path)
+        records = records.unionByName(table.select(F.lit(source).alias("source"), *[F.col(c).cast("string").alias(c) for c in columns]))
+    return records, problems
+
+
+def write_reports(folder: str, **tables: DataFrame) -> None:
+    """Tables of metrics, ledgers and tests as csv with a header, one folder each; numbers stay numbers."""
+    for name, t in tables.items():
+        t.write.mode("overwrite").option("header", True).csv(f"{folder}/{name}")
+
+
 def write_dataset(cells: DataFrame, samples: DataFrame, folder: str) -> None:
-    """The landing layout: cells by modality, samples."""
+    """The landing layout: cells by modality, samples, and a descriptor with a JSON line per modality."""
+    about = cells.groupBy("modality").agg(F.countDistinct("feature").alias("n_features"), F.countDistinct("sample_id").alias("n_samples"))
+    about.write.mode("overwrite").json(f"{folder}/descriptor")
     cells.write.mode("overwrite").partitionBy("modality").parquet(f"{folder}/cells")
     samples.write.mode("overwrite").parquet(f"{folder}/samples")
 

@@ -52,6 +52,13 @@ def _clear() -> None:
             print(f"modalens: {path} is left: {e}", file=sys.stderr)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the program's own folder, which goes at its end."""
+    folder = f"{shared_dir(spark)}/modalens-{spark.sparkContext.applicationId}"
+    _FOLDERS.add(folder)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """`df` as a table in the shared folder: later stages read it, so a lost executor costs no recomputation.
 
@@ -59,9 +66,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     of a program lie in one folder, which goes at its end; `dropped` and `dropped_since` delete tables before that.
     """
     spark = df.sparkSession
-    folder = f"{shared_dir(spark)}/modalens-{spark.sparkContext.applicationId}"
-    _FOLDERS.add(folder)
-    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     _MADE.append(path)
     schema = df.schema
