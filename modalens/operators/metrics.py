@@ -104,7 +104,7 @@ def calibration_line(pred: DataFrame, keys: list[str], least: int = 20, steps: i
     rows = written(rows, "logits")
     spark = rows.sparkSession
     size = rows.groupBy(*keys).agg(F.sum("k").alias("events"), F.sum(F.col("n") - F.col("k")).alias("nonevents")).collect()  # a row per key
-    now = {tuple(r[c] for c in keys): [0.0, 1.0, 0.0, False] for r in size if min(r.events, r.nonevents) >= least}
+    now = {tuple(r[c] for c in keys): [0.0, 0.0, 0.0, False] for r in size if min(r.events, r.nonevents) >= least}
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keys)])
     w = lambda q: F.col("n") * q * (1 - q)
     for _ in range(steps):
@@ -127,7 +127,7 @@ def calibration_line(pred: DataFrame, keys: list[str], least: int = 20, steps: i
             step = ((r.h11 * r.g0 - r.h01 * r.g1) / det, (r.h00 * r.g1 - r.h01 * r.g0) / det, r.g / r.h)
             short = min(1.0, 2 / max(1e-300, *map(abs, step)))
             v[:3] = [u + short * s for u, s in zip(v[:3], step, strict=True)]
-            v[3] = max(map(abs, step)) < 1e-10
+            v[3] = max(map(abs, step)) < 1e-8
     out = [(*(r[c] for c in keys), r.events, r.nonevents, *(now[k][2:0:-1] if (k := tuple(r[c] for c in keys)) in now and now[k][3] else (None, None))) for r in size]
     dropped(rows)
     return spark.createDataFrame(out, f"{shape}, events long, nonevents long, intercept double, slope double")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from modalens.functions.rank import RANGES, running_counts
 from modalens.operators.groups import permuted
 from modalens.operators.metrics import concordance
-from modalens.operators.models import grid, prepared
+from modalens.operators.models import _together, grid, prepared
 from modalens.storage import written
 
 
@@ -28,24 +28,24 @@ def log_rank_scores(rows: DataFrame, reps: int = 199, group: str = "group_id", s
     labels = base.select(F.lit(0).alias("rep"), "g", "batch")
     if reps:
         labels = labels.unionByName(permuted(base.select("g", "batch"), ["batch"], reps, seed, "g").select("rep", "g", "batch"))
-    times = base.groupBy("time").agg(F.sum("event").alias("D"), F.count(F.lit(1)).alias("M"))
+    times = base.groupBy("time").agg(F.sum("event").alias("deaths"), F.count(F.lit(1)).alias("left"))
     all_ = base.groupBy().count().first()[0]
-    at = running_counts(times.withColumn("_all", F.lit(0)), ["_all"], "time", "M").filter("D > 0")
-    at = at.select("time", "D", (F.lit(all_) - F.col("before")).alias("N")).filter("N > 1")
+    at = running_counts(times.withColumn("_all", F.lit(0)), ["_all"], "time", "left").filter("deaths > 0")
+    at = at.select("time", "deaths", (F.lit(all_) - F.col("before")).alias("at_risk")).filter("at_risk > 1")
     sizes = base.groupBy("batch").agg(F.count(F.lit(1)).alias("size"))  # a row per batch
     own = labels.join(base.select("g", "time", "event"), "g").groupBy("rep", "batch", "time").agg(F.sum("event").alias("d"), F.count(F.lit(1)).alias("m"))
     blank = at.select("time").join(F.broadcast(sizes.select("batch"))).join(F.broadcast(labels.select("rep").distinct()))
     zero = F.lit(0).cast("long")
     filled = own.unionByName(blank.select("rep", "batch", "time", zero.alias("d"), zero.alias("m"))).groupBy("rep", "batch", "time").agg(F.sum("d").alias("d"), F.sum("m").alias("m"))
     risk = running_counts(filled, ["rep", "batch"], "time", "m").join(at, "time").join(F.broadcast(sizes), "batch")
-    p = (F.col("size") - F.col("before")) / F.col("N")
-    per = risk.groupBy("rep", "time", "D", "N").agg(F.array_sort(F.collect_list(F.struct("batch", p.alias("p"), F.col("d").cast("double").alias("d")))).alias("b"))
-    factor = F.col("D") * (F.col("N") - F.col("D")) / (F.col("N") - 1)
-    one = per.select("rep", "D", factor.alias("f"), "b", F.posexplode("b").alias("i", "x"))
-    both = one.select("rep", "D", "f", "i", "x", F.posexplode("b").alias("j", "y"))
+    p = (F.col("size") - F.col("before")) / F.col("at_risk")
+    per = risk.groupBy("rep", "time", "deaths", "at_risk").agg(F.array_sort(F.collect_list(F.struct("batch", p.alias("p"), F.col("d").cast("double").alias("d")))).alias("b"))
+    factor = F.col("deaths") * (F.col("at_risk") - F.col("deaths")) / (F.col("at_risk") - 1)
+    one = per.select("rep", "deaths", factor.alias("f"), "b", F.posexplode("b").alias("i", "x"))
+    both = one.select("rep", "deaths", "f", "i", "x", F.posexplode("b").alias("j", "y"))
     same = (F.col("i") == F.col("j")).cast("int")
     sums = both.groupBy("rep", "i", "j").agg(
-        F.sum(F.col("f") * (F.col("x.p") * same - F.col("x.p") * F.col("y.p"))).alias("v"), F.sum(F.when(F.col("i") == F.col("j"), F.col("x.d") - F.col("D") * F.col("x.p")).otherwise(0.0)).alias("u")
+        F.sum(F.col("f") * (F.col("x.p") * same - F.col("x.p") * F.col("y.p"))).alias("v"), F.sum(F.when(F.col("i") == F.col("j"), F.col("x.d") - F.col("deaths") * F.col("x.p")).otherwise(0.0)).alias("u")
     )
 
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -72,12 +72,12 @@ def batch_association(rows: DataFrame, reps: int = 199, group: str = "group_id")
     return functools.reduce(DataFrame.unionByName, out)
 
 
-def cox(data: DataFrame, d: int, l2: float = 10.0, steps: int = 25, tolerance: float = 1e-8) -> np.ndarray:
+def cox(data: DataFrame, d: int, l2: float = 10.0, steps: int = 25, tolerance: float = 1e-6) -> np.ndarray:
     """The coefficients of (time, event, x), x an array of d numbers: ridge on Breslow's partial likelihood, by Newton steps.
 
     A step sums e^eta, its products with x and with x x' per time, then adds them up from the last time to the first,
-    inside ranges of time with the totals of later ranges. Only RANGES and the last sums, each of some d^2 / 2 numbers,
-    come to the driver, so d is for a few dozen components.
+    inside ranges of time with the totals of later ranges. Only the last sums, some d^2 / 2 numbers, come to the driver.
+    Each is an expression of the plan, so d is for a dozen components.
     """
     names = ["s", *[f"s{i}" for i in range(d)], *[f"s{i}_{j}" for i in range(d) for j in range(i, d)]]
     at = [(i, j) for i in range(d) for j in range(i, d)]
@@ -91,15 +91,11 @@ def cox(data: DataFrame, d: int, l2: float = 10.0, steps: int = 25, tolerance: f
         cols = [w, *[w * c for c in x], *[w * x[i] * x[j] for i, j in at]]
         seen = [F.sum(F.when(F.col("event") == 1, c)).alias(f"e{i}") for i, c in enumerate(x)]
         per = data.groupBy("_range", "time").agg(F.sum(F.col("event").cast("long")).alias("n"), *seen, *[F.sum(c).alias(n) for n, c in zip(names, cols, strict=True)])
-        per = written(per, "cox-times")
-        totals = {r["_range"]: np.array([r[n] for n in names], float) for r in per.groupBy("_range").agg(*[F.sum(n).alias(n) for n in names]).collect()}
-        later, offsets = np.zeros(len(names)), []
-        for r in sorted(totals, reverse=True):
-            offsets.append((r, later.tolist()))
-            later = later + totals[r]
-        known = data.sparkSession.createDataFrame(offsets, "_range int, o array<double>")
+        totals = per.groupBy("_range").agg(*[F.sum(n).alias(f"o_{n}") for n in names])
+        above = Window.orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+        later = totals.select("_range", *[F.coalesce(F.sum(f"o_{n}").over(above), F.lit(0.0)).alias(f"o_{n}") for n in names])
         back = Window.partitionBy("_range").orderBy(F.desc("time"))
-        risk = per.filter("n IS NOT NULL").withColumns({n: F.sum(n).over(back) for n in names}).join(F.broadcast(known), "_range").withColumns({n: F.col(n) + F.col("o")[i] for i, n in enumerate(names)}).filter("n > 0")
+        risk = per.withColumns({n: F.sum(n).over(back) for n in names}).join(F.broadcast(later), "_range").withColumns({n: F.col(n) + F.col(f"o_{n}") for n in names}).filter("n > 0")
         mean = [F.col(f"s{i}") / F.col("s") for i in range(d)]
         eta = sum((F.lit(float(v)) * F.col(f"e{i}") for i, v in enumerate(b)), F.lit(0.0))
         out = risk.agg(
@@ -147,18 +143,18 @@ def out_of_fold_cox(cells: DataFrame, samples: DataFrame, folds: DataFrame, mode
     data = written(prepared(cells, samples.withColumn("y", F.col("event")), folds).join(samples.select("sample_id", "time", "event"), "sample_id"), "cox-data")
     n = F.sum(F.when(F.col("side") == "train", F.col("event")).otherwise(0))
     sides = data.groupBy("outer_fold").agg(n.alias("train"), F.sum(F.when(F.col("side") != "train", F.col("event")).otherwise(0)).alias("seen"), F.sum((F.col("side") == "train").cast("int")).alias("rows"))
-    out = []
-    for fold in sorted(sides.collect(), key=lambda r: str(r.outer_fold)):  # a row per fold
-        if fold.train < 2 or fold.seen < 1:
-            continue
-        x, d = projected(data.filter(F.col("outer_fold") == fold.outer_fold), min(k, max(2, fold.rows // 4)))
+    usable = {r.outer_fold: min(k, max(2, r.rows // 4)) for r in sides.collect() if r.train >= 2 and r.seen >= 1}  # a row per fold
+    if not usable:
+        raise ValueError("no fold has two training events and one to assess")
+
+    def one(fold: int) -> DataFrame:
+        x, d = projected(data.filter(F.col("outer_fold") == fold), usable[fold])
         x = written(x, "cox-fold")
         beta = cox(x.filter("side = 'train'"), d, l2)
         risk = sum((F.lit(float(b)) * F.col("x")[i] for i, b in enumerate(beta)), F.lit(0.0))
-        out.append(x.filter("side <> 'train'").select(F.lit(model).alias("model"), "sample_id", "outer_fold", "time", "event", risk.alias("risk")))
-    if not out:
-        raise ValueError("no fold has two training events and one to assess")
-    return functools.reduce(DataFrame.unionByName, out)
+        return x.filter("side <> 'train'").select(F.lit(model).alias("model"), "sample_id", "outer_fold", "time", "event", risk.alias("risk"))
+
+    return _together(one, sorted(usable), 4)
 
 
 def cox_grid(cells: DataFrame, samples: DataFrame, folds: DataFrame, k: int = 8) -> DataFrame:

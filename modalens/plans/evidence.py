@@ -45,7 +45,7 @@ def u10_trust_checklist(spark, sf_dir):
 
 
 @query(f"""WITH {A.EMBEDDINGS_SQL}, r AS (SELECT modality, feature, round(abs(corr(value, y)), 6) AS importance FROM cells JOIN samples USING (sample_id) GROUP BY ALL)
-SELECT modality, feature, importance, row_number() OVER w AS place FROM r QUALIFY row_number() OVER w <= 8 WINDOW w AS (PARTITION BY modality ORDER BY importance DESC, feature)""")
+SELECT modality, feature, importance, row_number() OVER w AS place FROM r WINDOW w AS (PARTITION BY modality ORDER BY importance DESC, feature) QUALIFY row_number() OVER w <= 8""")
 def u11_top_features(spark, sf_dir):
     s = A.embeddings(spark, sf_dir)
     strength = F.round(F.abs(F.corr("value", F.col("y").cast("double"))), 6).alias("importance")
