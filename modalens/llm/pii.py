@@ -64,9 +64,11 @@ for _c in map(chr, (*range(0x80, 0xD800), *range(0xE000, 0x1E000), *range(0x1F10
     _plain = str(unicodedata.decimal(_c)) if unicodedata.decimal(_c, None) is not None else unicodedata.normalize("NFKC", _c)
     if len(_plain) == 1 and _plain.isascii():
         _TO_ASCII.setdefault(ord(_c), _plain)
-_ODD = re.compile("[" + re.escape("".join(map(chr, sorted(_TO_ASCII)))) + "]")
+_ODD = frozenset(map(chr, _TO_ASCII))  # a pattern of this many characters beyond the basic plane is searched one by one
 _INVISIBLE = re.compile("[​-‍⁠﻿­]+")
-_SPELLED = re.compile(r"(?<![A-Za-z0-9])(?:" + "|".join(SPELLED) + r")(?![A-Za-z0-9])", re.I)
+#: A first letter as a plain set lets the search skip to it; what stands before it and the rest are judged there.
+_FIRST = "".join(sorted({c for w in SPELLED for c in (w[0].lower(), w[0].upper())}))
+_SPELLED = re.compile(f"[{_FIRST}](?<![A-Za-z0-9].)(?i:" + "|".join(f"(?<={w[0]}){w[1:]}" for w in SPELLED) + ")(?![A-Za-z0-9])")
 _GAP = r"(?:[ ().-]|[ -]{2}| \(|\) )"
 _AFTER_DIGIT = re.compile(rf"[0-9+]{_GAP}$")
 _BEFORE_DIGIT = re.compile(rf"{_GAP}(?=[0-9])")
@@ -176,7 +178,7 @@ def normalise(text: str) -> Normalised | None:
     n = Normalised(text)
     if not text.isascii():
         n.rewrite([(m.start(), m.end(), "") for m in _INVISIBLE.finditer(text)])
-        if _ODD.search(n.text):
+        if not _ODD.isdisjoint(n.text):
             n.text = n.text.translate(_TO_ASCII)  # one character for one: offsets stay
     if _HINT.search(n.text):
         n.rewrite([(m.start(), m.end(), "@" if m[1].lower() in ("at", "@") else ".") for m in _BRACKETED.finditer(n.text)])
