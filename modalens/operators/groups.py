@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from modalens.functions.rank import average_ranks, window_ranks
+from modalens.functions.rank import average_ranks, numbered, window_ranks
 
 
 def missing_profile(cells: DataFrame, samples: DataFrame, features: DataFrame, group: str = "group_id") -> DataFrame:
@@ -84,16 +84,23 @@ def distance_correlation(one: DataFrame, two: DataFrame) -> DataFrame:
 
 def permuted(groups: DataFrame, columns: list[str], reps: int, seed: int = 31, group: str = "group_id") -> DataFrame:
     """(rep, group, columns): for every replicate the columns move together to other groups, in the order of a hash."""
-    base = groups.select(group, *columns).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
-    own = F.row_number().over(Window.partitionBy("rep").orderBy(group))
-    mixed = F.row_number().over(Window.partitionBy("rep").orderBy(F.xxhash64(F.lit(seed), "rep", group), group))
-    left = base.select("rep", group, own.alias("_i"))
-    right = base.select("rep", *columns, mixed.alias("_i"))
-    return left.join(right, ["rep", "_i"]).drop("_i")
+    base = groups.select(group, *columns)
+    every = F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep")
+    left = numbered(groups, group, "_i").select(group, "_i", every)
+    order = base.select("*", every).withColumn("_o", F.xxhash64(F.lit(seed), "rep", group)).withColumn("_s", F.pmod("_o", F.lit(64)))
+    counts = order.groupBy("rep", "_s").agg(F.count(F.lit(1)).alias("_m"))
+    before = F.coalesce(F.sum("_m").over(Window.partitionBy("rep").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # over the shards
+    own = F.row_number().over(Window.partitionBy("rep", "_s").orderBy("_o", group)) - 1
+    right = order.withColumn("_r", own).join(counts.select("rep", "_s", before.alias("_b")), ["rep", "_s"])
+    right = right.select("rep", *columns, (F.col("_b") + F.col("_r")).cast("int").alias("_i"))
+    return left.join(right, ["rep", "_i"]).select("rep", group, *columns)
 
 
 def class_by_batch(groups: DataFrame, label: str, batch: str, reps: int = 199, group: str = "group_id") -> DataFrame:
-    """(n, chi2, cramers_v, p): Pearson's table statistic without correction, p by permuting labels with fixed margins."""
+    """(n, chi2, cramers_v, p): Pearson's table statistic without correction, p by permuting labels with fixed margins.
+
+    With one label or one batch only there is no cramers_v.
+    """
     n = groups.agg(F.count(F.lit(1)).alias("n"))
     shape = groups.agg(F.least(F.countDistinct(label), F.countDistinct(batch)).alias("k"))
     margins = lambda c, name: groups.groupBy(c).agg(F.count(F.lit(1)).alias(name))
@@ -108,7 +115,7 @@ def class_by_batch(groups: DataFrame, label: str, batch: str, reps: int = 199, g
     moved = permuted(groups, [label], reps, group=group).join(groups.select(group, batch), group)
     null = statistic(moved, ["rep"]).select("rep", F.col("chi2").alias("null"))
     out = seen.join(F.broadcast(shape)).join(null).groupBy("n", "k", "chi2").agg(((1 + F.sum((F.col("null") >= F.col("chi2") - 1e-9).cast("long"))) / (1 + F.count("rep"))).alias("p"))
-    return out.select("n", "chi2", F.sqrt(F.col("chi2") / (F.col("n") * (F.col("k") - 1))).alias("cramers_v"), "p")
+    return out.select("n", "chi2", F.when(F.col("k") > 1, F.sqrt(F.try_divide("chi2", F.col("n") * (F.col("k") - 1)))).alias("cramers_v"), "p")
 
 
 def log_rank(rows: DataFrame, time: str = "time", event: str = "event", batch: str = "batch", keys: list[str] = ()) -> DataFrame:
