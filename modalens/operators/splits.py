@@ -114,6 +114,48 @@ def support(samples: DataFrame, folds: DataFrame, label: str, group: str = "grou
     return rows.groupBy("outer_fold", side).agg(F.count(F.lit(1)).alias("n"), F.countDistinct(label).alias("classes"), F.countDistinct(group).alias("groups"))
 
 
+def inner_violations(samples: DataFrame, folds: DataFrame, inner_folds: DataFrame, group: str = "group_id") -> DataFrame:
+    """(outer_fold, rule, n) of inner folds (sample_id, outer_fold, inner_fold): every rule for every outer fold.
+
+    Rules: a sample of the assessment side or of no fold inside, a training sample left out, one placed twice, a group in
+    several inner folds, an inner fold that is the whole training side.
+    """
+    outer = folds.select("outer_fold").distinct()
+    own = folds.withColumnRenamed("outer_fold", "own")
+    train = own.join(F.broadcast(outer)).filter("own <> outer_fold").select("sample_id", "outer_fold")
+    rules = {
+        "outside of training": inner_folds.join(train, ["sample_id", "outer_fold"], "left_anti"),
+        "left out": train.join(inner_folds, ["sample_id", "outer_fold"], "left_anti"),
+        "placed twice": inner_folds.groupBy("outer_fold", "sample_id").agg(F.count(F.lit(1)).alias("k")).filter("k > 1"),
+        "divided group": inner_folds.join(samples.select("sample_id", group), "sample_id").groupBy("outer_fold", group).agg(F.countDistinct("inner_fold").alias("k")).filter("k > 1"),
+        "empty side": inner_folds.groupBy("outer_fold").agg(F.countDistinct("inner_fold").alias("k")).filter("k < 2"),
+    }
+    out = None
+    for name, rows in rules.items():
+        one = rows.groupBy("outer_fold").agg(F.count(F.lit(1)).alias("n"))
+        one = outer.join(one, "outer_fold", "left").select("outer_fold", F.lit(name).alias("rule"), F.coalesce("n", F.lit(0)).alias("n"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def regression_support(samples: DataFrame, folds: DataFrame, target: str, group: str = "group_id") -> DataFrame:
+    """(outer_fold, groups, variance): groups of the assessment side and the population variance of their targets."""
+    per = samples.join(folds, "sample_id").groupBy("outer_fold", group).agg(F.min(target).alias("_y"))
+    return per.groupBy("outer_fold").agg(F.count(F.lit(1)).alias("groups"), F.var_pop("_y").alias("variance"))
+
+
+def survival_support(samples: DataFrame, folds: DataFrame, time: str = "time", event: str = "event", group: str = "group_id") -> DataFrame:
+    """(outer_fold, training_events, pairs): training groups with an event, comparable pairs of assessment groups."""
+    per = samples.join(folds, "sample_id").groupBy(F.col("outer_fold").alias("own"), group).agg(F.min(time).alias("_t"), F.max(event).cast("long").alias("_e"))
+    outer = folds.select("outer_fold").distinct()
+    trained = outer.join(per.groupBy("own").agg(F.sum("_e").alias("e"))).filter("own <> outer_fold").groupBy("outer_fold").agg(F.sum("e").alias("training_events"))
+    counts = per.groupBy(F.col("own").alias("outer_fold"), "_t").agg(F.sum("_e").alias("e"), F.count(F.lit(1)).alias("m"))
+    total = counts.groupBy("outer_fold").agg(F.sum("m").alias("total"))
+    later = F.col("total") - F.col("before") - F.col("m")
+    pairs = running_counts(counts, ["outer_fold"], "_t", "m").join(F.broadcast(total), "outer_fold").groupBy("outer_fold").agg(F.sum(F.col("e") * later).alias("pairs"))
+    return outer.join(trained, "outer_fold", "left").join(pairs, "outer_fold", "left").select("outer_fold", F.coalesce("training_events", F.lit(0)).alias("training_events"), F.coalesce("pairs", F.lit(0)).alias("pairs"))
+
+
 def comparable_pairs(groups: DataFrame, time: str = "time", event: str = "event") -> DataFrame:
     """(pairs): for every group with an event, the groups with a larger time, by one suffix sum over distinct times."""
     per = groups.groupBy(time).agg(F.sum(F.col(event).cast("long")).alias("e"), F.count(F.lit(1)).alias("m"))

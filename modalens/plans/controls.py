@@ -1,13 +1,14 @@
-"""Queries over batch association, permuted targets, normalisation choices and the hygiene rating."""
+"""Queries over batch association, permuted targets, normalisation choices, nested folds and the hygiene rating."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from modalens.operators import association, controls, groups, ledger, normalize
+from modalens.operators import association, controls, groups, ledger, normalize, splits
 from modalens.plans.align_profile import _COUNTS_SQL, _counts
 from modalens.plans.modelling import _REP_SQL, _z
 from modalens.session import table
+from modalens.sources import adapters as A
 
 QUERIES: dict = {}
 
@@ -123,3 +124,36 @@ def u9_hygiene(spark, sf_dir):
     seen = seen.withColumn("verdict", F.when(F.col("m") > 0.04, "no detectable signal").otherwise("predictive"))
     leaks = li.groupBy("l_linenumber").agg((F.avg((F.col("l_quantity") > 20).cast("int")) > 0.9).alias("leak"))
     return ledger.hygiene(flags, seen, leaks, n_samples=60)
+
+
+_NEST_SQL = """s AS (SELECT c_custkey AS i, c_custkey // 3 AS g, (c_custkey // 3 % 4)::INT AS own FROM customer), k AS (SELECT DISTINCT own AS outer_fold FROM s), tr AS (SELECT outer_fold, i, g FROM s, k WHERE own <> outer_fold),
+p AS (SELECT outer_fold, i, g, CASE WHEN i % 17 = 0 THEN i % 3 ELSE g % 3 END AS f FROM s, k WHERE (own <> outer_fold AND NOT (outer_fold = 1 AND i % 13 = 0)) OR (outer_fold = 2 AND i % 19 = 0)),
+v AS (SELECT outer_fold, 'outside of training' AS rule, count(*) AS n FROM p ANTI JOIN tr USING (outer_fold, i) GROUP BY ALL UNION ALL SELECT outer_fold, 'left out', count(*) FROM tr ANTI JOIN p USING (outer_fold, i) GROUP BY ALL
+UNION ALL SELECT outer_fold, 'divided group', count(*) FROM (SELECT outer_fold, g FROM p GROUP BY ALL HAVING count(DISTINCT f) > 1) GROUP BY ALL),
+r AS (SELECT unnest(['outside of training', 'left out', 'placed twice', 'divided group', 'empty side']) AS rule) SELECT outer_fold, rule, coalesce(n, 0) AS n FROM k CROSS JOIN r LEFT JOIN v USING (outer_fold, rule)"""
+
+
+@query(f"WITH {_NEST_SQL}")
+def x10_inner_violations(spark, sf_dir):
+    """Inner folds with planted faults: samples left out in one outer fold, strangers in another, groups divided in all."""
+    key, g = F.col("c_custkey"), F.floor(F.col("c_custkey") / 3)
+    s = table(spark, sf_dir, "customer").select(key.alias("sample_id"), g.alias("group_id"), (g % 4).cast("int").alias("own"))
+    k = s.select(F.col("own").alias("outer_fold")).distinct()
+    inside = (F.col("own") != F.col("outer_fold")) & ~((F.col("outer_fold") == 1) & (F.col("sample_id") % 13 == 0))
+    rows = s.join(F.broadcast(k)).filter(inside | ((F.col("outer_fold") == 2) & (F.col("sample_id") % 19 == 0)))
+    fold = F.when(F.col("sample_id") % 17 == 0, F.col("sample_id") % 3).otherwise(F.col("group_id") % 3).cast("int").alias("inner_fold")
+    return splits.inner_violations(s, s.select("sample_id", F.col("own").alias("outer_fold")), rows.select("sample_id", "outer_fold", fold))
+
+
+@query("SELECT outer_fold, count(*) AS groups, round(var_pop(y), 2) AS variance FROM (SELECT (o_custkey % 5)::INT AS outer_fold, o_custkey, min(o_totalprice) AS y FROM orders GROUP BY ALL) GROUP BY 1")
+def x11_regression_support(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("sample_id"), F.col("o_custkey").alias("group_id"), F.col("o_totalprice").alias("y"))
+    folds = o.select("sample_id", (F.col("group_id") % 5).cast("int").alias("outer_fold"))
+    return splits.regression_support(o, folds, "y").withColumn("variance", F.round("variance", 2))
+
+
+@query(f"""WITH {A.SURVIVAL_SQL}, f AS (SELECT *, (sample_id::BIGINT % 3)::INT AS own FROM surv), k AS (SELECT DISTINCT own AS outer_fold FROM f)
+SELECT outer_fold, (SELECT count(*) FROM f WHERE own <> outer_fold AND event = 1) AS training_events, (SELECT count(*) FROM f x, f y WHERE x.own = outer_fold AND y.own = outer_fold AND x.event = 1 AND y.time > x.time) AS pairs FROM k""")
+def x11_survival_support(spark, sf_dir):
+    s = A.survival(spark, sf_dir).withColumn("group_id", F.col("sample_id"))
+    return splits.survival_support(s, s.select("sample_id", F.expr("int(bigint(sample_id) % 3)").alias("outer_fold")))
