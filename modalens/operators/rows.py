@@ -114,3 +114,18 @@ def progress(rows: DataFrame, expected: DataFrame, keys: list[str], unit: str, f
     hours = (seconds(F.max(finished)) - seconds(F.min(finished))) / 3600
     out = rows.groupBy(*keys).agg(F.countDistinct(unit).alias("done"), ((F.count(F.lit(1)) - 1) / F.when(hours > 0, hours)).alias("per_hour"))
     return out.join(F.broadcast(expected)).select(*keys, "done", (F.col("expected") - F.col("done")).alias("outstanding"), "per_hour")
+
+
+def pooled_role_f1(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n, roles, role_f1) of (keys, truth, called): F1 of every true role over all rows of a key, and their mean.
+
+    A role that is only ever called counts as a wrong call of others; a true role never called has F1 zero. Rows without
+    a true role are left out.
+    """
+    cells = pairs.filter(F.col("truth").isNotNull()).groupBy(*keys, "truth", "called").agg(F.count(F.lit(1)).alias("_c"))
+    hit = F.when(F.col("truth") == F.col("called"), F.col("_c")).otherwise(0)
+    zero = F.lit(0).cast("long")
+    true = cells.select(*keys, F.col("truth").alias("_role"), F.col("_c").alias("_t"), zero.alias("_p"), hit.alias("_h"))
+    called = cells.filter(F.col("called").isNotNull()).select(*keys, F.col("called").alias("_role"), zero.alias("_t"), F.col("_c").alias("_p"), zero.alias("_h"))
+    per = true.unionByName(called).groupBy(*keys, "_role").agg(*[F.sum(c).alias(c) for c in ("_t", "_p", "_h")]).filter("_t > 0")
+    return per.groupBy(*keys).agg(F.sum("_t").alias("n"), F.count(F.lit(1)).alias("roles"), F.avg(2 * F.col("_h") / (F.col("_t") + F.col("_p"))).alias("role_f1"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from modalens.operators import association, controls, groups, ledger, normalize, splits
+from modalens.operators import association, controls, groups, ledger, normalize, rows, splits
 from modalens.plans.align_profile import _COUNTS_SQL, _counts
 from modalens.plans.modelling import _REP_SQL, _z
 from modalens.session import table
@@ -140,9 +140,9 @@ def x10_inner_violations(spark, sf_dir):
     s = table(spark, sf_dir, "customer").select(key.alias("sample_id"), g.alias("group_id"), (g % 4).cast("int").alias("own"))
     k = s.select(F.col("own").alias("outer_fold")).distinct()
     inside = (F.col("own") != F.col("outer_fold")) & ~((F.col("outer_fold") == 1) & (F.col("sample_id") % 13 == 0))
-    rows = s.join(F.broadcast(k)).filter(inside | ((F.col("outer_fold") == 2) & (F.col("sample_id") % 19 == 0)))
+    placed = s.join(F.broadcast(k)).filter(inside | ((F.col("outer_fold") == 2) & (F.col("sample_id") % 19 == 0)))
     fold = F.when(F.col("sample_id") % 17 == 0, F.col("sample_id") % 3).otherwise(F.col("group_id") % 3).cast("int").alias("inner_fold")
-    return splits.inner_violations(s, s.select("sample_id", F.col("own").alias("outer_fold")), rows.select("sample_id", "outer_fold", fold))
+    return splits.inner_violations(s, s.select("sample_id", F.col("own").alias("outer_fold")), placed.select("sample_id", "outer_fold", fold))
 
 
 @query("SELECT outer_fold, count(*) AS groups, round(var_pop(y), 2) AS variance FROM (SELECT (o_custkey % 5)::INT AS outer_fold, o_custkey, min(o_totalprice) AS y FROM orders GROUP BY ALL) GROUP BY 1")
@@ -157,3 +157,13 @@ SELECT outer_fold, (SELECT count(*) FROM f WHERE own <> outer_fold AND event = 1
 def x11_survival_support(spark, sf_dir):
     s = A.survival(spark, sf_dir).withColumn("group_id", F.col("sample_id"))
     return splits.survival_support(s, s.select("sample_id", F.expr("int(bigint(sample_id) % 3)").alias("outer_fold")))
+
+
+@query("""WITH p AS (SELECT l_linenumber AS n_samples, l_returnflag AS truth, CASE WHEN l_quantity > 40 THEN 'X' WHEN l_quantity > 20 THEN 'A' WHEN l_tax > 0.01 THEN 'N' END AS called FROM lineitem),
+r AS (SELECT DISTINCT n_samples, truth AS role FROM p), s AS (SELECT n_samples, role, count(*) FILTER (truth = role) AS t, count(*) FILTER (called = role) AS c, count(*) FILTER (truth = role AND called = role) AS h FROM r JOIN p USING (n_samples) GROUP BY ALL)
+SELECT n_samples, sum(t)::BIGINT AS n, count(*) AS roles, round(avg(2 * h / (t + c)), 6) AS role_f1 FROM s GROUP BY 1""")
+def r9_pooled_role_f1(spark, sf_dir):
+    q = F.col("l_quantity")
+    called = F.when(q > 40, "X").when(q > 20, "A").when(F.col("l_tax") > 0.01, "N")
+    pairs = table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("n_samples"), F.col("l_returnflag").alias("truth"), called.alias("called"))
+    return rows.pooled_role_f1(pairs, ["n_samples"]).withColumn("role_f1", F.round("role_f1", 6))

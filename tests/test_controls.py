@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from modalens.operators import association, controls, groups, ledger, normalize
+from modalens.operators import association, controls, groups, ledger, normalize, rows, splits
 
 
 def centred(d):
@@ -86,3 +86,20 @@ def test_rating(spark):
     assert r.advice == "correct batch effects: m; consider dropping: m; missingness or batch: w; missingness or batch: x; small sample: 12"
     r = ledger.hygiene(flags.limit(0), seen.limit(0), calm.limit(0), 100).first()
     assert (r.rating, r.leakage, r.advice) == ("clean", False, "nothing critical")
+
+
+def test_pooled_roles(spark):
+    p = spark.createDataFrame([("k", "a", "a"), ("k", "a", "b"), ("k", "b", None), ("k", "c", "d"), ("k", None, "a"), ("j", "a", "a")], "key string, truth string, called string")
+    out = {r.key: r for r in rows.pooled_role_f1(p, ["key"]).collect()}
+    assert (out["k"].n, out["k"].roles) == (4, 3) and out["k"].role_f1 == pytest.approx((2 / 3) / 3) and out["j"].role_f1 == 1
+    assert rows.pooled_role_f1(p.limit(0), ["key"]).count() == 0
+
+
+def test_sound_nested_folds_break_no_rule(spark):
+    s = spark.createDataFrame([(i, i // 2) for i in range(36)], "sample_id long, group_id long")
+    folds = s.select("sample_id", (F.col("group_id") % 3).cast("int").alias("outer_fold"))
+    own = s.join(folds, "sample_id").withColumnRenamed("outer_fold", "own").join(folds.select("outer_fold").distinct()).filter("own <> outer_fold")
+    inner = own.select("sample_id", "outer_fold", F.floor(F.col("group_id") / 9).cast("int").alias("inner_fold"))
+    assert [r.n for r in splits.inner_violations(s, folds, inner).collect()] == [0] * 15
+    twice = {(r.outer_fold, r.rule): r.n for r in splits.inner_violations(s, folds, inner.union(inner.filter("outer_fold = 1 AND sample_id < 2"))).collect() if r.n}
+    assert twice == {(1, "placed twice"): 2}
