@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from modalens.operators.bootstrap import percentile_interval, uniform
+
 
 def broken(rows: DataFrame, rules: dict[str, dict]) -> DataFrame:
     """rows with `rule`, one for each broken rule. A rule may say required, enum, range (both ends allowed)."""
@@ -122,10 +124,32 @@ def pooled_role_f1(pairs: DataFrame, keys: list[str]) -> DataFrame:
     A role that is only ever called counts as a wrong call of others; a true role never called has F1 zero. Rows without
     a true role are left out.
     """
-    cells = pairs.filter(F.col("truth").isNotNull()).groupBy(*keys, "truth", "called").agg(F.count(F.lit(1)).alias("_c"))
+    return _role_f1(pairs.filter(F.col("truth").isNotNull()).groupBy(*keys, "truth", "called").agg(F.count(F.lit(1)).alias("_c")), keys)
+
+
+def _role_f1(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """The same from counts (keys, truth, called, _c)."""
     hit = F.when(F.col("truth") == F.col("called"), F.col("_c")).otherwise(0)
     zero = F.lit(0).cast("long")
     true = cells.select(*keys, F.col("truth").alias("_role"), F.col("_c").alias("_t"), zero.alias("_p"), hit.alias("_h"))
     called = cells.filter(F.col("called").isNotNull()).select(*keys, F.col("called").alias("_role"), zero.alias("_t"), F.col("_c").alias("_p"), zero.alias("_h"))
     per = true.unionByName(called).groupBy(*keys, "_role").agg(*[F.sum(c).alias(c) for c in ("_t", "_p", "_h")]).filter("_t > 0")
     return per.groupBy(*keys).agg(F.sum("_t").alias("n"), F.count(F.lit(1)).alias("roles"), F.avg(2 * F.col("_h") / (F.col("_t") + F.col("_p"))).alias("role_f1"))
+
+
+def pooled_role_interval(pairs: DataFrame, keys: list[str], dataset: str, reps: int = 2000, seed: int = 42) -> DataFrame:
+    """(keys, usable, ci_low, ci_high) of the pooled F1, by drawing whole datasets of a key; a key of one dataset has no row.
+
+    Datasets are numbered inside their key shard by shard; a draw is a number of times per dataset, applied to its counts.
+    """
+    cells = pairs.filter(F.col("truth").isNotNull()).groupBy(*keys, dataset, "truth", "called").agg(F.count(F.lit(1)).alias("_c"))
+    units = cells.select(*keys, dataset).distinct().withColumn("_o", F.xxhash64(dataset)).withColumn("_s", F.pmod("_o", F.lit(64)))
+    counts = units.groupBy(*keys, "_s").agg(F.count(F.lit(1)).alias("_m"))
+    before = F.coalesce(F.sum("_m").over(Window.partitionBy(*keys).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # over the shards
+    own = F.row_number().over(Window.partitionBy(*keys, "_s").orderBy("_o", dataset)) - 1
+    n = counts.groupBy(*keys).agg(F.sum("_m").alias("_n")).filter("_n > 1")
+    placed = units.withColumn("_r", own).join(counts.select(*keys, "_s", before.alias("_b")), [*keys, "_s"]).join(n, keys).select(*keys, dataset, "_n", (F.col("_b") + F.col("_r")).alias("_i"))
+    draws = placed.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn("_i", F.floor(uniform(F.lit(seed), "rep", "_i", *keys) * F.col("_n")))
+    times = draws.groupBy(*keys, "rep", "_i").agg(F.count(F.lit(1)).alias("_w")).join(placed.drop("_n"), [*keys, "_i"]).drop("_i")
+    drawn = cells.join(times, [*keys, dataset]).groupBy(*keys, "rep", "truth", "called").agg(F.sum(F.col("_c") * F.col("_w")).alias("_c"))
+    return percentile_interval(_role_f1(drawn, [*keys, "rep"]), keys, "role_f1", least=2)

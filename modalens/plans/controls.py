@@ -159,11 +159,19 @@ def x11_survival_support(spark, sf_dir):
     return splits.survival_support(s, s.select("sample_id", F.expr("int(bigint(sample_id) % 3)").alias("outer_fold")))
 
 
+def _roles(spark, sf_dir):
+    q = F.col("l_quantity")
+    called = F.when(q > 40, "X").when(q > 20, "A").when(F.col("l_tax") > 0.01, "N")
+    return table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("n_samples"), F.col("l_suppkey").alias("dataset"), F.col("l_returnflag").alias("truth"), called.alias("called"))
+
+
 @query("""WITH p AS (SELECT l_linenumber AS n_samples, l_returnflag AS truth, CASE WHEN l_quantity > 40 THEN 'X' WHEN l_quantity > 20 THEN 'A' WHEN l_tax > 0.01 THEN 'N' END AS called FROM lineitem),
 r AS (SELECT DISTINCT n_samples, truth AS role FROM p), s AS (SELECT n_samples, role, count(*) FILTER (truth = role) AS t, count(*) FILTER (called = role) AS c, count(*) FILTER (truth = role AND called = role) AS h FROM r JOIN p USING (n_samples) GROUP BY ALL)
 SELECT n_samples, sum(t)::BIGINT AS n, count(*) AS roles, round(avg(2 * h / (t + c)), 6) AS role_f1 FROM s GROUP BY 1""")
 def r9_pooled_role_f1(spark, sf_dir):
-    q = F.col("l_quantity")
-    called = F.when(q > 40, "X").when(q > 20, "A").when(F.col("l_tax") > 0.01, "N")
-    pairs = table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("n_samples"), F.col("l_returnflag").alias("truth"), called.alias("called"))
-    return rows.pooled_role_f1(pairs, ["n_samples"]).withColumn("role_f1", F.round("role_f1", 6))
+    return rows.pooled_role_f1(_roles(spark, sf_dir), ["n_samples"]).withColumn("role_f1", F.round("role_f1", 6))
+
+
+@query()
+def r9_pooled_role_interval(spark, sf_dir):
+    return rows.pooled_role_interval(_roles(spark, sf_dir), ["n_samples"], "dataset")

@@ -93,6 +93,10 @@ def test_pooled_roles(spark):
     out = {r.key: r for r in rows.pooled_role_f1(p, ["key"]).collect()}
     assert (out["k"].n, out["k"].roles) == (4, 3) and out["k"].role_f1 == pytest.approx((2 / 3) / 3) and out["j"].role_f1 == 1
     assert rows.pooled_role_f1(p.limit(0), ["key"]).count() == 0
+    d = spark.createDataFrame([("k", i, t, c) for i in range(8) for t, c in (("a", "a"), ("b", "b" if i % 2 else "a"))] + [("j", 1, "a", "a")], "key string, d int, truth string, called string")
+    r = rows.pooled_role_interval(d, ["key"], "d", reps=100).collect()
+    at = rows.pooled_role_f1(d, ["key"]).filter("key = 'k'").first().role_f1
+    assert [x.key for x in r] == ["k"] and r[0].usable == 100 and 0.3 < r[0].ci_low < at < r[0].ci_high <= 1
 
 
 def test_sound_nested_folds_break_no_rule(spark):
