@@ -18,17 +18,20 @@ columns are ignored; equal code lengths go to the language first in order.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 UNKNOWN = "und"
 ORDER = 4
-_LETTER = re.compile(r"[^\W\d_]")
+#: A letter by its category: fractions, raised digits, Roman and circled numbers are none.
+_LETTER = regex.compile(r"\p{L}")
+#: Characters of the texts that are worked at a time, and texts.
+_BATCH_CHARS, _BATCH = 1 << 22, 512
 _CHUNK = 1 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -206,7 +209,14 @@ def predicted(docs: DataFrame, model: Model, text_col: str = "text", name: str =
     @F.pandas_udf("lang_pred string, score double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            rows = [r for i in range(0, len(texts), 512) for r in shared.value.predict(texts.iloc[i : i + 512].tolist())]
+            rows, at, all_ = [], 0, texts.tolist()
+            while at < len(all_):
+                end, chars = at, 0
+                while end < len(all_) and end - at < _BATCH and (end == at or chars + len(all_[end] or "") <= _BATCH_CHARS):
+                    chars += len(all_[end] or "")
+                    end += 1
+                rows += shared.value.predict(all_[at:end])
+                at = end
             yield pd.DataFrame(rows, columns=["lang_pred", "score"])
 
     return docs.withColumn(name, predict(F.col(text_col)))

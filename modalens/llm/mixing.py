@@ -2,9 +2,9 @@
 
 A source's target is its share of the budget by weight, at most `max_repeats` times its size; what the cap takes away
 is shared again by weight among the others. Every document is taken floor(target / size) times; for the rest of the
-target, documents are counted by exact size, the same fraction of every size class is taken, and a bounded-knapsack
-dynamic programme over the left-over counts fills what then remains. Which documents of a size class are taken follows
-a seeded hash of their ids, so reruns agree.
+target, documents are counted by exact size, and a bounded-knapsack dynamic programme over these counts finds the
+largest sum that doesn't exceed it. Which documents of a size class are taken follows a seeded hash of their ids, so
+reruns agree.
 
 Data flow: one scan for sizes, one aggregation to (source, size, count), a table of sources, one task per source for
 the programme over that source's distinct sizes (never over its documents), and one ranking of documents inside
@@ -25,8 +25,8 @@ from modalens.llm.common import free_name, word_count, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARD_ROWS = 50_000
-#: The dynamic programme's largest budget in words; a larger rest is first cut down by whole documents, largest first.
-PROGRAMME_WORDS = 1 << 17
+#: Words of the rest that the programme starts with; it grows until the best sum is certain.
+WINDOW = 1 << 17
 
 
 def capped_targets(sizes: np.ndarray, weights: np.ndarray, budget: float, max_repeats: float) -> np.ndarray:
@@ -47,42 +47,69 @@ def capped_targets(sizes: np.ndarray, weights: np.ndarray, budget: float, max_re
 
 
 def fit(sizes: np.ndarray, counts: np.ndarray, rest: int) -> np.ndarray:
-    """How many documents of each size to take for words close to `rest`, at most `counts` of each."""
-    total = int((sizes * counts).sum())
+    """How many documents of each size to take, at most `counts` of each, for the largest sum that doesn't exceed `rest`.
+
+    The programme runs on a window of the rest: what lies above it is first filled by the same fraction of every size
+    and whole documents, largest first. A sum that meets the rest can't be bettered. Where the window's doesn't, it grows
+    fourfold and the programme starts anew, in the end on the whole rest, so the sum is always the best one. Sums are
+    counted in units of the sizes' common divisor.
+    """
+    sizes, counts = np.asarray(sizes, np.int64), np.asarray(counts, np.int64)
+    some = (counts > 0) & (sizes > 0)
+    total = int((sizes[some] * counts[some]).sum())
     if rest <= 0 or total == 0:
         return np.zeros(len(sizes), np.int64)
     if rest >= total:
-        return counts.copy()
-    take = (counts * (rest / total)).astype(np.int64)
-    rest -= int((sizes * take).sum())
+        return np.where(some, counts, 0)
+    unit = int(np.gcd.reduce(sizes[some]))
+    s, c, goal = np.where(some, sizes // unit, 1), np.where(some, counts, 0), rest // unit
+    window = WINDOW
+    while True:
+        bulk, left = _bulk(s, c, goal, window)
+        take = bulk + knapsack(s, c - bulk, left)
+        if left == goal or int((s * take).sum()) == goal:
+            return take
+        window *= 4
+
+
+def _bulk(sizes: np.ndarray, counts: np.ndarray, goal: int, window: int) -> tuple[np.ndarray, int]:
+    """Documents taken before the programme, and what is left of the goal: the window, or little less."""
+    if goal <= window:
+        return np.zeros(len(sizes), np.int64), goal
+    take = (counts * ((goal - window) / int((sizes * counts).sum()))).astype(np.int64)
+    left = goal - int((sizes * take).sum())
     for i in np.argsort(-sizes, kind="stable"):
-        if rest <= PROGRAMME_WORDS:
-            break
-        more = min(int(counts[i] - take[i]), int((rest - PROGRAMME_WORDS + sizes[i] - 1) // sizes[i]), rest // int(sizes[i]))
-        take[i] += more
-        rest -= more * int(sizes[i])
-    return take + knapsack(sizes, counts - take, int(rest))
+        if left > window:
+            more = min(int(counts[i] - take[i]), (left - window) // int(sizes[i]))
+            take[i] += more
+            left -= more * int(sizes[i])
+    return take, left
 
 
 def knapsack(sizes: np.ndarray, counts: np.ndarray, rest: int) -> np.ndarray:
-    """Bounded-knapsack programme: the counts whose words reach the reachable sum nearest to `rest` from below.
+    """Bounded-knapsack programme: the counts whose words reach the largest reachable sum up to `rest`.
 
-    Reachable sums are the bits of one integer; every size is split into bundles of 1, 2, 4, ... documents. The bits
-    before each bundle are kept for the way back, and bundles stop once `rest` itself is reachable.
+    Every size is split into bundles of 1, 2, 4, ... documents. Each sum remembers the first bundle that reached it: what
+    that bundle was added to was reached by earlier ones, so the way back takes no bundle twice. Bundles stop once `rest`
+    itself is reached. Memory is five bytes for each word of the rest.
     """
-    mask, reach, steps = (1 << (rest + 1)) - 1, 1, []
+    first = np.full(rest + 1, -1, np.int32)
+    reached = np.zeros(rest + 1, bool)
+    reached[0], bundles = True, []
     for i in np.argsort(sizes, kind="stable"):
-        left, bundle, s = min(int(counts[i]), rest // int(sizes[i])), 1, int(sizes[i])
-        while left > 0 and not reach >> rest & 1:
+        left, bundle, size = min(int(counts[i]), rest // int(sizes[i])), 1, int(sizes[i])
+        while left > 0 and not reached[rest]:
             b = min(bundle, left)
-            steps.append((i, b, b * s, reach))
-            reach |= reach << (b * s) & mask
+            new = np.flatnonzero(reached[: rest + 1 - b * size] & ~reached[b * size :]) + b * size
+            first[new] = len(bundles)
+            reached[new] = True
+            bundles.append((i, b, b * size))
             left, bundle = left - b, bundle * 2
-    take, at = np.zeros(len(sizes), np.int64), reach.bit_length() - 1
-    for i, b, words_, before in reversed(steps):
-        if not before >> at & 1:
-            take[i] += b
-            at -= words_
+    take, at = np.zeros(len(sizes), np.int64), int(np.flatnonzero(reached)[-1])
+    while at:
+        i, b, words_ = bundles[first[at]]
+        take[i] += b
+        at -= words_
     return take
 
 
@@ -128,7 +155,7 @@ def mix(
             return pdf.assign(base=0, extra=0)[["source", "size", "base", "extra"]]
         s, n = pdf["size"].to_numpy("int64"), pdf["n"].to_numpy("int64")
         base, total = int(pdf.target[0] // pdf.source_size[0]), int(pdf.source_size[0])
-        extra = fit(s, n, round(pdf.target[0]) - base * total)
+        extra = fit(s, n, int(round(pdf.target[0])) - base * total)
         return pd.DataFrame({"source": pdf.source, "size": s, "base": base, "extra": extra})
 
     same = lambda a, b: F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source"))

@@ -8,7 +8,8 @@ drawing without replacement. `bands` groups of t / bands coordinates are hashed;
 with probability about 1e-7 at the defaults.
 
 Work is kept linear in the rows:
-1. equal sets are one class under their smallest id, so copies cost one row each;
+1. documents of the same words in the same order are one class under their smallest id (by SHA-256 of their words), so
+   copies cost one row each;
 2. in every band bucket with two classes or more, a hub is checked against all others, and the confirmed links are
    joined to components. The hub is the class with the most neighbours over all its buckets, which among copies with
    different edits is the text that they were made from;
@@ -37,6 +38,8 @@ from modalens.llm.components import components
 SIZE, BANDS = 200, 40
 #: Coordinates of the longer sketch that pairs across components must agree in; one bit of each is kept.
 FINE = 4096
+#: Elements of sets that are sketched together, each set with 1024 more.
+DEALT = 1 << 21
 _LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -99,7 +102,9 @@ def most_unlike(percent: int) -> float:
 
 
 def with_shingles(rows: DataFrame, w: int, name: str) -> DataFrame:
-    """rows (id, text) as (id, name): hashes of the distinct w-word shingles; of fewer words the whole sequence.
+    """rows (id, text) as (id, name, whole): hashes of the distinct w-word shingles; of fewer words the whole sequence.
+
+    `whole` is the SHA-256 of all words in their order; texts that agree in it have the same shingles.
 
     The words are a column of their own, so that looking one up by its place doesn't split the text again.
     """
@@ -107,22 +112,22 @@ def with_shingles(rows: DataFrame, w: int, name: str) -> DataFrame:
     split = rows.select("id", words(low).alias("ws")).withColumn("m", F.size("ws"))
     slices = F.transform(F.sequence(F.lit(0), F.col("m") - w), lambda i: F.xxhash64(*[F.get("ws", i + k) for k in range(w)]))
     one = F.when(F.col("m") > 0, F.array(F.xxhash64(F.array_join("ws", " ")))).otherwise(F.array().cast("array<bigint>"))
-    return split.select("id", F.when(F.col("m") >= w, F.array_distinct(slices)).otherwise(one).alias(name))
+    return split.select("id", F.when(F.col("m") >= w, F.array_distinct(slices)).otherwise(one).alias(name), F.sha2(F.array_join("ws", " "), 256).alias("whole"))
 
 
 def sketched(docs: DataFrame, w: int, t: int, bands: int) -> DataFrame:
-    """(id, n, k1, k2, bands, bits): set size, a 128-bit digest of the set, band hashes, one bit of each coordinate."""
+    """(id, n, whole, bands, bits): set size, digest of the words, band hashes, one bit of each coordinate."""
 
-    @F.pandas_udf("n long, k1 long, k2 long, bands array<long>, bits array<long>")
+    @F.pandas_udf("n long, bands array<long>, bits array<long>")
     def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for sets in batches:
-            yield pd.concat([of(sets.iloc[i : i + 1024]) for i in range(0, max(1, len(sets)), 1024)], ignore_index=True)
+            part = np.cumsum([len(x) + 1024 for x in sets]) // DEALT if len(sets) else np.zeros(0)  # sets of about DEALT elements together
+            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), len(sets)]
+            yield pd.concat([of(sets.iloc[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], ignore_index=True)
 
     def of(sets: pd.Series) -> pd.DataFrame:
         sizes = np.array([len(x) for x in sets], np.int64)
         flat = (np.concatenate(sets.tolist()) if sizes.sum() else np.zeros(0, np.int64)).astype(np.int64).view(np.uint64)
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(flat, s))]) for s in (1001, 1002)]
         s = sketches(flat, sizes, t)
         rows = t // bands
         keys = np.empty((len(sizes), bands), np.uint64)
@@ -137,14 +142,12 @@ def sketched(docs: DataFrame, w: int, t: int, bands: int) -> DataFrame:
         return pd.DataFrame(
             {
                 "n": sizes,
-                "k1": (sums[0][ends[1:]] - sums[0][ends[:-1]]).view(np.int64),
-                "k2": (sums[1][ends[1:]] - sums[1][ends[:-1]]).view(np.int64),
                 "bands": [x if k else x[:0] for x, k in zip(keys.view(np.int64), keep, strict=True)],
                 "bits": list(packed),
             }
         )
 
-    return with_shingles(docs, w, "sh").select("id", sketch("sh").alias("s")).select("id", "s.*")
+    return with_shingles(docs, w, "sh").select("id", "whole", sketch("sh").alias("s")).select("id", "whole", "s.*")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -159,8 +162,8 @@ def near_duplicates(docs: DataFrame, w: int = 5, percent: int = 80, t: int = SIZ
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sk = written(sketched(rows, w, t, bands), "sketches")
     real = sk.filter("n > 0 AND id IS NOT NULL")
-    classes = written(real.groupBy("n", "k1", "k2").agg(F.min("id").alias("node")), "classes")
-    by_set = real.join(classes, ["n", "k1", "k2"])  # copies of one set are split by Spark's skew join
+    classes = written(real.groupBy("whole").agg(F.min("id").alias("node")), "classes")
+    by_set = real.join(classes, "whole")  # copies of one text are split by Spark's skew join
     members = by_set.filter("id <> node").select("id", "node").distinct()
     heads = by_set.filter("id = node").select("node", "n", "bands", "bits")
 
@@ -169,7 +172,7 @@ def near_duplicates(docs: DataFrame, w: int = 5, percent: int = 80, t: int = SIZ
     crowded = bucket.join(crowd.select("band", "size"), "band")
     weight = crowded.groupBy("node").agg(F.sum("size").alias("weight"))
     crowded = written(crowded.select("band", "node").join(weight, "node"), "buckets")
-    sets = written(with_shingles(rows.join(weight.select(F.col("node").alias("id")), "id"), w, "sh"), "sets")
+    sets = written(with_shingles(rows.join(weight.select(F.col("node").alias("id")), "id"), w, "sh").drop("whole"), "sets")
 
     hub = crowded.groupBy("band").agg(F.max(F.struct("weight", (-F.col("node")).alias("node"))).alias("x")).select("band", (-F.col("x.node")).alias("hub"))
     tried = crowded.join(hub, "band").filter("node <> hub").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()

@@ -577,3 +577,63 @@ def test_pipeline_stages(spark, docs, real):
     assert not kept & {5, 6, 7}
     assert corpus_pipeline.near_duplicate_stage(spark, odd, "").filter("doc_id IN (2, 4)").count() == 0
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_fit_equals_brute_force_whatever_the_window(monkeypatch):
+    rng = np.random.default_rng(11)
+    for window in (1 << 17, 16):
+        monkeypatch.setattr(mixing, "WINDOW", window)
+        for _ in range(300):
+            k = int(rng.integers(1, 7))
+            sizes, counts = rng.choice(np.arange(1, 80), k, replace=False).astype(np.int64) * int(rng.choice([1, 3])), rng.integers(0, 5, k)
+            sums = {0}
+            for s, c in zip(sizes, counts, strict=True):
+                sums = {x + int(s) * j for x in sums for j in range(int(c) + 1)}
+            rest = int(rng.integers(0, int((sizes * counts).sum()) + 5))
+            take = mixing.fit(sizes, counts, rest)
+            assert (take <= counts).all() and (take >= 0).all() and int((take * sizes).sum()) == max(x for x in sums if x <= rest)
+    assert mixing.fit(np.array([3, 5]), np.array([2, 2]), 10).tolist() == [0, 2]
+
+
+def test_language_needs_a_letter():
+    model = lang_id.Model({"en": [BASE], "fr": ["été déjà vu et le reste"]})
+    told = [p for p, _ in model.predict(["½ ²", "Ⅷ ① 42", "___ 12", "ª", "漢", "a", None, ""])]
+    assert told[:3] == ["und"] * 3 and told[6:] == ["und"] * 2 and all(x != "und" for x in told[3:6])
+
+
+def test_language_of_many_texts_is_that_of_each():
+    model = lang_id.Model({"en": [BASE], "fr": ["été déjà vu et le reste"]})
+    texts = [BASE, None, "été " * 50, "", "the dog", "vu " * 99]
+    each = [r for t in texts for r in model.predict([t])]
+    assert [(p, pytest.approx(s)) for p, s in model.predict(texts)] == each
+
+
+def test_near_duplicates_of_one_set_in_another_order(spark):
+    words = [f"w{i % 7}" for i in range(30)]
+    turned = words[2:] + words[:2]  # the same two-word shingles in another order
+    rows = [(1, " ".join(words)), (2, " ".join(turned)), (3, " ".join(words).upper()), (4, "other words here")]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), w=2).collect()}
+    assert got == {1: (7, 1), 2: (7, 1), 3: (7, 1), 4: (2, 4)}
+
+
+def test_sketches_do_not_depend_on_how_sets_are_dealt(spark, real, monkeypatch):
+    rows = real.limit(60).selectExpr("doc_id AS id", "text")
+    one = {r.id: (r.n, r.bands, r.bits) for r in near_dup.sketched(rows, 5, 200, 40).collect()}
+    monkeypatch.setattr(near_dup, "DEALT", 3000)
+    assert {r.id: (r.n, r.bands, r.bits) for r in near_dup.sketched(rows, 5, 200, 40).collect()} == one
+
+
+def test_pipeline_stages_on_an_empty_table_and_clashing_names(spark, empty):
+    import corpus_pipeline
+
+    names = ["prediction", "mix_row", "mix_times", "mix_copy", "id", "size", "node", "Label", "lang_pred", "score", "rows", "band", "whole", "taken", "key"]
+    wide = spark.createDataFrame([(i, t, lang, s, len(t or "")) for i, t, lang, s in TEXTS], "doc_id long, text string, lang string, source string, n_chars long")
+    wide = wide.select("*", *[F.lit(k).alias(c) for k, c in enumerate(names)])
+    table = wide
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, "").count() == 0, name
+        assert stage(spark, wide.limit(0), "").count() == 0, name
+        table = stage(spark, table, "")
+        if name != "packing":
+            assert table.columns == wide.columns, name
+    assert table.count() > 0
