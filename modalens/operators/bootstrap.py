@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from modalens.functions.rank import numbered
+from modalens.operators.metrics import auroc
+from modalens.storage import written
 
 
 def uniform(*keys: Column) -> Column:
@@ -37,7 +41,10 @@ def percentile_interval(values: DataFrame, keys: list[str], value: str, level: f
 
 def group_vectors(groups: DataFrame, reps: int, seed: int, group: str) -> DataFrame:
     """(group, w): how often each replicate draws the group, one byte per replicate."""
+    return group_weights(groups, reps, seed, group).groupBy(group).agg(F.collect_list(F.struct("rep", "w")).alias("x")).select(group, _packed(reps)("x").alias("w"))
+
 
+def _packed(reps: int):
     @F.pandas_udf("binary")
     def packed(pairs: pd.Series) -> pd.Series:
         out = []
@@ -48,7 +55,7 @@ def group_vectors(groups: DataFrame, reps: int, seed: int, group: str) -> DataFr
             out.append(w.tobytes())
         return pd.Series(out, dtype=object)
 
-    return group_weights(groups, reps, seed, group).groupBy(group).agg(F.collect_list(F.struct("rep", "w")).alias("x")).select(group, packed("x").alias("w"))
+    return packed
 
 
 def auroc_replicates(pred: DataFrame, weights: DataFrame, keys: list[str], reps: int, group: str = "group_id", ranges: int = 32) -> DataFrame:
@@ -91,9 +98,57 @@ def auroc_replicates(pred: DataFrame, weights: DataFrame, keys: list[str], reps:
     return parts.groupBy(*keys).applyInPandas(over, f"{kinds}, rep int, auroc double").withColumn("auroc", F.nanvl("auroc", F.lit(None)))  # at most `ranges` rows each
 
 
-def auroc_interval(pred: DataFrame, keys: list[str], reps: int = 200, seed: int = 17, group: str = "group_id") -> DataFrame:
+def auroc_interval(pred: DataFrame, keys: list[str], reps: int = 200, seed: int = 17, group: str = "group_id", level: float = 0.95) -> DataFrame:
     """Interval of AUROC by resampling whole groups; replicates without both classes are left out."""
-    return percentile_interval(auroc_replicates(pred, group_vectors(pred, reps, seed, group), keys, reps, group), keys, "auroc")
+    return percentile_interval(auroc_replicates(pred, group_vectors(pred, reps, seed, group), keys, reps, group), keys, "auroc", level)
+
+
+def control_intervals(pred: DataFrame, reps: int = 1000, alpha: float = 0.05, seed: int = 17, group: str = "group_id") -> DataFrame:
+    """(model, usable, ci_low, ci_high) of control models, each at the level 1 - alpha / controls, from its own replicates."""
+    k = pred.select("model").distinct().count()
+    return auroc_interval(pred, ["model"], reps, seed, group, 1 - alpha / max(1, k))
+
+
+def poisson_vectors(rows: DataFrame, reps: int, seed: int, unit: str) -> DataFrame:
+    """(unit, w): how often each replicate takes each unit, one byte per replicate, drawn from Poisson(1) by the unit's hash.
+
+    Drawing a fixed total with replacement makes every draw meet its unit in a shuffle of units times replicates.
+    Independent counts have the same mean and nearly its variance, need no shuffle at all and leave strata independent,
+    each with a size that varies about its own.
+    """
+    steps = np.cumsum([1 / math.factorial(i) for i in range(12)]) / math.e
+    lane = (np.arange(reps, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+
+    @F.pandas_udf("binary")
+    def drawn(h: pd.Series) -> pd.Series:
+        out = []
+        for x in h.to_numpy(np.int64).view(np.uint64):
+            z = lane ^ x
+            z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            u = ((z ^ (z >> np.uint64(31))) >> np.uint64(11)) * 2.0**-53
+            out.append(np.searchsorted(steps, u, side="right").astype(np.uint8).tobytes())
+        return pd.Series(out, dtype=object)
+
+    return rows.select(unit).distinct().select(unit, drawn(F.xxhash64(F.lit(seed), unit)).alias("w"))
+
+
+def subgroup_scores(pred: DataFrame, stratum: str = "stratum", unit: str = "sample_id", reps: int = 500, seed: int = 42, least: int = 20) -> tuple[DataFrame, DataFrame]:
+    """(model, stratum, n, auroc, ci_low, ci_high) of every stratum, and (model, gap, ci_low, ci_high) over the scored ones.
+
+    A stratum of fewer than `least` rows or of one class is shown without a score. A replicate draws the rows of all
+    strata together, the same ones for every model: the gap's interval is that of largest less smallest in each
+    replicate. With fewer than two scored strata a model has no gap.
+    """
+    sizes = pred.groupBy("model", stratum).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("y").alias("_c"))
+    scored = sizes.filter((F.col("n") >= least) & (F.col("_c") > 1)).select("model", stratum)
+    rows = written(pred.join(scored, ["model", stratum]).select("model", stratum, unit, "y", "score"), "scored")
+    values = written(auroc_replicates(rows, poisson_vectors(rows, reps, seed, unit), ["model", stratum], reps, unit), "stratum-replicates")
+    seen = auroc(rows, ["model", stratum]).select("model", stratum, "auroc")
+    strata = sizes.drop("_c").join(seen, ["model", stratum], "left").join(percentile_interval(values, ["model", stratum], "auroc").drop("usable"), ["model", stratum], "left")
+    k = seen.groupBy("model").agg(F.count(F.lit(1)).alias("_k"), (F.max("auroc") - F.min("auroc")).alias("gap")).filter("_k > 1")
+    gaps = values.groupBy("model", "rep").agg(F.count("auroc").alias("_u"), (F.max("auroc") - F.min("auroc")).alias("gap")).join(k.select("model", "_k"), "model").filter("_u = _k")
+    return strata, k.drop("_k").join(percentile_interval(gaps, ["model"], "gap"), "model", "left")
 
 
 def paired_gain(pred: DataFrame, one: str, two: str, reps: int = 200, seed: int = 17, group: str = "group_id") -> DataFrame:

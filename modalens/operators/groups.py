@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from modalens.functions.rank import average_ranks, numbered, window_ranks
+from modalens.storage import written
+
+#: Features and groups whose ranks one task multiplies with label vectors.
+FEATURES, GROUPS = 256, 1024
 
 
 def missing_profile(cells: DataFrame, samples: DataFrame, features: DataFrame, group: str = "group_id") -> DataFrame:
@@ -148,12 +154,96 @@ def families(tests: DataFrame, alpha: float = 0.05) -> DataFrame:
     )
 
 
-def feature_association(profile: DataFrame, groups: DataFrame, target: str, reps: int = 99, group: str = "group_id") -> DataFrame:
-    """Per feature |Spearman| with a target and its permutation p; ranks are taken once, labels are shared by all features."""
-    ranked = profile.withColumn("_x", window_ranks("missing", "modality", "feature"))
-    y = average_ranks(groups.select(group, target).withColumn("_all", F.lit(0)), ["_all"], target, "_y").select(group, "_y")
-    every = y.withColumn("rep", F.lit(0)).unionByName(permuted(y, ["_y"], reps, group=group))
-    rho = ranked.join(every, group).groupBy("modality", "feature", "rep").agg(F.abs(F.corr("_x", "_y")).alias("rho"))
-    seen = rho.filter("rep = 0").select("modality", "feature", F.col("rho").alias("observed"))
-    null = rho.filter("rep > 0").join(seen, ["modality", "feature"])
-    return null.groupBy("modality", "feature", "observed").agg(((1 + F.sum((F.col("rho") >= F.col("observed") - 1e-12).cast("long"))) / (1 + F.count(F.lit(1)))).alias("p"))
+def feature_association(profile: DataFrame, groups: DataFrame, target: str, reps: int = 99, seed: int = 31, group: str = "group_id", kind: str = "continuous") -> DataFrame:
+    """Per feature its statistic against a group-level target, p by permuting whole groups, and p_max.
+
+    `observed` is |Spearman| with a continuous target, Kruskal-Wallis' H with a categorical one; p_max counts replicates
+    whose largest statistic over all features reaches the feature's own. A feature without spread has the statistic 0.
+    Values are ranked once. Ranks times labels, for all replicates together, are products of matrices: a task has the
+    ranks of some features and groups and the label vectors of these groups, and its sums are added over groups.
+    """
+    ranked = profile.select(group, "modality", "feature", window_ranks("missing", "modality", "feature").alias("_x"))
+    label = groups.select(group, target).filter(F.col(target).isNotNull())
+    if kind == "continuous":
+        y = average_ranks(label.withColumn("_all", F.lit(0)), ["_all"], target, "_y").select(group, F.col("_y").cast("double"))
+    else:
+        names = label.select(target).distinct().withColumn("_y", (F.row_number().over(Window.orderBy(target)) - 1).cast("double"))  # a row per class
+        y = label.join(F.broadcast(names), target).select(group, "_y")
+    y = written(y, "labels")
+    every = y.withColumn("rep", F.lit(0)).unionByName(permuted(y, ["_y"], reps, seed, group=group))
+    vectors = every.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("rep", "_y"))), lambda e: e["_y"]).alias("v"))  # replicates + 1 labels
+    sizes = y.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).orderBy("_y")
+    counts = np.array([r.n for r in sizes.collect()], float) if kind != "continuous" else np.zeros(0)  # a row per class
+    n, y_mean, y_var = y.agg(F.count(F.lit(1)), F.avg("_y"), F.var_pop("_y")).first()
+    if not n or not y_var:
+        raise ValueError("a target needs two values at least")
+    classes = len(counts) or 1
+    features = profile.select("modality", "feature").distinct().count()
+    parts, blocks = -(-features // FEATURES), -(-n // GROUPS)
+    own = ranked.join(y.select(group), group).withColumn("_p", F.pmod(F.xxhash64("modality", "feature"), F.lit(parts))).withColumn("_b", F.pmod(F.xxhash64(group), F.lit(blocks)))
+    lent = vectors.withColumn("_p", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))).withColumn("_b", F.pmod(F.xxhash64(group), F.lit(blocks)))
+
+    def products(ranks: pd.DataFrame, labels: pd.DataFrame) -> pd.DataFrame:
+        if not len(ranks) or not len(labels):
+            return pd.DataFrame({"modality": [], "feature": [], "cls": [], "n": [], "q": [], "sums": []})
+        wide = ranks.pivot(index=["modality", "feature"], columns=group, values="_x").reindex(columns=labels[group])
+        x, v = wide.fillna(0.0).to_numpy(), np.stack(labels["v"].tolist())
+        names = wide.index.to_frame(index=False)
+        seen = [x @ (v if kind == "continuous" else (v == c).astype(float)) for c in range(classes)]
+        return pd.concat([names.assign(cls=c, n=wide.notna().sum(axis=1).to_numpy(), q=(x * x).sum(axis=1), sums=list(s)) for c, s in enumerate(seen)])
+
+    def statistics(part: pd.DataFrame) -> pd.DataFrame:
+        one = part[part.cls == 0]
+        m, q = float(one.n.sum()), float(one.q.sum())
+        per = [np.sum(part[part.cls == c].sums.tolist(), axis=0) for c in range(classes)]
+        spread = q - m * ((m + 1) / 2) ** 2
+        if spread <= 1e-9:
+            value = np.zeros(reps + 1)
+        elif kind == "continuous":
+            value = np.abs(per[0] - m * (m + 1) / 2 * y_mean) / np.sqrt(spread * y_var * m)
+        else:
+            ties = m * (m + 1) * (2 * m + 1) / 6 - q
+            h = 12 / (m * (m + 1)) * sum(s * s / k for s, k in zip(per, counts, strict=True)) - 3 * (m + 1)
+            value = h / (1 - 12 * ties / (m**3 - m))
+        return one[["modality", "feature"]].iloc[:1].assign(v=[value])
+
+    sums = own.groupBy("_p", "_b").cogroup(lent.groupBy("_p", "_b")).applyInPandas(products, "modality string, feature string, cls int, n long, q double, sums array<double>")
+    found = written(sums.groupBy("modality", "feature").applyInPandas(statistics, "modality string, feature string, v array<double>"), "statistics")
+    top = found.select(F.posexplode("v").alias("rep", "x")).groupBy("rep").agg(F.max("x").alias("x"))
+    largest = top.filter("rep > 0").agg(F.collect_list("x").alias("_top"))  # one number per replicate
+    at_least = lambda values, x: F.size(F.filter(values, lambda e: e >= x - 1e-12))
+    seen = F.col("v")[0]
+    return found.join(F.broadcast(largest)).select(
+        "modality", "feature", seen.alias("observed"), (at_least(F.col("v"), seen) / (reps + 1)).alias("p"), ((1 + at_least(F.col("_top"), seen)) / (reps + 1)).alias("p_max")
+    )
+
+
+def association_summary(tested: DataFrame) -> DataFrame:
+    """(n_features, maximum, min_p, min_p_max) of per-feature tests: what a claim shows of them, none of it decides."""
+    return tested.agg(F.count(F.lit(1)).alias("n_features"), F.max("observed").alias("maximum"), F.min("p").alias("min_p"), F.min("p_max").alias("min_p_max"))
+
+
+def claims(tests: DataFrame, expected: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """One row per claim of (claim, modality, method, evidence, p), with `expected` (claim, modality, n) primary tests.
+
+    Only tests of primary evidence decide: Holm's adjustment runs over a claim's primary tests of all modalities, and a
+    claim warns if one of them is at most alpha. Secondary tests are counted and shown. A claim is refused, without
+    numbers, if a primary test is lacking or extra, or its p is missing or no probability.
+    """
+    first = tests.filter("evidence = 'primary'")
+    bad = first.groupBy("claim").agg(F.sum((F.col("p").isNull() | F.isnan("p") | ~F.col("p").between(0, 1)).cast("long")).alias("_bad"))
+    each = first.groupBy("claim", "modality").agg(F.count(F.lit(1)).alias("_n"))
+    gap = expected.join(each, ["claim", "modality"], "full").groupBy("claim").agg(F.sum((F.coalesce("n", F.lit(0)) != F.coalesce("_n", F.lit(0))).cast("long")).alias("_gap"), F.sum("n").alias("eligible"))
+    down = Window.partitionBy("claim").orderBy("p", "modality", "method")  # a row per modality and method
+    k = F.count(F.lit(1)).over(Window.partitionBy("claim"))
+    raw = F.least(F.lit(1.0), F.col("p") * (k - F.row_number().over(down) + 1))
+    adjusted = first.withColumn("_raw", raw).withColumn("_holm", F.max("_raw").over(down.rowsBetween(Window.unboundedPreceding, 0)))
+    primary = adjusted.groupBy("claim").agg(F.count(F.lit(1)).alias("n_primary"), F.sum((F.col("_holm") <= alpha).cast("long")).alias("warnings"), F.min("_holm").alias("min_holm"), F.array_join(F.sort_array(F.collect_set("method")), ",").alias("methods"))
+    second = tests.filter("evidence <> 'primary'").groupBy("claim").agg(F.count(F.lit(1)).alias("n_secondary"), F.min("p").alias("min_p_secondary"))
+    all_ = gap.join(bad, "claim", "left").join(primary, "claim", "left").join(second, "claim", "left")
+    refused = (F.col("_gap") > 0) | (F.coalesce("_bad", F.lit(0)) > 0)
+    told = lambda c: F.when(~refused, F.col(c))
+    return all_.select(
+        "claim", F.when(refused, "refused").otherwise("tested").alias("status"), "eligible", F.coalesce("n_primary", F.lit(0)).alias("n_primary"), told("warnings").alias("warnings"),
+        (told("warnings") > 0).alias("any_warning"), told("min_holm").alias("min_holm"), told("methods").alias("methods"), F.coalesce("n_secondary", F.lit(0)).alias("n_secondary"), "min_p_secondary",
+    )

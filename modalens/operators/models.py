@@ -14,7 +14,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from modalens.functions.rank import average_ranks, numbered
+from modalens.functions.rank import average_ranks, numbered, running_counts
 from modalens.operators.batch import centred, fold_moments
 from modalens.operators.bootstrap import uniform
 from modalens.storage import written
@@ -141,6 +141,11 @@ def boosting(n: int, rounds: int = 50, depth: int = 3):
 
 def prepared(cells: DataFrame, samples: DataFrame, folds: DataFrame, top: int | None = None) -> DataFrame:
     """(outer_fold, sample_id, side, x, y): imputed, standardised and selected columns of every fold, fitted on its training rows."""
+    return prepared_columns(cells, samples, folds, top)[0]
+
+
+def prepared_columns(cells: DataFrame, samples: DataFrame, folds: DataFrame, top: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The same, with (outer_fold, modality, feature, ix, blank): each fold's columns by their place in its vectors."""
     cells, samples, folds = (written(t, name) for t, name in ((cells, "cells"), (samples, "samples"), (folds, "folds")))  # each is read many times
     moments = imputed_moments(cells, samples, folds)
     if top is not None:
@@ -148,7 +153,8 @@ def prepared(cells: DataFrame, samples: DataFrame, folds: DataFrame, top: int |
     moments = written(moments, "moments")
     columns = moments.select("outer_fold", "modality", "feature", ((F.col("median") - F.col("mean")) / F.col("sd")).alias("blank"))
     x = vectors(imputed_standardized(cells, folds, moments), columns, ["outer_fold", "sample_id", "side"], ["outer_fold"])
-    return x.join(samples.select("sample_id", F.col("y").cast("double").alias("y")), "sample_id")
+    placed = columns.withColumn("ix", F.row_number().over(Window.partitionBy("outer_fold").orderBy("modality", "feature")) - 1)
+    return x.join(samples.select("sample_id", F.col("y").cast("double").alias("y")), "sample_id"), placed
 
 
 def out_of_fold(cells: DataFrame, samples: DataFrame, folds: DataFrame, make=logistic, model: str = "linear", threads: int = 4, top: int | None = None, only: list | None = None) -> DataFrame:
@@ -297,3 +303,29 @@ def target_copies(cells: DataFrame, samples: DataFrame, target: str = "y") -> Da
     line_at = F.col("_v") + F.col("_s") * (F.col("_y") - F.col("_t"))
     fits = F.bool_and(F.abs(F.col("value") - line_at) <= 1e-9 * F.greatest(F.lit(1.0), F.abs("value")))
     return rows.join(line, ["modality", "feature"]).groupBy("modality", "feature", "equal", "bijection").agg(F.coalesce(fits & (F.first("_s") != 0), F.lit(False)).alias("affine"))
+
+
+def survival_copies(cells: DataFrame, samples: DataFrame, time: str = "time", event: str = "event", least_pairs: int = 1) -> DataFrame:
+    """(modality, feature, time_copy, event_copy, joint, inverted): features that give away when or whether an event comes.
+
+    A time or event copy equals it in every sample; joint: the study has a copy of each. Inverted: the feature falls
+    strictly as time grows and is the same where time is, over `least_pairs` pairs of different times at least. Then time
+    and value have as many distinct pairs as values each, and the place of a value from below and that of its time add
+    up to the same number, whatever the feature.
+    """
+    rows = cells.filter("value IS NOT NULL").join(samples.select("sample_id", F.col(time).cast("double").alias("_t"), F.col(event).cast("double").alias("_e")), "sample_id")
+    n = samples.select("sample_id").distinct().count()
+    keys = ["modality", "feature"]
+    whole = F.count(F.lit(1)) == n
+    copies = rows.groupBy(*keys).agg((whole & F.bool_and(F.col("value") == F.col("_t"))).alias("time_copy"), (whole & F.bool_and(F.col("value") == F.col("_e"))).alias("event_copy"), F.count(F.lit(1)).alias("_n"), whole.alias("_whole"))
+    pairs = written(rows.groupBy(*keys, "_t", "value").agg(F.count(F.lit(1)).alias("m")).withColumn("_one", F.lit(1).cast("long")), "time-values")
+    placed = running_counts(running_counts(pairs, keys, "_t", "_one").withColumnRenamed("before", "_bt"), keys, "value", "_one")
+    tied = pairs.groupBy(*keys, "_t").agg(F.sum("m").alias("m")).groupBy(*keys).agg(F.sum(F.col("m") * (F.col("m") - 1) / 2).alias("_same"))
+    shape = placed.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_p"), F.countDistinct("_t").alias("_a"), F.countDistinct("value").alias("_b"), F.min(F.col("_bt") + F.col("before")).alias("_lo"), F.max(F.col("_bt") + F.col("before")).alias("_hi")
+    )
+    falls = (F.col("_a") > 1) & (F.col("_p") == F.col("_a")) & (F.col("_p") == F.col("_b")) & (F.col("_lo") == F.col("_hi"))
+    enough = F.col("_n") * (F.col("_n") - 1) / 2 - F.col("_same") >= least_pairs
+    both = copies.agg((F.bool_or("time_copy") & F.bool_or("event_copy")).alias("_both"))
+    out = copies.join(shape, keys).join(tied, keys).join(F.broadcast(both))
+    return out.select(*keys, "time_copy", "event_copy", (F.col("_both") & (F.col("time_copy") | F.col("event_copy"))).alias("joint"), (falls & enough & F.col("_whole")).alias("inverted"))

@@ -9,7 +9,10 @@ from modalens.operators.clean import na_masked, number
 
 
 def clinical(table: DataFrame) -> DataFrame:
-    """Per column: rows, distinct and missing values, share of numbers, numeric (0.8 or more), looks like an id."""
+    """Per column: rows, distinct and missing values, numbers, numeric (0.8 or more), looks like an id.
+
+    An id has a value of its own in every row that has one, more than one value, and isn't numeric.
+    """
     text = table.select(*[F.col(c).cast("string").alias(c) for c in table.columns])
     long = text.unpivot([], text.columns, "column", "raw").withColumn("v", na_masked(F.col("raw")))
     out = long.groupBy("column").agg(
@@ -17,7 +20,42 @@ def clinical(table: DataFrame) -> DataFrame:
         F.sum(number(F.col("v")).isNotNull().cast("long")).alias("n_numeric"),
     )
     present = F.col("n") - F.col("n_missing")
-    return out.withColumn("numeric", F.col("n_numeric") >= 0.8 * present).withColumn("looks_like_id", (present > 0) & (F.col("n_distinct") == present))
+    return out.withColumn("numeric", F.col("n_numeric") >= 0.8 * F.greatest(present, F.lit(1))).withColumn("looks_like_id", (F.col("n_distinct") == present) & (F.col("n_distinct") > 1) & ~F.col("numeric"))
+
+
+def examples(table: DataFrame, k: int = 4) -> DataFrame:
+    """(column, value, place): the first k distinct values of every column, in order."""
+    text = table.select(*[F.col(c).cast("string").alias(c) for c in table.columns])
+    seen = text.unpivot([], text.columns, "column", "raw").select("column", na_masked(F.col("raw")).alias("value")).filter("value IS NOT NULL").distinct()
+    return seen.withColumn("place", F.row_number().over(Window.partitionBy("column").orderBy("value"))).filter(F.col("place") <= k)
+
+
+def target_counts(samples: DataFrame, label: str, k: int = 10) -> DataFrame:
+    """(label, n, place): the k commonest values of a target, ties in order."""
+    per = samples.select(F.col(label).cast("string").alias("label")).filter("label IS NOT NULL").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return per.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "label"))).filter(F.col("place") <= k)
+
+
+def target_preview(samples: DataFrame, label: str, task: str = "auto") -> DataFrame:
+    """What a column means as a target: task, n_missing, n_distinct, smallest and largest class or low and high, balanced, ok.
+
+    Numbers in 0.8 of the rows and more than 12 distinct values make a regression. A classification needs two classes, a
+    regression ten numbers.
+    """
+    raw = samples.select(na_masked(F.col(label).cast("string")).alias("v"))
+    per = raw.groupBy("v").agg(F.count(F.lit(1)).alias("m")).withColumn("x", number(F.col("v")))
+    given, is_number = F.col("v").isNotNull(), F.col("x").isNotNull()
+    out = per.agg(
+        F.coalesce(F.sum(F.when(~given, F.col("m"))), F.lit(0)).alias("n_missing"), F.count("v").alias("n_distinct"), F.min(F.when(given, F.col("m"))).alias("smallest"), F.max(F.when(given, F.col("m"))).alias("largest"),
+        F.coalesce(F.sum(F.when(is_number, F.col("m"))), F.lit(0)).alias("n_numeric"), F.coalesce(F.sum(F.when(given, F.col("m"))), F.lit(0)).alias("_present"), F.min("x").alias("low"), F.max("x").alias("high"),
+    )
+    inferred = F.when((F.col("n_numeric") >= 0.8 * F.greatest("_present", F.lit(1))) & (F.col("n_distinct") > 12), "regression").otherwise("classification")
+    out = out.withColumn("task", inferred if task == "auto" else F.lit(task))
+    classes = F.col("task") == "classification"
+    balanced = F.when(classes & (F.col("n_distinct") > 1), F.col("smallest") >= 0.4 * F.col("largest"))
+    ok = F.when(classes, F.col("n_distinct") > 1).otherwise(F.col("n_numeric") >= 10)
+    of = lambda c, when: F.when(when, F.col(c)).alias(c)
+    return out.select("task", "n_missing", "n_distinct", of("smallest", classes), of("largest", classes), balanced.alias("balanced"), of("low", ~classes), of("high", ~classes), "n_numeric", ok.alias("ok"))
 
 
 def target(samples: DataFrame, label: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from modalens.operators.bootstrap import percentile_interval, uniform
@@ -53,13 +53,53 @@ def null_behaviour(rows: DataFrame, keys: list[str], value: str, chance: float,
     return out.withColumn("within", F.abs(F.col("mean") - chance) <= margin)
 
 
-def gate(problems: DataFrame) -> DataFrame:
-    """One verdict from (rule, severity, n): FAIL on an error, WARN on a warning, else PASS."""
+def findings(checks: dict[str, tuple[str, DataFrame]], keys: list[str]) -> DataFrame:
+    """(keys, rule, severity, n): how many rows each check found under each key. checks: by name the severity and the rows found."""
+    out = None
+    for rule, (severity, found) in checks.items():
+        if severity not in ("error", "warning"):
+            raise ValueError(f"{rule}: {severity} is no severity")
+        one = found.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).select(*keys, F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def gate(problems: DataFrame, every: DataFrame | None = None) -> DataFrame:
+    """One verdict from (rule, severity, n): FAIL on an error, WARN on a warning, else PASS.
+
+    With `every`, a table of keys, there is a verdict for each of them, and PASS for one without problems.
+    """
+    keys = every.columns if every is not None else []
     n = lambda s: F.coalesce(F.sum(F.when(F.col("severity") == s, F.col("n"))), F.lit(0))
-    out = problems.agg(n("error").alias("errors"), n("warning").alias("warnings"))
+    rows = problems if every is None else every.join(problems, keys, "left")
+    out = rows.groupBy(*keys).agg(n("error").alias("errors"), n("warning").alias("warnings"))
     return out.withColumn("verdict", F.when(F.col("errors") > 0, "FAIL").when(F.col("warnings") > 0, "WARN").otherwise("PASS"))
 
 
+def record_gate(rows: DataFrame, failures: DataFrame, expected: DataFrame, rules: dict[str, dict], phase: str = "phase", value: str = "primary_value", control: float = 0.12, chance: float = 0.5, stale: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Findings and verdicts of the phases of result rows (phase, dataset_id, method_id, arm, repeat, value, profile).
+
+    Errors: broken row rules, several profiles in a phase, repeated keys, a value that is missing or not finite without a
+    failure record, expected tasks without a row, a mean of control rows (method "control") more than `control` above
+    chance. Warnings: rows that `stale` marks. A phase that expects no task at all is an error too.
+    """
+    key = [phase, "dataset_id", "method_id", "arm", "repeat"]
+    mean = rows.filter("method_id = 'control'").groupBy(phase).agg(F.avg(value).alias("_m")).filter(F.col("_m") > chance + control)
+    checks = {
+        "row rule": ("error", broken(rows, rules)),
+        "several profiles": ("error", mixed(rows, [phase], "profile")),
+        "repeated key": ("error", duplicates(rows, key)),
+        "unexplained null": ("error", unexplained_nulls(rows, failures, key, value)),
+        "missing task": ("error", expected.join(rows, key, "left_anti")),
+        "nothing expected": ("error", rows.select(phase).distinct().join(expected.select(phase).distinct(), phase, "left_anti")),
+        "control above chance": ("error", mean),
+        "stale row": ("warning", rows.filter(stale if stale is not None else F.lit(False))),
+    }
+    found = findings(checks, [phase])
+    every = rows.select(phase).unionByName(expected.select(phase)).distinct()
+    return found, gate(found, every)
+
+
 def predictive_table(rows: DataFrame, keys: list[str], value: str = "primary_value") -> DataFrame:
     """Per key: attempted and scored rows, mean over the scored ones, and over all attempts with a failure as zero."""
     return rows.groupBy(*keys).agg(

@@ -43,25 +43,30 @@ def grouped(samples: DataFrame, k: int, label: str | None = None, group: str = "
     Groups are dealt in turn, there and back: by the set of their classes, then largest first, then by their class
     counts. Their places come from the counts of each such kind and from hash shards inside it, so no task ranks all.
     """
-    per = samples.groupBy(group, *([label] if label else [])).agg(F.count(F.lit(1)).alias("m"))
+    folds = _dealt(samples, k, label, group, seed, shards)
+    return samples.select("sample_id", group).join(folds, group).select("sample_id", "outer_fold")
+
+
+def _dealt(samples: DataFrame, k: int, label: str | None, group: str, seed: int, shards: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, group, outer_fold): the deal of `grouped`, on its own for every key of `by`."""
+    per = samples.groupBy(*by, group, *([label] if label else [])).agg(F.count(F.lit(1)).alias("m"))
     names = F.sort_array(F.collect_list(F.struct(*([F.col(label).cast("string").alias("c")] if label else [F.lit("").alias("c")]), "m")))  # an entry per class
-    kind = per.groupBy(group).agg(F.sum("m").alias("size"), names.alias("x"))
+    kind = per.groupBy(*by, group).agg(F.sum("m").alias("size"), names.alias("x"))
     sign = lambda f: F.array_join(F.transform("x", lambda e: F.coalesce(e[f].cast("string"), F.lit(""))), ",")
-    kind = kind.select(group, "size", sign("c").alias("classes"), sign("m").alias("counts"), F.xxhash64(F.lit(seed), group).alias("_o")).withColumn("_s", F.pmod("_o", F.lit(shards)))
-    cell = ["classes", "size", "counts"]
+    kind = kind.select(*by, group, "size", sign("c").alias("classes"), sign("m").alias("counts"), F.xxhash64(F.lit(seed), *by, group).alias("_o")).withColumn("_s", F.pmod("_o", F.lit(shards)))
+    cell = [*by, "classes", "size", "counts"]
     counts = kind.groupBy(*cell, "_s").agg(F.count(F.lit(1)).alias("n"))
     kinds = counts.groupBy(*cell).agg(F.sum("n").alias("n"))
-    later = Window.partitionBy("classes").orderBy(F.desc("size"), "counts").rowsBetween(Window.unboundedPreceding, -1)  # over kinds of groups
-    sets = kinds.groupBy("classes").agg(F.sum("n").alias("n"))
-    first = F.coalesce(F.sum("n").over(Window.orderBy("classes").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # over sets of classes
-    starts = kinds.select(*cell, F.coalesce(F.sum("n").over(later), F.lit(0)).alias("_k")).join(sets.select("classes", first.alias("_f")), "classes")
+    later = Window.partitionBy(*by, "classes").orderBy(F.desc("size"), "counts").rowsBetween(Window.unboundedPreceding, -1)  # over kinds of groups
+    sets = kinds.groupBy(*by, "classes").agg(F.sum("n").alias("n"))
+    first = F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy("classes").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # over sets of classes
+    starts = kinds.select(*cell, F.coalesce(F.sum("n").over(later), F.lit(0)).alias("_k")).join(sets.select(*by, "classes", first.alias("_set")), [*by, "classes"])
     own = F.coalesce(F.sum("n").over(Window.partitionBy(*cell).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = counts.select(*cell, "_s", own.alias("_b")).join(starts, cell)
     at = F.row_number().over(Window.partitionBy(*cell, "_s").orderBy("_o", group)) - 1
-    placed = kind.withColumn("_r", at).join(starts, [*cell, "_s"]).withColumn("_at", F.col("_f") + F.col("_k") + F.col("_b") + F.col("_r"))
+    placed = kind.withColumn("_r", at).join(starts, [*cell, "_s"]).withColumn("_at", F.col("_set") + F.col("_k") + F.col("_b") + F.col("_r"))
     lap, place = F.floor(F.col("_at") / k), F.col("_at") % k
-    folds = placed.select(group, F.when(lap % 2 == 0, place).otherwise(k - 1 - place).cast("int").alias("outer_fold"))
-    return samples.select("sample_id", group).join(folds, group).select("sample_id", "outer_fold")
+    return placed.select(*by, group, F.when(lap % 2 == 0, place).otherwise(k - 1 - place).cast("int").alias("outer_fold"))
 
 
 def blocked(samples: DataFrame, k: int, batch: str = "batch") -> DataFrame:
@@ -77,8 +82,24 @@ def naive(samples: DataFrame, k: int, label: str, seed: int = 5) -> DataFrame:
     return stratified(samples, k, label, seed).withColumn("arm", F.lit("naive"))
 
 
-def inner(samples: DataFrame, folds: DataFrame, k: int, label: str, seed: int = 6) -> DataFrame:
-    """(sample_id, outer_fold, inner_fold): folds inside every outer training set."""
+def inner(samples: DataFrame, folds: DataFrame, k: int, label: str | None, seed: int = 6, group: str = "group_id") -> DataFrame:
+    """(sample_id, outer_fold, inner_fold): folds inside every outer training set that never divide a group.
+
+    All outer folds are dealt at once, each on its own.
+    """
+    train = _training(samples, folds, group, *([label] if label else []))
+    dealt = _dealt(train, k, label, group, seed, 64, ("_outer",))
+    return train.join(dealt.withColumnRenamed("outer_fold", "inner_fold"), ["_outer", group]).select("sample_id", F.col("_outer").alias("outer_fold"), "inner_fold")
+
+
+def _training(samples: DataFrame, folds: DataFrame, *columns: str) -> DataFrame:
+    """(_outer, sample_id, columns): the training samples of every outer fold _outer."""
+    outer = folds.select(F.col("outer_fold").alias("_outer")).distinct()
+    return samples.select("sample_id", *columns).join(folds, "sample_id").join(F.broadcast(outer)).filter("_outer <> outer_fold").drop("outer_fold")  # a row per fold
+
+
+def naive_inner(samples: DataFrame, folds: DataFrame, k: int, label: str, seed: int = 6) -> DataFrame:
+    """(sample_id, outer_fold, inner_fold): the unsafe arm's folds inside its training sets, by rows whatever their groups."""
     outer = folds.select("outer_fold").distinct()
     train = samples.select("sample_id", label).join(folds, "sample_id").withColumnRenamed("outer_fold", "own").join(F.broadcast(outer)).filter("own <> outer_fold")
     o = F.xxhash64(F.lit(seed), "outer_fold", "sample_id")
@@ -86,8 +107,8 @@ def inner(samples: DataFrame, folds: DataFrame, k: int, label: str, seed: int =
     own = F.row_number().over(Window.partitionBy("outer_fold", "_l", "_s").orderBy("_o", "sample_id")) - 1
     counts = rows.groupBy("outer_fold", "_l", "_s").agg(F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("outer_fold", "_l").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.select(F.col("outer_fold").alias("_f"), F.col("_l").alias("_m"), F.col("_s").alias("_t"), before.alias("_b"))
-    on = (F.col("outer_fold") == F.col("_f")) & F.col("_l").eqNullSafe(F.col("_m")) & (F.col("_s") == F.col("_t"))
+    counts = counts.select(F.col("outer_fold").alias("_outer"), F.col("_l").alias("_m"), F.col("_s").alias("_t"), before.alias("_b"))
+    on = (F.col("outer_fold") == F.col("_outer")) & F.col("_l").eqNullSafe(F.col("_m")) & (F.col("_s") == F.col("_t"))
     return rows.withColumn("_r", own).join(counts, on).select("sample_id", "outer_fold", ((F.col("_r") + F.col("_b")) % k).cast("int").alias("inner_fold"))
 
 

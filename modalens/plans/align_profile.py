@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from modalens.operators import align, clean, normalize, profile
@@ -240,19 +243,46 @@ def j9_paired_arms(spark, sf_dir):
     return rounded(align.paired_arms(A.result_rows(spark, sf_dir), ["dataset_id", "method_id"], "arm", "primary_value", "O", "F"), "unsafe", "safe", "gap")
 
 
-_PROFILED = ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+_PROFILED = ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_name")
 
 
 @query(
     " UNION ALL ".join(
         f"""SELECT '{c}' AS "column", count(*) AS n, count(DISTINCT {c}) AS n_distinct, count(*) FILTER ({c} IS NULL) AS n_missing,
  count(*) FILTER (try_cast({c}::VARCHAR AS DOUBLE) IS NOT NULL) AS n_numeric, count(*) FILTER (try_cast({c}::VARCHAR AS DOUBLE) IS NOT NULL) >= 0.8 * count({c}) AS "numeric",
- count(DISTINCT {c}) = count({c}) AS looks_like_id FROM orders"""
+ count(DISTINCT {c}) = count({c}) AND count(DISTINCT {c}) > 1 AND NOT count(*) FILTER (try_cast({c}::VARCHAR AS DOUBLE) IS NOT NULL) >= 0.8 * count({c}) AS looks_like_id FROM orders"""
         for c in _PROFILED
-    )
+    ).replace("FROM orders", "FROM (SELECT *, 'order ' || o_orderkey AS o_name FROM orders)")
 )
 def c1_clinical_profile(spark, sf_dir):
-    return profile.clinical(table(spark, sf_dir, "orders").select(*_PROFILED))
+    return profile.clinical(_orders(spark, sf_dir))
+
+
+def _orders(spark, sf_dir):
+    return table(spark, sf_dir, "orders").withColumn("o_name", F.concat(F.lit("order "), F.col("o_orderkey").cast("string"))).select(*_PROFILED)
+
+
+@query(" UNION ALL ".join(f"""SELECT '{c}' AS "column", value, place FROM (SELECT value, row_number() OVER (ORDER BY value) AS place FROM (SELECT DISTINCT {c}::VARCHAR AS value FROM (SELECT *, 'order ' || o_orderkey AS o_name FROM orders))) WHERE place <= 4""" for c in _PROFILED))
+def c1_examples(spark, sf_dir):
+    return profile.examples(_orders(spark, sf_dir)).withColumn("place", F.col("place").cast("long"))
+
+
+_TARGETS = ("o_orderstatus", "o_totalprice", "o_orderkey", "one")
+
+
+@query(" UNION ALL ".join(f"""SELECT '{c}' AS "column", task, n_missing, n_distinct, CASE WHEN task = 'classification' THEN smallest END AS smallest, CASE WHEN task = 'classification' THEN largest END AS largest,
+ CASE WHEN task = 'classification' AND n_distinct > 1 THEN smallest >= 0.4 * largest END AS balanced, CASE WHEN task = 'regression' THEN low END AS low, CASE WHEN task = 'regression' THEN high END AS high, n_numeric, CASE WHEN task = 'classification' THEN n_distinct > 1 ELSE n_numeric >= 10 END AS ok
+FROM (SELECT *, CASE WHEN n_numeric >= 0.8 * present AND n_distinct > 12 THEN 'regression' ELSE 'classification' END AS task FROM (SELECT 0::BIGINT AS n_missing, count(*) AS n_distinct, min(m) AS smallest, max(m) AS largest, sum(m)::BIGINT AS present,
+ coalesce(sum(m) FILTER (x IS NOT NULL), 0)::BIGINT AS n_numeric, min(x) AS low, max(x) AS high FROM (SELECT v, count(*) AS m, try_cast(any_value(v) AS DOUBLE) AS x FROM (SELECT {c}::VARCHAR AS v FROM (SELECT *, 'one' AS one FROM orders)) GROUP BY v)))""" for c in _TARGETS))
+def c2_target_preview(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").withColumn("one", F.lit("one"))
+    return functools.reduce(DataFrame.unionByName, [profile.target_preview(o, c).select(F.lit(c).alias("column"), "*") for c in _TARGETS])
+
+
+@query("SELECT label, n, place FROM (SELECT label, n, row_number() OVER (ORDER BY n DESC, label) AS place FROM (SELECT l_shipdate::VARCHAR AS label, count(*) AS n FROM lineitem GROUP BY 1)) WHERE place <= 10")
+def c2_target_counts(spark, sf_dir):
+    """The ten commonest classes of a target with many."""
+    return profile.target_counts(table(spark, sf_dir, "lineitem"), "l_shipdate").withColumn("place", F.col("place").cast("long"))
 
 
 @query(f"WITH {A.EVENTS_DAY_SQL}, p AS (SELECT y, count(*) AS n FROM samples GROUP BY 1) SELECT count(*) AS classes, min(n) AS smallest, max(n) AS largest, min(n) >= 0.4 * max(n) AS balanced FROM p")

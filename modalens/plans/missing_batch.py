@@ -104,10 +104,10 @@ def _chi2(rows, a, b):
     return missingness.contingency_chi2(rows, [], a, b).select("n", F.round("chi2", 5).alias("chi2"), "df", F.round("cramers_v", 6).alias("cramers_v"), F.round("p", 6).alias("p"))
 
 
-@query(f"WITH {A.EVENTS_DAY_SQL}, {MISSING_SQL}, ms AS (SELECT (n_missing > 2)::INT AS any_missing, y FROM missing JOIN samples USING (sample_id)), {chi2_sql('ms', 'any_missing', 'y')}")
+@query(f"WITH {A.EVENTS_DAY_SQL}, {MISSING_SQL}, ms AS (SELECT (n_missing > 0)::INT AS any_missing, y FROM missing JOIN samples USING (sample_id)), {chi2_sql('ms', 'any_missing', 'y')}")
 def d5_any_missing_by_class(spark, sf_dir):
     s, missing = _day_missing(spark, sf_dir)
-    return _chi2(missing.join(s.samples, "sample_id").withColumn("any_missing", (F.col("n_missing") > 2).cast("int")), "any_missing", "y")
+    return _chi2(missing.join(s.samples, "sample_id").withColumn("any_missing", (F.col("n_missing") > 0).cast("int")), "any_missing", "y")
 
 
 @query(f"""WITH {A.EVENTS_DAY_SQL}, {MISSING_SQL}, t AS (SELECT sample_id, count(*) AS target FROM e GROUP BY 1),
@@ -147,29 +147,21 @@ aa AS (SELECT sum(m)::BIGINT AS n, count(*) AS k, sum(s * s / m) AS b, sum(s) AS
 SELECT n, k, round(((b - s * s / n) / (k - 1)) / ((q - b) / (n - k)), 4) AS f, round((b - s * s / n) / (q - s * s / n), 6) AS eta2 FROM aa"""
 
 
-@query(f"WITH {A.EVENTS_DAY_SQL}, av AS (SELECT value AS v, batch AS g FROM cells JOIN samples USING (sample_id) WHERE feature = 'click'), {ANOVA_SQL}")
+@query(f"""WITH {A.EVENTS_DAY_SQL}, av AS (SELECT modality, feature, value AS v, batch AS g FROM cells JOIN samples USING (sample_id)), am AS (SELECT modality, feature, avg(v) AS mu FROM av GROUP BY ALL),
+ap AS (SELECT modality, feature, g, count(*) AS m, sum(v - mu) AS s, sum((v - mu) * (v - mu)) AS q FROM av JOIN am USING (modality, feature) GROUP BY ALL),
+aa AS (SELECT modality, feature, sum(m)::BIGINT AS n, count(*) AS k, sum(s * s / m) AS b, sum(s) AS s, sum(q) AS q FROM ap GROUP BY ALL)
+SELECT modality, feature, n, k, round(((b - s * s / n) / (k - 1)) / ((q - b) / (n - k)), 4) AS f, round((b - s * s / n) / (q - s * s / n), 6) AS eta2 FROM aa""")
 def b4_batch_anova(spark, sf_dir):
-    s = A.events_day(spark, sf_dir)
-    out = batch.anova(s.cells.filter("feature = 'click'").join(s.samples, "sample_id"), [], "value", "batch")
-    return out.select("n", "k", F.round("f", 4).alias("f"), F.round("eta2", 6).alias("eta2"))
-
-
-@query(f"WITH {A.EVENTS_DAY_SQL}, av AS (SELECT value, batch FROM cells JOIN samples USING (sample_id) WHERE feature = 'view'), {kruskal_sql('av', 'value', 'batch')}")
-def b5_batch_kruskal(spark, sf_dir):
-    s = A.events_day(spark, sf_dir)
-    rows = s.cells.filter("feature = 'view'").join(s.samples, "sample_id").withColumn("all", F.lit(0))
-    return missingness.kruskal(rows, ["all"], "value", "batch", drop_single=False).select("n", "k", F.round("h", 5).alias("h"), F.round("p", 6).alias("p"))
-
-
-@query()
-def b4_batch_anova_features(spark, sf_dir):
     s = A.events_day(spark, sf_dir)
     out = batch.anova(s.cells.join(s.samples, "sample_id"), ["modality", "feature"], "value", "batch")
     return out.select("modality", "feature", "n", "k", F.round("f", 4).alias("f"), F.round("eta2", 6).alias("eta2"))
 
 
-@query()
-def b5_batch_kruskal_features(spark, sf_dir):
+@query(f"""WITH {A.EVENTS_DAY_SQL}, kr AS (SELECT modality, feature, value AS v, batch AS g, rank() OVER (PARTITION BY modality, feature ORDER BY value) + (count(*) OVER (PARTITION BY modality, feature, value) - 1) / 2 AS r FROM cells JOIN samples USING (sample_id)),
+kp AS (SELECT modality, feature, g, sum(r) AS s, count(*) AS m FROM kr GROUP BY ALL), kt AS (SELECT modality, feature, sum(t::DOUBLE * t * t - t) AS ties FROM (SELECT modality, feature, v, count(*) AS t FROM kr GROUP BY ALL) GROUP BY ALL),
+kh AS (SELECT modality, feature, sum(m)::BIGINT AS n, count(*) AS k, sum(s * s / m) AS q FROM kp GROUP BY ALL), kk AS (SELECT kh.*, (12 / (n::DOUBLE * (n + 1)) * q - 3 * (n + 1)) / (1 - ties / (n::DOUBLE * n * n - n)) AS h FROM kh JOIN kt USING (modality, feature))
+SELECT modality, feature, n, k, round(h, 5) AS h, round({chi2_tail_sql('h', 'k - 1')}, 6) AS p FROM kk""")
+def b5_batch_kruskal(spark, sf_dir):
     s = A.events_day(spark, sf_dir)
     out = missingness.kruskal(s.cells.join(s.samples, "sample_id"), ["modality", "feature"], "value", "batch", drop_single=False)
     return out.select("modality", "feature", "n", "k", F.round("h", 5).alias("h"), F.round("p", 6).alias("p"))
@@ -194,15 +186,8 @@ k AS (SELECT DISTINCT outer_fold FROM f),
 am AS (SELECT k.outer_fold, modality, feature, avg(value) AS am FROM x, k WHERE x.outer_fold <> k.outer_fold GROUP BY ALL),
 bm AS (SELECT k.outer_fold, modality, feature, batch, avg(value) AS bm FROM x, k WHERE x.outer_fold <> k.outer_fold GROUP BY ALL)
 SELECT am.outer_fold, x.sample_id, modality, feature, round(x.value - coalesce(bm - am, 0), 6) AS value
-FROM x JOIN am USING (modality, feature) LEFT JOIN bm USING (modality, feature, batch) WHERE bm.outer_fold = am.outer_fold AND feature < 'd04'""")
+FROM x JOIN am USING (modality, feature) LEFT JOIN bm USING (modality, feature, batch) WHERE bm.outer_fold = am.outer_fold""")
 def b9_batch_centring(spark, sf_dir):
-    s = A.embeddings(spark, sf_dir)
-    folds = s.samples.select("sample_id", F.expr("int(bigint(sample_id) div 7 % 5)").alias("outer_fold"))
-    return rounded(batch.centred(s.cells.filter("feature < 'd04'"), s.samples, folds), "value")
-
-
-@query()
-def b9_batch_centring_features(spark, sf_dir):
     s = A.embeddings(spark, sf_dir)
     folds = s.samples.select("sample_id", F.expr("int(bigint(sample_id) div 7 % 5)").alias("outer_fold"))
     return rounded(batch.centred(s.cells, s.samples, folds), "value")
@@ -217,20 +202,13 @@ def b10_centring_guard(spark, sf_dir):
     return batch.centring_guard(s.samples, folds, least=500)
 
 
-@query(f"""WITH {A.EMBEDDINGS_SQL}, p AS (SELECT vec_id, embedding[1:10]::DOUBLE[10] AS c, label FROM embeddings),
+@query(f"""WITH {A.EMBEDDINGS_SQL}, p AS (SELECT vec_id, embedding::DOUBLE[64] AS c, label FROM embeddings),
 d AS (SELECT a.vec_id, a.label, b.label AS other, sum(CASE WHEN a.vec_id = b.vec_id THEN 0 ELSE array_distance(a.c, b.c) END) AS d FROM p a, p b GROUP BY ALL),
 n AS (SELECT label AS other, count(*) AS n FROM p GROUP BY 1),
 s AS (SELECT vec_id, max(CASE WHEN label = other AND n > 1 THEN d / (n - 1) END) AS a, min(CASE WHEN label <> other THEN d / n END) AS b,
              max(CASE WHEN label = other THEN n END) AS m FROM d JOIN n USING (other) GROUP BY vec_id)
 SELECT count(*) AS n, round(avg(CASE WHEN m = 1 THEN 0 ELSE (b - a) / greatest(a, b) END), 5) AS silhouette FROM s""")
 def b3_silhouette(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    points = e.select(F.col("vec_id").cast("string").alias("sample_id"), F.slice("embedding", 1, 10).cast("array<double>").alias("coordinates"), "label").withColumn("all", F.lit(0))
-    return batch.silhouette(points, "label", ["all"]).select("n", F.round("silhouette", 5).alias("silhouette"))
-
-
-@query()
-def b3_silhouette_dimensions(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     points = e.select(F.col("vec_id").cast("string").alias("sample_id"), F.col("embedding").cast("array<double>").alias("coordinates"), "label").withColumn("all", F.lit(0))
     return batch.silhouette(points, "label", ["all"]).select("n", F.round("silhouette", 5).alias("silhouette"))
@@ -267,6 +245,10 @@ def b7_confounded_flag(spark, sf_dir):
     return batch.confounded(test).select("n", F.round("chi2", 5).alias("chi2"), "df", F.round("cramers_v", 6).alias("cramers_v"), F.round("p", 6).alias("p"), "confounded")
 
 
+#: Other names of the same queries.
+QUERIES |= {"b3_silhouette_dimensions": QUERIES["b3_silhouette"], "b4_batch_anova_features": QUERIES["b4_batch_anova"], "b5_batch_kruskal_features": QUERIES["b5_batch_kruskal"], "b9_batch_centring_features": QUERIES["b9_batch_centring"]}
+
+
 def flagship(spark, sf_dir):
     """Does missingness track the outcome or the batch? Statistic, p and adjusted p of each test."""
     s, missing = _day_missing(spark, sf_dir)

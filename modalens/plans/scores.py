@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from modalens.operators import bootstrap, ledger, metrics, provenance, rows, splits
 from modalens.session import table
 from modalens.sources import adapters as A
+from modalens.storage import written
 
 QUERIES: dict = {}
 
@@ -232,12 +233,19 @@ def x8_naive_arm(spark, sf_dir):
     return _even(splits.naive(s, 5, "y").drop("arm"), s.withColumn("label", F.col("y").cast("string")).select("sample_id", "label"), "label").withColumn("arm", F.lit("naive"))
 
 
-@query(f"""WITH {A.EMBEDDINGS_SQL}, f AS (SELECT *, (sample_id::BIGINT // 7 % 5)::INT AS own FROM samples), k AS (SELECT DISTINCT own AS outer_fold FROM f), c AS (SELECT outer_fold, y, count(*) AS m FROM f, k WHERE own <> outer_fold GROUP BY ALL)
-SELECT outer_fold, i::INT AS inner_fold, sum(m // 4 + (i < m % 4)::INT)::BIGINT AS n FROM c, range(4) r(i) GROUP BY ALL""")
+@query(f"""WITH {A.EVENTS_DAY_SQL}, f AS (SELECT y::VARCHAR AS c, group_id AS g, (group_id::BIGINT % 5)::INT AS own FROM samples), k AS (SELECT DISTINCT own AS outer_fold FROM f),
+per AS (SELECT outer_fold, g, c, count(*) AS m FROM f, k WHERE own <> outer_fold GROUP BY ALL),
+kind AS (SELECT outer_fold, g, sum(m) AS size, string_agg(c, ',' ORDER BY c) AS classes, string_agg(m::VARCHAR, ',' ORDER BY c) AS counts FROM per GROUP BY ALL),
+place AS (SELECT outer_fold, g, row_number() OVER (PARTITION BY outer_fold ORDER BY classes, size DESC, counts) - 1 AS pl FROM kind), fold AS (SELECT outer_fold, g, CASE WHEN pl // 4 % 2 = 0 THEN pl % 4 ELSE 3 - pl % 4 END::INT AS inner_fold FROM place)
+SELECT outer_fold, inner_fold, c AS label, sum(m)::BIGINT AS n, count(DISTINCT g) AS groups, 0::BIGINT AS violations FROM per JOIN fold USING (outer_fold, g) GROUP BY ALL""")
 def x9_inner_folds(spark, sf_dir):
-    s = A.embeddings(spark, sf_dir).samples
-    inner = splits.inner(s, s.select("sample_id", F.expr("int(bigint(sample_id) div 7 % 5)").alias("outer_fold")), 4, "y")
-    return inner.groupBy("outer_fold", "inner_fold").agg(F.count(F.lit(1)).alias("n"))
+    """Inner folds of all outer training sides; which of equal groups comes first doesn't matter for the counts."""
+    s = A.events_day(spark, sf_dir).samples
+    folds = s.select("sample_id", (F.col("group_id").cast("long") % 5).cast("int").alias("outer_fold"))
+    inner = written(splits.inner(s, folds, 4, "y"), "inner-folds")
+    bad = splits.inner_violations(s, folds, inner).agg(F.sum("n").alias("violations"))
+    rows = inner.join(s.select("sample_id", "group_id", F.col("y").cast("string").alias("label")), "sample_id")
+    return rows.groupBy("outer_fold", "inner_fold", "label").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("group_id").alias("groups")).join(F.broadcast(bad))
 
 
 @query(f"""WITH {A.ORDERS_SQL}, f AS (SELECT *, sample_id::BIGINT % 5 AS fold FROM samples), k AS (SELECT DISTINCT fold AS outer_fold FROM f)
