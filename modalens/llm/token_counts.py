@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modalens.llm.common import written
+from modalens.llm.common import matched, written
 
 #: The pre-token pattern of byte-level BPE.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -109,17 +109,29 @@ def piece_counts(used: DataFrame, tokenizer_path: str) -> DataFrame:
     return used.groupBy("p").agg(F.sum("n").alias("uses")).select("p", "uses", pieces("p").alias("pieces"))
 
 
+def least_uses(counts: DataFrame, most: int) -> int:
+    """A power of two that at most `most` rows of counts (p, uses) reach, from a histogram of the uses' powers."""
+    rows = counts.groupBy(F.floor(F.log2("uses")).cast("int").alias("power")).agg(F.count(F.lit(1)).alias("m")).orderBy(F.desc("power")).collect()  # 62 at most
+    total, power = 0, 62
+    for r in rows:
+        total += r.m
+        if total > most:
+            break
+        power = r.power
+    return 1 << power
+
+
 def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text", common: int | None = None) -> DataFrame:
     """One row per document: id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit)."""
     told = written(frequencies(docs, tokenizer_path, id_col, text_col), "frequencies")
     used = told.select("row", F.explode(F.arrays_zip("pre", "freq")).alias("x")).select("row", F.col("x.pre").alias("p"), F.col("x.freq").alias("n"))
     counts = written(piece_counts(used, tokenizer_path), "piece-counts")
-    short = counts.filter(F.length("p") <= KEPT_CHARS).orderBy(F.desc("uses"), "p").limit(COMMON if common is None else common)
-    short = written(short.select("p", "pieces"), "common")
+    kept = counts.filter(F.length("p") <= KEPT_CHARS)
+    short = written(kept.filter(F.col("uses") >= least_uses(kept, COMMON if common is None else common)).select("p", "pieces"), "common")
     rare = counts.join(F.broadcast(short.select("p")), "p", "left_anti")
     sums = used.join(F.broadcast(short), "p").groupBy("row").agg(F.sum(F.col("n") * F.col("pieces")).alias("n"))
     if not rare.isEmpty():
-        left = used.join(F.broadcast(short.select("p")), "p", "left_anti").join(rare, "p")
+        left = matched(used.join(F.broadcast(short.select("p")), "p", "left_anti"), rare, ["p"], n="uses")
         sums = sums.unionAll(left.groupBy("row").agg(F.sum(F.col("n") * F.col("pieces")).alias("n"))).groupBy("row").agg(F.sum("n").alias("n"))
     n = F.col("special") + F.coalesce("n", F.lit(0))
     out = told.select("row", "id", "n_bytes", "special").join(sums, "row", "left")
