@@ -5,19 +5,38 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Value ranges that a key's rows are split into; the edges are the only thing that comes to the driver.
+#: Ranges where a fixed number is enough.
 RANGES = 32
+#: Rows of a key that one task orders, and the most ranges that a key is cut into.
+RANGE_ROWS, MOST_RANGES = 200_000, 1024
+
+
+def ranged(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """rows with `_range`: keys of more than RANGE_ROWS rows are cut into ranges of their own values, the others are one.
+
+    Larger values have larger ranges. The edges, one array for each large key, are all that is moved besides the rows.
+    """
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m"))
+    top, n_large = sizes.agg(F.max("_m"), F.count(F.when(F.col("_m") > RANGE_ROWS, 1))).first()
+    if not n_large:
+        return rows.withColumn("_range", F.lit(0))
+    parts = min(MOST_RANGES, -(-top // RANGE_ROWS))
+    large = sizes.filter(F.col("_m") > RANGE_ROWS).drop("_m")
+    own = rows.join(F.broadcast(large) if n_large <= 4096 else large, keys, "left_semi") if keys else rows
+    edges = own.groupBy(*keys).agg(F.percentile_approx(value, [i / parts for i in range(1, parts)], 10_000).alias("_edges"))
+    edges = F.broadcast(edges) if n_large <= 4096 else edges  # up to 1,023 numbers for each large key
+    placed = rows.join(edges, keys, "left") if keys else rows.join(edges)
+    at = F.size(F.filter("_edges", lambda e: F.col(value) > e))
+    return placed.withColumn("_range", F.when(F.col("_edges").isNull(), 0).otherwise(at)).drop("_edges")
 
 
 def running_counts(counts: DataFrame, keys: list[str], value: str, n: str = "n") -> DataFrame:
     """counts (keys, value, n), one row per key and value, with `before`: rows of the key with a smaller value.
 
-    Values are split into ranges by approximate quantiles. A window inside (key, range) and the totals of the lower
-    ranges give the running count, so a key with a third of all rows is the work of RANGES tasks.
+    A window inside (key, range) and the totals of the lower ranges give the running count, so a key with a third of all
+    rows is the work of many tasks.
     """
-    edges = sorted({x for x in counts.approxQuantile(value, [i / RANGES for i in range(1, RANGES)], 0.001)})
-    at = sum(((F.col(value) > F.lit(e)).cast("int") for e in edges), F.lit(0))
-    placed = counts.withColumn("_range", at)
+    placed = ranged(counts, keys, value)
     sums = placed.groupBy(*keys, "_range").agg(F.sum(n).alias("_n"))
     below = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
     sums = sums.select(*keys, "_range", F.coalesce(below, F.lit(0)).alias("_below"))
@@ -26,6 +45,21 @@ def running_counts(counts: DataFrame, keys: list[str], value: str, n: str = "n")
     return out.withColumn("before", F.col("_inside") + F.col("_below")).drop("_range", "_inside", "_below")
 
 
+def running_extremes(rows: DataFrame, keys: list[str], value: str, low: str, high: str) -> DataFrame:
+    """rows (one per key and value) with the smallest `low` from the value up, as `least`, and the largest `high` up to it, as `most`."""
+    placed = ranged(rows, keys, value)
+    by = Window.partitionBy(*keys)
+    ends = placed.groupBy(*keys, "_range").agg(F.min(low).alias("_l"), F.max(high).alias("_h"))
+    above = F.min("_l").over(by.orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1))
+    below = F.max("_h").over(by.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    ends = ends.select(*keys, "_range", above.alias("_above"), below.alias("_below"))
+    own = Window.partitionBy(*keys, "_range")
+    up = F.min(low).over(own.orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, 0))
+    down = F.max(high).over(own.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    out = placed.withColumn("_up", up).withColumn("_down", down).join(ends, [*keys, "_range"])
+    return out.withColumn("least", F.least("_up", "_above")).withColumn("most", F.greatest("_down", "_below")).drop("_range", "_up", "_down", "_above", "_below")
+
+
 def average_ranks(df: DataFrame, keys: list[str], value: str, out: str = "rank") -> DataFrame:
     """df with the average rank of `value` among the rows of its keys; null values get a null rank."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))

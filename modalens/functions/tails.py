@@ -71,3 +71,8 @@ def f_sf(x: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
 def t_sf2(x: pd.Series, df: pd.Series) -> pd.Series:
     """Both tails of Student's t."""
     return _rows(lambda v, k: beta_i(k / 2, 0.5, k / (k + v * v)) if k > 0 else float("nan"), x, df)
+
+
+@F.pandas_udf(T.DoubleType())
+def log_factorial(n: pd.Series) -> pd.Series:
+    return _rows(lambda k: math.lgamma(k + 1), n)

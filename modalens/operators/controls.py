@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from modalens.functions.tails import log_factorial
+
 
 def training_groups(samples: DataFrame, folds: DataFrame, label: str, stratum: str, group: str = "group_id") -> DataFrame:
     """(outer_fold, group, stratum, y): the groups of every outer training side, one target each.
@@ -21,15 +23,12 @@ def training_groups(samples: DataFrame, folds: DataFrame, label: str, stratum: s
 def attainable(train: DataFrame) -> DataFrame:
     """(outer_fold, n_groups, log_assignments): natural logarithm of the number of distinct assignments inside strata.
 
-    That is the sum over strata of ln n! less ln c! of each target's count; logarithms of factorials come from running
-    sums over the counts that occur, so no count is ever expanded on its own.
+    That is the sum over strata of ln n! less ln c! of each target's count.
     """
     cells = train.groupBy("outer_fold", "stratum", "y").agg(F.count(F.lit(1)).alias("c"))
     strata = cells.groupBy("outer_fold", "stratum").agg(F.sum("c").alias("n"))
     wanted = cells.select(F.col("c").alias("k")).unionByName(strata.select(F.col("n").alias("k"))).distinct()
-    step = wanted.select("k", F.coalesce(F.lag("k").over(Window.orderBy("k")), F.lit(0)).alias("last"))  # over distinct counts
-    logs = step.withColumn("part", F.aggregate(F.sequence(F.col("last") + 1, F.col("k")), F.lit(0.0), lambda a, i: a + F.ln(i)))
-    logs = logs.select("k", F.sum("part").over(Window.orderBy("k")).alias("lf"))
+    logs = wanted.select("k", log_factorial("k").alias("lf"))
     up = strata.join(logs, strata["n"] == logs["k"]).select("outer_fold", F.col("n"), "lf")
     down = cells.join(logs, cells["c"] == logs["k"]).select("outer_fold", F.lit(0).cast("long").alias("n"), (-F.col("lf")).alias("lf"))
     return up.unionByName(down).groupBy("outer_fold").agg(F.sum("n").alias("n_groups"), F.sum("lf").alias("log_assignments"))

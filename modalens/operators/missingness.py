@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from modalens.functions.rank import average_ranks
+from modalens.functions.rank import average_ranks, running_counts, running_extremes
 from modalens.functions.tails import chi2_sf, t_sf2
 
 #: Upper edges of the histogram's bins, in percent.
@@ -97,15 +97,24 @@ def histogram(missing: DataFrame) -> DataFrame:
 
 
 def adjusted(tests: DataFrame, family: list[str], p: str = "p", order: str = "test") -> DataFrame:
-    """tests with Benjamini-Hochberg, Benjamini-Yekutieli and Holm adjusted p by family; null p stays null."""
-    fam = Window.partitionBy(*family)
-    rows = tests.withColumn("_m", F.count(p).over(fam)).withColumn("_i", F.row_number().over(fam.orderBy(F.asc_nulls_last(p), order)))
-    up = fam.orderBy(F.desc("_i")).rowsBetween(Window.unboundedPreceding, 0)
-    down = fam.orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
-    series = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("_m").cast("int"))), F.lit(0.0), lambda s, j: s + 1 / j.cast("double"))
-    bh = F.col(p) * F.col("_m") / F.col("_i")
-    capped = lambda x: F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), x))
-    return rows.withColumn("_c", series).select(
-        "*", capped(F.min(bh).over(up)).alias("p_bh"), capped(F.min(bh * F.col("_c")).over(up)).alias("p_by"),
-        capped(F.max(F.col(p) * (F.col("_m") - F.col("_i") + 1)).over(down)).alias("p_holm"),
-    ).drop("_m", "_i", "_c")
+    """tests with Benjamini-Hochberg, Benjamini-Yekutieli and Holm adjusted p by family; null p stays null.
+
+    Equal p have the same adjusted ones, so the work is on counts of distinct p: places come from running counts, the
+    step-up minimum and step-down maximum from running extremes, and no task holds a family.
+    """
+    counts = tests.filter(F.col(p).isNotNull()).groupBy(*family, p).agg(F.count(F.lit(1)).alias("n"))
+    sizes = counts.groupBy(*family).agg(F.sum("n").alias("_m"))
+    placed = running_counts(counts, family, p).join(sizes, family)
+    up = placed.withColumn("_up", F.col(p) * F.col("_m") / (F.col("before") + F.col("n"))).withColumn("_down", F.col(p) * (F.col("_m") - F.col("before")))
+    capped = lambda x: F.least(F.lit(1.0), x)
+    out = running_extremes(up, family, p, "_up", "_down").select(
+        *family, p, capped(F.col("least")).alias("p_bh"), capped(F.col("least") * harmonic(F.col("_m"))).alias("p_by"), capped(F.col("most")).alias("p_holm")
+    )
+    return tests.join(out, [*family, p], "left")
+
+
+def harmonic(m: Column) -> Column:
+    """1 + 1/2 + ... + 1/m: term by term up to 32, by its expansion with an error below 1e-12 from there on."""
+    x = m.cast("double")
+    exact = F.aggregate(F.sequence(F.lit(1), F.least(F.lit(32), m.cast("int"))), F.lit(0.0), lambda s, j: s + 1 / j.cast("double"))
+    return F.when(m <= 32, exact).otherwise(F.ln(x) + 0.57721566490153286 + 1 / (2 * x) - 1 / (12 * x**2) + 1 / (120 * x**4) - 1 / (252 * x**6))

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from modalens import audit as whole
 from modalens.operators import bootstrap, groups, ledger, models, nested, rows, scales, splits
 from modalens.plans.modelling import _REP_SQL, _vectors, _z
 from modalens.plans.scores import PRED_SQL, auroc_sql, predictions, rounded
 from modalens.session import table
 from modalens.sources import adapters as A
+from modalens.sources import matrix
+from modalens.storage import scratch
 
 QUERIES: dict = {}
 
@@ -248,3 +251,23 @@ SELECT phase, errors, warnings, CASE WHEN errors > 0 THEN 'FAIL' WHEN warnings >
 def r7_gate(spark, sf_dir):
     """Verdicts of four phases with planted faults and of one that was expected and has no rows."""
     return _gated(spark, sf_dir)[1]
+
+
+def _landed(spark, sf_dir):
+    """Orders as a landed study: moments of their lines and of their parts, whether they are closed, by customer and priority."""
+    s = A.orders(spark, sf_dir)
+    samples = s.samples.select("sample_id", (F.col("label") == "F").cast("int").alias("y"), "group_id", "batch")
+    folder = scratch(spark, "landed")
+    matrix.write_dataset(s.cells, samples, folder)
+    return whole.audit_files(spark, folder, folds=3, reps=200)
+
+
+@query()
+def audit_verdicts(spark, sf_dir):
+    """The whole audit, from landed files to what each modality adds."""
+    return rounded(_landed(spark, sf_dir).verdicts, "alone", "gain", "gain_p", "cka")
+
+
+@query()
+def audit_rating(spark, sf_dir):
+    return _landed(spark, sf_dir).rating
