@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import LinearRegression
+from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,6 +91,37 @@ def selected(cells: DataFrame, samples: DataFrame, folds: DataFrame, top: int =
     return t.withColumn("f", f).withColumn("place", rn).filter(F.col("place") <= top).select("outer_fold", "modality", "feature", "f", "place")
 
 
+def selected_linear(cells: DataFrame, samples: DataFrame, folds: DataFrame, top: int = 2000) -> DataFrame:
+    """(outer_fold, modality, feature, f, place): the features with the largest training F of a line through a number y.
+
+    F is r^2 / (1 - r^2) times n - 2. Sums are taken once per fold over observed cells; training sums are totals less the
+    fold's own. Missing cells count as the fold's training median: what they add follows from the sums of y without them.
+    """
+    keys = ["modality", "feature"]
+    y_mean = samples.agg(F.avg("y").alias("_my"))
+    labelled = samples.select("sample_id", F.col("y").cast("double").alias("y")).join(F.broadcast(y_mean)).select("sample_id", (F.col("y") - F.col("_my")).alias("y")).join(folds, "sample_id")
+    rows = cells.join(labelled, "sample_id")
+    mu = rows.groupBy(*keys).agg(F.avg("value").alias("_mu"))
+    x = rows.join(mu, keys).withColumn("_x", F.col("value") - F.col("_mu"))
+    sums = [F.count(F.lit(1)).alias("n"), F.sum("_x").alias("s"), F.sum(F.col("_x") * F.col("_x")).alias("q"), F.sum("y").alias("t"), F.sum(F.col("_x") * F.col("y")).alias("c")]
+    own = x.groupBy(*keys, "outer_fold").agg(*sums)
+    every = own.groupBy(*keys).agg(*[F.sum(c).alias(f"a{c}") for c in "nsqtc"])
+    per = labelled.groupBy("outer_fold").agg(F.count(F.lit(1)).alias("m"), F.sum("y").alias("my"), F.sum(F.col("y") * F.col("y")).alias("vy"))
+    whole = per.agg(*[F.sum(c).alias(f"w{c}") for c in ("m", "my", "vy")])
+    train = per.join(F.broadcast(whole)).select("outer_fold", *[(F.col(f"w{c}") - F.col(c)).alias(c) for c in ("m", "my", "vy")])  # a row per fold
+    grid = every.join(F.broadcast(train)).join(own, [*keys, "outer_fold"], "left").na.fill(0, list("nsqtc")).join(mu, keys).join(fold_medians(cells, folds), ["outer_fold", *keys])
+    gap, miss = F.col("median") - F.col("_mu"), F.col("m") - (F.col("an") - F.col("n"))
+    s = F.col("as") - F.col("s") + miss * gap
+    q = F.col("aq") - F.col("q") + miss * gap * gap
+    c = F.col("ac") - F.col("c") + gap * (F.col("my") - (F.col("at") - F.col("t")))
+    n = F.col("m")
+    vx, vy, cxy = q - s * s / n, F.col("vy") - F.col("my") * F.col("my") / n, c - s * F.col("my") / n
+    r2 = F.when((vx > 1e-12) & (vy > 0), cxy * cxy / (vx * vy))
+    f = F.when(r2 < 1, r2 / (1 - r2) * (n - 2)).when(r2 >= 1, float("inf"))
+    place = F.row_number().over(Window.partitionBy("outer_fold").orderBy(F.desc_nulls_last("f"), *keys))
+    return grid.withColumn("f", f).withColumn("place", place).filter(F.col("place") <= top).select("outer_fold", *keys, "f", "place")
+
+
 def vectors(z: DataFrame, features: DataFrame, keys: list[str], by: list[str] = ()) -> DataFrame:
     """(keys, x): rows (keys, modality, feature, z) as dense vectors over features (by, modality, feature, blank).
 
@@ -134,8 +165,49 @@ def forest(n: int, trees: int = 300, depth: int = 12):
     return RandomForestClassifier(featuresCol="x", labelCol="y", weightCol="w", numTrees=trees, maxDepth=depth, seed=1)
 
 
+def forest_regression(n: int, trees: int = 300, depth: int = 12) -> RandomForestRegressor:
+    return RandomForestRegressor(featuresCol="x", labelCol="y", numTrees=trees, maxDepth=depth, featureSubsetStrategy="all", seed=1)
+
+
+def boosting_regression(n: int, rounds: int = 50, depth: int = 3) -> GBTRegressor:
+    return GBTRegressor(featuresCol="x", labelCol="y", maxIter=rounds, maxDepth=depth, seed=1)
+
+
+class AgainstRest:
+    """An estimator of any number of classes from one of two: a model of each class against the rest, shares scaled to sum to 1."""
+
+    def __init__(self, make, n: int, threads: int = 4):
+        self.make, self.n, self.threads = make, n, threads
+
+    def fit(self, rows: DataFrame) -> AgainstRest:
+        self.classes = sorted(r[0] for r in rows.select("y").distinct().collect())  # a row per class
+        one = lambda c: self.make(self.n).fit(rows.withColumn("y", (F.col("y") == c).cast("double")))
+        with ThreadPoolExecutor(self.threads) as pool:
+            self.models = list(pool.map(one, self.classes))
+        return self
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        """rows with `prediction` and `probability`, a place for every class number up to the largest."""
+        out, columns = rows, rows.columns
+        for i, model in enumerate(self.models):
+            model.setProbabilityCol(f"_p{i}").setRawPredictionCol(f"_r{i}").setPredictionCol(f"_c{i}")
+            out = model.transform(out)
+        share = {int(c): vector_to_array(f"_p{i}")[1] for i, c in enumerate(self.classes)}
+        raw = F.array(*[share.get(k, F.lit(0.0)) for k in range(int(max(self.classes)) + 1)])
+        total = F.aggregate("_all", F.lit(0.0), lambda a, x: a + x)
+        scaled = F.transform("_all", lambda x: F.when(total > 0, x / total).otherwise(1.0 / len(self.classes)))
+        out = out.withColumn("_all", raw).withColumn("_s", scaled)
+        best = (F.array_position("_s", F.array_max("_s")) - 1).cast("double")
+        return out.select(*columns, best.alias("prediction"), array_to_vector("_s").alias("probability"))
+
+
+def boosting_classes(n: int) -> AgainstRest:
+    """Boosting for more than two classes."""
+    return AgainstRest(boosting, n)
+
+
 def boosting(n: int, rounds: int = 50, depth: int = 3):
-    """Two classes; more of them by one model against the rest each."""
+    """Two classes; `boosting_classes` takes more."""
     return GBTClassifier(featuresCol="x", labelCol="y", weightCol="w", maxIter=rounds, maxDepth=depth, seed=1)
 
 
@@ -144,12 +216,12 @@ def prepared(cells: DataFrame, samples: DataFrame, folds: DataFrame, top: int |
     return prepared_columns(cells, samples, folds, top)[0]
 
 
-def prepared_columns(cells: DataFrame, samples: DataFrame, folds: DataFrame, top: int | None = None) -> tuple[DataFrame, DataFrame]:
+def prepared_columns(cells: DataFrame, samples: DataFrame, folds: DataFrame, top: int | None = None, select=selected) -> tuple[DataFrame, DataFrame]:
     """The same, with (outer_fold, modality, feature, ix, blank): each fold's columns by their place in its vectors."""
     cells, samples, folds = (written(t, name) for t, name in ((cells, "cells"), (samples, "samples"), (folds, "folds")))  # each is read many times
     moments = imputed_moments(cells, samples, folds)
     if top is not None:
-        moments = moments.join(selected(cells, samples, folds, top).select("outer_fold", "modality", "feature"), ["outer_fold", "modality", "feature"])
+        moments = moments.join(select(cells, samples, folds, top).select("outer_fold", "modality", "feature"), ["outer_fold", "modality", "feature"])
     moments = written(moments, "moments")
     columns = moments.select("outer_fold", "modality", "feature", ((F.col("median") - F.col("mean")) / F.col("sd")).alias("blank"))
     x = vectors(imputed_standardized(cells, folds, moments), columns, ["outer_fold", "sample_id", "side"], ["outer_fold"])
@@ -179,15 +251,20 @@ def out_of_fold(cells: DataFrame, samples: DataFrame, folds: DataFrame, make=log
     return _together(one, names, threads)
 
 
-def out_of_fold_regression(cells: DataFrame, samples: DataFrame, folds: DataFrame, alpha: float = 1.0, model: str = "ridge", threads: int = 4) -> DataFrame:
-    """(model, sample_id, outer_fold, y, score): ridge regression of the target y, every sample predicted once."""
-    data = written(prepared(cells, samples, folds), "prepared")
+def out_of_fold_regression(
+    cells: DataFrame, samples: DataFrame, folds: DataFrame, alpha: float = 1.0, model: str = "ridge", threads: int = 4, make=None, top: int | None = None
+) -> DataFrame:
+    """(model, sample_id, outer_fold, y, score): regression of the target y, every sample predicted once.
+
+    Ridge unless `make` gives another estimator; `top` keeps the features with the largest training F.
+    """
+    data = written(prepared_columns(cells, samples, folds, top, selected_linear)[0], "prepared")
     names = [r[0] for r in folds.select("outer_fold").distinct().collect()]
 
     def one(fold: int) -> DataFrame:
         train = data.filter((F.col("outer_fold") == fold) & (F.col("side") == "train"))
         n, sd = train.agg(F.count(F.lit(1)), F.stddev_pop("y")).first()
-        fitted = ridge(n, sd or 1.0, alpha).fit(train)
+        fitted = (make(n) if make else ridge(n, sd or 1.0, alpha)).fit(train)
         return fitted.transform(data.filter((F.col("outer_fold") == fold) & (F.col("side") == "assessment"))).select(F.lit(model).alias("model"), "sample_id", "outer_fold", "y", F.col("prediction").alias("score"))
 
     return _together(one, names, threads)

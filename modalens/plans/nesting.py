@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from modalens import audit as whole
-from modalens.operators import bootstrap, groups, ledger, models, nested, rows, scales, splits
+from modalens.operators import bootstrap, fusion, groups, ledger, models, nested, rows, scales, splits
 from modalens.plans.modelling import _REP_SQL, _vectors, _z
 from modalens.plans.scores import PRED_SQL, auroc_sql, predictions, rounded
 from modalens.session import table
@@ -161,6 +161,52 @@ def m17_choice(spark, sf_dir):
     return nested.best_single(nested.inner_scores(p)).withColumn("auroc", F.round("auroc", 6))
 
 
+_LINE_FOLDS_SQL = f"""{A.ORDERS_SQL}, f AS (SELECT sample_id, target - avg(target) OVER () AS y, (group_id::BIGINT % 3)::INT AS own FROM samples), k AS (SELECT DISTINCT own AS outer_fold FROM f), feats AS (SELECT DISTINCT modality, feature FROM cells),
+tr AS (SELECT k.outer_fold, f.sample_id, f.y, modality, feature, c.value FROM f CROSS JOIN feats JOIN k ON own <> outer_fold LEFT JOIN cells c USING (sample_id, modality, feature)),
+im AS (SELECT *, coalesce(value, median(value) OVER (PARTITION BY outer_fold, modality, feature)) AS v FROM tr), g AS (SELECT outer_fold, modality, feature, count(*) AS n, corr(v, y) ** 2 AS r2 FROM im GROUP BY ALL)"""
+
+
+def _priced(spark, sf_dir):
+    s = A.orders(spark, sf_dir)
+    return s.cells, s.samples.withColumnRenamed("target", "y"), s.samples.select("sample_id", (F.col("group_id").cast("long") % 3).cast("int").alias("outer_fold"))
+
+
+@query(f"WITH {_LINE_FOLDS_SQL} SELECT outer_fold, modality, feature, round(r2 / (1 - r2) * (n - 2), 4) AS f, row_number() OVER (PARTITION BY outer_fold ORDER BY r2 DESC, modality, feature) AS place FROM g")
+def m4_selected_linear(spark, sf_dir):
+    return models.selected_linear(*_priced(spark, sf_dir)).withColumn("f", F.round("f", 4)).withColumn("place", F.col("place").cast("long"))
+
+
+@query()
+def m10_forest_regression(spark, sf_dir):
+    from modalens.operators import metrics
+
+    return metrics.regression_scores(models.out_of_fold_regression(*_priced(spark, sf_dir), model="forest", make=lambda n: models.forest_regression(n, trees=50), top=4), ["model"])
+
+
+@query()
+def m11_boosting_regression(spark, sf_dir):
+    from modalens.operators import metrics
+
+    return metrics.regression_scores(models.out_of_fold_regression(*_priced(spark, sf_dir), model="boosting", make=lambda n: models.boosting_regression(n, rounds=20)), ["model"])
+
+
+@query()
+def m11_boosting_classes(spark, sf_dir):
+    """Three classes, each against the rest."""
+    from modalens.operators import metrics
+
+    s, samples, folds = _vectors(spark, sf_dir, 3)
+    return metrics.confusion_scores(models.out_of_fold(s.cells, samples, folds, lambda n: models.AgainstRest(lambda m: models.boosting(m, rounds=10), n), "boosting", top=16), ["model"])
+
+
+@query()
+def m18_intermediate_fusion(spark, sf_dir):
+    from modalens.operators import metrics
+
+    s, samples, folds = _vectors(spark, sf_dir, 2)
+    return metrics.confusion_scores(fusion.intermediate_fusion(s.cells, samples, folds, rounds=3, steps=20), ["model"])
+
+
 @query()
 def m26_permutation_importance(spark, sf_dir):
     s, samples, folds = _vectors(spark, sf_dir, 2)
