@@ -38,6 +38,38 @@ def unmatched_batches(sample_batches: DataFrame, modalities: DataFrame) -> DataF
     return a.join(b, "modality", "left_anti").withColumn("problem", F.lit("no batch")).unionByName(b.join(a, "modality", "left_anti").withColumn("problem", F.lit("no modality")))
 
 
+def sample_batches(clinical: DataFrame, columns: dict[str, str], modalities: DataFrame, key: str = "sample_id") -> DataFrame:
+    """(sample_id, modality, batch) from one clinical column for each modality.
+
+    The columns must cover the modalities exactly and exist; else it raises, naming what is wrong.
+    """
+    names = {r[0] for r in modalities.select("modality").distinct().collect()}  # modalities
+    if names != set(columns):
+        raise ValueError(f"batch columns must cover every modality exactly: {sorted(names ^ set(columns))}")
+    if gone := sorted(set(columns.values()) - set(clinical.columns)):
+        raise ValueError(f"no clinical column {gone}")
+    pairs = F.array(*[F.struct(F.lit(m).alias("modality"), F.col(c).cast("string").alias("batch")) for m, c in sorted(columns.items())])
+    return clinical.select(F.col(key).alias("sample_id"), F.explode(pairs).alias("x")).select("sample_id", "x.*")
+
+
+def overall_preview(cells: DataFrame, samples: DataFrame, least: int = 10) -> DataFrame:
+    """(n_clinical, n_layers, matched_all, low_overlap, hint, ok): samples that every layer has, and what may be wrong with few.
+
+    Under half of the clinical ids is low; the hint names three unmatched ids of the first layer that has any.
+    """
+    ids = cells.select("modality", "sample_id").distinct()
+    layers = ids.agg(F.countDistinct("modality").alias("n_layers"))
+    known = samples.select("sample_id").distinct()
+    everywhere = ids.join(known, "sample_id", "left_semi").groupBy("sample_id").agg(F.count(F.lit(1)).alias("k")).join(F.broadcast(layers)).filter("k = n_layers").agg(F.count(F.lit(1)).alias("matched_all"))
+    place = F.row_number().over(Window.partitionBy("modality").orderBy("sample_id"))
+    odd = ids.join(known, "sample_id", "left_anti").withColumn("rn", place).filter("rn <= 3")
+    first = odd.groupBy("modality").agg(F.array_join(F.array_sort(F.collect_list("sample_id")), ", ").alias("odd")).agg(F.min_by("odd", "modality").alias("odd"))
+    n = known.agg(F.count(F.lit(1)).alias("n_clinical"))
+    low = F.col("matched_all") < 0.5 * F.greatest(F.lit(1), F.col("n_clinical"))
+    hint = F.when(low & F.col("odd").isNotNull(), F.concat(F.lit("low overlap, ids like "), "odd"))
+    return n.join(layers).join(everywhere).join(first).select("n_clinical", "n_layers", "matched_all", low.alias("low_overlap"), hint.alias("hint"), (F.col("matched_all") >= least).alias("ok"))  # one row each
+
+
 def preview(cells: DataFrame, samples: DataFrame, examples: int = 8, least: int = 10) -> DataFrame:
     """Per modality: ids, matched ids, unmatched examples in order, and whether enough match."""
     ids = cells.select("modality", "sample_id").distinct()

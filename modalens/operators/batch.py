@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from modalens.functions.tails import f_sf
 
+#: Points of a block whose distances to another block one task adds up.
+BLOCK_POINTS = 512
+
 
 def anova(values: DataFrame, keys: list[str], value: str, group: str) -> DataFrame:
     """Per key: one-way F, p and eta squared of a value across groups."""
@@ -74,7 +77,7 @@ def centring_guard(samples: DataFrame, folds: DataFrame, least: int = 2) -> Data
     return rows.join(every, "batch").select("outer_fold", "batch", (F.col("n") - F.col("n_val")).alias("n_train")).filter(F.col("n_train") < least)
 
 
-def silhouette(points: DataFrame, label: str, keys: list[str] = (), blocks: int = 8) -> DataFrame:
+def silhouette(points: DataFrame, label: str, keys: list[str] = ()) -> DataFrame:
     """Per key: mean silhouette of (sample_id, coordinates array, label) by Euclidean distance; null for one label.
 
     Points meet in pairs of blocks; each task sums distances per point and label, so no pair of points is ever a row.
@@ -83,6 +86,8 @@ def silhouette(points: DataFrame, label: str, keys: list[str] = (), blocks: int
     import pandas as pd
 
     keys = list(keys)
+    n = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    blocks = max(8, -(-n // BLOCK_POINTS))
     p = points.filter(F.col(label).isNotNull()).withColumn("_b", F.pmod(F.xxhash64("sample_id"), F.lit(blocks)))
     other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     one = p.withColumn("_o", other).withColumn("_side", F.lit(0))
@@ -96,7 +101,10 @@ def silhouette(points: DataFrame, label: str, keys: list[str] = (), blocks: int
             x, y = np.array(a["coordinates"].tolist()), np.array(b["coordinates"].tolist())
             for name in b[label].unique():
                 z = y[(b[label] == name).to_numpy()]
-                d = np.sqrt(np.maximum(0, ((x[:, None, :] - z[None]) ** 2).sum(-1))).sum(1)
+                square = np.zeros((len(x), len(z)))
+                for k in range(0, x.shape[1], 32):
+                    square += ((x[:, None, k : k + 32] - z[None, :, k : k + 32]) ** 2).sum(-1)
+                d = np.sqrt(square).sum(1)
                 out.append(a[[*keys, "sample_id", label]].assign(_to=name, _d=d))
         return pd.concat(out) if out else pd.DataFrame(columns=[*keys, "sample_id", label, "_to", "_d"])
 

@@ -97,6 +97,11 @@ def targets_dropped(samples: DataFrame, target: str) -> DataFrame:
     return samples.agg(F.sum(has.cast("long")).alias("n_kept"), F.sum((~has).cast("long")).alias("n_dropped"))
 
 
+def with_target(samples: DataFrame, target: str) -> DataFrame:
+    """samples with a target that isn't blank; `targets_dropped` counts the others."""
+    return samples.filter(F.col(target).isNotNull() & (F.trim(F.col(target).cast("string")) != ""))
+
+
 def coded_only(cells: DataFrame, samples: DataFrame, target: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Cells and samples of those with a coded target, and (dropped), how many have none."""
     y = F.col(target).cast("double")

@@ -12,6 +12,8 @@ from modalens.storage import written
 
 #: Features and groups whose ranks one task multiplies with label vectors.
 FEATURES, GROUPS = 256, 1024
+#: Groups of a block of distances.
+BLOCK_GROUPS = 512
 
 
 def missing_profile(cells: DataFrame, samples: DataFrame, features: DataFrame, group: str = "group_id") -> DataFrame:
@@ -31,34 +33,41 @@ def representation(cells: DataFrame, samples: DataFrame, reducer: str = "mean",
 
 
 def standardized(rep: DataFrame, how: str = "z") -> DataFrame:
-    """rep by feature: z-scores (population) or (value - median) / IQR; a feature without spread is refused (left out)."""
+    """rep by feature: z-scores (population) or (value - median) / IQR. A feature without spread is refused: it raises."""
     if how == "z":
         scale = rep.groupBy("modality", "feature").agg(F.avg("value").alias("_c"), F.stddev_pop("value").alias("_s"))
     else:
         q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
         scale = rep.groupBy("modality", "feature").agg(q.alias("_q")).select("modality", "feature", F.col("_q")[1].alias("_c"), (F.col("_q")[2] - F.col("_q")[0]).alias("_s"))
-    return rep.join(scale.filter("_s > 0"), ["modality", "feature"]).withColumn("value", (F.col("value") - F.col("_c")) / F.col("_s")).drop("_c", "_s")
+    if flat := scale.filter("NOT coalesce(_s, 0) > 0").select("modality", "feature").take(3):
+        raise ValueError(f"no spread over groups: {[tuple(r) for r in flat]}")
+    return rep.join(scale, ["modality", "feature"]).withColumn("value", (F.col("value") - F.col("_c")) / F.col("_s")).drop("_c", "_s")
 
 
-def distances(rep: DataFrame, kind: str = "mean_abs", group: str = "group_id", blocks: int = 8) -> DataFrame:
-    """(a, b, d) for a < b: mean absolute or root mean square difference over features, for up to tens of thousands of groups.
+def distances(rep: DataFrame, kind: str = "mean_abs", group: str = "group_id") -> DataFrame:
+    """(a, b, d) for a < b: mean absolute or root mean square difference over features. A missing value is refused: it raises.
 
-    Groups are cut into blocks; a task holds one pair of blocks as two matrices and gives the distances between them.
+    Groups are cut into blocks of about BLOCK_GROUPS; a task holds one pair of blocks as two matrices and adds up their
+    differences some features at a time.
     """
-    import numpy as np
-    import pandas as pd
-
+    shape = rep.filter(F.col("value").isNotNull()).agg(F.count(F.lit(1)), F.countDistinct(group), F.countDistinct("modality", "feature")).first()
+    if shape[0] != shape[1] * shape[2]:
+        raise ValueError(f"{shape[1]} groups of {shape[2]} features have {shape[0]} values, not one each")
+    blocks = max(8, -(-shape[1] // BLOCK_GROUPS))
     rows = rep.select(F.col(group).alias("g"), F.concat_ws("::", "modality", "feature").alias("f"), "value").withColumn("_b", F.pmod(F.xxhash64("g"), F.lit(blocks)))
     pair = F.explode(F.expr(f"transform(sequence(0, {blocks - 1}), x -> struct(least(x, _b) AS p, greatest(x, _b) AS q))"))
     dealt = rows.withColumn("_pair", pair).select("g", "f", "value", "_b", "_pair.p", "_pair.q")
 
     def between(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot(index=["g", "_b"], columns="f", values="value").fillna(0.0)
+        wide = pdf.pivot(index=["g", "_b"], columns="f", values="value")
         names, block, x = wide.index.get_level_values(0).to_numpy(), wide.index.get_level_values(1).to_numpy(), wide.to_numpy()
         p, q = int(pdf["p"].iloc[0]), int(pdf["q"].iloc[0])
         i, j = np.flatnonzero(block == p), np.flatnonzero(block == q)
-        gap = np.abs(x[i][:, None] - x[j][None])
-        d = gap.mean(-1) if kind == "mean_abs" else np.sqrt((gap * gap).mean(-1))
+        total = np.zeros((len(i), len(j)))
+        for k in range(0, x.shape[1], 32):
+            gap = np.abs(x[i, None, k : k + 32] - x[None, j, k : k + 32])
+            total += (gap if kind == "mean_abs" else gap * gap).sum(-1)
+        d = total / x.shape[1] if kind == "mean_abs" else np.sqrt(total / x.shape[1])
         a, b = np.repeat(names[i], len(j)), np.tile(names[j], len(i))
         out = pd.DataFrame({"a": a, "b": b, "d": d.ravel()})
         out = out[a != b] if p != q else out[a < b]

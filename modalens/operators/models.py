@@ -315,12 +315,15 @@ def stacked(predictions: DataFrame, samples: DataFrame, folds: DataFrame, model:
     return out_of_fold(cells, samples, folds, model=model)
 
 
-def shuffled_target(samples: DataFrame, seed: int = 41) -> DataFrame:
-    """samples with the targets of other samples: a control in which nothing can be learned. Ranks come from hash shards."""
+def shuffled_target(samples: DataFrame, seed: int = 41, columns: tuple[str, ...] = ("y",)) -> DataFrame:
+    """samples with the targets of other samples: a control in which nothing can be learned. Ranks come from hash shards.
+
+    Several columns, such as the time and the event of a survival target, move together.
+    """
     a = numbered(samples.select("sample_id"), "sample_id", "_i")
-    moved = samples.select(F.concat_ws("|", F.lit(seed), "sample_id").alias("_k"), "y")
-    b = numbered(moved.select("_k"), "_k", "_i").join(moved, "_k").select("_i", "y")
-    return samples.drop("y").join(a, "sample_id").join(b, "_i").drop("_i")
+    moved = samples.select(F.concat_ws("|", F.lit(seed), "sample_id").alias("_k"), *columns)
+    b = numbered(moved.select("_k"), "_k", "_i").join(moved, "_k").select("_i", *columns)
+    return samples.drop(*columns).join(a, "sample_id").join(b, "_i").drop("_i")
 
 
 def shuffled_features(cells: DataFrame, samples: DataFrame, seed: int = 47) -> DataFrame:

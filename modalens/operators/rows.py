@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from modalens.operators.bootstrap import percentile_interval, uniform
+from modalens.operators.metrics import wilson
 
 
 def broken(rows: DataFrame, rules: dict[str, dict]) -> DataFrame:
@@ -158,6 +159,48 @@ def progress(rows: DataFrame, expected: DataFrame, keys: list[str], unit: str, f
     return out.join(F.broadcast(expected)).select(*keys, "done", (F.col("expected") - F.col("done")).alias("outstanding"), "per_hour")
 
 
+def flag_rates(rows: DataFrame, keys: list[str], severity: str = "severity", flag: str = "flag") -> DataFrame:
+    """(keys, severity, n, flagged, rate, low, high) with Wilson's interval; in clean conditions the rate is that of false alarms."""
+    out = rows.groupBy(*keys, severity).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(flag).cast("long")).alias("flagged"))
+    low, high = wilson(F.col("flagged").cast("double"), F.col("n").cast("double"))
+    return out.select(*keys, severity, "n", "flagged", (F.col("flagged") / F.col("n")).alias("rate"), low.alias("low"), high.alias("high"))
+
+
+def expected_order(rows: DataFrame, flags: DataFrame, chance: float = 0.5, slack: float = 0.05, worse: float = 0.02) -> DataFrame:
+    """(check, value, deviates) of what a design implies; a deviation is to be looked into and changes nothing.
+
+    rows (family, arm, size, value): the mean of null controls is near chance, the unsafe arm scores above the safe one,
+    and the mean of the standard arm doesn't fall as samples grow. flags (family, severity, flag): the severe condition is
+    flagged more often than the clean one. A check without its rows is left out.
+    """
+    mean = lambda when: F.avg(F.when(when, F.col("value")))
+    one = rows.agg(mean(F.col("family") == "null").alias("null"), (mean(F.col("arm") == "unsafe") - mean(F.col("arm") == "safe")).alias("gap"))
+    out = one.select(F.lit("null mean at chance").alias("check"), F.col("null").alias("value"), (F.abs(F.col("null") - chance) > slack).alias("deviates"))
+    out = out.unionByName(one.select(F.lit("leakage gap above zero").alias("check"), F.col("gap").alias("value"), (F.col("gap") <= 0).alias("deviates")))
+    sizes = not_worse(rows.filter("family = 'predictive' AND arm = 'standard' AND value IS NOT NULL"), [], "size", "value", worse).agg(F.count(F.lit(1)).alias("k"), F.sum(F.col("worse").cast("double")).alias("n"))
+    out = out.unionByName(sizes.filter("k > 1").select(F.lit("more data is not worse").alias("check"), F.col("n").alias("value"), (F.col("n") > 0).alias("deviates")))
+    rate = lambda s: F.avg(F.when(F.col("severity") == s, F.col("flag").cast("double")))
+    contrast = flags.groupBy("family").agg((rate("severe") - rate("clean")).alias("value"))
+    return out.unionByName(contrast.select(F.concat(F.lit("severe above clean: "), "family").alias("check"), "value", (F.col("value") <= 0).alias("deviates"))).filter("value IS NOT NULL")
+
+
+def progress_report(done: DataFrame, expected: DataFrame, now: Column, family: str = "family", unit: str = "dataset_id", finished: str = "finished") -> DataFrame:
+    """(family, expected, completed, outstanding, per_hour, eta_hours, newest_age_hours, active) by family.
+
+    Units are counted once, by their last row; the rate and the age of the newest row are those of all families together,
+    and the active family is the one with most outstanding units, ties by name.
+    """
+    seconds = lambda c: c.cast("timestamp").cast("double")
+    want = expected.select(family, unit).distinct()
+    last = done.groupBy(unit).agg(F.max(seconds(F.col(finished))).alias("_t"))
+    span = (F.max("_t") - F.min("_t")) / 3600
+    pace = last.agg(F.when(span > 0, (F.count(F.lit(1)) - 1) / span).alias("per_hour"), ((seconds(now) - F.max("_t")) / 3600).alias("newest_age_hours"))
+    out = want.join(last, unit, "left").groupBy(family).agg(F.count(F.lit(1)).alias("expected"), F.count("_t").alias("completed"))
+    out = out.withColumn("outstanding", F.col("expected") - F.col("completed")).join(F.broadcast(pace))
+    first = F.row_number().over(Window.orderBy(F.desc("outstanding"), family))  # a row per family
+    return out.select(family, "expected", "completed", "outstanding", "per_hour", (F.col("outstanding") / F.col("per_hour")).alias("eta_hours"), "newest_age_hours", ((first == 1) & (F.col("outstanding") > 0)).alias("active"))
+
+
 def pooled_role_f1(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, n, roles, role_f1) of (keys, truth, called): F1 of every true role over all rows of a key, and their mean.
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from modalens import audit as whole
-from modalens.operators import bootstrap, fusion, groups, ledger, models, nested, rows, scales, splits
+from modalens.operators import align, bootstrap, clean, fusion, groups, ledger, missingness, models, nested, rows, scales, splits
+from modalens.plans.missing_batch import MISSING_SQL
 from modalens.plans.modelling import _REP_SQL, _vectors, _z
 from modalens.plans.scores import PRED_SQL, auroc_sql, predictions, rounded
 from modalens.session import table
@@ -317,3 +318,99 @@ def audit_verdicts(spark, sf_dir):
 @query()
 def audit_rating(spark, sf_dir):
     return _landed(spark, sf_dir).rating
+
+
+@query("""WITH r AS (SELECT l_orderkey::VARCHAR AS s, CASE WHEN l_linenumber % 3 > 0 THEN 'G' || l_suppkey END AS g, l_suppkey AS e, l_quantity AS v FROM lineitem)
+SELECT s AS sample_id, 'rna' AS modality, coalesce(g, e::VARCHAR) AS feature, round(avg(v), 6) AS value FROM r GROUP BY ALL""")
+def s6_molecular_cells(spark, sf_dir):
+    """Records with a nested gene, written and read as JSON; a third have no symbol."""
+    at, symbol = scratch(spark, "molecular"), F.when(F.col("l_linenumber") % 3 > 0, F.concat(F.lit("G"), F.col("l_suppkey").cast("string")))
+    rows_ = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("sampleId"), F.struct(symbol.alias("hugoGeneSymbol")).alias("gene"), F.col("l_suppkey").alias("entrezGeneId"), F.col("l_quantity").alias("value"))
+    rows_.write.json(at)
+    return rounded(matrix.molecular_cells(spark.read.json(at), "rna"), "value")
+
+
+@query("""WITH o AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority FROM orders)
+SELECT o_orderkey::VARCHAR AS "sampleId", o_orderpriority AS "PRIORITY", o_orderstatus AS "STATUS", c_nationkey::VARCHAR AS "NATION", c_mktsegment AS "SEGMENT", o_custkey::VARCHAR AS "PATIENT_ID" FROM o LEFT JOIN customer ON c_custkey = o_custkey""")
+def s7_joined_clinical(spark, sf_dir):
+    """Customers as the patients of orders; both have a status, of which the order's stands."""
+    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    attrs = lambda *xs: F.explode(F.array(*[F.struct(F.lit(n).alias("attr"), F.col(v).cast("string").alias("value"), F.lit(i).alias("position")) for i, (n, v) in enumerate(xs)])).alias("x")
+    own = o.select(F.col("o_orderkey").cast("string").alias("sampleId"), F.col("o_custkey").cast("string").alias("patientId"), attrs(("STATUS", "o_orderstatus"), ("PRIORITY", "o_orderpriority"))).select("sampleId", "patientId", "x.*")
+    other = c.select(F.col("c_custkey").cast("string").alias("patientId"), attrs(("STATUS", "c_mktsegment"), ("SEGMENT", "c_mktsegment"), ("NATION", "c_nationkey"))).select("patientId", "x.*")
+    return matrix.joined_clinical(own, other, "position")
+
+
+@query("SELECT l_linenumber::VARCHAR AS sample_id, 'metabolites' AS modality, l_suppkey::VARCHAR AS feature, sum(l_quantity) AS value FROM lineitem GROUP BY ALL")
+def s10_json_documents(spark, sf_dir):
+    """Documents of all three forms: lists, maps from numbers, single records."""
+    per = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", F.col("l_linenumber").cast("string").alias("k")).agg(F.sum("l_quantity").cast("string").alias("v"))
+    one = per.groupBy("l_suppkey").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("DATA"))
+    one = one.select((F.col("l_suppkey") % 3).alias("form"), F.floor(F.col("l_suppkey") / 30).alias("doc"), "l_suppkey", F.struct(F.col("l_suppkey").cast("string").alias("metabolite_name"), "DATA").alias("r"))
+    docs = one.filter("form = 0").groupBy("doc").agg(F.to_json(F.collect_list("r")).alias("j")).select("j")
+    docs = docs.unionByName(one.filter("form = 1").groupBy("doc").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("l_suppkey").cast("string"), "r")))).alias("j")).select("j"))
+    return matrix.json_document_cells(docs.unionByName(one.filter("form = 2").select(F.to_json("r").alias("j"))), "j", "metabolites")
+
+
+@query(f"""WITH {A.EVENTS_DAY_SQL}, {MISSING_SQL} SELECT modality, count(*) AS n_samples, round(avg(missing_fraction), 6) AS mean_fraction, round(max(missing_fraction), 6) AS max_fraction FROM missing GROUP BY 1""")
+def k3_public_view(spark, sf_dir):
+    s = A.events_day(spark, sf_dir)
+    tables = {"missing": missingness.sample_missing(s.cells, s.samples, s.features), "batches": s.samples.select("sample_id", "batch")}
+    return rounded(matrix.public_tables(tables)["missing_summary"], "mean_fraction", "max_fraction")
+
+
+@query("SELECT o_orderkey, o_orderstatus AS y FROM orders WHERE o_orderstatus <> 'P'")
+def f8_with_target(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).otherwise(" ").alias("y"))
+    return clean.with_target(o, "y")
+
+
+@query("SELECT o_orderkey::VARCHAR AS sample_id, 'lines' AS modality, o_orderpriority AS batch FROM orders UNION ALL SELECT o_orderkey::VARCHAR, 'parts', o_orderstatus FROM orders")
+def j6_sample_batches(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("sample_id"), "o_orderpriority", "o_orderstatus")
+    return align.sample_batches(o, {"lines": "o_orderpriority", "parts": "o_orderstatus"}, A.orders(spark, sf_dir).features)
+
+
+@query("""WITH a AS (SELECT DISTINCT doc_id::VARCHAR AS s FROM documents), b AS (SELECT DISTINCT vec_id::VARCHAR AS s FROM embeddings), k AS (SELECT DISTINCT doc_id::VARCHAR AS s FROM labels), m AS (SELECT count(*) AS matched_all FROM k WHERE s IN (SELECT s FROM a) AND s IN (SELECT s FROM b)),
+o AS (SELECT 'emb' AS modality, s FROM b WHERE s NOT IN (SELECT s FROM k) UNION ALL SELECT 'text', s FROM a WHERE s NOT IN (SELECT s FROM k)), f AS (SELECT string_agg(s, ', ' ORDER BY s) AS odd FROM (SELECT s FROM o WHERE modality = (SELECT min(modality) FROM o) ORDER BY s LIMIT 3))
+SELECT (SELECT count(*) FROM k) AS n_clinical, 2::BIGINT AS n_layers, matched_all, matched_all < 0.5 * (SELECT count(*) FROM k) AS low_overlap, CASE WHEN matched_all < 0.5 * (SELECT count(*) FROM k) THEN 'low overlap, ids like ' || odd END AS hint, matched_all >= 10 AS ok FROM m, f""")
+def j7_overall(spark, sf_dir):
+    ids = table(spark, sf_dir, "documents").select(F.lit("text").alias("modality"), F.col("doc_id").cast("string").alias("sample_id"))
+    ids = ids.unionByName(table(spark, sf_dir, "embeddings").select(F.lit("emb").alias("modality"), F.col("vec_id").cast("string").alias("sample_id")))
+    return align.overall_preview(ids, table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("sample_id")))
+
+
+_SEVERITY = "CASE WHEN l_tax < 0.03 THEN 'clean' WHEN l_tax < 0.06 THEN 'mild' ELSE 'severe' END"
+
+
+def _flagged(spark, sf_dir):
+    severity = F.when(F.col("l_tax") < 0.03, "clean").when(F.col("l_tax") < 0.06, "mild").otherwise("severe")
+    return table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("family"), severity.alias("severity"), (F.col("l_discount") + F.col("l_tax") > 0.1).alias("flag"))
+
+
+@query(f"""WITH r AS (SELECT l_returnflag AS family, {_SEVERITY} AS severity, count(*)::DOUBLE AS n, sum((l_discount + l_tax > 0.1)::INT)::DOUBLE AS k FROM lineitem GROUP BY ALL), c AS (SELECT *, k / n AS p, 1.959963984540054 AS z FROM r)
+SELECT family, severity, n::BIGINT AS n, k::BIGINT AS flagged, round(p, 6) AS rate, round((p + z*z/(2*n) - z*sqrt(p*(1-p)/n + z*z/(4*n*n))) / (1 + z*z/n), 6) AS low, round((p + z*z/(2*n) + z*sqrt(p*(1-p)/n + z*z/(4*n*n))) / (1 + z*z/n), 6) AS high FROM c""")
+def r11_flag_rates(spark, sf_dir):
+    return rounded(rows.flag_rates(_flagged(spark, sf_dir), ["family"]), "rate", "low", "high")
+
+
+@query(f"""WITH r AS (SELECT CASE WHEN l_returnflag = 'A' THEN 'null' ELSE 'predictive' END AS family, CASE l_linenumber % 3 WHEN 0 THEN 'safe' WHEN 1 THEN 'unsafe' ELSE 'standard' END AS arm, l_linenumber AS size, l_discount * 10 AS v FROM lineitem),
+m AS (SELECT size, avg(v) AS v FROM r WHERE family = 'predictive' AND arm = 'standard' GROUP BY 1), w AS (SELECT count(*) AS k, sum((v < lag - 0.02)::INT)::DOUBLE AS n FROM (SELECT v, lag(v) OVER (ORDER BY size) AS lag FROM m)),
+o AS (SELECT avg(v) FILTER (family = 'null') AS nul, avg(v) FILTER (arm = 'unsafe') - avg(v) FILTER (arm = 'safe') AS gap FROM r), f AS (SELECT l_returnflag AS family, avg((l_discount + l_tax > 0.1)::INT) FILTER ({_SEVERITY} = 'severe') - avg((l_discount + l_tax > 0.1)::INT) FILTER ({_SEVERITY} = 'clean') AS v FROM lineitem GROUP BY 1)
+SELECT 'null mean at chance' AS "check", round(nul, 6) AS value, abs(nul - 0.5) > 0.05 AS deviates FROM o UNION ALL SELECT 'leakage gap above zero', round(gap, 6), gap <= 0 FROM o UNION ALL SELECT 'more data is not worse', coalesce(n, 0), coalesce(n, 0) > 0 FROM w WHERE k > 1 UNION ALL SELECT 'severe above clean: ' || family, round(v, 6), v <= 0 FROM f""")
+def r12_expected_order(spark, sf_dir):
+    n = F.col("l_linenumber")
+    r = table(spark, sf_dir, "lineitem").select(
+        F.when(F.col("l_returnflag") == "A", "null").otherwise("predictive").alias("family"), F.when(n % 3 == 0, "safe").when(n % 3 == 1, "unsafe").otherwise("standard").alias("arm"), n.alias("size"), (F.col("l_discount") * 10).alias("value")
+    )
+    return rounded(rows.expected_order(r, _flagged(spark, sf_dir)), "value")
+
+
+@query("""WITH w AS (SELECT DISTINCT o_orderstatus AS family, o_orderkey AS u FROM orders), d AS (SELECT l_orderkey AS u, max(epoch(l_shipdate::TIMESTAMP)) AS t FROM lineitem WHERE l_quantity > 30 GROUP BY 1),
+p AS (SELECT (count(*) - 1) / ((max(t) - min(t)) / 3600) AS rate, (epoch(TIMESTAMP '2030-01-01') - max(t)) / 3600 AS age FROM d), f AS (SELECT family, count(*) AS expected, count(t) AS completed, count(*) - count(t) AS outstanding FROM w LEFT JOIN d USING (u) GROUP BY 1)
+SELECT family, expected, completed, outstanding, round(rate, 6) AS per_hour, round(outstanding / rate, 4) AS eta_hours, round(age, 4) AS newest_age_hours, row_number() OVER (ORDER BY outstanding DESC, family) = 1 AND outstanding > 0 AS active FROM f, p""")
+def r14_progress_report(spark, sf_dir):
+    done = table(spark, sf_dir, "lineitem").filter("l_quantity > 30").select(F.col("l_orderkey").alias("dataset_id"), F.col("l_shipdate").alias("finished"))
+    expected = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("family"), F.col("o_orderkey").alias("dataset_id"))
+    out = rows.progress_report(done, expected, F.lit("2030-01-01").cast("timestamp"))
+    return out.withColumns({"per_hour": F.round("per_hour", 6), "eta_hours": F.round("eta_hours", 4), "newest_age_hours": F.round("newest_age_hours", 4)})

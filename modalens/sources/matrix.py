@@ -64,6 +64,43 @@ def tidy_cells(records: DataFrame, sample: str, feature: str, value: str, modali
     return rows.filter("sample_id IS NOT NULL AND feature IS NOT NULL AND value IS NOT NULL").groupBy("sample_id", "modality", "feature").agg(F.avg("value").alias("value"))
 
 
+def molecular_cells(records: DataFrame, modality: str, sample: str = "sampleId", value: str = "value") -> DataFrame:
+    """Long cells of molecular records with a nested gene: its symbol, or the record's own Entrez number where it has none."""
+    fields = records.schema["gene"].dataType.names if "gene" in records.columns else []
+    named = [F.col("gene.hugoGeneSymbol")] if "hugoGeneSymbol" in fields else []
+    number = [F.col("entrezGeneId").cast("string")] if "entrezGeneId" in records.columns else []
+    return tidy_cells(records.withColumn("_gene", F.coalesce(*named, *number, F.lit(None).cast("string"))), sample, "_gene", value, modality)
+
+
+def joined_clinical(samples: DataFrame, patients: DataFrame, position: str) -> DataFrame:
+    """A row per sample of two tables of attributes (sampleId, patientId, attr, value) and (patientId, attr, value).
+
+    Attributes of the patient are joined by the sample's first patient; where both tables have an attribute, the sample's
+    stands. PATIENT_ID keeps the patient, the group of all of its samples.
+    """
+    own = tidy_clinical(samples, "sampleId", "attr", "value", position)
+    bridge = samples.filter("patientId IS NOT NULL").groupBy("sampleId").agg(F.min_by("patientId", position).alias("PATIENT_ID"))
+    known = {c.lower() for c in own.columns}
+    wide = tidy_clinical(patients, "patientId", "attr", "value", position)
+    more = wide.select(F.col("patientId").alias("PATIENT_ID"), *[c for c in wide.columns if c != "patientId" and c.lower() not in known])
+    return own.join(bridge, "sampleId", "left").join(more, "PATIENT_ID", "left").select(*own.columns, *[c for c in more.columns if c != "PATIENT_ID"], "PATIENT_ID")
+
+
+def json_document_cells(documents: DataFrame, json: str, modality: str) -> DataFrame:
+    """Long cells of JSON documents: a list of records, a map from numbers to records, or one record.
+
+    A record has `metabolite_name` (or `metabolite_id`) and DATA, a map sample -> value.
+    """
+    record = "struct<metabolite_name: string, metabolite_id: string, DATA: map<string, string>>"
+    text = F.trim(F.col(json))
+    single = F.from_json(text, record)
+    listed = F.from_json(text, f"array<{record}>")
+    keyed = F.map_values(F.from_json(text, f"map<string, {record}>"))
+    rows = F.when(text.startswith("["), listed).when(single["DATA"].isNotNull(), F.array(single)).otherwise(keyed)
+    each = documents.select(F.explode(rows).alias("r")).select(F.coalesce("r.metabolite_name", "r.metabolite_id").alias("feature"), F.explode("r.DATA").alias("sample_id", "raw"))
+    return each.select("sample_id", F.lit(modality).alias("modality"), "feature", rescued(F.col("raw")).alias("value")).filter("value IS NOT NULL AND feature IS NOT NULL")
+
+
 def tidy_clinical(records: DataFrame, key: str, attribute: str, value: str, position: str) -> DataFrame:
     """One row per key, one column per attribute; of repeated attributes the first by position."""
     return records.groupBy(key).pivot(attribute).agg(F.min_by(value, position))
@@ -168,3 +205,18 @@ def write_dataset(cells: DataFrame, samples: DataFrame, folder: str) -> None:
 def public_view(missing: DataFrame) -> DataFrame:
     """Aggregates in place of row-level missingness: no sample id leaves."""
     return missing.groupBy("modality").agg(F.count(F.lit(1)).alias("n_samples"), F.avg("missing_fraction").alias("mean_fraction"), F.max("missing_fraction").alias("max_fraction"))
+
+
+#: Columns of an audit's tables that name samples, places of samples or files, none of which is published.
+PRIVATE = ("sample_id", "coordinates", "path", "output_dir", "batch_by_modality", "api_key_env")
+
+
+def public_tables(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Tables as they may be published: row-level missingness as aggregates, without private columns, and none that are only those."""
+    out = {}
+    for name, t in tables.items():
+        if {"sample_id", "missing_fraction"} <= set(t.columns):
+            out[f"{name}_summary"] = public_view(t)
+        elif "coordinates" not in t.columns and (rest := [c for c in t.columns if c not in PRIVATE]):
+            out[name] = t.select(*rest)
+    return out
