@@ -45,6 +45,17 @@ def running_counts(counts: DataFrame, keys: list[str], value: str, n: str = "n")
     return out.withColumn("before", F.col("_inside") + F.col("_below")).drop("_range", "_inside", "_below")
 
 
+def running_sums(rows: DataFrame, keys: list[str], value: str, columns: list[str]) -> DataFrame:
+    """rows (one per key and value) with each column's sum over the key's smaller values in its place."""
+    placed = ranged(rows, keys, value)
+    sums = placed.groupBy(*keys, "_range").agg(*[F.sum(c).alias(f"_{c}") for c in columns])
+    lower = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*keys, "_range", *[F.coalesce(F.sum(f"_{c}").over(lower), F.lit(0)).alias(f"_{c}") for c in columns])
+    inside = Window.partitionBy(*keys, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    out = placed.withColumns({f"_in_{c}": F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in columns}).join(sums, [*keys, "_range"])
+    return out.withColumns({c: F.col(f"_in_{c}") + F.col(f"_{c}") for c in columns}).drop("_range", *[f"_in_{c}" for c in columns], *[f"_{c}" for c in columns])
+
+
 def running_extremes(rows: DataFrame, keys: list[str], value: str, low: str, high: str) -> DataFrame:
     """rows (one per key and value) with the smallest `low` from the value up, as `least`, and the largest `high` up to it, as `most`."""
     placed = ranged(rows, keys, value)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from modalens.functions.rank import average_ranks
+from modalens.functions.rank import average_ranks, running_counts, running_sums
+from modalens.storage import written
 
 
 def auroc(pred: DataFrame, keys: list[str], y: str = "y", score: str = "score") -> DataFrame:
@@ -138,31 +141,40 @@ def prevalence(pred: DataFrame, keys: list[str]) -> DataFrame:
     return pred.groupBy(*keys).agg(F.avg(F.col("y").cast("double")).alias("prevalence"))
 
 
-def concordance(rows: DataFrame, time: str = "time", event: str = "event", risk: str = "risk", blocks: int = 32) -> DataFrame:
+#: Parts that a stretch of times is cut into at each level of the concordance.
+FAN = 16
+
+
+def concordance(rows: DataFrame, time: str = "time", event: str = "event", risk: str = "risk") -> DataFrame:
     """Harrell's C: over pairs (event at i, time j > time i) the share with risk i > risk j, ties one half; 0.5 if no pair.
 
-    Rows are cut into blocks by time and by risk. Whole lower blocks are counted by prefix sums over a blocks-by-blocks
-    table; only rows of one time block, or of one risk block, are compared with each other.
+    Times are numbered and cut into FAN parts, these again, and so on, until a part is one time. Two times meet at just
+    one level: where they are in different parts of the same stretch. There running sums over risk, one for each part,
+    count the rows of later parts with smaller risks, so the work is that of sorting the rows once for each level.
     """
-    from modalens.functions.rank import RANGES
-
-    blocks = blocks or RANGES
-    distinct = rows.groupBy(time, risk).agg(F.sum(F.col(event).cast("long")).alias("e"), F.count(F.lit(1)).alias("n"))
-    cut = lambda c: sum(((F.col(c) > F.lit(x)).cast("int") for x in sorted(set(rows.approxQuantile(c, [i / blocks for i in range(1, blocks)], 0.001)))), F.lit(0))
-    d = distinct.withColumn("tb", cut(time)).withColumn("rb", cut(risk))
-    grid = d.groupBy("tb", "rb").agg(F.sum("n").alias("n"))
-    ev = d.filter("e > 0")
-    block_ev = ev.groupBy("tb", "rb").agg(F.sum("e").alias("e"))
-    # pairs of blocks apart in both time and risk: at most blocks^2 rows on either side
-    far = block_ev.alias("i").join(grid.alias("j"), (F.col("j.tb") > F.col("i.tb")) & (F.col("j.rb") != F.col("i.rb"))).agg(
-        F.sum(F.col("i.e") * F.col("j.n")).alias("pairs"), F.sum(F.when(F.col("i.rb") > F.col("j.rb"), F.col("i.e") * F.col("j.n")).otherwise(0)).alias("good")
-    )
-    pair = lambda on, extra: ev.alias("i").join(d.alias("j"), (F.col(f"i.{on}") == F.col(f"j.{on}")) & (F.col(f"j.{time}") > F.col(f"i.{time}")) & extra).agg(
-        F.sum(F.col("i.e") * F.col("j.n")).alias("pairs"),
-        F.sum(F.col("i.e") * F.col("j.n") * F.when(F.col(f"i.{risk}") > F.col(f"j.{risk}"), 1.0).when(F.col(f"i.{risk}") == F.col(f"j.{risk}"), 0.5).otherwise(0.0)).alias("good"),
-    )
-    parts = far.select("pairs", F.col("good").cast("double")).unionAll(pair("tb", F.lit(True))).unionAll(pair("rb", F.col("j.tb") > F.col("i.tb")))
-    return parts.agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"), F.coalesce(F.sum("good") / F.sum("pairs"), F.lit(0.5)).alias("c_index"))
+    d = rows.groupBy(time, risk).agg(F.sum(F.col(event).cast("long")).alias("e"), F.count(F.lit(1)).alias("n"))
+    times = d.groupBy(time).agg(F.sum("e").alias("e"), F.sum("n").alias("n")).withColumn("_one", F.lit(1).cast("long"))
+    numbered_ = written(running_counts(times, [], time, "_one").select(time, "e", "n", F.col("before").alias("pos")), "times")
+    k, total = numbered_.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    later = running_counts(numbered_.drop("pos"), [], time, "n").agg(F.coalesce(F.sum(F.col("e") * (F.lit(total) - F.col("before") - F.col("n"))), F.lit(0)).alias("pairs"))
+    placed = written(d.join(numbered_.select(time, "pos"), time).select("pos", risk, "e", "n"), "times-risks")
+    good, width = [], FAN
+    while width // FAN < max(k, 1):
+        part = F.floor(F.col("pos") * FAN / width) % FAN
+        of = lambda c, i, part=part: F.sum(F.when(part == i, F.col(c)).otherwise(0))
+        level = placed.groupBy(F.floor(F.col("pos") / width).alias("stretch"), risk).agg(*[of(c, i).alias(f"{c}{i}") for i in range(FAN) for c in ("e", "n")])
+        level = level.select("stretch", risk, *[f"e{i}" for i in range(FAN)], *[(F.col(f"n{i}") / 2).alias(f"h{i}") for i in range(1, FAN)], *[F.col(f"n{i}").cast("double").alias(f"n{i}") for i in range(1, FAN)])
+        below = running_sums(level, ["stretch"], risk, [f"n{i}" for i in range(1, FAN)])
+        behind, sums = F.lit(0.0), F.lit(0.0)
+        for i in range(FAN - 1, 0, -1):
+            behind = behind + F.col(f"n{i}") + F.col(f"h{i}")
+            sums = sums + F.col(f"e{i - 1}") * behind
+        good.append(below.agg(F.sum(sums).alias("good")))
+        width *= FAN
+    if not good:
+        good = [rows.limit(0).agg(F.lit(0.0).alias("good"))]
+    all_ = functools.reduce(DataFrame.unionAll, good).agg(F.sum("good").alias("good"))
+    return later.join(all_).select("pairs", F.coalesce(F.col("good") / F.when(F.col("pairs") > 0, F.col("pairs")), F.lit(0.5)).alias("c_index"))
 
 
 def wilson(k: Column, n: Column, z: float = 1.959963984540054) -> tuple[Column, Column]:

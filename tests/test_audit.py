@@ -69,3 +69,32 @@ def test_adjusted_p_of_large_families(spark, monkeypatch, size):
         r = got[f"t{k}"]
         assert (r.p_bh, r.p_by, r.p_holm) == pytest.approx((bh[place], by[place], holm[place]), abs=1e-12)
     assert got["none"].p_bh is None and got["one"].p_holm == pytest.approx(0.2) and len(got) == 122
+
+
+@pytest.mark.parametrize("n", [1, 40, 400])
+def test_concordance_equals_all_pairs(spark, n):
+    from modalens.operators.metrics import concordance
+
+    rng = np.random.default_rng(n)
+    t, e, r = rng.integers(1, max(2, n), n), rng.random(n) < 0.6, rng.integers(0, 30, n)
+    pairs = good = 0.0
+    for i in range(n):
+        later = t > t[i]
+        if e[i]:
+            pairs += later.sum()
+            good += (later & (r[i] > r)).sum() + (later & (r[i] == r)).sum() / 2
+    got = concordance(spark.createDataFrame([(float(a), int(b), float(c)) for a, b, c in zip(t, e, r, strict=True)], "time double, event int, risk double")).first()
+    assert got.pairs == pairs and got.c_index == pytest.approx(good / pairs if pairs else 0.5)
+
+
+def test_alignment_by_samples_equals_that_by_features(spark):
+    from modalens.operators import ledger
+
+    rng = np.random.default_rng(4)
+    x = {"a": rng.normal(size=(12, 20)), "c": rng.normal(size=(12, 6))}
+    x["b"] = x["a"][:, :9] + rng.normal(size=(12, 9)) * 0.3
+    rows = [(f"s{i}", m, f"f{j}", float(v)) for m, t in x.items() for (i, j), v in np.ndenumerate(t) if (i * j) % 11 != 3]
+    cells = spark.createDataFrame(rows, "sample_id string, modality string, feature string, value double")
+    one, two = ({(r.modality_a, r.modality_b): r.cka for r in f(cells).collect()} for f in (ledger._aligned_samples, ledger._aligned_features))
+    assert one.keys() == two.keys() == {("a", "b"), ("a", "c"), ("b", "c")} and all(one[k] == pytest.approx(two[k]) for k in one)
+    assert {(r.modality_a, r.modality_b): r.cka for r in ledger.cka(cells).collect()} == pytest.approx(one)
