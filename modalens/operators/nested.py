@@ -43,7 +43,7 @@ def inner_predictions(cells: DataFrame, samples: DataFrame, folds: DataFrame, in
         pred = out_of_fold(cells.filter(F.col("modality") == modality).join(known, "sample_id"), samples.join(known, "sample_id"), own, make, modality, 2)
         return pred.select(F.lit(outer).alias("outer_fold"), F.col("outer_fold").alias("inner_fold"), F.col("model").alias("modality"), "sample_id", "y", "pred", "probs")
 
-    jobs = [(o, m) for o in _names(folds, "outer_fold") for m in _names(cells, "modality")]
+    jobs = [(o, m) for o in _names(inner, "outer_fold") for m in _names(cells, "modality")]
     return written(_together(one, jobs, threads), "inner-predictions")
 
 

@@ -315,11 +315,6 @@ def audit_verdicts(spark, sf_dir):
     return rounded(_landed(spark, sf_dir).verdicts, "alone", "gain", "gain_p", "cka")
 
 
-@query()
-def audit_rating(spark, sf_dir):
-    return _landed(spark, sf_dir).rating
-
-
 @query("""WITH r AS (SELECT l_orderkey::VARCHAR AS s, CASE WHEN l_linenumber % 3 > 0 THEN 'G' || l_suppkey END AS g, l_suppkey AS e, l_quantity AS v FROM lineitem)
 SELECT s AS sample_id, 'rna' AS modality, coalesce(g, e::VARCHAR) AS feature, round(avg(v), 6) AS value FROM r GROUP BY ALL""")
 def s6_molecular_cells(spark, sf_dir):
