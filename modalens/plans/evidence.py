@@ -99,7 +99,7 @@ def m19_cox_grid(spark, sf_dir):
     """M12 and M19: ridge Cox on components of every training side, each modality, the fusion and the fusion without each."""
     cells, samples = _survival_study(spark, sf_dir)
     folds = samples.select("sample_id", F.expr("int(bigint(sample_id) % 3)").alias("outer_fold"))
-    return survival.cox_grid(cells, samples, folds, k=3)
+    return survival.cox_grid(cells, samples, folds)
 
 
 @query()

@@ -108,7 +108,7 @@ def test_log_rank_score(spark):
 def test_cox_equals_the_whole_likelihood(spark):
     data = survivors()
     t = spark.createDataFrame([(r[1], r[2], r[4]) for r in data], "time double, event int, x array<double>")
-    beta = survival.cox(t, 2, l2=0.5)
+    beta = survival.cox(t, l2=0.5)
     time, event, x = np.array([r[1] for r in data]), np.array([r[2] for r in data]), np.array([r[4] for r in data])
     slope = 2 * 0.5 * beta
     for i in np.flatnonzero(event):
@@ -116,7 +116,55 @@ def test_cox_equals_the_whole_likelihood(spark):
         w = np.exp(x[risk] @ beta)
         slope = slope - x[i] + w @ x[risk] / w.sum()
     assert np.abs(slope).max() < 1e-4
-    assert np.abs(survival.cox(t.withColumn("event", F.lit(0)), 2)).max() == 0
+    assert np.abs(survival.cox(t.withColumn("event", F.lit(0)))).max() == 0
+
+
+def slope_at(beta, time, event, x, l2):
+    out = 2 * l2 * beta
+    for i in np.flatnonzero(event):
+        risk = time >= time[i]
+        w = np.exp(x[risk] @ beta)
+        out = out - x[i] + w @ x[risk] / w.sum()
+    return out
+
+
+@pytest.mark.parametrize("broadcast", [10**6, 0])
+def test_cox_jobs_of_unlike_width_step_together(spark, monkeypatch, broadcast):
+    """Jobs of 3 and 40 coefficients, times cut into ranges, a third of all rows at one time; one job without events."""
+    monkeypatch.setattr("modalens.functions.rank.RANGE_ROWS", 7)
+    monkeypatch.setattr(survival, "BROADCAST_TIMES", broadcast)
+    rng = np.random.default_rng(8)
+    data = {}
+    for job, n, d in (("narrow", 80, 3), ("wide", 120, 40), ("none", 10, 2)):
+        time = np.where(rng.uniform(size=n) < 0.35, 25.0, rng.integers(1, 50, n).astype(float))
+        data[job] = (time, (rng.uniform(size=n) < (0 if job == "none" else 0.6)).astype(int), rng.normal(size=(n, d)))
+    rows = [(job, float(t), int(e), v.tolist()) for job, (time, event, x) in data.items() for t, e, v in zip(time, event, x, strict=True)]
+    fitted = survival.cox_fits(spark.createDataFrame(rows, "job string, time double, event int, x array<double>"), l2=1.0)
+    for job in ("narrow", "wide"):
+        assert np.abs(slope_at(fitted[job], *data[job], 1.0)).max() < 1e-3
+    assert np.abs(fitted["none"]).max() == 0 and {k: len(v) for k, v in fitted.items()} == {"narrow": 3, "wide": 40, "none": 2}
+
+
+def test_components_of_a_training_side(spark, monkeypatch):
+    """By either side's products: a quarter of the training rows, equal to singular vectors but for their signs."""
+    from pyspark.ml.linalg import Vectors
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(30, 50)) * np.linspace(3, 0.5, 50)
+    x[:20] -= x[:20].mean(axis=0)
+    rows = [(str(i), "train" if i < 20 else "assessment", float(i), 1, Vectors.dense(v.tolist())) for i, v in enumerate(x)]
+    t = spark.createDataFrame(rows, ["sample_id", "side", "time", "event", "x"])
+    want = x @ np.linalg.svd(x[:20], full_matrices=False)[2][:5].T
+    for small in (4096, 40):
+        monkeypatch.setattr(survival, "SMALL", small)
+        got = {int(r.sample_id): np.array(r.x) for r in survival.fold_components(t).collect()}
+        out = np.array([got[i] for i in range(30)])
+        assert out.shape == (30, 5)
+        np.testing.assert_allclose(np.abs(out), np.abs(want), atol=1e-8)
+        assert len(survival.fold_components(t, k=2).first().x) == 2
+    monkeypatch.setattr(survival, "SMALL", 25)
+    with pytest.raises(ValueError, match="select columns"):
+        survival.fold_components(t)
 
 
 def test_batch_adjusted_is_refused(spark):
