@@ -256,8 +256,8 @@ def out_of_fold_cox(cells: DataFrame, samples: DataFrame, folds: DataFrame, mode
 def cox_grid(cells: DataFrame, samples: DataFrame, folds: DataFrame, k: int | None = None, l2: float = 10.0, top: int | None = None) -> DataFrame:
     """(model, pairs, c_index) of every modality alone, the fusion and the fusion without each."""
     cells = written(cells, "grid-cells")
-    names = sorted(r[0] for r in cells.select("modality").distinct().collect())
-    parts = [fold_tables(cells.filter(F.col("modality").isin(seen)), samples, folds, k, top).withColumn("model", F.lit(name)) for name, seen in grid(names, "cox").items()]
-    risks = written(_risk(functools.reduce(DataFrame.unionByName, parts), l2), "risks")
-    scored = [concordance(risks.filter(F.col("model") == name)).select(F.lit(name).alias("model"), "pairs", "c_index") for name in grid(names, "cox")]
-    return functools.reduce(DataFrame.unionByName, scored)
+    names = [r[0] for r in cells.select("modality").distinct().collect()]
+    seen = grid(sorted(names), "cox")
+    tables = _together(lambda name: fold_tables(cells.filter(F.col("modality").isin(seen[name])), samples, folds, k, top).withColumn("model", F.lit(name)), list(seen), 4)
+    risks = written(_risk(tables, l2), "risks")
+    return _together(lambda name: concordance(risks.filter(F.col("model") == name)).select(F.lit(name).alias("model"), "pairs", "c_index"), list(seen), 4)
