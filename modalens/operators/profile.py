@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from modalens.operators.clean import na_masked, number
+from modalens.operators.provenance import bits
 
 
 def clinical(table: DataFrame) -> DataFrame:
@@ -104,6 +105,25 @@ def exclusions(rules: list[tuple[str, DataFrame]]) -> DataFrame:
     return out
 
 
+def exclusion_rules(cells: DataFrame, samples: DataFrame, label: str, group: str = "group_id", min_class: int = 10) -> DataFrame:
+    """(rule, n) of a study's five rules for samples; one that breaks several counts for each.
+
+    No outcome, no subject, not in every table (of those that have cells), the same cells as a sample with a smaller id,
+    and an outcome of fewer than min_class samples. Two samples are copies if the digests of their cells (modality,
+    feature and the value's bits, sorted) are equal; samples without cells are no copies.
+    """
+    cell = F.sha2(F.concat_ws("\u0001", "modality", "feature", bits("value")), 256)
+    known = cells.filter("value IS NOT NULL").select("sample_id", "modality", cell.alias("h"))
+    per = known.groupBy("sample_id").agg(F.countDistinct("modality").alias("tables"), F.sha2(F.concat_ws(",", F.array_sort(F.collect_list("h"))), 256).alias("digest"))
+    sizes = samples.groupBy(label).agg(F.count(F.lit(1)).alias("size"))
+    rows = samples.join(per, "sample_id", "left").join(sizes, label, "left").join(F.broadcast(known.agg(F.countDistinct("modality").alias("all"))))
+    copies = rows.filter("digest IS NOT NULL").groupBy("digest").agg((F.count(F.lit(1)) - 1).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("duplicate rows"))
+    small = F.col(label).isNotNull() & (F.col("size") < min_class)
+    rules = {"no outcome": F.col(label).isNull(), "no subject": F.col(group).isNull(), "not in every table": F.coalesce(F.col("tables"), F.lit(0)) < F.col("all"), "small class": small}
+    counts = rows.agg(*[F.coalesce(F.sum(c.cast("long")), F.lit(0)).alias(name) for name, c in rules.items()]).join(copies)
+    return counts.unpivot([], [*rules, "duplicate rows"], "rule", "n")
+
+
 def class_balance(samples: DataFrame, label: str) -> DataFrame:
     per = samples.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
     total = samples.agg(F.count(F.lit(1)).alias("total"))

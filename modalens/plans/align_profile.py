@@ -324,6 +324,21 @@ def c7_exclusions(spark, sf_dir):
     ])
 
 
+@query("""WITH s AS (SELECT o_orderkey AS k, CASE WHEN o_orderstatus <> 'P' THEN o_orderpriority || o_orderstatus || (o_totalprice > 400000)::VARCHAR END AS label, CASE WHEN o_custkey % 50 > 0 THEN o_custkey END AS g FROM orders),
+c AS (SELECT l_orderkey AS k, l_returnflag AS m, l_linestatus AS f, sum(l_quantity::BIGINT) AS v FROM lineitem GROUP BY ALL),
+d AS (SELECT k, count(DISTINCT m) AS tables, list(m || f || v ORDER BY m, f) AS cells FROM c GROUP BY 1), z AS (SELECT label, count(*) AS size FROM s GROUP BY 1)
+SELECT 'no outcome' AS rule, count(*) AS n FROM s WHERE label IS NULL UNION ALL SELECT 'no subject', count(*) FROM s WHERE g IS NULL
+UNION ALL SELECT 'not in every table', count(*) FROM s LEFT JOIN d USING (k) WHERE coalesce(tables, 0) < (SELECT count(DISTINCT m) FROM c) UNION ALL SELECT 'small class', count(*) FROM s JOIN z USING (label) WHERE size < 60
+UNION ALL SELECT 'duplicate rows', count(*) - count(DISTINCT cells) FROM s JOIN d USING (k)""")
+def c7_exclusion_rules(spark, sf_dir):
+    """All five rules over orders, whose tables are their line items by return flag."""
+    o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    label = F.when(F.col("o_orderstatus") != "P", F.concat("o_orderpriority", "o_orderstatus", (F.col("o_totalprice") > 400000).cast("string")))
+    samples = o.select(F.col("o_orderkey").alias("sample_id"), label.alias("label"), F.when(F.col("o_custkey") % 50 > 0, F.col("o_custkey")).alias("group_id"))
+    cells = li.groupBy(F.col("l_orderkey").alias("sample_id"), F.col("l_returnflag").alias("modality"), F.col("l_linestatus").alias("feature")).agg(F.sum("l_quantity").cast("double").alias("value"))
+    return profile.exclusion_rules(cells, samples, "label", min_class=60)
+
+
 @query(f"WITH {A.EMBEDDINGS_SQL} SELECT y, count(*) AS n, round(count(*) / (SELECT count(*) FROM samples), 6) AS share FROM samples GROUP BY 1")
 def c8_class_balance(spark, sf_dir):
     return rounded(profile.class_balance(A.embeddings(spark, sf_dir).samples, "y"), "share")

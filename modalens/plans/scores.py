@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from modalens.operators import bootstrap, ledger, metrics, provenance, rows, splits
@@ -272,6 +275,39 @@ def h1_fingerprint(spark, sf_dir):
     return provenance.fingerprint(s.cells, s.samples, "y")
 
 
+def _level_sql(of, keys):
+    """DuckDB SQL of one key's digest: buckets by three digits, then the buckets."""
+    return f"SELECT {keys}, sha256(string_agg(h, ',' ORDER BY h)) AS d, sum(n) AS n FROM (SELECT {keys}, substr(h, 1, 3), sha256(string_agg(h, ',' ORDER BY h)) AS h, sum(n) AS n FROM {of} GROUP BY ALL) GROUP BY {keys}"
+
+
+def _digest_sql(value):
+    return f"""WITH {A.EMBEDDINGS_SQL}, c AS (SELECT modality, feature, 1 AS n, sha256(concat_ws(chr(1), sample_id, modality, feature, ({value})::DOUBLE::BIT::BIGINT::VARCHAR)) AS h FROM cells),
+f AS ({_level_sql('c', 'modality, feature')}), g AS (SELECT modality, n, sha256(concat_ws(chr(1), modality, feature, d)) AS h FROM f), m AS ({_level_sql('g', 'modality')}),
+y AS (SELECT 'samples' AS part, 1 AS n, sha256(concat_ws(chr(1), sample_id, coalesce(y::VARCHAR, 'NA'))) AS h FROM samples), t AS ({_level_sql('y', 'part')}),
+r AS (SELECT n, 0 AS s, sha256(concat_ws(chr(1), 'cells', modality, d)) AS h FROM m UNION ALL SELECT 0, n, sha256(concat_ws(chr(1), part, d)) FROM t)
+SELECT sum(n)::BIGINT AS n_cells, sum(s)::BIGINT AS n_samples, sha256(string_agg(h, ',' ORDER BY h)) AS digest FROM r"""
+
+
+_MOVED = "CASE WHEN sample_id = '7' AND feature = (SELECT min(feature) FROM cells) THEN value + 1 ELSE value END"
+
+
+@query(_digest_sql("value"))
+def h1_fingerprint_vectors(spark, sf_dir):
+    """The digest of all vectors, by the bits of their values."""
+    s = A.embeddings(spark, sf_dir)
+    return provenance.fingerprint(s.cells, s.samples, "y")
+
+
+@query(f"SELECT b.digest, a.digest AS expected, a.digest = b.digest AS same FROM ({_digest_sql('value')}) a, (SELECT * FROM ({_digest_sql(_MOVED)}) UNION ALL SELECT * FROM ({_digest_sql('value')})) b")
+def h2_verified(spark, sf_dir):
+    """The stored digest against a study in which one vector has changed, and against the same study."""
+    s = A.embeddings(spark, sf_dir)
+    digest = provenance.fingerprint(s.cells, s.samples, "y").first().digest
+    first = s.cells.agg(F.min("feature").alias("_first"))
+    moved = s.cells.join(F.broadcast(first)).withColumn("value", F.when((F.col("sample_id") == "7") & (F.col("feature") == F.col("_first")), F.col("value") + 1).otherwise(F.col("value"))).drop("_first")
+    return functools.reduce(DataFrame.unionByName, [provenance.verified(provenance.fingerprint(c, s.samples, "y"), digest) for c in (moved, s.cells)])
+
+
 @query(f"""WITH {A.EVENTS_DAY_SQL}, o AS (SELECT feature, sum(value) AS v, count(*) AS n FROM cells GROUP BY 1),
 c AS (SELECT feature, count(*) AS n FROM cells GROUP BY 1) SELECT 'activity' AS modality, feature, 'changed' AS problem FROM c WHERE feature = 'click'""")
 def h3_drift(spark, sf_dir):
