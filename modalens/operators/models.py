@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from modalens.functions.rank import average_ranks, numbered, running_counts
+from modalens.operators import splits
 from modalens.operators.batch import centred, fold_moments
 from modalens.operators.bootstrap import uniform
 from modalens.storage import written
@@ -290,6 +291,15 @@ def model_grid(cells: DataFrame, samples: DataFrame, folds: DataFrame, estimator
     return functools.reduce(DataFrame.unionByName, [out_of_fold(cells.filter(F.col("modality").isin(seen)), samples, folds, make, name, top=top) for name, seen, make in runs])
 
 
+def batch_blocked(cells: DataFrame, samples: DataFrame, k: int, make=logistic, name: str = "stress::batch-blocked-FUSION") -> DataFrame:
+    """Out-of-fold predictions of the fusion by models that have seen no row of the predicted batch.
+
+    Samples without a batch are left out; fewer than three batches raise.
+    """
+    known = written(samples.filter("batch IS NOT NULL"), "batched")
+    return out_of_fold(cells.join(known.select("sample_id"), "sample_id", "left_semi"), known, splits.blocked(known, k), make, name)
+
+
 def batch_adjusted(cells: DataFrame, samples: DataFrame, folds: DataFrame, make=logistic, name: str = "sensitivity::batch-adjusted-FUSION", confounded: bool = False, blocked: bool = False) -> DataFrame:
     """Out-of-fold predictions of the fusion on cells centred by batch, the offsets from each fold's training side alone.
 

@@ -12,7 +12,7 @@ from modalens.plans.scores import PRED_SQL, auroc_sql, predictions, rounded
 from modalens.session import table
 from modalens.sources import adapters as A
 from modalens.sources import matrix
-from modalens.storage import scratch
+from modalens.storage import scratch, written
 
 QUERIES: dict = {}
 
@@ -409,3 +409,12 @@ def r14_progress_report(spark, sf_dir):
     expected = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("family"), F.col("o_orderkey").alias("dataset_id"))
     out = rows.progress_report(done, expected, F.lit("2030-01-01").cast("timestamp"))
     return out.withColumns({"per_hour": F.round("per_hour", 6), "eta_hours": F.round("eta_hours", 4), "newest_age_hours": F.round("newest_age_hours", 4)})
+
+
+@query()
+def u8_blocked_optimism(spark, sf_dir):
+    """The fusion's score under grouped folds less that under folds which never divide a batch, from runs of both."""
+    s = A.embeddings(spark, sf_dir)
+    cells, samples = written(s.cells, "cells"), written(s.samples, "samples")
+    standard = models.out_of_fold(cells, samples, splits.grouped(samples, 3, "y"), model="linear::FUSION")
+    return rounded(whole.optimism(whole.class_scores(standard, ["model"]), models.batch_blocked(cells, samples, 3)), "standard", "blocked", "optimism_gap")

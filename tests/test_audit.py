@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from modalens import audit
 from modalens.functions import rank
-from modalens.operators import missingness
+from modalens.operators import missingness, models, splits
 from modalens.sources import matrix
 
 
@@ -38,6 +38,21 @@ def test_audit_from_landed_files_to_verdicts(spark, tmp_path):
     assert "verdicts" in left and "predictions" not in left and "folds" not in left
 
 
+def test_optimism_of_a_signal_that_batches_carry(spark):
+    """Columns that name the batch, which goes with the class: good under mixed folds, constant in training where the batch is new."""
+    rng = np.random.default_rng(6)
+    batch, y = np.arange(120) % 6, (np.arange(120) % 6 % 2 + (rng.uniform(size=120) < 0.15)) % 2
+    rows = [(f"s{i}", "m", f"f{b}", float(batch[i] == b)) for i in range(120) for b in range(6)]
+    cells = spark.createDataFrame(rows, "sample_id string, modality string, feature string, value double")
+    samples = spark.createDataFrame([(f"s{i}", int(y[i]), f"g{i}", f"b{batch[i]}") for i in range(120)] + [("none", 1, "g", None)], "sample_id string, y int, group_id string, batch string")
+    stress = models.batch_blocked(cells, samples, 6)
+    seen = stress.join(samples.select("sample_id", "batch"), "sample_id").groupBy("outer_fold").agg(F.countDistinct("batch").alias("b")).collect()
+    assert [r.b for r in seen] == [1] * 6 and stress.count() == 120
+    mixed = models.out_of_fold(cells, samples.filter("batch IS NOT NULL"), splits.grouped(samples, 3, "y"), model="linear::FUSION")
+    r = audit.optimism(audit.class_scores(mixed, ["model"]), stress).first()
+    assert r.standard > 0.75 and r.blocked < 0.5 and r.optimism_gap == pytest.approx(r.standard - r.blocked)
+
+
 @pytest.mark.parametrize("size", [200_000, 7])
 def test_ranges_of_large_keys_change_nothing(spark, monkeypatch, size):
     monkeypatch.setattr(rank, "RANGE_ROWS", size)
