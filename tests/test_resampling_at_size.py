@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from modalens.operators import bootstrap
+from modalens.operators import bootstrap, rows
 
 
 def plan(df):
@@ -54,3 +54,20 @@ def test_mean_interval_draws_whole_units(spark):
     got = drawn.first()
     assert (got.ci_low, got.ci_high) == pytest.approx((np.percentile(means, 2.5), np.percentile(means, 97.5)))
     assert "explode" not in plan(drawn).lower()
+
+
+def test_role_intervals_draw_whole_datasets(spark):
+    rng = np.random.default_rng(3)
+    data = [(int(k), int(d), "ab"[rng.integers(0, 2)], [None, "a", "b", "x"][rng.integers(0, 4)]) for k in (1, 2) for d in range(12) for _ in range(9)]
+    table = spark.createDataFrame(data, "k int, d long, truth string, called string")
+    out = rows.pooled_role_interval(table, ["k"], "d", reps=50)
+    assert "explode" not in plan(out).lower()
+    order = [r.d for r in spark.range(12).select(F.col("id").alias("d"), F.xxhash64("id").alias("o")).withColumn("s", F.pmod("o", F.lit(64))).orderBy("s", "o").collect()]
+    got = {r.k: r for r in out.collect()}
+    for k in (1, 2):
+        scores = []
+        for rep in range(1, 51):
+            w = bootstrap.drawn_counts([42, rep], 12, [(k, False)], wide=True)
+            own = [(t, c) for key, d, t, c in data if key == k for _ in range(w[order.index(d)])]
+            scores.append(np.mean([2 * sum(t == c == r for t, c in own) / (sum(t == r for t, _ in own) + sum(c == r for _, c in own)) for r in {t for t, _ in own}]))
+        assert (got[k].ci_low, got[k].ci_high) == pytest.approx((np.percentile(scores, 2.5), np.percentile(scores, 97.5)))
