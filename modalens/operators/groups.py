@@ -108,7 +108,8 @@ def permuted(groups: DataFrame, columns: list[str], reps: int, seed: int = 31, g
     own = F.row_number().over(Window.partitionBy("rep", "_s").orderBy("_o", group)) - 1
     right = order.withColumn("_r", own).join(counts.select("rep", "_s", before.alias("_b")), ["rep", "_s"])
     right = right.select("rep", *columns, (F.col("_b") + F.col("_r")).cast("int").alias("_i"))
-    return left.join(right, ["rep", "_i"]).select("rep", group, *columns)
+    # groups times replicates: an estimate from before the explode would have the driver collect and broadcast them
+    return left.hint("merge").join(right.hint("merge"), ["rep", "_i"]).select("rep", group, *columns)
 
 
 def class_by_batch(groups: DataFrame, label: str, batch: str, reps: int = 199, group: str = "group_id") -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from modalens.operators import bootstrap, rows
+from modalens.operators import bootstrap, groups, rows
 
 
 def plan(df):
@@ -71,3 +71,9 @@ def test_role_intervals_draw_whole_datasets(spark):
             own = [(t, c) for key, d, t, c in data if key == k for _ in range(w[order.index(d)])]
             scores.append(np.mean([2 * sum(t == c == r for t, c in own) / (sum(t == r for t, _ in own) + sum(c == r for _, c in own)) for r in {t for t, _ in own}]))
         assert (got[k].ci_low, got[k].ci_high) == pytest.approx((np.percentile(scores, 2.5), np.percentile(scores, 97.5)))
+
+
+def test_permuted_labels_are_not_broadcast(spark):
+    table = spark.createDataFrame([(f"g{i}", i) for i in range(30)], "group_id string, x int")
+    shown = groups.permuted(table, ["x"], reps=5)._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=merge" in shown
