@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from modalens.functions.rank import window_ranks
 
 
+@F.pandas_udf(T.DoubleType())
+def _log(x: pd.Series) -> pd.Series:
+    """The C library's logarithm: Java's may differ in its last bit, and so in which sums of logarithms tie."""
+    return x.map(math.log)
+
+
 def median_of_ratios(cells: DataFrame, least_features: int = 100, learn: DataFrame | None = None) -> DataFrame:
     """(sample_id, factor): median ratio to the geometric mean, over features that are positive in every sample.
 
@@ -37,8 +47,9 @@ def tmm(cells: DataFrame, ratio_trim: float = 0.3, sum_trim: float = 0.05, learn
     ref = known(lib).join(F.broadcast(mean)).agg(F.min_by(F.struct("sample_id", "lib"), F.struct(F.abs(F.col("q") - F.col("mq")), "sample_id")).alias("r")).select("r.sample_id", F.col("r.lib").alias("rlib"))
     base = rows.join(F.broadcast(ref), "sample_id").select("feature", F.col("value").alias("rv"), "rlib")
     x, y = F.col("value") / F.col("lib"), F.col("rv") / F.col("rlib")
+    two = F.lit(math.log(2))  # in the order of the SQL, as its roundings decide which abundances tie
     pairs = rows.join(lib.select("sample_id", "lib"), "sample_id").join(base, "feature").select(
-        "sample_id", (F.log2(x) - F.log2(y)).alias("m"), ((F.log2(x) + F.log2(y)) / 2).alias("a"),
+        "sample_id", (_log(x) / two - _log(y) / two).alias("m"), ((_log(x) + _log(y)) / two / 2).alias("a"),
         ((F.col("lib") - F.col("value")) / F.col("lib") / F.col("value") + (F.col("rlib") - F.col("rv")) / F.col("rlib") / F.col("rv")).alias("v"),
     )
     n = pairs.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"))
