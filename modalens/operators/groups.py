@@ -97,11 +97,12 @@ def distance_correlation(one: DataFrame, two: DataFrame) -> DataFrame:
     return out.select("n", F.when(down > 0, F.col("xy") / down).alias("dcor"))
 
 
-def permuted(groups: DataFrame, columns: list[str], reps: int, seed: int = 31, group: str = "group_id") -> DataFrame:
-    """(rep, group, columns): for every replicate the columns move together to other groups, in the order of a hash."""
+def permuted(groups: DataFrame, columns: list[str], reps: int, seed: int = 31, group: str = "group_id", stay: tuple[str, ...] = ()) -> DataFrame:
+    """(rep, group, stay, columns): for every replicate the columns move together to other groups, in the order of a hash; `stay` are the group's own."""
     base = groups.select(group, *columns)
     every = F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep")
-    left = numbered(groups, group, "_i").select(group, "_i", every)
+    left = numbered(groups, group, "_i")
+    left = (left.join(groups.select(group, *stay), group) if stay else left).select(group, *stay, "_i", every)
     order = base.select("*", every).withColumn("_o", F.xxhash64(F.lit(seed), "rep", group)).withColumn("_s", F.pmod("_o", F.lit(64)))
     counts = order.groupBy("rep", "_s").agg(F.count(F.lit(1)).alias("_m"))
     before = F.coalesce(F.sum("_m").over(Window.partitionBy("rep").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # over the shards
@@ -109,7 +110,7 @@ def permuted(groups: DataFrame, columns: list[str], reps: int, seed: int = 31, g
     right = order.withColumn("_r", own).join(counts.select("rep", "_s", before.alias("_b")), ["rep", "_s"])
     right = right.select("rep", *columns, (F.col("_b") + F.col("_r")).cast("int").alias("_i"))
     # groups times replicates: an estimate from before the explode would have the driver collect and broadcast them
-    return left.hint("merge").join(right.hint("merge"), ["rep", "_i"]).select("rep", group, *columns)
+    return left.hint("merge").join(right.hint("merge"), ["rep", "_i"]).select("rep", group, *stay, *columns)
 
 
 def class_by_batch(groups: DataFrame, label: str, batch: str, reps: int = 199, group: str = "group_id") -> DataFrame:

@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from modalens.operators import bootstrap, groups, rows
+from modalens.operators import association, bootstrap, groups, rows
+from modalens.plans import registry
 
 
 def plan(df):
@@ -77,3 +78,14 @@ def test_permuted_labels_are_not_broadcast(spark):
     table = spark.createDataFrame([(f"g{i}", i) for i in range(30)], "group_id string, x int")
     shown = groups.permuted(table, ["x"], reps=5)._jdf.queryExecution().optimizedPlan().toString()
     assert "strategy=merge" in shown
+
+
+def test_batch_association_without_replicates_permutes_nothing(spark, monkeypatch):
+    table = spark.createDataFrame([(f"g{i}", float(i % 5), f"b{i % 3}") for i in range(30)], "group_id string, t double, batch string")
+    seen = association.continuous_by_batch(table, "t", "batch", reps=9).first()
+    labels, asked = association.permuted, []
+    monkeypatch.setattr(association, "permuted", lambda *a, **k: asked.append(a[2]) or labels(*a, **k))
+    alone = association.continuous_by_batch(table, "t", "batch", reps=0).first()
+    assert alone.dcor == pytest.approx(seen.dcor) and (alone.n, alone.p) == (30, None) and 0.1 <= seen.p <= 1 and not asked
+    registry.queries()["g8_continuous_by_batch"](spark, "/root/testdata/sf0.001").first()
+    assert not asked
