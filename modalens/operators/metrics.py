@@ -13,9 +13,13 @@ from modalens.storage import written
 
 def auroc(pred: DataFrame, keys: list[str], y: str = "y", score: str = "score") -> DataFrame:
     """Per key: Mann-Whitney AUROC of a 0/1 truth with average ranks for ties; null for one class."""
-    ranked = average_ranks(pred.select(*keys, y, score), keys, score, "_r")
-    pos = F.sum(F.col(y).cast("long"))
-    out = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), pos.alias("n_pos"), F.sum(F.when(F.col(y) == 1, F.col("_r"))).alias("_s"))
+    one = F.col(y).cast("long")
+    counts = pred.groupBy(*keys, score).agg(F.count(F.lit(1)).alias("n"), F.sum(one).alias("_p"), F.count(F.when(F.col(y) == 1, 1)).alias("_one"))
+    counts = written(counts, "score-counts")  # predictions are read once; what follows goes with the different scores
+    ranked = running_counts(counts.filter(F.col(score).isNotNull()), keys, score)
+    s = ranked.groupBy(*keys).agg(F.sum(F.when(F.col("_one") > 0, F.col("_one") * (F.col("before") + (F.col("n") + 1) / 2))).alias("_s"))
+    out = counts.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("_p").alias("n_pos"))
+    out = out.join(s, keys, "left") if keys else out.join(F.broadcast(s))
     p, q = F.col("n_pos"), F.col("n") - F.col("n_pos")
     return out.select(*keys, "n", "n_pos", ((F.col("_s") - p * (p + 1) / 2) / F.when((p > 0) & (q > 0), p * q)).alias("auroc"))
 

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from modalens.operators import bootstrap, ledger, models, projection
+from modalens.operators import bootstrap, ledger, metrics, models, projection
 from modalens.plans import registry
 from modalens.sources import adapters as A
 
@@ -123,3 +123,16 @@ def test_verdicts_of_one_modality(spark):
     t = spark.createDataFrame([("a", True, True, 0.9), ("b", False, True, 0.9), ("c", False, True, 0.52)], "modality string, structured boolean, confounded boolean, alone double")
     got = {r.modality: r.verdict for r in ledger.verdicts(t, single=True).collect()}
     assert got == {"a": "batch-confounded", "b": "predictive (standalone)", "c": "no detectable signal (near chance)"}
+
+
+def test_auroc_reads_predictions_once(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    score, y = rng.integers(0, 9, 400) / 8, rng.integers(0, 2, 400)
+    spark.createDataFrame([("a", int(t), float(s)) for t, s in zip(y, score, strict=True)] + [("a", 1, None), ("b", 1, 0.5)], "model string, y int, score double").write.parquet(str(tmp_path / "p"))
+    out = metrics.auroc(spark.read.parquet(str(tmp_path / "p")), ["model"])
+    assert str(tmp_path) not in "".join(out.inputFiles())  # only counts are left to read
+    u = np.mean([(s > t) + (s == t) / 2 for s in score[y == 1] for t in score[y == 0]])
+    got = {r.model: r for r in out.collect()}
+    p, q = int(y.sum()) + 1, int((1 - y).sum())  # a truth without a score counts, its rank doesn't
+    ranks = u * (p - 1) * q + (p - 1) * p / 2
+    assert (got["a"].n, got["a"].n_pos) == (401, p) and got["a"].auroc == pytest.approx((ranks - p * (p + 1) / 2) / (p * q)) and got["b"].auroc is None
