@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import functools
 import math
+import threading
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
@@ -20,6 +22,9 @@ from modalens.operators.batch import centred, fold_moments
 from modalens.operators.bootstrap import uniform
 from modalens.storage import written
 
+#: Trees of a forest that the driver holds at once, and nodes of their trees.
+PART_TREES, PART_NODES = 25, 1 << 18
+
 
 def fold_medians(cells: DataFrame, folds: DataFrame) -> DataFrame:
     """(outer_fold, modality, feature, median) over the training cells of every fold, interpolated."""
@@ -162,12 +167,47 @@ def ridge(n: int, sd: float, alpha: float = 1.0) -> LinearRegression:
     return LinearRegression(featuresCol="x", labelCol="y", solver="normal", regParam=alpha * sd / max(1, n), elasticNetParam=0.0, standardization=False)
 
 
-def forest(n: int, trees: int = 300, depth: int = 12):
-    return RandomForestClassifier(featuresCol="x", labelCol="y", weightCol="w", numTrees=trees, maxDepth=depth, seed=1)
+class InParts:
+    """A forest of any number of trees from make(trees, seed): a part of them is fitted, asked and dropped at a time.
+
+    The driver holds one part of one forest, of PART_TREES trees and about PART_NODES nodes at most, whatever the rows. The
+    forest's word is the sum of its trees' shares (the mean of their values in a regression), as of one that is whole.
+    """
+
+    _one = threading.Lock()  # folds side by side would hold a part each
+
+    def __init__(self, make: Callable, trees: int, depth: int):
+        self.make, self.trees, self.part = make, trees, max(1, min(PART_TREES, PART_NODES >> (depth + 1)))
+
+    def predicted(self, train: DataFrame, rows: DataFrame) -> DataFrame:
+        """rows without their vectors, with `prediction`, and with `probability` of classes."""
+        columns, parts, classes = [c for c in rows.columns if c != "x"], [], 0
+        for i, done in enumerate(range(0, self.trees, self.part)):
+            trees = min(self.part, self.trees - done)
+            with self._one:
+                model = self.make(trees, 1 + i).fit(train)
+                classes = getattr(model, "numClasses", 0)
+                said = vector_to_array("rawPrediction") if classes else F.array(F.col("prediction") * trees)
+                parts.append(written(model.transform(rows).select(*columns, F.lit(i).alias("_i"), said.alias("_said")), "trees"))
+                del model
+        said = functools.reduce(DataFrame.unionByName, parts).groupBy(*columns).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_said"))), lambda x: x["_said"]).alias("_said"))  # a row per part
+        total = lambda k: F.aggregate("_said", F.lit(0.0), lambda a, x: a + x[k]) / self.trees
+        if not classes:
+            return said.select(*columns, total(0).alias("prediction"))
+        shares = said.select(*columns, F.array(*[total(k) for k in range(classes)]).alias("_s"))
+        return shares.select(*columns, (F.array_position("_s", F.array_max("_s")) - 1).cast("double").alias("prediction"), array_to_vector("_s").alias("probability"))
+
+
+def forest(n: int, trees: int = 300, depth: int = 12) -> InParts:
+    return InParts(lambda k, seed: RandomForestClassifier(featuresCol="x", labelCol="y", weightCol="w", numTrees=k, maxDepth=depth, seed=seed), trees, depth)
+
+
+def forest_regression(n: int, trees: int = 300, depth: int = 12) -> InParts:
+    return InParts(lambda k, seed: RandomForestRegressor(featuresCol="x", labelCol="y", numTrees=k, maxDepth=depth, featureSubsetStrategy="all", seed=seed), trees, depth)
 
 
-def forest_regression(n: int, trees: int = 300, depth: int = 12) -> RandomForestRegressor:
-    return RandomForestRegressor(featuresCol="x", labelCol="y", numTrees=trees, maxDepth=depth, featureSubsetStrategy="all", seed=1)
+def _predicted(estimator, train: DataFrame, rows: DataFrame) -> DataFrame:
+    return estimator.predicted(train, rows) if hasattr(estimator, "predicted") else estimator.fit(train).transform(rows)
 
 
 def boosting_regression(n: int, rounds: int = 50, depth: int = 3) -> GBTRegressor:
@@ -244,8 +284,7 @@ def out_of_fold(cells: DataFrame, samples: DataFrame, folds: DataFrame, make=log
         counts = train.groupBy("y").agg(F.count(F.lit(1)).alias("m"))
         total = counts.agg(F.sum("m").alias("n"), F.count(F.lit(1)).alias("c")).first()
         weighted = train.join(F.broadcast(counts), "y").withColumn("w", F.lit(total.n) / (F.lit(total.c) * F.col("m")))  # a row per class
-        fitted = make(total.n).fit(weighted)
-        return fitted.transform(data.filter((F.col("outer_fold") == fold) & (F.col("side") == "assessment"))).select(
+        return _predicted(make(total.n), weighted, data.filter((F.col("outer_fold") == fold) & (F.col("side") == "assessment"))).select(
             F.lit(model).alias("model"), "sample_id", "outer_fold", "y", F.col("prediction").alias("pred"), vector_to_array("probability").alias("probs")
         )
 
@@ -265,8 +304,9 @@ def out_of_fold_regression(
     def one(fold: int) -> DataFrame:
         train = data.filter((F.col("outer_fold") == fold) & (F.col("side") == "train"))
         n, sd = train.agg(F.count(F.lit(1)), F.stddev_pop("y")).first()
-        fitted = (make(n) if make else ridge(n, sd or 1.0, alpha)).fit(train)
-        return fitted.transform(data.filter((F.col("outer_fold") == fold) & (F.col("side") == "assessment"))).select(F.lit(model).alias("model"), "sample_id", "outer_fold", "y", F.col("prediction").alias("score"))
+        said = _predicted(make(n) if make else ridge(n, sd or 1.0, alpha), train, data.filter((F.col("outer_fold") == fold) & (F.col("side") == "assessment")))
+        said = said.select(F.lit(model).alias("model"), "sample_id", "outer_fold", "y", F.col("prediction").alias("score"))
+        return written(said, "predicted")  # what reads them doesn't carry the model along
 
     return _together(one, names, threads)
 

@@ -95,3 +95,23 @@ def test_fusion_learns_what_only_both_modalities_tell(spark, monkeypatch, part):
     assert all(abs(sum(p) - 1) < 1e-9 for p in out.probs)
     again = fusion.intermediate_fusion(cells.repartition(5), samples, folds, rounds=3).toPandas()
     assert (again.sort_values("sample_id").pred.to_numpy() == out.sort_values("sample_id").pred.to_numpy()).mean() > 0.98
+
+
+def test_a_forest_is_fitted_in_parts(spark, monkeypatch):
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.functions import array_to_vector
+
+    monkeypatch.setattr(models, "PART_TREES", 4)
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(120, 3))
+    table = [(f"s{i}", 0, float(x[i, 0] + x[i, 1] > 0) + float(x[i, 2] > 1), 1.0, x[i].tolist()) for i in range(120)]
+    rows = spark.createDataFrame(table, "sample_id string, outer_fold int, y double, w double, x array<double>").withColumn("x", array_to_vector("x")).coalesce(1)
+    seen, fit = [], RandomForestClassifier.fit
+    monkeypatch.setattr(RandomForestClassifier, "fit", lambda self, data: seen.append((self.getNumTrees(), self.getSeed())) or fit(self, data))
+    got = {r.sample_id: r for r in models._predicted(models.forest(120, trees=10, depth=5), rows, rows).collect()}
+    assert seen == [(4, 1), (4, 2), (2, 3)]
+    want = np.zeros((120, 3))
+    for trees, seed in seen:
+        model = fit(RandomForestClassifier(featuresCol="x", labelCol="y", weightCol="w", numTrees=trees, maxDepth=5, seed=seed), rows)
+        want += np.array([r.rawPrediction.toArray() for r in model.transform(rows).collect()]) / 10
+    assert np.allclose([got[f"s{i}"].probability.toArray() for i in range(120)], want) and [got[f"s{i}"].prediction for i in range(120)] == want.argmax(1).tolist()
