@@ -101,7 +101,7 @@ def test_a_forest_is_fitted_in_parts(spark, monkeypatch):
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.functions import array_to_vector
 
-    monkeypatch.setattr(models, "PART_TREES", 4)
+    monkeypatch.setattr(models, "PART_NODES", 4 * 64)
     rng = np.random.default_rng(7)
     x = rng.normal(size=(120, 3))
     table = [(f"s{i}", 0, float(x[i, 0] + x[i, 1] > 0) + float(x[i, 2] > 1), 1.0, x[i].tolist()) for i in range(120)]
