@@ -480,6 +480,12 @@ def repeated_texts(spark):
     return spark.createDataFrame(rows, "doc_id long, text string")
 
 
+def test_windows_that_cover_nothing_are_not_joined(spark):
+    rows = [("alone", 1), ("one id", 2), ("one id", 2), ("two ids", 3), ("two ids", 1), ("no id", None), ("no id", None), ("some id", None), ("some id", 4)]
+    got = suffix_dedup.repeated_windows(spark.createDataFrame(rows, "w string, least long")).collect()
+    assert sorted((r.w, r.first, r.n) for r in got) == [("some id", 4, 2), ("two ids", 1, 2)]
+
+
 @pytest.mark.parametrize("way", ["plain", "many tasks", "hot"])
 def test_repeats_equal_brute_force(spark, docs, real, monkeypatch, way):
     if way != "plain":
