@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from modalens.functions.tails import f_sf
+from modalens.storage import dropped, written
 
-#: Points of a block whose distances to another block one task adds up.
-BLOCK_POINTS = 512
+#: Blocks at least, points of a block at most, and numbers that its coordinates and sums by label may take (32 MB of doubles).
+BLOCKS, BLOCK_POINTS, BLOCK_VALUES = 8, 1 << 16, 1 << 22
+#: Points that are one row, points of a tile of distances, and the share of the squared norms below which a squared
+#: distance is taken by differences.
+CHUNK, TILE, NEAR = 1024, (256, 1024), 1e-6
 
 
 def anova(values: DataFrame, keys: list[str], value: str, group: str) -> DataFrame:
@@ -80,43 +86,101 @@ def centring_guard(samples: DataFrame, folds: DataFrame, least: int = 2) -> Data
 def silhouette(points: DataFrame, label: str, keys: list[str] = ()) -> DataFrame:
     """Per key: mean silhouette of (sample_id, coordinates array, label) by Euclidean distance; null for one label.
 
-    Points meet in pairs of blocks; each task sums distances per point and label, so no pair of points is ever a row.
+    Equal points of a label are one with a weight. Blocks of points meet once in each pair; a task works their distances
+    out by products of tiles and adds them up by label for both blocks, so no pair of points is ever a row. The number of
+    distances goes with the square of the different points; what tasks hold is bounded by BLOCK_VALUES.
     """
-    import numpy as np
-    import pandas as pd
-
-    keys = list(keys)
-    n = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    blocks = max(8, -(-n // BLOCK_POINTS))
-    p = points.filter(F.col(label).isNotNull()).withColumn("_b", F.pmod(F.xxhash64("sample_id"), F.lit(blocks)))
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    one = p.withColumn("_o", other).withColumn("_side", F.lit(0))
-    two = p.withColumn("_o", F.col("_b")).drop("_b").withColumn("_b", other).withColumn("_side", F.lit(1))
-    kind = dict(p.dtypes)
-
-    def sums(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = pdf[pdf["_side"] == 0], pdf[pdf["_side"] == 1]
-        out = []
-        if len(a) and len(b):
-            x, y = np.array(a["coordinates"].tolist()), np.array(b["coordinates"].tolist())
-            for name in b[label].unique():
-                z = y[(b[label] == name).to_numpy()]
-                square = np.zeros((len(x), len(z)))
-                for k in range(0, x.shape[1], 32):
-                    square += ((x[:, None, k : k + 32] - z[None, :, k : k + 32]) ** 2).sum(-1)
-                d = np.sqrt(square).sum(1)
-                out.append(a[[*keys, "sample_id", label]].assign(_to=name, _d=d))
-        return pd.concat(out) if out else pd.DataFrame(columns=[*keys, "sample_id", label, "_to", "_d"])
-
-    schema = ", ".join([*[f"`{c}` {kind[c]}" for c in [*keys, "sample_id", label]], f"_to {kind[label]}", "_d double"])
-    d = one.unionByName(two).groupBy(*keys, "_b", "_o").applyInPandas(sums, schema).groupBy(*keys, "sample_id", label, "_to").agg(F.sum("_d").alias("_d"))
-    size = p.groupBy(*keys, label).agg(F.count(F.lit(1)).alias("_n"))
-    joined = d.join(size.withColumnRenamed(label, "_to"), [*keys, "_to"])
-    own = F.col(label) == F.col("_to")
-    per = joined.groupBy(*keys, "sample_id", label).agg(
-        F.max(F.when(own & (F.col("_n") > 1), F.col("_d") / (F.col("_n") - 1))).alias("a"), F.min(F.when(~own, F.col("_d") / F.col("_n"))).alias("b"), F.max(F.when(own, F.col("_n"))).alias("m")
-    )
-    s = F.when(F.col("m") == 1, 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
-    return per.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.countDistinct(label).alias("k"), F.avg(s).alias("s")).select(
-        *keys, "n", F.when((F.col("k") > 1) & (F.col("k") < F.col("n")), F.col("s")).alias("silhouette")
-    )
+    named, keys = list(keys), [*keys, "_all"]
+    rows = points.filter(F.col(label).isNotNull()).withColumn("_all", F.lit(0))
+    one = written(rows.groupBy(*keys, label, "coordinates").agg(F.count(F.lit(1)).alias("_w")), "points")
+    sizes = one.groupBy(*keys, label).agg(F.sum("_w").alias("_n"), F.count(F.lit(1)).alias("_m"), F.max(F.size("coordinates")).alias("_d"))
+    sizes = sizes.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(label).alias("label"), F.col("_n").alias("n")))).alias("_labels"), F.sum("_m").alias("_m"), F.max("_d").alias("_d"))
+    sizes = written(sizes, "labels")  # a row per key, an element per label
+    most, wide, many = (x or 1 for x in sizes.agg(F.max("_m"), F.max("_d"), F.max(F.size("_labels"))).first())
+    blocks = max(BLOCKS, -(-most // max(512, min(BLOCK_POINTS, BLOCK_VALUES // max(wide, many)))))
+    labels = sizes.select(*keys, "_labels")
+    code = (F.array_position(F.transform("_labels", lambda x: x["label"]), F.col(label)) - 1).cast("int")
+    coded = one.join(F.broadcast(labels), keys).select(*keys, F.pmod(F.xxhash64(label, "coordinates"), F.lit(blocks)).alias("_b"), code.alias("_code"), "_w", "coordinates")
+    kind = dict(one.dtypes)
+    named_ = ", ".join(f"`{c}` {kind[c]}" for c in keys)
+    packed = "_b long, _c long, codes binary, weights binary"
+    chunks = written(coded.groupBy(*keys, "_b").applyInPandas(lambda pdf: _chunks(pdf, keys), f"{named_}, {packed}, points binary"), "point-blocks")
+    dropped(one)
+
+    pairs = chunks.withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
+    pairs = pairs.withColumn("_lo", F.least("_b", "_o")).withColumn("_hi", F.greatest("_b", "_o")).drop("_o")
+    pairs = pairs.repartition(min(4096, blocks * (blocks + 1)), *keys, "_lo", "_hi")  # a number that is kept: small tables make long tasks
+    sums = pairs.groupBy(*keys, "_lo", "_hi").applyInPandas(lambda pdf: _distances(pdf, keys, many), f"{named_}, {packed}, sums binary")
+    per = sums.groupBy(*keys, "_b", "_c").applyInPandas(lambda pdf: _added(pdf, keys), f"{named_}, _code int, _w double, _sums array<double>")
+
+    x = per.join(F.broadcast(labels), keys)
+    size = lambda i: F.get("_labels", i)["n"]
+    m = size(F.col("_code"))
+    mean = F.transform(F.slice("_sums", 1, F.size("_labels")), lambda d, i: F.when(i != F.col("_code"), d / size(i)))
+    x = x.select(*keys, "_code", "_w", m.alias("_m"), F.when(m > 1, F.get("_sums", F.col("_code")) / (m - 1)).alias("_a"), F.array_min(mean).alias("_b"))
+    s = F.when(F.col("_m") == 1, 0.0).otherwise((F.col("_b") - F.col("_a")) / F.greatest("_a", "_b"))
+    out = x.groupBy(*keys).agg(F.sum("_w").cast("long").alias("n"), F.countDistinct("_code").alias("k"), (F.sum(s * F.col("_w")) / F.sum(F.when(s.isNotNull(), F.col("_w")))).alias("s"))
+    return out.select(*named, "n", F.when((F.col("k") > 1) & (F.col("k") < F.col("n")), F.col("s")).alias("silhouette"))
+
+
+def _chunks(pdf: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
+    """A block's points in order of label, CHUNK to a row, as bytes."""
+    pdf = pdf.sort_values("_code", kind="stable")
+    x, code, w = np.array(pdf["coordinates"].tolist(), float), pdf["_code"].to_numpy("int32"), pdf["_w"].to_numpy("float64")
+    own = {c: pdf[c].iloc[0] for c in [*keys, "_b"]}
+    cut = range(0, len(pdf), CHUNK)
+    return pd.DataFrame([own | {"_c": i // CHUNK, "codes": code[i : i + CHUNK].tobytes(), "weights": w[i : i + CHUNK].tobytes(), "points": x[i : i + CHUNK].tobytes()} for i in cut])
+
+
+def _runs(code: np.ndarray) -> list[tuple[int, int, int]]:
+    """(code, from, to) of the runs of equal codes."""
+    at = [0, *(np.flatnonzero(np.diff(code)) + 1).tolist(), len(code)]
+    return [(int(code[i]), i, j) for i, j in zip(at[:-1], at[1:], strict=True)]
+
+
+def _distances(pdf: pd.DataFrame, keys: list[str], many: int) -> pd.DataFrame:
+    """Of a pair of blocks: each point's distances to the other block's points, summed by label."""
+    pdf = pdf.sort_values("_c")
+    lo, hi = pdf["_lo"].iloc[0], pdf["_hi"].iloc[0]
+    sides = [pdf[pdf["_b"] == b] for b in dict.fromkeys([lo, hi])]
+    if any(not len(s) for s in sides):
+        return pd.DataFrame(columns=[*keys, "_b", "_c", "codes", "weights", "sums"])
+    code, weight, x = ([np.frombuffer(b"".join(s[c]), t) for s in sides] for c, t in (("codes", "int32"), ("weights", float), ("points", float)))
+    x = [v.reshape(len(c), -1) for v, c in zip(x, code, strict=True)]
+    centre = x[0].mean(0)
+    x = [v - centre for v in x]  # small norms, so products lose little
+    norm, total = [(v * v).sum(1) for v in x], [np.zeros((len(v), many)) for v in x]
+    one, two = 0, len(sides) - 1
+    left = np.column_stack([-2 * x[one], norm[one], np.ones(len(x[one]))])
+    right = np.column_stack([x[two], np.ones(len(x[two])), norm[two]])
+    for i in range(0, len(left), TILE[0]):
+        a = slice(i, i + TILE[0])
+        for j in range(0, len(right), TILE[1]):
+            b = slice(j, j + TILE[1])
+            d = left[a] @ right[b].T
+            if not d.min() > NEAR * (norm[one][a].max() + norm[two][b].max()):
+                p, q = np.nonzero(d <= NEAR * (norm[one][a][:, None] + norm[two][b][None]))
+                for k in range(0, len(p), CHUNK):  # products cancel here: by differences
+                    s = slice(k, k + CHUNK)
+                    d[p[s], q[s]] = ((x[one][a][p[s]] - x[two][b][q[s]]) ** 2).sum(1)
+            np.sqrt(d, out=d)
+            for c, f, t in _runs(code[two][b]):
+                total[one][a, c] += d[:, f:t] @ weight[two][b][f:t]
+            if two != one:
+                for c, f, t in _runs(code[one][a]):
+                    total[two][b, c] += weight[one][a][f:t] @ d[f:t]
+    out = []
+    for s, sums in zip(sides, total, strict=True):
+        own = s[[*keys, "_b", "_c", "codes", "weights"]]
+        out.append(own.assign(sums=[sums[i : i + CHUNK].tobytes() for i in range(0, len(sums), CHUNK)]))
+    return pd.concat(out)
+
+
+def _added(pdf: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
+    """The sums of a chunk's points over all blocks."""
+    total = np.frombuffer(pdf["sums"].iloc[0]).copy()
+    for x in pdf["sums"].iloc[1:]:
+        total += np.frombuffer(x)
+    code = np.frombuffer(pdf["codes"].iloc[0], "int32")
+    out = pd.DataFrame({"_code": code, "_w": np.frombuffer(pdf["weights"].iloc[0]), "_sums": list(total.reshape(len(code), -1))})
+    return out.assign(**{c: pdf[c].iloc[0] for c in keys})[[*keys, "_code", "_w", "_sums"]]

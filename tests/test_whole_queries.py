@@ -1,9 +1,10 @@
 """Registered queries that do the operators' whole job, held against brute force."""
 
 import numpy as np
+import pandas as pd
 import pytest
 
-from modalens.operators import bootstrap, ledger, metrics, models, projection
+from modalens.operators import batch, bootstrap, ledger, metrics, models, projection
 from modalens.plans import registry
 from modalens.sources import adapters as A
 
@@ -61,6 +62,43 @@ def test_silhouette_of_all_dimensions(spark, run):
     assert got.n == len(x) and abs(got.silhouette - np.mean(s)) < 2e-5
 
 
+def _brute_silhouette(x, y):
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    s = []
+    for i in range(len(x)):
+        means = {g: d[i, y == g].sum() / ((y == g).sum() - (g == y[i])) for g in set(y) if g != y[i] or (y == g).sum() > 1}
+        a, b = means.get(y[i]), min(v for g, v in means.items() if g != y[i])
+        s.append(0 if a is None else (b - a) / max(a, b))
+    return np.mean(s)
+
+
+def test_silhouette_of_copies_near_copies_and_far_points(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(600, 5)) + 1e4
+    x[100:200] = x[:100]  # equal points, partly of another label
+    x[200:300] = x[:100] + rng.normal(size=(100, 5)) * 1e-7
+    x[-1] = 1e9
+    y = np.array([f"g{i % 3}" for i in range(599)] + ["alone"])
+    rows = [("a", str(i), v.tolist(), g) for i, (v, g) in enumerate(zip(x, y, strict=True))] + [("b", "0", [0.0], "g1"), ("b", "1", [1.0], "g1")]
+    got = {r.m: r for r in batch.silhouette(spark.createDataFrame(rows, "m string, sample_id string, coordinates array<double>, y string"), "y", ["m"]).collect()}
+    assert got["a"].n == 600 and abs(got["a"].silhouette - _brute_silhouette(x, y)) < 1e-9
+    assert got["b"].n == 2 and got["b"].silhouette is None
+
+
+def test_distances_of_two_blocks_by_label():
+    rng = np.random.default_rng(6)
+    parts = [pd.DataFrame({"k": 0, "_b": b, "_code": rng.integers(0, 4, n), "_w": rng.integers(1, 4, n), "coordinates": rng.normal(size=(n, 3)).tolist()}) for b, n in ((2, 1500), (5, 1100))]
+    blocks = pd.concat([batch._chunks(p, ["k"]) for p in parts])
+    got = batch._distances(blocks.assign(_lo=2, _hi=5), ["k"], 4)
+    assert len(got) == 4  # a row per chunk, none per point or pair
+    one, two = (p.sort_values("_code", kind="stable") for p in parts)
+    x, z = np.array(one.coordinates.tolist()), np.array(two.coordinates.tolist())
+    d = np.sqrt(((x[:, None] - z[None]) ** 2).sum(-1))
+    for b, dist, other in ((2, d, two), (5, d.T, one)):
+        sums = np.concatenate([np.frombuffer(s) for s in got[got._b == b].sums]).reshape(len(dist), 4)
+        assert np.allclose(sums, np.stack([dist[:, other._code == c] @ other._w[other._code == c] for c in range(4)], 1))
+
+
 def test_components_equal_the_eigenvectors_of_the_correlations(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(60, 6)) @ rng.normal(size=(6, 6))
