@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,11 +86,13 @@ def preview(cells: DataFrame, samples: DataFrame, examples: int = 8, least: int
 
 def outstanding(expected: DataFrame, observed: DataFrame, failed: DataFrame, keys: list[str]) -> DataFrame:
     """Keys with their problem: expected ones with neither a row nor a failure, and rows that nobody expects."""
-    done = observed.select(*keys).union(failed.select(*keys)).distinct()
-    want = expected.select(*keys).distinct()
-    return want.join(done, keys, "left_anti").withColumn("problem", F.lit("missing")).unionByName(
-        observed.select(*keys).distinct().join(want, keys, "left_anti").withColumn("problem", F.lit("unexpected"))
-    )
+    said = lambda rows, **flags: rows.select(*keys, *[F.lit(flags.get(c, False)).alias(c) for c in ("_want", "_seen", "_done")])
+    rows = said(expected, _want=True).unionAll(said(observed, _seen=True, _done=True)).unionAll(said(failed, _done=True))
+    one = rows.groupBy(*keys).agg(*[F.max(c).alias(c) for c in ("_want", "_seen", "_done")])  # one shuffle, no join
+    blank = functools.reduce(operator.or_, [F.col(k).isNull() for k in keys])  # a null key matches no other
+    missing = F.when(F.col("_want") & (~F.col("_done") | blank), "missing")
+    unexpected = F.when(F.col("_seen") & (~F.col("_want") | blank), "unexpected")
+    return one.select(*keys, F.explode(F.array_compact(F.array(missing, unexpected))).alias("problem"))
 
 
 def reindexed(cells: DataFrame, samples: DataFrame) -> DataFrame:

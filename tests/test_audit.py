@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from modalens import audit
 from modalens.functions import rank
-from modalens.operators import missingness, models, splits
+from modalens.operators import align, ledger, missingness, models, splits
 from modalens.sources import matrix
 
 
@@ -113,3 +113,20 @@ def test_alignment_by_samples_equals_that_by_features(spark):
     one, two = ({(r.modality_a, r.modality_b): r.cka for r in f(cells).collect()} for f in (ledger._aligned_samples, ledger._aligned_features))
     assert one.keys() == two.keys() == {("a", "b"), ("a", "c"), ("b", "c")} and all(one[k] == pytest.approx(two[k]) for k in one)
     assert {(r.modality_a, r.modality_b): r.cka for r in ledger.cka(cells).collect()} == pytest.approx(one)
+
+
+def test_alignment_by_products_of_features_in_tasks(spark):
+    rng = np.random.default_rng(9)
+    rows = [(f"s{i}", f"m{j % 3}", f"f{j}", float(rng.normal() + i % (j + 2))) for i in range(70) for j in range(9) if rng.random() > 0.1]
+    z = ledger._scaled(spark.createDataFrame(rows, "sample_id string, modality string, feature string, value double"))
+    pairs = ledger._aligned_wide(z.select("sample_id", F.concat_ws("\u0001", "modality", "feature").alias("feature"), "z"))
+    cells = spark.createDataFrame(rows, "sample_id string, modality string, feature string, value double")
+    one, two = ({(r.modality_a, r.modality_b): r.cka for r in t.collect()} for t in (pairs, ledger._aligned_features(cells)))
+    assert len(two) == 3 and two == pytest.approx(one)
+
+
+def test_outstanding_keys_by_one_aggregation(spark):
+    t = lambda *ks: spark.createDataFrame([(k, "x") for k in ks], "k long, v string")
+    out = align.outstanding(t(1, 2, 3, 4, None).select("k"), t(1, 1, 5, 5, None), t(2, 6, None), ["k"])
+    assert sorted((r.k or 0, r.problem) for r in out.collect()) == [(0, "missing"), (0, "unexpected"), (3, "missing"), (4, "missing"), (5, "unexpected")]
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
