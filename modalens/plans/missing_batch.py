@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from modalens.operators import batch, missingness, projection
 from modalens.sources import adapters as A
+from modalens.storage import written
 
 QUERIES: dict = {}
 
@@ -252,7 +253,7 @@ QUERIES |= {"b3_silhouette_dimensions": QUERIES["b3_silhouette"], "b4_batch_anov
 def flagship(spark, sf_dir):
     """Does missingness track the outcome or the batch? Statistic, p and adjusted p of each test."""
     s, missing = _day_missing(spark, sf_dir)
-    rows = missing.join(s.samples, "sample_id").persist()  # read by every test
+    rows = written(missing.join(s.samples, "sample_id").select("modality", "missing_fraction", "y", "batch"), "missing")  # read by every test, in files of AQE's size
     tests = None
     for name in ("y", "batch"):
         t = missingness.kruskal(rows, ["modality"], "missing_fraction", name).withColumn("test", F.concat_ws(":", "modality", F.lit(name)))

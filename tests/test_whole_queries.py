@@ -62,6 +62,12 @@ def test_silhouette_of_all_dimensions(spark, run):
     assert got.n == len(x) and abs(got.silhouette - np.mean(s)) < 2e-5
 
 
+def test_flagship_reads_files_instead_of_cached_partitions(run):
+    out = run("missingness_audit")
+    assert "InMemoryRelation" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.test for r in out.collect()} == {"activity:y", "activity:batch"}
+
+
 def _brute_silhouette(x, y):
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
     s = []
