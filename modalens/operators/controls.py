@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from modalens.functions.tails import log_factorial
+from modalens.storage import dropped, written
 
 
 def training_groups(samples: DataFrame, folds: DataFrame, label: str, stratum: str, group: str = "group_id") -> DataFrame:
@@ -40,29 +43,46 @@ def permuted_targets(train: DataFrame, seed: int = 41, tries: int = 16, group: s
     Groups are ordered twice by hash inside (fold, stratum), shard by shard, and exchange targets by place. The first of
     `tries` orders that changes a fold somewhere is taken; if none does, which one attainable assignment always causes,
     the targets are rotated by one place in the order of targets. A fold that allows no change has null targets.
+
+    An order is worked out only for the folds that no earlier one has changed, and only where a stratum has several targets.
     """
     cell = ["outer_fold", "stratum"]
-    turns = train.withColumn("turn", F.explode(F.sequence(F.lit(1), F.lit(tries))))
+    train = written(train.select("outer_fold", group, "stratum", "y"), "training-groups")  # each is read by every try
+    mixed = train.groupBy(*cell).agg(F.countDistinct(F.struct("y")).alias("_k")).filter("_k > 1").select(*cell)
+    movable, still = train.join(mixed, cell, "left_semi"), train.join(mixed, cell, "left_anti")
 
-    def placed(rows: DataFrame, order, keys: list[str]) -> DataFrame:
+    def placed(rows: DataFrame, order) -> DataFrame:
         rows = rows.withColumn("_o", order).withColumn("_s", F.pmod("_o", F.lit(64)))
-        counts = rows.groupBy(*keys, "_s").agg(F.count(F.lit(1)).alias("_m"))
-        before = F.coalesce(F.sum("_m").over(Window.partitionBy(*keys).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        own = F.row_number().over(Window.partitionBy(*keys, "_s").orderBy("_o", group))
-        return rows.withColumn("_r", own).join(counts.select(*keys, "_s", before.alias("_b")), [*keys, "_s"]).withColumn("_i", F.col("_b") + F.col("_r")).drop("_o", "_s", "_m", "_b", "_r")
-
-    keys = [*cell, "turn"]
-    to = placed(turns, F.xxhash64(F.lit(seed), group), keys)
-    of = placed(turns, F.xxhash64(F.lit(seed), "turn", group, "outer_fold"), keys).select(*keys, "_i", F.col("y").alias("permuted"))
-    moved = to.join(of, [*keys, "_i"]).drop("_i")
-    good = moved.filter("y <> permuted").groupBy("outer_fold").agg(F.min("turn").alias("turn"))
-    taken = moved.join(good, ["outer_fold", "turn"]).select("outer_fold", group, "stratum", "y", "permuted")
-    rest = train.join(good.select("outer_fold"), "outer_fold", "left_anti")
+        counts = rows.groupBy(*cell, "_s").agg(F.count(F.lit(1)).alias("_m"))
+        before = F.coalesce(F.sum("_m").over(Window.partitionBy(*cell).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        own = F.row_number().over(Window.partitionBy(*cell, "_s").orderBy("_o", group))
+        return rows.withColumn("_r", own).join(counts.select(*cell, "_s", before.alias("_b")), [*cell, "_s"]).withColumn("_i", F.col("_b") + F.col("_r")).drop("_o", "_s", "_m", "_b", "_r")
+
+    def names(rows: DataFrame) -> list:
+        return sorted(r[0] for r in rows.select("outer_fold").distinct().collect())  # folds
+
+    left, done, parts = names(movable), [], []
+    for turn in range(1, tries + 1):
+        if not left:
+            break
+        rows = movable.filter(F.col("outer_fold").isin(left))
+        to = placed(rows, F.xxhash64(F.lit(seed), group))
+        of = placed(rows, F.xxhash64(F.lit(seed), F.lit(turn), group, "outer_fold")).select(*cell, "_i", F.col("y").alias("permuted"))
+        moved = written(to.join(of, [*cell, "_i"]).select("outer_fold", group, "stratum", "y", "permuted"), "permuted")
+        if good := names(moved.filter("y <> permuted")):
+            parts.append(moved.filter(F.col("outer_fold").isin(good)))
+            done, left = done + good, [fold for fold in left if fold not in good]
+        else:
+            dropped(moved)
     lead = Window.partitionBy(*cell).orderBy("y", group)
-    turned = rest.withColumn("permuted", F.coalesce(F.lead("y").over(lead), F.first("y").over(lead)))
-    able = turned.filter("y <> permuted").select("outer_fold").distinct().withColumn("_able", F.lit(True))
-    turned = turned.join(able, "outer_fold", "left").select("outer_fold", group, "stratum", "y", F.when(F.col("_able"), F.col("permuted")).alias("permuted"))
-    return taken.unionByName(turned)
+    turned = movable.filter(F.col("outer_fold").isin(left)).withColumn("permuted", F.coalesce(F.lead("y").over(lead), F.first("y").over(lead)))
+    able = names(turned.filter("y <> permuted")) if left else []
+    if able:
+        parts.append(turned.filter(F.col("outer_fold").isin(able)).select("outer_fold", group, "stratum", "y", "permuted"))
+    changed = F.col("outer_fold").isin(done + able)
+    parts.append(still.filter(changed).select("outer_fold", group, "stratum", "y", F.col("y").alias("permuted")))
+    parts.append(train.filter(~changed).withColumn("permuted", F.lit(None).cast(train.schema["y"].dataType)))
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 def audit(train: DataFrame, candidate: DataFrame, group: str = "group_id") -> DataFrame:

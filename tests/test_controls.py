@@ -65,6 +65,25 @@ def test_one_assignment_or_two(spark):
     assert controls.permuted_targets(t.limit(0)).count() == 0 and controls.attainable(t.limit(0)).count() == 0
 
 
+def test_orders_are_tried_one_at_a_time(spark, monkeypatch):
+    rows = [(k, i, "ab"[i % 2], int(i % 2 == 0 and i % 3 == 0)) for k in range(2) for i in range(400)] + [(2, i, "a", 1) for i in range(9)]
+    t = spark.createDataFrame(rows, "outer_fold int, group_id long, stratum string, y int")
+    made, keep = [], controls.written
+
+    def counted(df, name):
+        out = keep(df, name)
+        made.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(controls, "written", counted)
+    out = controls.permuted_targets(t).toPandas()
+    assert made == [("training-groups", 809), ("permuted", 400)]  # one order, without the stratum of one target
+    assert len(out) == 809 and out[out.outer_fold == 2].permuted.isna().all()
+    b = out[(out.outer_fold < 2) & (out.stratum == "b")]
+    assert (b.y == b.permuted).all() and (out[out.outer_fold < 2].groupby("outer_fold").permuted.sum() == 67).all()
+    assert controls.audit(t.filter("outer_fold < 2"), controls.permuted_targets(t.filter("outer_fold < 2"))).count() == 0
+
+
 def test_training_samples_alone_set_the_scale(spark):
     counts = {"s1": [4, 8], "s2": [1, 2], "s3": [16, 8]}
     cells = spark.createDataFrame([(s, "m", f"f{i}", float(v)) for s, x in counts.items() for i, v in enumerate(x)], "sample_id string, modality string, feature string, value double")
