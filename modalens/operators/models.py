@@ -6,7 +6,7 @@ import contextlib
 import functools
 import math
 import threading
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
@@ -14,24 +14,48 @@ import pandas as pd
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from modalens.functions.rank import average_ranks, numbered, running_counts
+from modalens.functions.rank import average_ranks, numbered, ranged, running_counts
 from modalens.operators import splits
 from modalens.operators.batch import centred, fold_moments
 from modalens.operators.bootstrap import uniform
-from modalens.storage import written
+from modalens.storage import dropped, written
 
 #: Nodes that the trees of a forest which are fitted together can have.
 PART_NODES = 1 << 17
+#: Numbers of the samples' columns that a task holds as a table.
+SLICE = 1 << 20
 
 
-def fold_medians(cells: DataFrame, folds: DataFrame) -> DataFrame:
-    """(outer_fold, modality, feature, median) over the training cells of every fold, interpolated."""
-    k = folds.select("outer_fold").distinct()
-    rows = cells.join(folds.withColumnRenamed("outer_fold", "_own"), "sample_id").join(F.broadcast(k)).filter("_own <> outer_fold")
-    return rows.groupBy("outer_fold", "modality", "feature").agg(F.percentile("value", F.lit(0.5)).alias("median"))
+def fold_medians(cells: DataFrame, folds: DataFrame, only: list | None = None) -> DataFrame:
+    """(outer_fold, modality, feature, median) over the training cells of every fold (or of those named), interpolated.
+
+    A feature's values are put in order once for all folds, range by range: a fold's place of a value is the number of
+    cells up to it which are not the fold's own, so no cell is copied.
+    """
+    names = only or [r[0] for r in folds.select("outer_fold").distinct().collect()]
+    keys = ["modality", "feature"]
+    rows = cells.filter("value IS NOT NULL").join(folds.withColumnRenamed("outer_fold", "_own"), "sample_id").select(*keys, "value", "_own")
+    if not names:
+        return rows.select(F.col("_own").alias("outer_fold"), *keys, F.col("value").cast("double").alias("median")).limit(0)
+    placed = ranged(rows, keys, "value")
+    seen = {f"_f{i}": (F.col("_own") != F.lit(name)).cast("long") for i, name in enumerate(names)}
+    sums = placed.groupBy(*keys, "_range").agg(*[F.sum(x).alias(c) for c, x in seen.items()])
+    lower, whole = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*keys)
+    sums = sums.select(*keys, "_range", *[F.coalesce(F.sum(c).over(lower), F.lit(0)).alias(f"_b{c}") for c in seen], *[F.sum(c).over(whole).alias(f"_n{c}") for c in seen])
+    inside = Window.partitionBy(*keys, "_range").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    at = placed.withColumns({c: F.sum(x).over(inside) for c, x in seen.items()}).join(sums, [*keys, "_range"])
+
+    def middle(i: int, name) -> Column:
+        place, n = F.col(f"_f{i}") + F.col(f"_b_f{i}"), F.col(f"_n_f{i}")
+        on = (place == F.floor((n + 1) / 2)) | (place == F.floor(n / 2) + 1)
+        return F.when((F.col("_own") != F.lit(name)) & on, F.lit(name))
+
+    of = F.explode(F.array_compact(F.array(*[middle(i, name) for i, name in enumerate(names)])))
+    ends = at.select(*keys, "value", of.alias("outer_fold")).groupBy("outer_fold", *keys)  # one value or two
+    return ends.agg((0.5 * F.min("value") + 0.5 * F.max("value")).alias("median"))
 
 
 def masked_standardized(cells: DataFrame, folds: DataFrame) -> DataFrame:
@@ -46,7 +70,7 @@ def masked_standardized(cells: DataFrame, folds: DataFrame) -> DataFrame:
     return rows.select("outer_fold", "sample_id", "modality", "feature", ((F.col("value") - F.col("mean")) / sd).alias("z"), side.alias("side"))
 
 
-def imputed_moments(cells: DataFrame, samples: DataFrame, folds: DataFrame) -> DataFrame:
+def imputed_moments(cells: DataFrame, samples: DataFrame, folds: DataFrame, only: list | None = None) -> DataFrame:
     """(outer_fold, modality, feature, n, median, mean, sd) of the training columns after median imputation.
 
     The imputed cells enter in closed form, so none is made. Columns without spread are left out.
@@ -54,7 +78,7 @@ def imputed_moments(cells: DataFrame, samples: DataFrame, folds: DataFrame) -> D
     own = samples.select("sample_id").join(folds, "sample_id").groupBy("outer_fold").agg(F.count(F.lit(1)).alias("m"))
     rows = own.agg(F.sum("m").alias("t")).join(own).select("outer_fold", (F.col("t") - F.col("m")).alias("rows"))  # one row per fold
     seen = fold_moments(cells, folds, ["modality", "feature"]).withColumnRenamed("mean", "_mean")
-    x = seen.join(F.broadcast(rows), "outer_fold").join(fold_medians(cells, folds), ["outer_fold", "modality", "feature"])
+    x = seen.join(F.broadcast(rows), "outer_fold").join(fold_medians(cells, folds, only), ["outer_fold", "modality", "feature"])
     miss = F.col("rows") - F.col("n")
     mean = (F.col("n") * F.col("_mean") + miss * F.col("median")) / F.col("rows")
     x = x.withColumn("mean", mean).withColumn("_miss", miss)
@@ -253,22 +277,56 @@ def boosting(n: int, rounds: int = 50, depth: int = 3):
     return GBTClassifier(featuresCol="x", labelCol="y", weightCol="w", maxIter=rounds, maxDepth=depth, seed=1)
 
 
-def prepared(cells: DataFrame, samples: DataFrame, folds: DataFrame, top: int | None = None) -> DataFrame:
+def prepared(cells: DataFrame, samples: DataFrame, folds: DataFrame, top: int | None = None, only: list | None = None) -> DataFrame:
     """(outer_fold, sample_id, side, x, y): imputed, standardised and selected columns of every fold, fitted on its training rows."""
-    return prepared_columns(cells, samples, folds, top)[0]
+    return prepared_columns(cells, samples, folds, top, only=only)[0]
 
 
-def prepared_columns(cells: DataFrame, samples: DataFrame, folds: DataFrame, top: int | None = None, select=selected) -> tuple[DataFrame, DataFrame]:
-    """The same, with (outer_fold, modality, feature, ix, blank): each fold's columns by their place in its vectors."""
-    cells, samples, folds = (written(t, name) for t, name in ((cells, "cells"), (samples, "samples"), (folds, "folds")))  # each is read many times
-    moments = imputed_moments(cells, samples, folds)
+def prepared_columns(cells: DataFrame, samples: DataFrame, folds: DataFrame, top: int | None = None, select=selected, only: list | None = None) -> tuple[DataFrame, DataFrame]:
+    """The same, written, with (outer_fold, modality, feature, ix, blank): each fold's columns by their place in its vectors.
+
+    `only` names the folds that are wanted. A sample's cells are put together once; its vector in each fold is made of
+    them by the fold's medians, means and deviations, which are as many as the columns that were selected.
+    """
+    cells = written(cells.repartition("sample_id"), "cells")  # each is read many times; a small file would be one task's
+    samples, folds = written(samples, "samples"), written(folds, "folds")
+    moments = imputed_moments(cells, samples, folds, only)
+    if only:
+        moments = moments.filter(F.col("outer_fold").isin(only))
     if top is not None:
         moments = moments.join(select(cells, samples, folds, top).select("outer_fold", "modality", "feature"), ["outer_fold", "modality", "feature"])
     moments = written(moments, "moments")
     columns = moments.select("outer_fold", "modality", "feature", ((F.col("median") - F.col("mean")) / F.col("sd")).alias("blank"))
-    x = vectors(imputed_standardized(cells, folds, moments), columns, ["outer_fold", "sample_id", "side"], ["outer_fold"])
     placed = columns.withColumn("ix", F.row_number().over(Window.partitionBy("outer_fold").orderBy("modality", "feature")) - 1)
-    return x.join(samples.select("sample_id", F.col("y").cast("double").alias("y")), "sample_id"), placed
+
+    used = moments.select("modality", "feature").distinct().withColumn("_ix", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("modality", "feature")) - 1)
+    used = written(used, "used")
+    own = {fold: p.sort_values("_ix") for fold, p in moments.join(used, ["modality", "feature"]).select("outer_fold", "_ix", "median", "mean", "sd").toPandas().groupby("outer_fold")}
+    scale = {fold: tuple(p[c].to_numpy() for c in ("_ix", "median", "mean", "sd")) for fold, p in own.items()}
+    width = used.count()
+    rows = cells.join(used, ["modality", "feature"]).groupBy("sample_id").agg(F.collect_list("_ix").alias("ix"), F.collect_list(F.col("value").cast("double")).alias("v"))
+    rows = rows.join(folds, "sample_id").join(samples.select("sample_id", F.col("y").cast("double").alias("y")), "sample_id")
+    kind = dict(rows.dtypes)
+
+    def filled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            step = max(1, SLICE // max(1, width))
+            for lo in range(0, len(part), step):
+                some = part.iloc[lo : lo + step]
+                x = np.full((len(some), width), np.nan)
+                x[np.repeat(np.arange(len(some)), [len(i) for i in some.ix]), np.concatenate(some.ix.tolist()).astype(int)] = np.concatenate(some.v.tolist())
+                for fold, (at, median, mean, sd) in scale.items():
+                    on = np.isin(np.arange(width), at)
+                    held = ~np.isnan(x[:, on]).all(axis=1)  # a sample without a cell in the fold's columns has no row
+                    z = x[:, on][held]
+                    z = (np.where(np.isnan(z), median, z) - mean) / sd
+                    side = np.where(some.outer_fold[held] == fold, "assessment", "train")
+                    yield pd.DataFrame({"outer_fold": fold, "sample_id": some.sample_id[held], "side": side, "x": list(z), "y": some.y[held]})
+
+    x = rows.mapInPandas(filled, f"outer_fold {kind['outer_fold']}, sample_id {kind['sample_id']}, side string, x array<double>, y double")
+    x = written(x.withColumn("x", array_to_vector("x")), "prepared")
+    dropped(cells, samples, folds, used)
+    return x, placed
 
 
 def out_of_fold(cells: DataFrame, samples: DataFrame, folds: DataFrame, make=logistic, model: str = "linear", threads: int = 4, top: int | None = None, only: list | None = None) -> DataFrame:
@@ -277,7 +335,7 @@ def out_of_fold(cells: DataFrame, samples: DataFrame, folds: DataFrame, make=log
     Classes are weighted n / (classes x rows of the class). Folds are jobs from a small pool of threads; `only`
     names those to run.
     """
-    data = written(prepared(cells, samples, folds, top), "prepared")  # read by every fold
+    data = prepared(cells, samples, folds, top, only)  # read by every fold
     names = only or [r[0] for r in folds.select("outer_fold").distinct().collect()]
 
     def one(fold: int) -> DataFrame:
@@ -289,7 +347,9 @@ def out_of_fold(cells: DataFrame, samples: DataFrame, folds: DataFrame, make=log
             F.lit(model).alias("model"), "sample_id", "outer_fold", "y", F.col("prediction").alias("pred"), vector_to_array("probability").alias("probs")
         )
 
-    return _together(one, names, threads)
+    out = written(_together(one, names, threads), "predicted")  # what reads them needs neither the models nor their rows
+    dropped(data)
+    return out
 
 
 def out_of_fold_regression(
@@ -299,7 +359,7 @@ def out_of_fold_regression(
 
     Ridge unless `make` gives another estimator; `top` keeps the features with the largest training F.
     """
-    data = written(prepared_columns(cells, samples, folds, top, selected_linear)[0], "prepared")
+    data = prepared_columns(cells, samples, folds, top, selected_linear)[0]
     names = [r[0] for r in folds.select("outer_fold").distinct().collect()]
 
     def one(fold: int) -> DataFrame:

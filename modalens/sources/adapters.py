@@ -50,7 +50,8 @@ features AS (SELECT DISTINCT modality, feature FROM cells)
 def embeddings(spark: SparkSession, sf_dir: str) -> Study:
     """Vectors split into two modalities of 32 dimensions; ten classes, groups and batches by id."""
     e = table(spark, sf_dir, "embeddings")
-    long = e.select(F.col("vec_id").cast("string").alias("sample_id"), F.posexplode("embedding").alias("ix", "value"))
+    spread = e.repartition("vec_id")  # a small file is one task's, and each row makes as many cells as it has dimensions
+    long = spread.select(F.col("vec_id").cast("string").alias("sample_id"), F.posexplode("embedding").alias("ix", "value"))
     cells = long.select(
         "sample_id", F.when(F.col("ix") < 32, "emb_lo").otherwise("emb_hi").alias("modality"),
         F.format_string("d%02d", "ix").alias("feature"), F.col("value").cast("double").alias("value"),
