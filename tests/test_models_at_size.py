@@ -56,3 +56,25 @@ def test_columns_scores_are_those_of_moved_rows(spark):
     want = nested._scored(nested.rescored(fitted, assess, moved, "auroc"), ["ix", "rep"], "auroc").groupBy("ix").agg(F.avg("score").alias("s"))
     got = {r.ix: r.score for r in nested.column_scores(fitted, assess, 2, 5, 61).collect()}
     assert got == {r.ix: pytest.approx(r.s) for r in want.collect()} and len(got) == 3 and not any(map(math.isnan, got.values()))
+
+
+def test_steps_of_an_audit_leave_only_their_results(spark):
+    from modalens import audit, storage
+
+    def step():
+        first = storage.written(spark.range(5), "first")
+        return storage.written(first.filter("id > 1"), "second").withColumn("twice", F.col("id") * 2)
+
+    mark = storage.made()
+    out = audit._alone(step, "result")
+    assert storage._MADE[mark:] == [out._written_at] and sorted(r.twice for r in out.collect()) == [4, 6, 8]
+
+
+def test_predictions_leave_no_prepared_rows(spark):
+    from modalens import storage
+
+    cells, samples, folds = study(spark)
+    mark = storage.made()
+    out = models.out_of_fold(cells, samples, folds)
+    left = {p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in storage._MADE[mark:]}
+    assert left == {"moments", "predicted"} and out.count() == 60
