@@ -44,15 +44,28 @@ def percentile_interval(values: DataFrame, keys: list[str], value: str, level: f
 class Draws(NamedTuple):
     """How often replicates take units: what tells a unit's draws apart, and a byte for each of these numbers and replicates lo to hi.
 
-    Tasks work the counts out where they need them, so no row takes its replicates through a shuffle.
+    Tasks work the counts out where they need them, so no row takes its replicates through a shuffle, and slice by slice, so
+    none holds its rows' replicates.
     """
 
     of: Callable[[DataFrame], DataFrame]
-    times: Callable[[np.ndarray, int, int], np.ndarray]
+    times: Callable[[np.ndarray, int, int], Taken]
+
+
+class Taken:
+    """Counts of units, made for those that a slice asks for."""
+
+    def __init__(self, counts: Callable[[np.ndarray], np.ndarray], u: np.ndarray):
+        self.counts, self.u = counts, u
+
+    def __getitem__(self, at: slice) -> np.ndarray:
+        return self.counts(self.u[at])
 
 
 #: Replicates whose counts a task holds at a time, rows that it goes through at a time, and blocks of units.
 REPS, ROWS, BLOCKS = 125, 1024, 32
+#: Rows of all keys that a range of scores has about.
+RANGE_ROWS = 1 << 21
 
 
 def _hashed(h: np.ndarray, value: np.ndarray, wide: bool = False) -> np.ndarray:
@@ -74,13 +87,13 @@ def drawn_counts(before: list[int], n: int, after: list[tuple[int, bool]] = (),
     h = np.full(1, 42, np.uint64)
     for key in before:
         h = _hashed(h, np.full(1, key))
-    out = np.zeros(n, np.int64)
-    for lo in range(0, n, 1 << 15):
-        own = _hashed(h, np.arange(lo, min(n, lo + (1 << 15))), wide)
+    drawn = np.empty(n, np.int64)
+    for lo in range(0, n, 1 << 13):
+        own = _hashed(h, np.arange(lo, min(n, lo + (1 << 13))), wide)
         for key, long in after:
             own = _hashed(own, np.full(1, key), long)
-        np.add.at(out, ((own >> np.uint64(11)) * 2.0**-53 * n).astype(np.int64), 1)
-    return out
+        drawn[lo : lo + (1 << 13)] = (own >> np.uint64(11)) * 2.0**-53 * n
+    return np.bincount(drawn, minlength=n)
 
 
 def group_vectors(groups: DataFrame, reps: int, seed: int, group: str) -> Draws:
@@ -88,11 +101,11 @@ def group_vectors(groups: DataFrame, reps: int, seed: int, group: str) -> Draws:
     placed = written(numbered(groups.select(group).distinct(), group), "group-places")
     n = placed.count()
 
-    def times(u: np.ndarray, lo: int, hi: int) -> np.ndarray:
+    def times(u: np.ndarray, lo: int, hi: int) -> Taken:
         w = np.empty((n, hi - lo), np.uint8)
         for rep in range(lo, hi):
             w[:, rep - lo] = drawn_counts([seed, rep], n)
-        return w[u]
+        return Taken(w.__getitem__, u)
 
     return Draws(lambda rows: rows.join(placed.withColumnRenamed("ix", "_u"), group), times)
 
@@ -100,10 +113,12 @@ def group_vectors(groups: DataFrame, reps: int, seed: int, group: str) -> Draws:
 def auroc_replicates(pred: DataFrame, draws: Draws, keys: list[str], reps: int, group: str = "group_id", ranges: int = 32) -> DataFrame:
     """(keys, rep, auroc): rows are summed to (group, score, truth); each task works out its groups' counts in all replicates.
 
-    Scores are cut into ranges once. A task goes through its range in order of score with running sums of some replicates
-    at a time; what lies in lower ranges is added afterwards, from one vector per range.
+    Scores are cut into ranges once, `ranges` of them or one for each RANGE_ROWS rows. A task goes through its range in
+    order of score with running sums of some replicates at a time; what lies in lower ranges is added afterwards, from one
+    vector per range.
     """
-    edges = sorted(set(pred.approxQuantile("score", [i / ranges for i in range(1, ranges)], 0.001)))
+    ranges = max(ranges, -(-pred.count() // RANGE_ROWS))
+    edges = sorted(set(pred.approxQuantile("score", [i / ranges for i in range(1, ranges)], min(0.001, 0.1 / ranges))))
     at = sum(((F.col("score") > F.lit(e)).cast("int") for e in edges), F.lit(0))
     rows = draws.of(pred.select(*keys, group, "y", "score")).groupBy(*keys, "_u", "y", "score").agg(F.count(F.lit(1)).alias("m"))
     rows = rows.select(*keys, "_u", F.col("y").cast("int").alias("y"), "score", "m", at.alias("_range"))
@@ -134,7 +149,7 @@ def _running(times: Callable, units: np.ndarray, score: np.ndarray, y: np.ndarra
     u, p, q, tied_one, tied_two = (np.zeros(hi - lo) for _ in range(5))
     own, last = times(units, lo, hi), np.nan
     for at in range(0, len(units), ROWS):
-        s, w, k = score[at : at + ROWS], own[at : at + ROWS], m[at : at + ROWS]
+        s, w, k = score[at : at + ROWS], own[at : at + ROWS], m[at : at + ROWS]  # the counts of these rows only
         on, off = np.flatnonzero(y[at : at + ROWS] == 1), np.flatnonzero(y[at : at + ROWS] == 0)
         one, two = (w[i] * k[i, None].astype(np.float64) for i in (on, off))
         sums = np.zeros((len(off) + 1, hi - lo))
@@ -176,18 +191,18 @@ def poisson_draws(reps: int, seed: int, unit: str) -> Draws:
     known = np.searchsorted(steps, np.arange(1 << 16) / (1 << 16), side="right").astype(np.uint8)  # by the first 16 bits,
     known[np.unique((steps[steps < 1] * (1 << 16)).astype(int))] = 255  # where these decide
 
-    def times(u: np.ndarray, lo: int, hi: int) -> np.ndarray:
-        out = np.empty((len(u), hi - lo), np.uint8)
-        for at in range(0, len(u), ROWS):
-            z = lane[lo:hi] ^ u[at : at + ROWS].astype(np.int64).view(np.uint64)[:, None]
-            z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            z ^= z >> np.uint64(31)
-            own = known[z >> np.uint64(48)]
-            if (open_ := own == 255).any():
-                own[open_] = np.searchsorted(steps, (z[open_] >> np.uint64(11)) * 2.0**-53, side="right")
-            out[at : at + ROWS] = own
-        return out
+    def counts(u: np.ndarray, lo: int, hi: int) -> np.ndarray:
+        z = lane[lo:hi] ^ u.astype(np.int64).view(np.uint64)[:, None]
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        z ^= z >> np.uint64(31)
+        own = known[z >> np.uint64(48)]
+        if (open_ := own == 255).any():
+            own[open_] = np.searchsorted(steps, (z[open_] >> np.uint64(11)) * 2.0**-53, side="right")
+        return own
+
+    def times(u: np.ndarray, lo: int, hi: int) -> Taken:
+        return Taken(lambda some: counts(some, lo, hi), u)
 
     return Draws(lambda rows: rows.withColumn("_u", F.xxhash64(F.lit(seed), unit)), times)
 
@@ -198,7 +213,8 @@ def poisson_vectors(rows: DataFrame, reps: int, seed: int, unit: str) -> DataFra
 
     @F.pandas_udf("binary")
     def drawn(h: pd.Series) -> pd.Series:
-        return pd.Series([w.tobytes() for w in times(h.to_numpy(), 0, reps)], dtype=object)
+        own = times(h.to_numpy(), 0, reps)
+        return pd.Series([w.tobytes() for at in range(0, len(h), ROWS) for w in own[at : at + ROWS]], dtype=object)
 
     return of(rows.select(unit).distinct()).select(unit, drawn("_u").alias("w"))
 

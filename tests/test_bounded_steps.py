@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from modalens.operators import scales
+from modalens.operators import bootstrap, scales
 
 
 def test_tables_of_thousands_of_groups_are_held_as_ranks():
@@ -34,3 +34,26 @@ def test_tables_of_thousands_of_groups_are_held_as_ranks():
     whole = lambda z, r, j: (z.sum(where=r <= j) / n, (z * z.T).sum(where=(r <= j) & (r.T <= j)))
     (ex, vx), (ey, vy) = whole(x, k, 5), whole(y.T, other.T, 3)
     assert rep == 1 and local[5, 3] == pytest.approx(((x * y).sum(where=on) - ex * ey) / np.sqrt((vx - ex * ex) * (vy - ey * ey)))
+
+
+def test_tasks_hold_no_replicates_of_their_rows(spark, monkeypatch):
+    groups = spark.range(50).select("id")
+    of, times = bootstrap.group_vectors(groups, 125, 3, "id")
+    rng, n = np.random.default_rng(2), 200_000
+    units, score, y = rng.integers(0, 50, n), np.sort(rng.random(n)), rng.integers(0, 2, n)
+    tracemalloc.start()
+    try:
+        u, p, q = bootstrap._running(times, units, score, y, np.ones(n, int), 0, 125)
+        assert tracemalloc.get_traced_memory()[1] < 60 * n  # a byte for each row and replicate is more
+    finally:
+        tracemalloc.stop()
+    w = np.array([bootstrap.drawn_counts([3, 7], 50)])[0][units]
+    assert p[7] == w[y == 1].sum() and q[7] == w[y == 0].sum() and u[7] == (w * (y == 1) * np.cumsum(w * (y == 0))).sum()
+
+    asked, real = [], type(groups).approxQuantile
+    monkeypatch.setattr(type(groups), "approxQuantile", lambda self, c, at, e: asked.append(len(at) + 1) or real(self, c, at, e))
+    pred = spark.createDataFrame([("a", f"g{i % 7}", i * i % 2, i / 400) for i in range(400)], "model string, group_id string, y int, score double")
+    draws = bootstrap.group_vectors(pred, 20, 3, "group_id")
+    few = {r.rep: r.auroc for r in bootstrap.auroc_replicates(pred, draws, ["model"], 20).collect()}
+    monkeypatch.setattr(bootstrap, "RANGE_ROWS", 4)
+    assert {r.rep: r.auroc for r in bootstrap.auroc_replicates(pred, draws, ["model"], 20).collect()} == few and asked == [32, 100]
