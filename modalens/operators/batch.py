@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from modalens.functions.tails import f_sf
-from modalens.storage import dropped, written
+from modalens.storage import dropped, unlent, written
 
 #: Blocks at least, points of a block at most, and numbers that its coordinates and sums by label may take (32 MB of doubles).
 BLOCKS, BLOCK_POINTS, BLOCK_VALUES = 8, 1 << 16, 1 << 22
@@ -49,10 +49,11 @@ def confounded(test: DataFrame) -> DataFrame:
 def fold_moments(cells: DataFrame, folds: DataFrame, by: list[str]) -> DataFrame:
     """Training moments of every fold by one pass: the total minus the fold's own part, after centring on the total mean.
 
-    (by, outer_fold, n, mean, m2): count, mean and sum of squared deviations of the training cells.
+    (by, outer_fold, n, mean, m2): count, mean and sum of squared deviations of the training cells. Cells may come with
+    their own fold, `_own`.
     """
-    rows = cells.join(folds.select("sample_id", "outer_fold"), "sample_id")
-    centre = rows.groupBy("modality", "feature").agg(F.avg("value").alias("_mu"))
+    rows = cells.withColumnRenamed("_own", "outer_fold") if "_own" in cells.columns else cells.join(unlent(folds.select("sample_id", "outer_fold")), "sample_id")
+    centre = written(rows.groupBy("modality", "feature").agg(F.avg("value").alias("_mu")), "centres")  # by its size Spark sees whether cells must be shuffled
     x = rows.join(centre, ["modality", "feature"]).withColumn("_x", F.col("value") - F.col("_mu"))
     sums = [F.count(F.lit(1)).alias("n"), F.sum("_x").alias("s"), F.sum(F.col("_x") * F.col("_x")).alias("q"), F.first("_mu").alias("_mu")]
     own = x.groupBy(*by, "outer_fold").agg(*sums)

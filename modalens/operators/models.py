@@ -17,29 +17,39 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from modalens.functions import rank
 from modalens.functions.rank import average_ranks, numbered, ranged, running_counts
 from modalens.operators import splits
 from modalens.operators.batch import centred, fold_moments
 from modalens.operators.bootstrap import uniform
-from modalens.storage import dropped, written
+from modalens.storage import dropped, noted, unlent, written
 
 #: Nodes that the trees of a forest which are fitted together can have.
 PART_NODES = 1 << 17
 #: Numbers of the samples' columns that a task holds as a table.
 SLICE = 1 << 20
+#: Share of the training cells on either side of a median that are put in order, and folds times features that are told it at once.
+NEAR, MIDDLES = 0.0005, 1 << 16
 
 
 def fold_medians(cells: DataFrame, folds: DataFrame, only: list | None = None) -> DataFrame:
     """(outer_fold, modality, feature, median) over the training cells of every fold (or of those named), interpolated.
 
-    A feature's values are put in order once for all folds, range by range: a fold's place of a value is the number of
-    cells up to it which are not the fold's own, so no cell is copied.
+    A feature's values are put in order once for all folds: a fold's place of a value is the number of cells up to it
+    which are not the fold's own, so no cell is copied. Of features of more than rank.RANGE_ROWS cells only those near
+    the middle are. Cells may come with their own fold, `_own`.
     """
     names = only or [r[0] for r in folds.select("outer_fold").distinct().collect()]
     keys = ["modality", "feature"]
-    rows = cells.filter("value IS NOT NULL").join(folds.withColumnRenamed("outer_fold", "_own"), "sample_id").select(*keys, "value", "_own")
+    rows = cells.filter("value IS NOT NULL")
+    rows = (rows if "_own" in cells.columns else rows.join(unlent(folds.withColumnRenamed("outer_fold", "_own")), "sample_id")).select(*keys, "value", "_own")
     if not names:
         return rows.select(F.col("_own").alias("outer_fold"), *keys, F.col("value").cast("double").alias("median")).limit(0)
+    most, n_features = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("m")).agg(F.max("m"), F.count("m")).first()
+    if (most or 0) > rank.RANGE_ROWS and n_features * len(names) <= MIDDLES:
+        rows = rows if "_own" in cells.columns else written(rows, "fold-cells")
+        if (found := _middles(rows, keys, names)) is not None:
+            return found
     placed = ranged(rows, keys, "value")
     seen = {f"_f{i}": (F.col("_own") != F.lit(name)).cast("long") for i, name in enumerate(names)}
     sums = placed.groupBy(*keys, "_range").agg(*[F.sum(x).alias(c) for c, x in seen.items()])
@@ -58,13 +68,37 @@ def fold_medians(cells: DataFrame, folds: DataFrame, only: list | None = None) -
     return ends.agg((0.5 * F.min("value") + 0.5 * F.max("value")).alias("median"))
 
 
+def _middles(rows: DataFrame, keys: list[str], names: list) -> DataFrame | None:
+    """The same by counting: what lies below the middle NEAR of a fold's training cells, and the values in it, by number.
+
+    Where that is is told by approximate quantiles; None if a median wasn't in it.
+    """
+    trained = {i: F.col("_own") != F.lit(name) for i, name in enumerate(names)}
+    edges = rows.groupBy(*keys).agg(*[F.percentile_approx(F.when(on, F.col("value")), [0.5 - NEAR, 0.5 + NEAR], 10_000).alias(f"_e{i}") for i, on in trained.items()])
+    at = rows.join(F.broadcast(written(edges, "edges")), keys)  # two numbers for each of MIDDLES folds and features at most
+    low, high = {i: F.col(f"_e{i}")[0] for i in trained}, {i: F.col(f"_e{i}")[1] for i in trained}
+    of = lambda each: F.explode(F.array(*[F.struct(F.lit(name).alias("outer_fold"), *each(i)) for i, name in enumerate(names)])).alias("x")
+    counts = at.groupBy(*keys).agg(*[F.count(F.when(on, 1)).alias(f"_n{i}") for i, on in trained.items()], *[F.count(F.when(on & (F.col("value") < low[i]), 1)).alias(f"_b{i}") for i, on in trained.items()])
+    counts = counts.select(*keys, of(lambda i: (F.col(f"_n{i}").alias("n"), F.col(f"_b{i}").alias("b")))).select(*keys, "x.*").filter("n > 0")
+    inside = F.array_compact(F.array(*[F.when(on & F.col("value").between(low[i], high[i]), F.lit(names[i])) for i, on in trained.items()]))
+    held = at.select(*keys, "value", F.explode(inside).alias("outer_fold")).groupBy("outer_fold", *keys, "value").agg(F.count(F.lit(1)).alias("c"))
+    upto = F.sum("c").over(Window.partitionBy("outer_fold", *keys).orderBy("value"))
+    placed = counts.join(held.withColumn("_upto", upto), ["outer_fold", *keys], "left")
+    last, n = F.col("b") + F.col("_upto"), F.col("n")
+    on = [(last - F.col("c") < place) & (place <= last) for place in (F.floor((n + 1) / 2), F.floor(n / 2) + 1)]
+    middle = F.when(on[0] | on[1], F.col("value"))
+    found = placed.groupBy("outer_fold", *keys).agg((0.5 * F.min(middle) + 0.5 * F.max(middle)).alias("median"), sum(F.count(F.when(x, 1)) for x in on).alias("_found"))
+    found = written(found, "medians")
+    return None if found.filter("_found <> 2").head(1) else found.drop("_found")
+
+
 def masked_standardized(cells: DataFrame, folds: DataFrame) -> DataFrame:
     """(outer_fold, sample_id, modality, feature, z, side): observed cells standardised by training moments of each fold.
 
     A spread below 1e-8 counts as 1; a missing cell is zero and has no row.
     """
     m = fold_moments(cells, folds, ["modality", "feature"]).select("modality", "feature", "outer_fold", "mean", F.sqrt(F.col("m2") / F.col("n")).alias("sd"))
-    rows = cells.join(folds.withColumnRenamed("outer_fold", "_own"), "sample_id").join(m, ["modality", "feature"])
+    rows = cells.join(unlent(folds.withColumnRenamed("outer_fold", "_own")), "sample_id").join(m, ["modality", "feature"])
     sd = F.when(F.col("sd") < 1e-8, 1.0).otherwise(F.col("sd"))
     side = F.when(F.col("_own") == F.col("outer_fold"), "assessment").otherwise("train")
     return rows.select("outer_fold", "sample_id", "modality", "feature", ((F.col("value") - F.col("mean")) / sd).alias("z"), side.alias("side"))
@@ -75,7 +109,7 @@ def imputed_moments(cells: DataFrame, samples: DataFrame, folds: DataFrame, only
 
     The imputed cells enter in closed form, so none is made. Columns without spread are left out.
     """
-    own = samples.select("sample_id").join(folds, "sample_id").groupBy("outer_fold").agg(F.count(F.lit(1)).alias("m"))
+    own = samples.select("sample_id").join(unlent(folds), "sample_id").groupBy("outer_fold").agg(F.count(F.lit(1)).alias("m"))
     rows = own.agg(F.sum("m").alias("t")).join(own).select("outer_fold", (F.col("t") - F.col("m")).alias("rows"))  # one row per fold
     seen = fold_moments(cells, folds, ["modality", "feature"]).withColumnRenamed("mean", "_mean")
     x = seen.join(F.broadcast(rows), "outer_fold").join(fold_medians(cells, folds, only), ["outer_fold", "modality", "feature"])
@@ -89,27 +123,34 @@ def imputed_moments(cells: DataFrame, samples: DataFrame, folds: DataFrame, only
 
 def imputed_standardized(cells: DataFrame, folds: DataFrame, moments: DataFrame) -> DataFrame:
     """(outer_fold, sample_id, side, modality, feature, z) of the observed cells; a missing one is (median - mean) / sd."""
-    rows = cells.join(folds.withColumnRenamed("outer_fold", "_own"), "sample_id").join(moments, ["modality", "feature"])
+    rows = cells.join(unlent(folds.withColumnRenamed("outer_fold", "_own")), "sample_id").join(moments, ["modality", "feature"])
     side = F.when(F.col("_own") == F.col("outer_fold"), "assessment").otherwise("train")
     return rows.select("outer_fold", "sample_id", side.alias("side"), "modality", "feature", ((F.col("value") - F.col("mean")) / F.col("sd")).alias("z"))
 
 
+def _with_targets(cells: DataFrame, labelled: DataFrame) -> DataFrame:
+    """(modality, feature, value, y, outer_fold), written: the passes over them shuffle none of these rows."""
+    return written(cells.select("sample_id", "modality", "feature", "value").join(unlent(labelled), "sample_id").select("modality", "feature", "value", "y", "outer_fold"), "targeted")
+
+
 def selected(cells: DataFrame, samples: DataFrame, folds: DataFrame, top: int = 2000) -> DataFrame:
     """(outer_fold, modality, feature, f, place): the features with the largest training ANOVA F in every fold.
 
     Class-wise sums are taken once per fold and class; training sums are totals less the fold's own. Missing cells count
     as the fold's training median, in closed form.
     """
-    labelled = samples.select("sample_id", "y").join(folds, "sample_id")
-    rows = cells.join(labelled, "sample_id")
-    mu = rows.groupBy("modality", "feature").agg(F.avg("value").alias("_mu"))
+    labelled = samples.select("sample_id", "y").join(unlent(folds), "sample_id")
+    rows = _with_targets(cells, labelled)
+    mu = written(rows.groupBy("modality", "feature").agg(F.avg("value").alias("_mu")), "centres")
     x = rows.join(mu, ["modality", "feature"]).withColumn("_x", F.col("value") - F.col("_mu"))
-    own = x.groupBy("modality", "feature", "y", "outer_fold").agg(F.count(F.lit(1)).alias("n"), F.sum("_x").alias("s"), F.sum(F.col("_x") * F.col("_x")).alias("q"))
+    own = written(x.groupBy("modality", "feature", "y", "outer_fold").agg(F.count(F.lit(1)).alias("n"), F.sum("_x").alias("s"), F.sum(F.col("_x") * F.col("_x")).alias("q")), "fold-sums")
+    medians = written(fold_medians(rows.withColumnRenamed("outer_fold", "_own"), folds), "medians")
+    dropped(rows)
     every = own.groupBy("modality", "feature", "y").agg(*[F.sum(c).alias(f"t{c}") for c in "nsq"])
     per = labelled.groupBy("y", "outer_fold").agg(F.count(F.lit(1)).alias("own"))
     per = per.join(per.groupBy("y").agg(F.sum("own").alias("all")), "y").groupBy("y").agg(F.map_from_entries(F.collect_list(F.struct("outer_fold", "own"))).alias("own"), F.max("all").alias("all"))
     grid = mu.join(per).join(folds.select("outer_fold").distinct()).withColumn("rows", F.col("all") - F.coalesce(F.col("own")[F.col("outer_fold")], F.lit(0)))  # classes x folds rows a feature
-    grid = grid.drop("own", "all").join(every, ["modality", "feature", "y"], "left").join(own, ["modality", "feature", "y", "outer_fold"], "left").join(fold_medians(cells, folds), ["outer_fold", "modality", "feature"])
+    grid = grid.drop("own", "all").join(every, ["modality", "feature", "y"], "left").join(own, ["modality", "feature", "y", "outer_fold"], "left").join(medians, ["outer_fold", "modality", "feature"])
     gap, miss = F.col("median") - F.col("_mu"), F.col("rows") - F.col("seen")
     grid = grid.na.fill(0, ["n", "s", "q", "tn", "ts", "tq"]).withColumn("seen", F.col("tn") - F.col("n")).filter("rows > 0")
     train = grid.select("modality", "feature", "y", "outer_fold", F.col("rows").alias("n"), (F.col("ts") - F.col("s") + miss * gap).alias("s"), (F.col("tq") - F.col("q") + miss * gap * gap).alias("q"))
@@ -130,17 +171,19 @@ def selected_linear(cells: DataFrame, samples: DataFrame, folds: DataFrame, top:
     """
     keys = ["modality", "feature"]
     y_mean = samples.agg(F.avg("y").alias("_my"))
-    labelled = samples.select("sample_id", F.col("y").cast("double").alias("y")).join(F.broadcast(y_mean)).select("sample_id", (F.col("y") - F.col("_my")).alias("y")).join(folds, "sample_id")
-    rows = cells.join(labelled, "sample_id")
-    mu = rows.groupBy(*keys).agg(F.avg("value").alias("_mu"))
+    labelled = samples.select("sample_id", F.col("y").cast("double").alias("y")).join(F.broadcast(y_mean)).select("sample_id", (F.col("y") - F.col("_my")).alias("y")).join(unlent(folds), "sample_id")
+    rows = _with_targets(cells, labelled)
+    mu = written(rows.groupBy(*keys).agg(F.avg("value").alias("_mu")), "centres")
     x = rows.join(mu, keys).withColumn("_x", F.col("value") - F.col("_mu"))
     sums = [F.count(F.lit(1)).alias("n"), F.sum("_x").alias("s"), F.sum(F.col("_x") * F.col("_x")).alias("q"), F.sum("y").alias("t"), F.sum(F.col("_x") * F.col("y")).alias("c")]
-    own = x.groupBy(*keys, "outer_fold").agg(*sums)
+    own = written(x.groupBy(*keys, "outer_fold").agg(*sums), "fold-sums")
+    medians = written(fold_medians(rows.withColumnRenamed("outer_fold", "_own"), folds), "medians")
+    dropped(rows)
     every = own.groupBy(*keys).agg(*[F.sum(c).alias(f"a{c}") for c in "nsqtc"])
     per = labelled.groupBy("outer_fold").agg(F.count(F.lit(1)).alias("m"), F.sum("y").alias("my"), F.sum(F.col("y") * F.col("y")).alias("vy"))
     whole = per.agg(*[F.sum(c).alias(f"w{c}") for c in ("m", "my", "vy")])
     train = per.join(F.broadcast(whole)).select("outer_fold", *[(F.col(f"w{c}") - F.col(c)).alias(c) for c in ("m", "my", "vy")])  # a row per fold
-    grid = every.join(F.broadcast(train)).join(own, [*keys, "outer_fold"], "left").na.fill(0, list("nsqtc")).join(mu, keys).join(fold_medians(cells, folds), ["outer_fold", *keys])
+    grid = every.join(F.broadcast(train)).join(own, [*keys, "outer_fold"], "left").na.fill(0, list("nsqtc")).join(mu, keys).join(medians, ["outer_fold", *keys])
     gap, miss = F.col("median") - F.col("_mu"), F.col("m") - (F.col("an") - F.col("n"))
     s = F.col("as") - F.col("s") + miss * gap
     q = F.col("aq") - F.col("q") + miss * gap * gap
@@ -288,14 +331,17 @@ def prepared_columns(cells: DataFrame, samples: DataFrame, folds: DataFrame, top
     `only` names the folds that are wanted. A sample's cells are put together once; its vector in each fold is made of
     them by the fold's medians, means and deviations, which are as many as the columns that were selected.
     """
-    cells = written(cells.repartition("sample_id"), "cells")  # each is read many times; a small file would be one task's
     samples, folds = written(samples, "samples"), written(folds, "folds")
-    moments = imputed_moments(cells, samples, folds, only)
-    if only:
-        moments = moments.filter(F.col("outer_fold").isin(only))
-    if top is not None:
-        moments = moments.join(select(cells, samples, folds, top).select("outer_fold", "modality", "feature"), ["outer_fold", "modality", "feature"])
-    moments = written(moments, "moments")
+    own = unlent(folds.select("sample_id", F.col("outer_fold").alias("_own")))
+    cells = written(cells.repartition("sample_id").join(own, "sample_id"), "cells")  # each is read many times; a small file would be one task's
+    with noted() as steps:
+        moments = imputed_moments(cells, samples, folds, only)
+        if only:
+            moments = moments.filter(F.col("outer_fold").isin(only))
+        if top is not None:
+            moments = moments.join(select(cells, samples, folds, top).select("outer_fold", "modality", "feature"), ["outer_fold", "modality", "feature"])
+        moments = written(moments, "moments")
+    dropped(*[t for t in steps if t is not moments])
     columns = moments.select("outer_fold", "modality", "feature", ((F.col("median") - F.col("mean")) / F.col("sd")).alias("blank"))
     placed = columns.withColumn("ix", F.row_number().over(Window.partitionBy("outer_fold").orderBy("modality", "feature")) - 1)
 
@@ -304,8 +350,8 @@ def prepared_columns(cells: DataFrame, samples: DataFrame, folds: DataFrame, top
     own = {fold: p.sort_values("_ix") for fold, p in moments.join(used, ["modality", "feature"]).select("outer_fold", "_ix", "median", "mean", "sd").toPandas().groupby("outer_fold")}
     scale = {fold: tuple(p[c].to_numpy() for c in ("_ix", "median", "mean", "sd")) for fold, p in own.items()}
     width = used.count()
-    rows = cells.join(used, ["modality", "feature"]).groupBy("sample_id").agg(F.collect_list("_ix").alias("ix"), F.collect_list(F.col("value").cast("double")).alias("v"))
-    rows = rows.join(folds, "sample_id").join(samples.select("sample_id", F.col("y").cast("double").alias("y")), "sample_id")
+    rows = cells.join(used, ["modality", "feature"]).groupBy("sample_id").agg(F.first("_own").alias("outer_fold"), F.collect_list("_ix").alias("ix"), F.collect_list(F.col("value").cast("double")).alias("v"))
+    rows = rows.join(unlent(samples.select("sample_id", F.col("y").cast("double").alias("y"))), "sample_id")
     kind = dict(rows.dtypes)
 
     def filled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import gc
 import re
 import sys
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
 
 from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
@@ -76,10 +79,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark.sparkContext._jvm.System.gc()
     table = spark.read.schema(schema).parquet(path)
     table._written_at = path
+    if (own := getattr(_NOTES, "own", None)) is not None:
+        own.append(table)
     return table
 
 
 _MADE: list[str] = []
+_NOTES = threading.local()
+
+
+@contextlib.contextmanager
+def noted() -> Iterator[list[DataFrame]]:
+    """The tables that this thread writes meanwhile: other threads' steps may need theirs."""
+    outer, _NOTES.own = getattr(_NOTES, "own", None), []
+    try:
+        yield _NOTES.own
+    finally:
+        if outer is not None:
+            outer += _NOTES.own
+        _NOTES.own = outer
 
 
 def made() -> int:
@@ -101,11 +119,19 @@ def _path(table: DataFrame) -> str:
 
 def dropped(*tables: DataFrame) -> None:
     """Deletes tables that `written` made and that nothing reads any more."""
-    for path in filter(None, map(_path, tables)):
+    for path in filter(_MADE.__contains__, map(_path, tables)):
         _deleted(path)
         _MADE.remove(path)
 
 
+def unlent(rows: DataFrame) -> DataFrame:
+    """A table that grows with the input, as the side of a join which Spark doesn't broadcast.
+
+    Rows in order make so small a file that Spark takes millions of them for few, and the driver would collect them all.
+    """
+    return rows.hint("merge")
+
+
 def matched(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", n: str = "n", hot_rows: int = 20_000) -> DataFrame:
     """left joined to right, whose keys are unique and whose column n says how many rows of left a key has.
 

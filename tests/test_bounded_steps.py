@@ -5,8 +5,10 @@ import tracemalloc
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from modalens.operators import bootstrap, scales
+from modalens.functions import rank
+from modalens.operators import bootstrap, models, scales
 
 
 def test_tables_of_thousands_of_groups_are_held_as_ranks():
@@ -57,3 +59,44 @@ def test_tasks_hold_no_replicates_of_their_rows(spark, monkeypatch):
     few = {r.rep: r.auroc for r in bootstrap.auroc_replicates(pred, draws, ["model"], 20).collect()}
     monkeypatch.setattr(bootstrap, "RANGE_ROWS", 4)
     assert {r.rep: r.auroc for r in bootstrap.auroc_replicates(pred, draws, ["model"], 20).collect()} == few and asked == [32, 100]
+
+
+def plan(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_rows_of_samples_are_not_broadcast(spark, monkeypatch):
+    n = 40  # rows in order make small files, which Spark would broadcast whatever their number
+    samples = spark.createDataFrame([(f"{i:03d}", float(i * i % 7)) for i in range(n)], "sample_id string, y double")
+    folds = samples.select("sample_id", F.expr("int(sample_id) % 2").alias("outer_fold"))
+    cells = spark.createDataFrame([(f"{i:03d}", "m", f"f{j}", float(i % (3 + j))) for i in range(n) for j in range(3)], "sample_id string, modality string, feature string, value double")
+    written, sides = models.written, []
+
+    def seen(df, name):
+        if name in ("cells", "targeted", "prepared"):
+            sides.append((name, plan(df).count("BroadcastHashJoin")))
+        return written(df, name)
+
+    monkeypatch.setattr(models, "written", seen)
+    models.prepared_columns(cells, samples, folds, 2, models.selected_linear)
+    own = {name for name, _ in sides}
+    assert own == {"cells", "targeted", "prepared"}
+    at = dict(sides)
+    assert at["cells"] == 0 and at["prepared"] <= 2  # the features' numbers, in the plan's two shapes
+    assert "BroadcastHashJoin" not in plan(models.fold_medians(cells, folds))
+
+
+@pytest.mark.parametrize("near", [0.0005, 0.2, -0.4])
+def test_medians_of_many_cells_are_exact_without_their_order(spark, monkeypatch, near):
+    rng = np.random.default_rng(8)
+    rows = pd.DataFrame({"sample_id": [f"s{i}" for i in range(3000)], "value": np.round(rng.normal(size=3000) * 50), "outer_fold": rng.integers(0, 3, 3000)})
+    cells = spark.createDataFrame(rows[["sample_id", "value"]]).withColumn("modality", F.lit("m")).withColumn("feature", F.when(F.col("value") > 30, "high").otherwise("low"))
+    folds = spark.createDataFrame(rows[["sample_id", "outer_fold"]])
+    monkeypatch.setattr(rank, "RANGE_ROWS", 100)
+    monkeypatch.setattr(models, "NEAR", near)  # with a share below zero nothing is found there, so all cells are put in order
+    ordered = []
+    monkeypatch.setattr(models, "ranged", lambda *a: ordered.append(1) or rank.ranged(*a))
+    got = {(r.outer_fold, r.feature): r["median"] for r in models.fold_medians(cells, folds).collect()}
+    kind = np.where(rows.value > 30, "high", "low")
+    assert got == {(k, f): rows.value[(rows.outer_fold != k) & (kind == f)].median() for k in range(3) for f in ("high", "low")}
+    assert bool(ordered) == (near < 0)
