@@ -69,7 +69,7 @@ def centred(cells: DataFrame, samples: DataFrame, folds: DataFrame) -> DataFrame
 
     The offset is the batch's training mean less the training mean; a batch without training rows keeps its values.
     """
-    batched = cells.join(samples.select("sample_id", "batch"), "sample_id")
+    batched = cells.join(unlent(samples.select("sample_id", "batch")), "sample_id")
     per_batch = fold_moments(batched, folds, ["modality", "feature", "batch"]).select("modality", "feature", "batch", "outer_fold", F.col("mean").alias("_bm"))
     per_all = fold_moments(cells, folds, ["modality", "feature"]).select("modality", "feature", "outer_fold", F.col("mean").alias("_am"))
     k = folds.select("outer_fold").distinct()
